@@ -4,18 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_warc, op5_exact_dedup
+from . import op1_decontaminate, op2_warc, op4_packing, op5_exact_dedup, op6_minhash, op7_mixing, op8_toxicity
 from .common import read
 
 
+def op1_decontaminate_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pack_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_exact_dedup.deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_revisits, op5_exact_dedup_recipes)}
+def op6_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8_toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_segments")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate_wand, op2_warc_revisits, op4_pack_token_ids, op5_exact_dedup_recipes, op6_minhash_tensored, op7_mix_sources, op8_toxic_segments)}
 
-ORACLE = {"op2_warc_revisits": op2_warc.ORACLE_SQL, "op5_exact_dedup_recipes": op5_exact_dedup.ORACLE_SQL}
+ORACLE = {"op2_warc_revisits": op2_warc.ORACLE_SQL, "op5_exact_dedup_recipes": op5_exact_dedup.ORACLE_SQL, "op7_mix_sources": op7_mixing.ORACLE_SQL}

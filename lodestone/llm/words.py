@@ -18,6 +18,8 @@ SLICE_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For ``gaps``: also every other ASCII byte that is no letter or digit.
+PUNCTUATION = np.array([not chr(b).isalnum() if b < 128 else False for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -94,7 +96,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+def words_of(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE) -> Words:
     data, offsets = texts_of(column)
     if lower:
         data = _LOWER[data]
@@ -102,7 +104,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     if not n:
         e = np.empty(0, np.int64)
         return Words(data, e, e, np.empty(0, np.uint64), np.zeros(len(offsets), np.int64))
-    word = ~_SPACE[data]
+    word = ~gaps[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]
