@@ -3,12 +3,14 @@
 1. Over all documents, words and their leading bytes (PREFIXES) are counted by hashed bucket: in how
    many documents, and in how many labelled toxic and clean ones. Log-odds of toxic against clean
    get a Dirichlet prior in proportion to the counts over the whole corpus, and a z-score. A word
-   scores the log-odds of its most specific bucket with |z| of Z_LEAST or more, less DRIFT.
+   scores the log-odds of its most specific bucket with |z| of Z_LEAST or more, less DRIFT; its kth
+   occurrence in a document scores a kth of the log-odds, as words come in bursts.
 2. One scan finds all maximal-scoring segments of each text in linear time.
 3. Segment scores are made comparable across lengths by extreme-value statistics: lambda solves
-   sum(p * exp(lambda * s)) = 1 over the corpus, and a segment of score S in n words counts for
-   lambda * S - ln(n), if positive. A document's statistic is the sum over its segments; it becomes
-   a probability by monotone regression on labelled documents that the counts left out.
+   sum(p * exp(lambda * s)) = 1 over the corpus, and a segment of score S in n words is worth
+   lambda * S - ln(n). Those worth over 0 are significant; a document's statistic is their sum, or
+   else the worth of its best segment. It becomes a probability by monotone regression on labelled
+   documents that the counts left out.
 
 Labels come from rows whose crc32(doc_id) mod 4 isn't HELD_OUT; of these CALIBRATION calibrates and
 the rest counts. At most LABEL_ROWS labelled rows are used, by hash of doc_id. Null and empty texts
@@ -35,8 +37,9 @@ FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 LABEL_ROWS = BROADCAST_ROWS
 #: Levels of a word: itself, then its leading bytes. Each has 2**BITS buckets.
 PREFIXES, BITS = (6, 5, 4), 20
-PRIOR, Z_LEAST, LEAST_TOXIC, DRIFT = 10_000.0, 3.0, 4, 0.3
-BIN, BINS = 0.5, 200
+PRIOR, Z_LEAST, LEAST_TOXIC, DRIFT = 10_000.0, 3.0, 4, 0.5
+#: Bins of the statistic, from LOWEST up; the first is for documents without any segment.
+LOWEST, BIN, BINS = -20.0, 0.5, 120
 THRESHOLD = 0.3
 
 
@@ -150,11 +153,20 @@ def word_scores(words: Words, dense: np.ndarray) -> np.ndarray:
     out = np.full(len(words.hashes), np.nan, np.float32)
     for bucket in levels(words):
         out = np.where(np.isnan(out), dense[bucket], out)
-    return np.nan_to_num(out) - np.float32(DRIFT)
+    out = np.nan_to_num(out)
+    hits = np.flatnonzero(out > 0)
+    text = np.searchsorted(words.first, hits, "right")
+    order = np.lexsort((hits, words.hashes[hits], text))
+    text, word = text[order], words.hashes[hits][order]
+    new = np.ones(len(hits), bool)
+    new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
+    at = np.arange(len(hits))
+    out[hits[order]] /= at - np.maximum.accumulate(np.where(new, at, 0)) + 1
+    return out - np.float32(DRIFT)
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, statistic, segments (start, end in words; score; bits) of every row, significant ones only."""
+    """doc_id, statistic (null without a segment), segments (start, end in words; score; bits) of every row, significant ones only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("bits", pa.float64())]))
 
@@ -165,12 +177,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             scores, stats, lists = word_scores(words, dense), [], []
             has = np.concatenate([[0], np.cumsum(scores > 0)])
             for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-                held = []
+                held, best = [], None
                 if has[b] > has[a]:
-                    for x, y, s in segments(scores[a:b].astype(np.float64)):
-                        if (bits := scale * s - np.log(b - a)) > 0:
-                            held.append({"start": x, "end": y, "score": s, "bits": bits})
-                stats.append(sum(h["bits"] for h in held))
+                    found = segments(scores[a:b].astype(np.float64))
+                    best = float(scale * max(s for _, _, s in found) - np.log(b - a))
+                    held = [{"start": x, "end": y, "score": s, "bits": w} for x, y, s in found if (w := scale * s - np.log(b - a)) > 0]
+                stats.append(sum(h["bits"] for h in held) if held else best)
                 lists.append(held)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(stats, pa.float64()), pa.array(lists, kind)], names=["doc_id", "statistic", "segments"])
 
@@ -178,7 +190,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def bin_of(statistic: Column) -> Column:
-    return F.when(statistic > 0, F.least(F.lit(BINS), 1 + F.floor(statistic / BIN))).otherwise(0).cast("int")
+    return F.when(statistic.isNull(), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(BINS), 1 + F.floor((statistic - LOWEST) / BIN)))).cast("int")
 
 
 def calibrated(scanned: DataFrame, train: DataFrame) -> list[float]:
