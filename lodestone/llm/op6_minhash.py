@@ -9,8 +9,9 @@
    Similarity 0.75 is missed by a share of 2 * (1 - 0.75**2)**TUPLES, below 2e-5 at 14.
 4. In each bucket members are paired with its smallest member. Bitmaps give a lower bound of the
    symmetric difference, which drops pairs that can't be similar enough without loss.
-5. Pairs left are confirmed on the full sets, from the texts. Then, in buckets that hold several
-   components, pairs of different components are confirmed likewise, until nothing joins any more.
+5. Pairs left are confirmed on the full sets, from the texts, and give components. Members of buckets
+   that hold several components may still be linked across these; such pairs are found by prefix and
+   position filters on the full sets, which lose none, and confirmed likewise.
 
 A document without words has no shingles and is linked with nothing; one with fewer words than a
 shingle has one shingle, its whole sequence. Null texts count as empty. Rows with a null doc_id take
@@ -159,6 +160,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def pairs_apart(members: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """All pairs a, b of ``members`` (rep, component) of different components that may be similar
+    enough, by prefix and position filters, which lose none.
+
+    Shingles are ordered by how many members have them. Two sets that are similar enough share one
+    among the first of each, and what follows the first shared one must suffice for the overlap. So
+    a passage of many documents pairs none of them, as it comes last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [s.view(np.int64) for s in shingle_sets(words_of(batch.column("text"), lower=True), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "shingles"])
+
+    texts = pick(docs, doc_id="bigint", text="string").withColumnRenamed("doc_id", "rep")
+    sets = join_spooled(texts, members.select("rep"), "rep", "left_semi").mapInArrow(run, "rep bigint, n bigint, shingles array<bigint>")
+    rows = sets.select("rep", "n", F.explode("shingles").alias("shingle"))
+    known = spool(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "op6-df")
+    lists = join_spooled(rows, known, "shingle", "inner").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("known"))
+    # prefixes for partners of any size, and for partners at least as large
+    probe, index = f"n - ({percent} * n + 99) div 100 + 1", f"n - (2 * {percent} * n + 99 + {percent}) div (100 + {percent}) + 1"
+    rest = F.expr(f"slice(known, 1, greatest(0, cast({probe} - n + size(known) as int)))")
+    heads = lists.select("rep", "n", (F.col("n") - F.size("known")).alias("unknown"), F.expr(index).alias("index"), F.posexplode(rest).alias("k", "s"))
+    heads = join_spooled(heads.select("rep", "n", "index", (F.col("unknown") + F.col("k")).alias("at"), "s.shingle"), members, "rep", "inner")
+    heads = spool(heads, "op6-heads")
+    split = spool(heads.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "op6-split")
+    heads = spool(join_spooled(heads, split, "shingle", "left_semi"), "op6-split-heads")
+    x = heads.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("component").alias("cb"))
+    y = heads.where("at < index").select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("component").alias("ca"))
+    fits = f"ca <> cb and (na < nb or na = nb and a < b) and 100 * na >= {percent} * nb and (100 + {percent}) * least(na - at_a, nb - at_b) >= {percent} * (na + nb)"
+    return x.join(y, "shingle").where(fits).select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of every node of the undirected links (a, b).
 
@@ -186,7 +220,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, tuples: int = TUPLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    spark = docs.sparkSession
     sketch = spool(sketches(docs, size, tuples), "op6-sketches")
     named = sketch.where("doc_id is not null and set_id is not null")
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -201,24 +234,19 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     n_leaders = leaders.count()
     members = spool(join_spooled(keys, leaders, "key", "inner", n_leaders), "op6-members")
     discard(keys)
-    done = spool(plausible(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent), "op6-pairs")
-    links = spool(confirmed(done, docs, size, percent), "op6-links")
-    while True:
-        labels = spool(components(links), "op6-labels")
-        n_labels = labels.count()
-        at = join_spooled(members.withColumnRenamed("rep", "node"), labels, "node", "left", n_labels).select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
-        mixed = spool(at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "op6-mixed")
-        left = spool(join_spooled(at, mixed, "key", "left_semi"), "op6-left")
-        other = left.toDF("key", "b", "cb")
-        more = left.toDF("key", "a", "ca").join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        more = more.join(done, ["a", "b"], "left_anti")
-        fresh = spool(plausible(more, reps, percent), "op6-pairs")
-        if not fresh.limit(1).count():
-            break
-        found = spool(confirmed(fresh, docs, size, percent), "op6-links")
-        if not found.limit(1).count():
-            break
-        done, links = done.unionByName(fresh), links.unionByName(found)
+    pairs = spool(plausible(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent), "op6-pairs")
+    links = spool(confirmed(pairs, docs, size, percent), "op6-links")
+    labels = spool(components(links), "op6-labels")
+    at = join_spooled(members.withColumnRenamed("rep", "node"), labels, "node").select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
+    at = spool(at, "op6-at")
+    mixed = spool(at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "op6-mixed")
+    apart = spool(join_spooled(at, mixed, "key", "left_semi").select("rep", "component").distinct(), "op6-apart")
+    discard(members, at, mixed)
+    more = spool(plausible(pairs_apart(apart, docs, size, percent), reps, percent), "op6-more")
+    if more.limit(1).count():
+        found = spool(confirmed(more, docs, size, percent), "op6-links")
+        labels = spool(components(links.unionByName(found)), "op6-labels")
+    n_labels = labels.count()
     out = join_spooled(sketch.select("doc_id", "n_shingles", "set_id"), shared_sets, "set_id").withColumn("node", F.coalesce("rep", "doc_id"))
     out = join_spooled(out, labels, "node", "left", n_labels)
     found = F.coalesce("component", "node")
