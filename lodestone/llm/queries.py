@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_decontaminate, op2_warc, op4_packing, op5_exact_dedup, op6_minhash, op7_mixing, op8_toxicity
+from . import op1_decontaminate, op2_warc, op3_licenses, op4_packing, op5_exact_dedup, op6_minhash, op7_mixing, op8_toxicity, op9_quality, op10_substring
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_pack_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing.pack(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,25 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "n_segments")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate_wand, op2_warc_revisits, op4_pack_token_ids, op5_exact_dedup_recipes, op6_minhash_tensored, op7_mix_sources, op8_toxic_segments)}
+def op9_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality.classify(read(spark, sf_dir, "documents"))
+
+
+def op10_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_substring.digests(op10_substring.remove_repeats(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate_wand, op2_warc_revisits, op3_license_scan, op4_pack_token_ids, op5_exact_dedup_recipes,
+        op6_minhash_tensored, op7_mix_sources, op8_toxic_segments, op9_quality_weak_labels, op10_substring_trees,
+    )
+}
 
-ORACLE = {"op2_warc_revisits": op2_warc.ORACLE_SQL, "op5_exact_dedup_recipes": op5_exact_dedup.ORACLE_SQL, "op7_mix_sources": op7_mixing.ORACLE_SQL}
+ORACLE = {
+    "op2_warc_revisits": op2_warc.ORACLE_SQL,
+    "op3_license_scan": op3_licenses.ORACLE_SQL,
+    "op5_exact_dedup_recipes": op5_exact_dedup.ORACLE_SQL,
+    "op7_mix_sources": op7_mixing.ORACLE_SQL,
+}
