@@ -75,7 +75,8 @@ def markers(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD)
 
 def bigrams(normal: Column) -> Column:
     w = F.split(normal, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def _unit(kind: str) -> Callable[[Column, Column], Column]:
