@@ -17,8 +17,10 @@ are no rows. Further columns are ignored by ``matches`` and kept by ``clean_rows
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,11 @@ from .words import slices, words_of
 
 THRESHOLD, OVERLAP = 0.5, 0.5
 K1, B = 1.2, 0.75
-BLOCK, MIN_WORDS, MIN_PASSAGE = 8, 5, 64
+#: Items of a block, and of the smaller ones into which blocks are cut.
+BLOCKS = (8, 2)
+MIN_WORDS, MIN_PASSAGE = 5, 64
+#: Cells of passages by blocks that are summed at once.
+CELLS = 1 << 22
 SHARD_BYTES = 16 << 20
 #: Items above this many words are cut into items of so many, each with its own threshold.
 MAX_ITEM_WORDS = 256
@@ -38,19 +44,28 @@ MAX_ITEM_WORDS = 256
 MATCH = "doc_id bigint, item_id bigint, at bigint, score double, question_overlap double, answer_overlap double"
 
 
+@dataclass
+class Blocks:
+    """Greatest impacts by block: of term t they are entries begin[t] to begin[t + 1], by rising block."""
+
+    size: int
+    begin: np.ndarray
+    blocks: np.ndarray
+    most: np.ndarray
+
+
 @dataclass
 class Index:
     """Postings of the terms (sorted hashes): of term t they are entries begin[t] to begin[t + 1] of
-    items and impacts, by rising item; block_begin, blocks and block_max are the same by block."""
+    items and impacts, by rising item. levels: their blocks, from the largest."""
 
     terms: np.ndarray
-    begin: np.ndarray
-    items: np.ndarray
-    impacts: np.ndarray
+    begin: list[int]
+    items: list[int]
+    impacts: list[float]
     most: np.ndarray
-    block_begin: np.ndarray
-    blocks: np.ndarray
-    block_max: np.ndarray
+    levels: list[Blocks]
+    block_max: list[dict[int, float]]
     ids: list[int]
     triples: list[tuple[np.ndarray, np.ndarray]]
     longest: int
@@ -99,55 +114,53 @@ def build_index(rows: list[tuple[int, np.ndarray]], df: dict[int, int], n_items:
     begin = np.cumsum([0, *map(len, lists)])
     items = np.array([k for x in lists for k, _ in x], np.int64)
     impacts = np.array([v for x in lists for _, v in x])
-    term = np.repeat(np.arange(len(lists)), np.diff(begin))
-    n_blocks = len(rows) // BLOCK + 1
-    keys, at = np.unique(term * n_blocks + items // BLOCK, return_index=True)
-    return Index(
-        terms, begin, items, impacts, np.maximum.reduceat(impacts, begin[:-1]) if len(lists) else np.empty(0),
-        np.searchsorted(keys, np.arange(len(lists) + 1) * n_blocks), keys % n_blocks, np.maximum.reduceat(impacts, at) if len(lists) else np.empty(0),
-        [i for i, _ in rows], triples, max((len(h) for _, h in rows), default=0),
-    )
+    term, levels = np.repeat(np.arange(len(lists)), np.diff(begin)), []
+    for size in BLOCKS:
+        n = len(rows) // size + 1
+        keys, at = np.unique(term * n + items // size, return_index=True)
+        levels.append(Blocks(size, np.searchsorted(keys, np.arange(len(lists) + 1) * n), keys % n, np.maximum.reduceat(impacts, at)))
+    top = levels[0]
+    block_max = [dict(zip(top.blocks[a:b].tolist(), top.most[a:b].tolist(), strict=True)) for a, b in zip(top.begin[:-1], top.begin[1:], strict=True)]
+    return Index(terms, begin.tolist(), items.tolist(), impacts.tolist(), np.maximum.reduceat(impacts, begin[:-1]), levels, block_max, [i for i, _ in rows], triples, max(len(h) for _, h in rows))
 
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """All items whose impacts over ``terms`` sum to the threshold at least, by block-max WAND."""
-    heads = [[int(index.begin[t]), int(index.begin[t + 1]), int(t)] for t in terms]
-    items, impacts, found = index.items, index.impacts, []
+    items, impacts, size = index.items, index.impacts, BLOCKS[0]
+    # item at the cursor, cursor, end, greatest impact, impacts by block
+    heads = [[items[index.begin[t]], index.begin[t], index.begin[t + 1], float(index.most[t]), index.block_max[t]] for t in terms.tolist()]
+    found, least = [], threshold - 1e-9
     while heads:
-        heads.sort(key=lambda c: items[c[0]])
+        heads.sort(key=itemgetter(0))
         total, pivot = 0.0, -1
         for k, c in enumerate(heads):
-            total += index.most[c[2]]
-            if total >= threshold - 1e-12:
+            total += c[3]
+            if total >= least:
                 pivot = k
                 break
         if pivot < 0:
             break
-        at = int(items[heads[pivot][0]])
-        while pivot + 1 < len(heads) and items[heads[pivot + 1][0]] == at:
+        at = heads[pivot][0]
+        while pivot + 1 < len(heads) and heads[pivot + 1][0] == at:
             pivot += 1
+        block = at // size
         # the block's own maxima, before any posting is scored
-        bound, block = 0.0, at // BLOCK
-        for c in heads[: pivot + 1]:
-            lo, hi = index.block_begin[c[2]], index.block_begin[c[2] + 1]
-            k = lo + np.searchsorted(index.blocks[lo:hi], block)
-            bound += index.block_max[k] if k < hi and index.blocks[k] == block else 0.0
-        if bound >= threshold - 1e-12:
-            score = 0.0
-            for c in heads[: pivot + 1]:
-                c[0] += int(np.searchsorted(items[c[0] : c[1]], at))
-                if c[0] < c[1] and items[c[0]] == at:
-                    score += impacts[c[0]]
-                    c[0] += 1
-            if score >= threshold - 1e-9:
-                found.append((at, score))
-        else:
-            upto = (block + 1) * BLOCK
+        good = sum(c[4].get(block, 0.0) for c in heads[: pivot + 1]) >= least
+        upto = at
+        if not good:
+            upto = (block + 1) * size
             if pivot + 1 < len(heads):
-                upto = min(upto, int(items[heads[pivot + 1][0]]))
-            for c in heads[: pivot + 1]:
-                c[0] += int(np.searchsorted(items[c[0] : c[1]], max(upto, at + 1)))
-        heads = [c for c in heads if c[0] < c[1]]
+                upto = max(at + 1, min(upto, heads[pivot + 1][0]))
+        score = 0.0
+        for c in heads[: pivot + 1]:
+            c[1] = bisect_left(items, upto, c[1], c[2])
+            if good and c[1] < c[2] and items[c[1]] == at:
+                score += impacts[c[1]]
+                c[1] += 1
+            c[0] = items[c[1]] if c[1] < c[2] else -1
+        if good and score >= least:
+            found.append((at, score))
+        heads = [c for c in heads if c[0] >= 0]
     return found
 
 
@@ -162,27 +175,32 @@ def passages(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def candidates(index: Index, ids: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
-    """Passages, with their distinct terms, in which some block can reach the threshold. ids: the
-    term of each word, negative if it isn't in the index."""
-    out = []
-    n_terms, n_blocks = len(index.terms), int(index.blocks.max(initial=0)) + 1
-    for lo in range(0, len(start), 4096):
-        a, b = start[lo : lo + 4096], end[lo : lo + 4096]
+    """Passages, with their distinct terms, in which some block of each level can reach the
+    threshold. ids: the term of each word, negative if it isn't in the index."""
+    out, n_terms, least = [], len(index.terms), threshold - 1e-9
+    step = max(16, min(4096, CELLS // (len(index.ids) // BLOCKS[-1] + 1)))
+    for lo in range(0, len(start), step):
+        a, b = start[lo : lo + step], end[lo : lo + step]
         size = b - a
         row = np.repeat(np.arange(len(a)), size)
         word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - a, size)
         term = ids[word]
         keys = np.unique((row * n_terms + term)[term >= 0])
         row, term = keys // n_terms, keys % n_terms
-        sums = np.bincount(row, index.most[term], len(a))
-        left = sums[row] >= threshold - 1e-12
-        row, term = row[left], term[left]
-        if not len(row):
-            continue
-        n = index.block_begin[term + 1] - index.block_begin[term]
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - index.block_begin[term], n)
-        cell, at = np.unique(np.repeat(row, n) * n_blocks + index.blocks[entry], return_inverse=True)
-        good = np.unique(cell[np.bincount(at, index.block_max[entry]) >= threshold - 1e-12] // n_blocks)
+        left = np.bincount(row, index.most[term], len(a))[row] >= least
+        row, term, above = row[left], term[left], None
+        for level in index.levels:
+            n_blocks = len(index.ids) // level.size + 1
+            n = level.begin[term + 1] - level.begin[term]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - level.begin[term], n)
+            cell = np.repeat(row, n) * n_blocks + level.blocks[entry]
+            sums = np.bincount(cell, level.most[entry], len(a) * n_blocks)
+            if above is not None:  # only within blocks of the level above that are left
+                sums[~np.repeat(above, above_size // level.size, axis=1)[:, :n_blocks].reshape(-1)] = 0
+            above, above_size = sums.reshape(len(a), n_blocks) >= least, level.size
+            left = above.any(axis=1)[row]
+            row, term = row[left], term[left]
+        good = np.unique(row)
         bounds = np.searchsorted(row, [good, good + 1])
         out += [(lo + int(p), term[x:y]) for p, x, y in zip(good, bounds[0], bounds[1], strict=True)]
     return out
