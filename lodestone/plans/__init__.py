@@ -1,6 +1,6 @@
 """Registered queries; importing a module registers its own."""
 
-from . import retrieve, store, texts  # noqa: F401
+from . import aggregates, retrieve, store, texts  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
