@@ -42,6 +42,8 @@ GROUP_ROWS = 1000
 FILTER_BITS, KEY_BITS = 29, 16
 CODE = 5
 CHUNK_ROWS = 40_000
+#: Nodes under lengthened prefixes that are looked up in memory.
+NODES = 2_000_000
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,43 +105,102 @@ def bloom(shared: DataFrame, bits: int) -> np.ndarray:
 SUFFIX = "anchor bigint, doc_id bigint, start int, words binary"
 
 
-def suffixes(docs: DataFrame, on: np.ndarray, hot: np.ndarray, rounds: int, turn: int, lengthened: bool) -> DataFrame:
-    """Suffixes at anchors in the filter: the first window's word and the words of all windows.
+class Chosen:
+    """What the filter and the list of long prefixes keep of a slice's anchors."""
+
+    def __init__(self, shared, words: Words, rounds: int, turn: int, hot: bool) -> None:
+        on, long = shared.value
+        text, where, first, last = anchors(words)
+        key = words.grams(ANCHOR)[where]
+        slot = key & np.uint64(len(on) * 8 - 1)
+        held = (on[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        key = key.view(np.int64)
+        if rounds > 1:
+            held &= np.mod(key, rounds) == turn
+        held &= np.isin(key, long) == hot
+        self.key, self.text, self.first, self.last = key[held], text[held], first[held], last[held]
+
+    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, text and first word of each window that the anchors stand for."""
+        n = self.last - self.first + 1
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first, n)
+        return words.grams(WINDOW)[at].view(np.int64), np.repeat(self.text, n), at
 
-    lengthened: instead those of the hot anchors, one row for each window, with the hash of the
-    window as their prefix and no words.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((on, np.sort(hot)))
+
+def suffixes(docs: DataFrame, shared, rounds: int, turn: int) -> DataFrame:
+    """Suffixes at anchors in the filter: the first window's word and the words of all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on, hot = shared.value
-        mask = np.uint64(len(on) * 8 - 1)
         for batch in slices(batches):
             words = words_of(batch.column("text"))
-            text, where, first, last = anchors(words)
-            key = words.grams(ANCHOR)[where]
-            slot = key & mask
-            held = (on[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            if rounds > 1:
-                held &= np.mod(key.view(np.int64), rounds) == turn
-            is_hot = np.isin(key.view(np.int64), hot)
-            held &= is_hot if lengthened else ~is_hot
-            key, text, first, last = key[held].view(np.int64), text[held], first[held], last[held]
-            if lengthened:
-                n = last - first + 1
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
-                key, text, first, last = words.grams(WINDOW)[at].view(np.int64), np.repeat(text, n), at, at - WINDOW
-            size = last - first + WINDOW
-            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+            x = Chosen(shared, words, rounds, turn, False)
+            size = x.last - x.first + WINDOW
+            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - x.first, size)
             codes = np.ascontiguousarray(words.hashes.view(np.uint8).reshape(-1, 8)[:, :CODE])[index].reshape(-1)
             ends = np.concatenate([[0], np.cumsum(size) * CODE]).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
-            start = pa.array((first - words.first[text]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(pa.array(text)), start, column], names=["anchor", "doc_id", "start", "words"])
+            column = pa.Array.from_buffers(pa.binary(), len(x.key), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
+            start = pa.array((x.first - words.first[x.text]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x.key), batch.column("doc_id").take(pa.array(x.text)), start, column], names=["anchor", "doc_id", "start", "words"])
 
     return docs.mapInArrow(run, SUFFIX)
 
 
+def long_nodes(docs: DataFrame, shared, rounds: int, turn: int) -> DataFrame:
+    """node, least: the windows under lengthened prefixes that several documents have, with the
+    smallest doc_id; summed in each slice before rows leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = words_of(batch.column("text"))
+            node, text, _ = Chosen(shared, words, rounds, turn, True).windows(words)
+            doc = batch.column("doc_id").to_numpy()[text]
+            order = np.lexsort((doc, node))
+            node, doc = node[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+            ends = np.append(new[1:], len(node)) - 1 if len(node) else new
+            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(doc[new]), pa.array(doc[ends])], names=["node", "least", "most"])
+
+    found = docs.mapInArrow(run, "node bigint, least bigint, most bigint")
+    return found.groupBy("node").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("node", "least")
+
+
+def covered_by_nodes(docs: DataFrame, shared, rounds: int, turn: int, nodes: DataFrame) -> DataFrame:
+    """doc_id, starts: the covered windows under lengthened prefixes, one row for a document.
+
+    Up to NODES nodes are looked up where the documents are read; more are joined by window.
+    """
+    spark = docs.sparkSession
+    if nodes.count() > NODES:
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                words = words_of(batch.column("text"))
+                node, text, at = Chosen(shared, words, rounds, turn, True).windows(words)
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("doc_id").take(pa.array(text)), pa.array((at - words.first[text]).astype(np.int32))], names=["node", "doc_id", "start"])
+
+        rows = docs.mapInArrow(listed, "node bigint, doc_id bigint, start int")
+        return join_spooled(rows, nodes, "node", "inner").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    table = nodes.toArrow()  # NODES rows at most
+    node, least = (np.asarray(table.column(c)) for c in ("node", "least"))
+    order = np.argsort(node)
+    known = spark.sparkContext.broadcast((node[order], least[order]))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, least = known.value
+        for batch in slices(batches):
+            words = words_of(batch.column("text"))
+            node, text, at = Chosen(shared, words, rounds, turn, True).windows(words)
+            k = np.minimum(np.searchsorted(nodes, node), max(0, len(nodes) - 1))
+            doc = batch.column("doc_id").to_numpy()
+            hit = (nodes[k] == node) & (doc[text] > least[k]) if len(nodes) else np.zeros(len(node), bool)
+            text, start = text[hit], (at[hit] - words.first[text[hit]]).astype(np.int32)
+            new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.empty(0, np.int64)
+            starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(text)).astype(np.int32)), pa.array(start))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[text[new]]), starts], names=["doc_id", "starts"])
+
+    return docs.mapInArrow(looked_up, "doc_id bigint, starts array<int>")
+
+
 def covered_by_tree(doc: np.ndarray, column: pa.Array) -> np.ndarray:
     """Of each suffix a bit mask of its windows that also start in a smaller document."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -186,24 +247,19 @@ def covered_in_groups(rows: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id bigint, start int, mask int")
 
 
-def covered_by_node(rows: DataFrame) -> DataFrame:
-    """The same for lengthened prefixes, of which each is a node."""
-    rows = rows.select(F.col("anchor").alias("node"), "doc_id", "start")
-    nodes = spool(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node", "least"), "op10-nodes")
-    return join_spooled(rows, nodes, "node", "inner").where("doc_id > least").select("doc_id", "start", F.lit(1).alias("mask"))
-
-
 def ranges(covered: DataFrame) -> DataFrame:
     """doc_id, cuts: removed ranges of words as start, end, start, end, ..."""
-    lists = covered.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marks = F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "mask"))).alias("marks")
+    lists = covered.groupBy("doc_id").agg(marks, F.flatten(F.collect_list("starts")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, out = batch.column("marks"), []
+            marks, starts, out = batch.column("marks"), batch.column("starts"), []
             for i in range(len(marks)):
                 part = marks[i].values
                 start, mask = (part.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-                at = np.unique(np.concatenate([start[mask >> k & 1 == 1] + k for k in range(WINDOW)]))
+                whole = starts[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.unique(np.concatenate([whole, *[start[mask >> k & 1 == 1] + k for k in range(WINDOW)]]))
                 gap = np.flatnonzero(np.diff(at) > WINDOW)
                 begin, end = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + WINDOW
                 out.append(np.stack([begin, end], 1).reshape(-1).astype(np.int32))
@@ -244,13 +300,15 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, filter_bits: i
     hot = np.array([r.anchor for r in hot], np.int64)
     rounds = max(1, -(-n * KEY_BITS // (1 << filter_bits)))
     bits = min(filter_bits, max(16, int(n * KEY_BITS / rounds).bit_length()))
-    found = None
+    spark, found = docs.sparkSession, None
     for turn in range(rounds):
         mine = shared.where(F.pmod("anchor", F.lit(rounds)) == turn) if rounds > 1 else shared
-        on = bloom(mine, bits)
-        parts = [covered_in_groups(suffixes(named, on, hot, rounds, turn, False))]
+        chosen = spark.sparkContext.broadcast((bloom(mine, bits), np.sort(hot)))
+        parts = [covered_in_groups(suffixes(named, chosen, rounds, turn)).withColumn("starts", F.lit(None).cast("array<int>"))]
         if len(hot):
-            parts.append(covered_by_node(suffixes(named, on, hot, rounds, turn, True)))
+            nodes = spool(long_nodes(named, chosen, rounds, turn), "op10-nodes")
+            long = covered_by_nodes(named, chosen, rounds, turn, nodes)
+            parts.append(long.select("doc_id", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("mask"), "starts"))
         for part in parts:
             found = part if found is None else found.unionByName(part)
     cuts = spool(ranges(spool(found, "op10-covered")), "op10-cuts")
