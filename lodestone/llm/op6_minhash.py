@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
         found = spool(confirmed(more, docs, size, percent), "op6-links")
         labels = spool(components(links.unionByName(found)), "op6-labels")
     n_labels = labels.count()
-    out = join_spooled(sketch.select("doc_id", "n_shingles", "set_id"), shared_sets, "set_id").withColumn("node", F.coalesce("rep", "doc_id"))
+    out = join_spooled(sketch.select("doc_id", "n_shingles", "set_id"), shared_sets, "set_id").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = join_spooled(out, labels, "node", "left", n_labels)
     found = F.coalesce("component", "node")
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
