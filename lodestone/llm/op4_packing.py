@@ -7,10 +7,11 @@
    room that holds it; a segment tree over room sizes finds that row in logarithmic time.
 3. A packed row is its token ids (little-endian, padded), the cumulative segment lengths as
    attention kernels take them, the offsets at which positions start again from 0, and for each
-   segment the document, the number of its piece and the piece's first token in the document.
+   segment the document, its input row's own number, the number of its piece and the piece's first
+   token in the document.
 
 Null and empty texts are encoded as the end token alone. Null doc_ids are kept as null. Repeated rows
-are packed each. Further columns are ignored; no documents give no rows.
+are packed each, under row numbers of their own. Further columns are ignored; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 PACKED = pa.schema([
     ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("token_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())),
-    ("doc_ids", pa.list_(pa.int64())), ("piece_nos", pa.list_(pa.int32())), ("piece_starts", pa.list_(pa.int64())),
+    ("doc_ids", pa.list_(pa.int64())), ("row_nos", pa.list_(pa.int64())), ("piece_nos", pa.list_(pa.int32())), ("piece_starts", pa.list_(pa.int64())),
 ])
-SCHEMA = "pack_id bigint, n_tokens int, token_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, piece_nos array<int>, piece_starts array<bigint>"
+SCHEMA = "pack_id bigint, n_tokens int, token_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, row_nos array<bigint>, piece_nos array<int>, piece_starts array<bigint>"
 
 _encodings: dict = {}
 
@@ -104,7 +105,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
     """Packed rows, as SCHEMA has them."""
     kind = np.dtype("<u2" if end_token < 1 << 16 else "<u4")
 
-    def packed(group: list[tuple[int | None, np.ndarray]], at: int) -> pa.RecordBatch:
+    def packed(group: list[tuple[int | None, np.ndarray]], at: int, first: int) -> pa.RecordBatch:
         pieces = [(k, n, a) for k, (_, ids) in enumerate(group) for n, a in enumerate(range(0, len(ids), row_tokens))]
         lengths = np.array([min(row_tokens, len(group[k][1]) - a) for k, _, a in pieces])
         cols: list[list] = [[] for _ in PACKED]
@@ -113,13 +114,14 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
             for i, x in zip(held, ends, strict=False):
                 k, _, a = pieces[i]
                 line[x : x + lengths[i]] = group[k][1][a : a + lengths[i]]
-            values = (at + row, int(ends[-1]), line.tobytes(), ends, ends[:-1], [group[pieces[i][0]][0] for i in held], [pieces[i][1] for i in held], [pieces[i][2] for i in held])
+            values = (at + row, int(ends[-1]), line.tobytes(), ends, ends[:-1], [group[pieces[i][0]][0] for i in held], [first + pieces[i][0] for i in held], [pieces[i][1] for i in held], [pieces[i][2] for i in held])
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PACKED, strict=True)], schema=PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, at = encoding(vocabulary), TaskContext.get().partitionId() << 40
+        code, first = encoding(vocabulary), TaskContext.get().partitionId() << 40
+        at = first
         group: list[tuple[int | None, np.ndarray]] = []
         held = 0
         for batch in slices(batches):
@@ -128,16 +130,16 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
                 group.append((doc_id, ids))
                 held += len(ids)
                 if held >= group_tokens:
-                    yield (out := packed(group, at))
-                    group, held, at = [], 0, at + out.num_rows
+                    yield (out := packed(group, at, first))
+                    group, held, at, first = [], 0, at + out.num_rows, first + len(group)
         if group:
-            yield packed(group, at)
+            yield packed(group, at, first)
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, SCHEMA)
 
 
 def unpack(rows: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABULARY, end_token: int = END_TOKEN) -> DataFrame:
-    """doc_id, text of every packed document: the inverse of ``pack``, for distinct doc_ids."""
+    """doc_id, text of every packed row: the inverse of ``pack``."""
     kind = np.dtype("<u2" if end_token < 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +148,9 @@ def unpack(rows: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCA
             for r in batch.to_pylist():
                 for k, doc in enumerate(r["doc_ids"]):
                     a, b = r["cu_seqlens"][k : k + 2]
-                    out.append((doc, r["piece_nos"][k], r["token_ids"][a * kind.itemsize : b * kind.itemsize]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "piece", "ids"])
+                    out.append((doc, r["row_nos"][k], r["piece_nos"][k], r["token_ids"][a * kind.itemsize : b * kind.itemsize]))
+            kinds = (("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("ids", pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoding(vocabulary)
@@ -155,5 +158,5 @@ def unpack(rows: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCA
             texts = [code.decode(np.frombuffer(b"".join(x["ids"] for x in parts), kind)[:-1].tolist()) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    parts = rows.mapInArrow(run, "doc_id bigint, piece int, ids binary").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
+    parts = rows.mapInArrow(run, "doc_id bigint, row bigint, piece int, ids binary").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
     return parts.mapInArrow(joined, "doc_id bigint, text string")
