@@ -74,7 +74,7 @@ def votes(column: pa.Array, words: Words) -> np.ndarray:
         _vote(no, (n > 20) & (repeats > 0.15)),
         _vote(no, (n > 40) & (variety < 0.3)),
         _vote((length > 3) & (length < 9) & (symbols < 0.02) & (repeats < 0.03), some & ((length < 2) | (length > 20))),
-        _vote(prose & (bars == 0) & (symbols < 0.02), (n > 40) & (marks < 0.004)),
+        _vote(prose & (bars == 0) & (symbols < 0.02) & (caps < 0.4), (n > 40) & (marks < 0.004)),
         _vote((letters_share > 0.75) & (caps < 0.12) & (bars == 0), some & (letters_share < 0.6)),
     ], axis=1)
 
