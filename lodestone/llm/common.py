@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its counted rows are at most this many.
 BROADCAST_ROWS = 400_000
+#: Bytes of an Arrow batch between Spark and Python, so that long texts don't fill a worker's memory.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +54,9 @@ def join_spooled(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
-    """The named columns of ``df`` cast to the given types, whatever else it holds."""
+    """The named columns of ``df`` cast to the given types, whatever else it holds. Batches of such
+    rows are bounded by bytes from here on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in kinds.items()])
 
 

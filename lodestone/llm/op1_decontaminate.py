@@ -36,7 +36,7 @@ K1, B = 1.2, 0.75
 BLOCKS = (8, 2)
 MIN_WORDS, MIN_PASSAGE = 5, 64
 #: Cells of passages by blocks that are summed at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 SHARD_BYTES = 16 << 20
 #: Items above this many words are cut into items of so many, each with its own threshold.
 MAX_ITEM_WORDS = 256

@@ -80,7 +80,7 @@ def counts(docs: DataFrame, train: DataFrame) -> DataFrame:
             for bucket in levels(words):
                 pairs = np.unique(row * size + bucket)
                 of, bucket = kind[pairs // size], pairs % size
-                sums[2] += np.bincount(bucket, minlength=size).astype(np.int32)
+                np.add.at(sums[2], bucket, 1)
                 for k in (0, 1):
                     if len(mine := bucket[of == k]):
                         np.add.at(sums[k], mine, 1)
