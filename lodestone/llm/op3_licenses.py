@@ -5,8 +5,9 @@
 2. Dice of at least THRESHOLD needs |unit| between t/(2-t) and (2-t)/t times |template|, in distinct
    bigrams. Templates are listed by the sizes they allow, and units join them by size alone.
 3. It also needs ceil(t/(2-t) * |template|) bigrams in common, so that of any |template| less that
-   plus one bigrams a unit has one at least. Of each template those with its longest words are
-   taken; a text or unit without any of these words is dropped before it is split up.
+   plus one bigrams a unit has one at least. Those with a few long words are taken; a text
+   or unit without any of these words is dropped before it is split up. Words of few letters
+   aren't used where a unit without the longer ones would have to hold all other bigrams.
 4. Dice of the pairs left; each unit keeps its best template, ties going to the first by name.
 
 Null and empty texts have no units. Units that are equal because a text is one line or paragraph
@@ -18,9 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import pick
 
 THRESHOLD = 0.8
+#: Letters of the words that a unit is told by: as many if these suffice, else fewer.
+LETTERS = (6, 4)
 
 #: Short notices and opening paragraphs of public licences.
 TEMPLATES = {
@@ -57,20 +61,52 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-def markers(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
-    """Words of which every unit that can match some template holds one."""
-    out: set[str] = set()
-    for text in templates.values():
-        grams = template_bigrams(text)
-        need = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9) + 1
-        left = set(grams)
-        longest = sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w))
-        for w in longest:
-            if len(grams) - len(left) >= need:
+def markers(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[str], list[list[str]]]:
+    """Words and lists of bigrams: a unit that can match some template holds one of the words, or
+    all bigrams of one of the lists.
+
+    As many bigrams of a template may be missing as its threshold allows, so words are taken until
+    they touch one more than that, those first that do most for all templates. Where words of few
+    letters would be needed for the last one, a unit without the others holds all the rest.
+    """
+    left = {name: g for name, text in templates.items() if (g := set(template_bigrams(text)))}
+    most = {name: math.floor(2 * len(g) * (1 - threshold) / (2 - threshold) + 1e-9) for name, g in left.items()}
+    lacks = {name: n + 1 for name, n in most.items()}
+    out: list[str] = []
+    rest: list[list[str]] = []
+    for letters in (*LETTERS, 1):
+        if letters == 1:
+            rest = [sorted(left[n]) for n, k in lacks.items() if k == 1]
+            lacks = {n: k for n, k in lacks.items() if k > 1}
+        while True:
+            gains: Counter[str] = Counter()
+            for n, k in lacks.items():
+                touches = Counter(w for g in left[n] for w in set(g.split()) if len(w) >= letters)
+                gains.update({w: min(k, c) for w, c in touches.items()})
+            if not gains:
                 break
-            out.add(w)
-            left = {g for g in left if w not in g.split()}
-    return sorted(w for w in out if not any(o != w and o in w for o in out))
+            out.append(max(gains, key=lambda w: (gains[w], len(w), w)))
+            for n in list(lacks):
+                kept = {g for g in left[n] if out[-1] not in g.split()}
+                lacks[n] -= len(left[n]) - len(kept)
+                left[n] = kept
+            lacks = {n: k for n, k in lacks.items() if k > 0}
+    return sorted(w for w in out if not any(o != w and o in w for o in out)), rest
+
+
+def marked(text: Column, words: list[str], rest: list[list[str]]) -> Column:
+    """Whether a text holds any of ``words``, or all bigrams of a list; words first, as the cheaper."""
+
+    def within(low: Column) -> Column:
+        tests = [F.contains(low, F.lit(w)) for w in words]
+        for grams in rest:
+            parts = sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w))
+            pairs = [F.regexp_like(low, F.lit(r"[^\p{L}\p{N}]+".join(g.split()))) for g in grams]
+            tests.append(reduce(and_, [*[F.contains(low, F.lit(w)) for w in parts], *pairs]))
+        return reduce(or_, tests)
+
+    # a lambda's variable holds the lower-cased text for all tests
+    return F.exists(F.array(F.lower(text)), within)
 
 
 def bigrams(normal: Column) -> Column:
@@ -83,18 +119,13 @@ def _unit(kind: str) -> Callable[[Column, Column], Column]:
     return lambda text, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("unit"), text.alias("text"))
 
 
-def units(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, kind, unit, text of every unit with one of ``words``."""
-
-    def marked(text: Column) -> Column:
-        # a lambda's variable holds the lower-cased text for all words
-        return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in words]))
-
-    texts = pick(docs, doc_id="bigint", text="string").where(marked(F.col("text")))
+def units(docs: DataFrame, words: list[str], rest: list[list[str]]) -> DataFrame:
+    """doc_id, kind, unit, text of every unit that is ``marked``."""
+    texts = pick(docs, doc_id="bigint", text="string").where(marked(F.col("text"), words, rest))
     kinds = [("line", F.split("text", r"\r?\n")), ("paragraph", F.split("text", r"\r?\n[ \t]*\r?\n")), ("whole", F.array("text"))]
     parts = F.flatten(F.array(*[F.transform(a, _unit(k)) for k, a in kinds]))
     found = texts.select("doc_id", F.explode(parts).alias("u")).select("doc_id", "u.kind", "u.unit", "u.text")
-    return found.where(marked(F.col("text")))
+    return found.where(marked(F.col("text"), words, rest))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,7 +134,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     rows = [(n, m, g) for n, text in sorted(templates.items()) if (g := template_bigrams(text)) for m in range(math.ceil(threshold / (2 - threshold) * len(g) - 1e-9), math.floor((2 - threshold) / threshold * len(g) + 1e-9) + 1)]
     listed = F.broadcast(spark.createDataFrame(rows, "license string, size int, template array<string>"))  # fixed templates
     normal = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    found = units(docs, markers(templates, threshold)).select("doc_id", "kind", "unit", normal.alias("normal")).where(F.contains("normal", F.lit(" ")))
+    found = units(docs, *markers(templates, threshold)).select("doc_id", "kind", "unit", normal.alias("normal")).where(F.contains("normal", F.lit(" ")))
     found = found.select("doc_id", "kind", "unit", bigrams(F.col("normal")).alias("grams")).withColumn("size", F.size("grams"))
     common = F.size(F.array_intersect("grams", "template"))
     found = found.join(listed, "size").withColumn("dice", 2.0 * common / (F.col("size") + F.size("template"))).where(F.col("dice") >= threshold)
