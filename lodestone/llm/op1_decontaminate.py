@@ -8,7 +8,8 @@
    each passage is a query. Sums of greatest impacts by word, then by block, drop passages that
    can't reach the threshold; of the rest, WAND with block maxima retrieves all items above it.
 3. A retrieved item counts when the passage also holds enough of the word triples of its question
-   (the first two thirds of its words) and of its answer (the rest).
+   (the first two thirds of its words) and of its answer (the rest). An answer of fewer than three
+   words (in items of up to 8) is looked for as one run of its own length.
 
 Words are lower-cased (A-Z). Null and empty documents or items match nothing; items of fewer than
 MIN_WORDS words aren't indexed. Repeated rows are answered each. Without items or documents there
@@ -67,7 +68,8 @@ class Index:
     levels: list[Blocks]
     block_max: list[dict[int, float]]
     ids: list[int]
-    triples: list[tuple[np.ndarray, np.ndarray]]
+    #: of question and answer: words of a run, and hashes of its runs
+    triples: list[tuple[tuple[int, np.ndarray], ...]]
     longest: int
 
 
@@ -89,8 +91,9 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return pick(benchmark, item_id="bigint", text="string").mapInArrow(run, "item_id bigint, part int, words array<bigint>")
 
 
-def triples_of(h: np.ndarray) -> np.ndarray:
-    n = min(3, len(h))
+def triples_of(h: np.ndarray, n: int = 3) -> np.ndarray:
+    """Hashes of the runs of n words, or of all words where these are fewer."""
+    n = min(n, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         out = out * np.uint64(0xD1342543DE82EF95) + h[k : k + len(out)]
@@ -108,7 +111,7 @@ def build_index(rows: list[tuple[int, np.ndarray]], df: dict[int, int], n_items:
         for t, x in zip(terms.tolist(), (impact / impact.sum()).tolist(), strict=True):
             postings.setdefault(t, []).append((k, x))
         cut = -(-2 * len(h) // 3)
-        triples.append((np.unique(triples_of(h[:cut])), np.unique(triples_of(h[cut:]))))
+        triples.append(tuple((min(3, len(x)), np.unique(triples_of(x))) for x in (h[:cut], h[cut:])))
     terms = np.array(sorted(postings), np.uint64)
     lists = [postings[t] for t in terms.tolist()]
     begin = np.cumsum([0, *map(len, lists)])
@@ -239,11 +242,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                 text, start, end = passages(words.first, max(MIN_PASSAGE, 2 * index.longest))
                 best: dict[tuple[int, int], tuple] = {}
                 for p, terms in candidates(index, ids, start, end, threshold):
-                    held = None
+                    held: dict[int, np.ndarray] = {}  # runs of the passage by their words
                     for item, score in wand(index, terms, threshold):
-                        if held is None:
-                            held = np.unique(triples_of(words.hashes[start[p] : end[p]]))
-                        q, a = (float(np.isin(x, held).mean()) for x in index.triples[item])
+                        for n, _ in index.triples[item]:
+                            if n not in held:
+                                held[n] = np.unique(triples_of(words.hashes[start[p] : end[p]], n))
+                        q, a = (float(np.isin(x, held[n]).mean()) for n, x in index.triples[item])
                         key = (int(text[p]), index.ids[item])
                         if q >= overlap and a >= overlap and (key not in best or score > best[key][1] + 1e-9):
                             best[key] = (int(start[p] - words.first[text[p]]), score, q, a)

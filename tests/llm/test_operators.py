@@ -101,6 +101,17 @@ def test_wand_finds_what_brute_force_finds(spark, texts):
         assert len(a & b) / len(a) >= 0.4
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9])
+def test_short_items_are_found(spark, n):
+    item = [f"w{k}" for k in range(n)]
+    cut = -(-2 * n // 3)
+    other = [f"o{k}" for k in range(40)]
+    held = [[*other, *item, *other], item, [*other, *item[:cut]], [*item[:cut], *other, *item[cut:]], [*item[:cut], *reversed(item[cut:])]]
+    got = rows(op1.matches(documents(spark, [" ".join(t) for t in held]), items(spark, [" ".join(item), "another of the items here"])), "doc_id", "item_id", "question_overlap", "answer_overlap")
+    # a question without its answer is none; the order of an answer's words counts
+    assert got == [(d, 0, 1.0, 1.0) for d in ((0, 1, 3, 4) if n == 5 else (0, 1, 3))]
+
+
 def test_wand_equals_full_scores():
     rng = np.random.default_rng(5)
     lists = [(k, rng.integers(1, 60, rng.integers(6, 30)).astype(np.uint64)) for k in range(70)]
