@@ -9,7 +9,9 @@
    can't reach the threshold; of the rest, WAND with block maxima retrieves all items above it.
 3. A retrieved item counts when the passage also holds enough of the word triples of its question
    (the first two thirds of its words) and of its answer (the rest). An answer of fewer than three
-   words (in items of up to 8) is looked for as one run of its own length.
+   words (in items of up to 8) is looked for as one run of its own length. Items of more than
+   MAX_ITEM_WORDS are only retrieved by their parts: question and answer are the whole item's, and
+   are looked for in the passage with as many words before and after it as the item is longer.
 
 Words are lower-cased (A-Z). Null and empty documents or items match nothing; items of fewer than
 MIN_WORDS words aren't indexed. Repeated rows are answered each. Without items or documents there
@@ -39,7 +41,7 @@ MIN_WORDS, MIN_PASSAGE = 5, 64
 #: Cells of passages by blocks that are summed at once.
 CELLS = 1 << 20
 SHARD_BYTES = 16 << 20
-#: Items above this many words are cut into items of so many, each with its own threshold.
+#: Items above this many words are retrieved by parts of so many, each with its own threshold.
 MAX_ITEM_WORDS = 256
 
 MATCH = "doc_id bigint, item_id bigint, at bigint, score double, question_overlap double, answer_overlap double"
@@ -67,28 +69,28 @@ class Index:
     most: np.ndarray
     levels: list[Blocks]
     block_max: list[dict[int, float]]
+    #: of every part of an item: the item's id, and its words beyond the longest part
     ids: list[int]
+    beyond: list[int]
     #: of question and answer: words of a run, and hashes of its runs
     triples: list[tuple[tuple[int, np.ndarray], ...]]
     longest: int
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, part, words (hashes in order) of every item or part of a long item."""
+    """item_id, words (hashes in order) of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, ids, parts, lists = words_of(batch.column("text"), lower=True), [], [], []
+            words, ids, lists = words_of(batch.column("text"), lower=True), [], []
             for i, item in enumerate(batch.column("item_id").to_pylist()):
                 h = words.hashes[words.first[i] : words.first[i + 1]]
-                for k in range(0, len(h), MAX_ITEM_WORDS):
-                    if len(part := h[k : k + MAX_ITEM_WORDS]) >= MIN_WORDS and item is not None:
-                        ids.append(item)
-                        parts.append(k // MAX_ITEM_WORDS)
-                        lists.append(part.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["item_id", "part", "words"])
+                if len(h) >= MIN_WORDS and item is not None:
+                    ids.append(item)
+                    lists.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["item_id", "words"])
 
-    return pick(benchmark, item_id="bigint", text="string").mapInArrow(run, "item_id bigint, part int, words array<bigint>")
+    return pick(benchmark, item_id="bigint", text="string").mapInArrow(run, "item_id bigint, words array<bigint>")
 
 
 def triples_of(h: np.ndarray, n: int = 3) -> np.ndarray:
@@ -100,18 +102,27 @@ def triples_of(h: np.ndarray, n: int = 3) -> np.ndarray:
     return out
 
 
-def build_index(rows: list[tuple[int, np.ndarray]], df: dict[int, int], n_items: int, mean: float) -> Index:
-    """rows: item id and word hashes; df: in how many of all items a word is."""
+def build_index(rows: list[tuple[int, np.ndarray]], df: dict[int, int], n_items: int, mean: float, longest: int = 0) -> Index:
+    """rows: item id and word hashes; df: in how many of all items a word is; longest: words of the
+    longest part in any index."""
     postings: dict[int, list[tuple[int, float]]] = {}
-    triples = []
-    for k, (_, h) in enumerate(rows):
-        terms, tf = np.unique(h, return_counts=True)
-        idf = np.array([np.log(1 + (n_items - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in terms])
-        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
-        for t, x in zip(terms.tolist(), (impact / impact.sum()).tolist(), strict=True):
-            postings.setdefault(t, []).append((k, x))
+    ids, beyond, triples = [], [], []
+    for item, h in rows:
         cut = -(-2 * len(h) // 3)
-        triples.append(tuple((min(3, len(x)), np.unique(triples_of(x))) for x in (h[:cut], h[cut:])))
+        whole = tuple((min(3, len(x)), np.unique(triples_of(x))) for x in (h[:cut], h[cut:]))
+        for k in range(0, len(h), MAX_ITEM_WORDS):
+            part = h[k : k + MAX_ITEM_WORDS]
+            if len(part) < MIN_WORDS:
+                continue
+            longest = max(longest, len(part))
+            terms, tf = np.unique(part, return_counts=True)
+            idf = np.array([np.log(1 + (n_items - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in terms])
+            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / mean))
+            for t, x in zip(terms.tolist(), (impact / impact.sum()).tolist(), strict=True):
+                postings.setdefault(t, []).append((len(ids), x))
+            ids.append(item)
+            beyond.append(max(0, len(h) - MAX_ITEM_WORDS))
+            triples.append(whole)
     terms = np.array(sorted(postings), np.uint64)
     lists = [postings[t] for t in terms.tolist()]
     begin = np.cumsum([0, *map(len, lists)])
@@ -119,12 +130,12 @@ def build_index(rows: list[tuple[int, np.ndarray]], df: dict[int, int], n_items:
     impacts = np.array([v for x in lists for _, v in x])
     term, levels = np.repeat(np.arange(len(lists)), np.diff(begin)), []
     for size in BLOCKS:
-        n = len(rows) // size + 1
+        n = len(ids) // size + 1
         keys, at = np.unique(term * n + items // size, return_index=True)
         levels.append(Blocks(size, np.searchsorted(keys, np.arange(len(lists) + 1) * n), keys % n, np.maximum.reduceat(impacts, at)))
     top = levels[0]
     block_max = [dict(zip(top.blocks[a:b].tolist(), top.most[a:b].tolist(), strict=True)) for a, b in zip(top.begin[:-1], top.begin[1:], strict=True)]
-    return Index(terms, begin.tolist(), items.tolist(), impacts.tolist(), np.maximum.reduceat(impacts, begin[:-1]), levels, block_max, [i for i, _ in rows], triples, max(len(h) for _, h in rows))
+    return Index(terms, begin.tolist(), items.tolist(), impacts.tolist(), np.maximum.reduceat(impacts, begin[:-1]), levels, block_max, ids, beyond, triples, longest)
 
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -211,17 +222,18 @@ def candidates(index: Index, ids: np.ndarray, start: np.ndarray, end: np.ndarray
 
 def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
     items = spool(items_of(benchmark), "op1-items")
-    n, total, mean = items.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0)), F.avg(F.size("words"))).first()
+    size = F.size("words")
+    n, total, mean, longest = items.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.avg(size), F.coalesce(F.max(size), F.lit(0))).first()
     shards = -(-8 * total // shard_bytes)
     df = items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     out = []
     for k in range(shards):  # each of bounded size
-        mine = items.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(shards)) == k)
-        rows = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in mine.orderBy("item_id", "part").collect()]
+        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)  # all parts of an item are in one
+        rows = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in mine.orderBy("item_id", "words").collect()]
         used = mine.select(F.explode("words").alias("term")).distinct()
         counts = {int(np.int64(r.term).view(np.uint64)): r.df for r in df.join(used, "term", "left_semi").collect()}
         if rows:
-            out.append(build_index(rows, counts, n, mean))
+            out.append(build_index(rows, counts, n, mean, min(longest, MAX_ITEM_WORDS)))
     return out
 
 
@@ -242,12 +254,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                 text, start, end = passages(words.first, max(MIN_PASSAGE, 2 * index.longest))
                 best: dict[tuple[int, int], tuple] = {}
                 for p, terms in candidates(index, ids, start, end, threshold):
-                    held: dict[int, np.ndarray] = {}  # runs of the passage by their words
+                    held: dict[tuple[int, int], np.ndarray] = {}  # runs in reach, by words around the passage and of a run
                     for item, score in wand(index, terms, threshold):
-                        for n, _ in index.triples[item]:
-                            if n not in held:
-                                held[n] = np.unique(triples_of(words.hashes[start[p] : end[p]], n))
-                        q, a = (float(np.isin(x, held[n]).mean()) for n, x in index.triples[item])
+                        more, overlaps = index.beyond[item], []
+                        for n, x in index.triples[item]:
+                            if (more, n) not in held:
+                                lo, hi = max(words.first[text[p]], start[p] - more), min(words.first[text[p] + 1], end[p] + more)
+                                held[more, n] = np.unique(triples_of(words.hashes[lo:hi], n))
+                            overlaps.append(float(np.isin(x, held[more, n]).mean()))
+                        q, a = overlaps
                         key = (int(text[p]), index.ids[item])
                         if q >= overlap and a >= overlap and (key not in best or score > best[key][1] + 1e-9):
                             best[key] = (int(start[p] - words.first[text[p]]), score, q, a)

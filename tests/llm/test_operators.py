@@ -140,6 +140,21 @@ def test_shards_change_nothing(spark, texts):
     assert set(left.columns) == set(docs.columns) and left.count() == docs.count() - len({r[0] for r in rows(op1.matches(docs, bench), "doc_id")})
 
 
+def test_long_items_are_whole(spark):
+    rng = random.Random(2)
+    text = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    item, longer, around = text(400), text(900), text(300)
+    held = [item[:256], [*around, *item[:256], *around], item, [*around, *item, *around], [*around, *longer, *around], [*longer[:300], *around, *around, *around], [*longer[:560], *longer[620:]]]
+    docs = documents(spark, [" ".join(t) for t in held])
+    bench = items(spark, [" ".join(t) for t in (item, longer, *(text(30) for _ in range(40)))])
+    columns = ("doc_id", "item_id", "question_overlap", "answer_overlap")
+    got = rows(op1.matches(docs, bench), *columns)
+    # a part of an item, without its answer, is none
+    assert [r[:2] for r in got] == [(2, 0), (3, 0), (4, 1), (6, 1)] and {r[2:] for r in got[:3]} == {(1.0, 1.0)}
+    for size in (9000, 2000):  # no pair comes twice
+        assert rows(op1.matches(docs, bench, shard_bytes=size), *columns, "at") == rows(op1.matches(docs, bench), *columns, "at")
+
+
 # -- 2 --------------------------------------------------------------------------------------------------------
 
 
