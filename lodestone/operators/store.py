@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import work_path
 from ..sources.frames import live
 
 
@@ -62,3 +64,25 @@ def cached(df: DataFrame, position: str, industry: str, function: str | None, no
     found = df.where((F.col("position") == position) & (F.col("industry") == industry) & (F.col("expires_at") > now))
     found = found.where(F.col("function").isNull() | F.col("function").eqNullSafe(F.lit(function)))
     return found.orderBy(F.col("function").isNotNull().desc(), F.desc("updated_at"), F.desc("id")).limit(1)
+
+
+def closure(tree: DataFrame) -> DataFrame:
+    """id, root, depth of every row of ``tree`` (id, parent_id) that a root is above, by pointer doubling.
+
+    Each round joins rows with what their ancestor points to, so that pointers are twice as long,
+    and is written as a table; after log2(depth) rounds all are at their roots. Rows on or under a
+    cycle or a missing parent have no root and are left out.
+    """
+    spark, path = tree.sparkSession, work_path(tree.sparkSession, "closure")
+    rows = tree.select("id", F.coalesce("parent_id", "id").alias("at"), F.col("parent_id").isNotNull().cast("int").alias("depth"), F.col("parent_id").isNull().alias("done"))
+    schema, reach, n = rows.schema, 1, None
+    for k in count():
+        rows.write.parquet(f"{path}/{k}")
+        rows = spark.read.schema(schema).parquet(f"{path}/{k}")
+        n = rows.count() if n is None else n
+        # pointers longer than there are rows go round in a cycle
+        if reach > n or rows.where("not done").isEmpty():
+            return rows.where("done").select("id", F.col("at").alias("root"), "depth")
+        above = rows.select(F.col("id").alias("above"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        longer = rows.where("not done").join(above, F.col("at") == F.col("above")).select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        rows, reach = rows.where("done").unionByName(longer), 2 * reach

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import store
 from ..sources import frames as S
 from .registry import query
 
@@ -250,13 +251,7 @@ _ROOTS = "SELECT id, id - id % 5 AS root, version, is_primary FROM tree"
 @query("parent_child_closure", "WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey - 1 END AS parent_id FROM part), c AS (SELECT id, id AS root, 0 AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, c.root, c.depth + 1 FROM t JOIN c ON t.parent_id = c.id) SELECT id, root, depth FROM c")
 def parent_child_closure(spark, d):
     """Root and depth of every version."""
-    return spark.sql(
-        """WITH RECURSIVE c(id, root, depth) AS (
-             SELECT id, id, 0 FROM {t} WHERE parent_id IS NULL
-             UNION ALL SELECT t.id, c.root, c.depth + 1 FROM {t} AS t JOIN c ON t.parent_id = c.id)
-           SELECT id, root, depth FROM c""",
-        t=S.tree(spark, d),
-    )
+    return store.closure(S.tree(spark, d))
 
 
 @query("win_version_group_order", f"SELECT id, root, CAST(row_number() OVER (PARTITION BY root ORDER BY version, id) AS INTEGER) AS place, bool_or(is_primary) OVER (PARTITION BY root) AS primary_group, max(version) OVER (PARTITION BY root) AS newest FROM ({_ROOTS})", ("tree",))

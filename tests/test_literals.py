@@ -11,7 +11,8 @@ from lodestone.operators import mutate, store
 from lodestone.operators import retrieval as R
 from lodestone.operators import scoring as P
 from lodestone.operators import taxonomy as X
-from lodestone.sources import files
+from lodestone.plans import QUERIES
+from lodestone.sources import files, frames
 
 
 def one(spark, column, **values):
@@ -153,3 +154,18 @@ def test_malformed_lines(spark, tmp_path):
     path = str(tmp_path / "x.jsonl")
     assert sorted(r.a for r in files.read_jsonl(spark, path, "a int", "skip").collect()) == [1, 2]
     assert [(r.a, r._corrupt_record) for r in files.read_jsonl(spark, path, "a int", "report").collect() if r._corrupt_record] == [(None, '{"a": oops')]
+
+
+def test_closure_of_deep_and_large_trees(spark, monkeypatch):
+    def found(rows):
+        monkeypatch.setattr(frames, "tree", lambda spark, d: rows)
+        return QUERIES["parent_child_closure"](spark, "")
+
+    # a chain of 301, a root alone, a null id, a missing parent and a cycle with a row under it
+    chain = [(k, k - 1 if k else None) for k in range(301)]
+    odd = [(400, None), (None, None), (500, 499), (501, 500), (600, 602), (601, 600), (602, 601), (603, 600)]
+    got = found(spark.createDataFrame(chain + odd, "id bigint, parent_id bigint")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([*((k, 0, k) for k in range(301)), (400, 400, 0), (None, None, 0)], key=repr)
+    large = found(spark.range(1_200_000).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id - 1 END AS parent_id"))
+    assert large.count() == large.where("root = id - id % 5 and depth = id % 5").count() == 1_200_000
+    assert found(spark.createDataFrame([], "id bigint, parent_id bigint")).count() == 0
