@@ -134,19 +134,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(hits):
         return []
     upto = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[list] = []  # start, end, sum before it, sum with it
+    # start, end, sum before it, sum with it, the last segment with a smaller sum before it (or -1)
+    found: list[list] = []
     for i in hits.tolist():
         new = [i, i + 1, float(upto[i]), float(upto[i + 1])]
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= new[3]:
-                found.append(new)
-                break
+        k = len(found) - 1
+        while k >= 0 and found[k][2] >= new[2]:
+            k = found[k][4]
+        while k >= 0 and found[k][3] < new[3]:
             new = [found[k][0], new[1], found[k][2], new[3]]
+            link = found[k][4]
             del found[k:]
-    return [(a, b, r - x) for a, b, x, r in found]
+            k = link
+        found.append([*new, k])
+    return [(a, b, r - x) for a, b, x, r, _ in found]
 
 
 def word_scores(words: Words, dense: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -367,6 +368,23 @@ def test_segments_are_maximal():
         assert sorted(op8.segments(np.array(s, float))) == sorted(want) or sum(x[2] for x in op8.segments(np.array(s, float))) == sum(x[2] for x in want)
 
 
+@pytest.mark.parametrize("scores", [[1, -3], [3, -1], [1, -3, 2, -1]])
+def test_segments_take_linear_time(scores):
+    hits, steps = 1000, Counter()
+
+    def trace(frame, event, _):
+        steps[frame.f_code.co_name] += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        op8.segments(np.tile(np.array(scores, float), hits))
+    finally:
+        sys.settrace(before)
+    assert steps["segments"] < 20 * len(scores) * hits
+
+
 def toxic(spark, n=900):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7))) for _ in range(500)]
