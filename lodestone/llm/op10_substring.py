@@ -1,4 +1,7 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by groups of suffixes, in place of prefix-partitioned suffix trees.
+
+No tree is built: windows of one length are sorted and compared for equality, without common prefixes
+or maximal repeats, which is all that the covered words need.
 
 A window is WINDOW consecutive words; a word goes if a window over it also starts in a document with
 a smaller doc_id.
@@ -11,10 +14,11 @@ a smaller doc_id.
    keeps what may be shared.
 3. A group that fits into memory has the anchor as its prefix. Prefixes with more suffixes than
    GROUP_ROWS are lengthened to WINDOW words, where a group is one node of the tree and needs only its
-   smallest doc_id, which is summed before it is shuffled.
-4. In each memory-sized group suffixes are sorted; neighbours with WINDOW words in common form the
-   deep internal nodes, whose leaves beyond the smallest doc_id are covered. Words are compared by
-   40 bits each, a window thus by 520.
+   smallest doc_id, which is summed before it is shuffled. Such windows are told by one hash of 64
+   bits, which isn't verified.
+4. In each memory-sized group the windows of all suffixes are sorted; equal ones form a node, whose
+   leaves beyond the smallest doc_id are covered. Words are compared by 40 bits each, a window thus
+   by 520.
 5. Covered windows are merged into ranges by document and cut out of the texts.
 
 Null texts have no words. A null doc_id neither covers nor is covered. Rows that repeat a doc_id don't
