@@ -16,9 +16,12 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one in local mode, in
+    which all tasks share a machine; elsewhere an error, as executors couldn't see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/lodestone-work"
     return f"{base.rstrip('/')}/lodestone"
 
@@ -53,10 +56,15 @@ def join_spooled(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
-    """The named columns of ``df`` cast to the given types, whatever else it holds. Batches of such
-    rows are bounded by bytes from here on."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """The named columns of ``df`` cast to the given types, whatever else it holds, in batches of
+    bounded bytes."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in kinds.items()])
 
 

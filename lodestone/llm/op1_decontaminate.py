@@ -2,49 +2,57 @@
 
 1. Test items are indexed: BM25 impacts of their words, divided by the score that the item gives
    itself, so that one threshold holds for every item. Postings go in blocks of items with the
-   greatest impact of each block. Statistics are taken over all items; an index holds at most
-   SHARD_BYTES of items, and further items go to further indexes, each queried in the same way.
+   greatest impact of each block. Statistics are taken over all items; an index holds about
+   SHARD_BYTES of items and is built by the task that holds these. The driver takes PASS_SHARDS
+   indexes at a time, whatever the benchmark's size, and each such pass reads the documents once.
 2. Every document is cut into passages of twice the longest item's words, half overlapping, and
    each passage is a query. Sums of greatest impacts by word, then by block, drop passages that
    can't reach the threshold; of the rest, WAND with block maxima retrieves all items above it.
 3. A retrieved item counts when the passage also holds enough of the word triples of its question
-   (the first two thirds of its words) and of its answer (the rest). An answer of fewer than three
-   words (in items of up to 8) is looked for as one run of its own length. Items of more than
-   MAX_ITEM_WORDS are only retrieved by their parts: question and answer are the whole item's, and
-   are looked for in the passage with as many words before and after it as the item is longer.
-
-Words are lower-cased (A-Z). Null and empty documents or items match nothing; items of fewer than
-MIN_WORDS words aren't indexed. Repeated rows are answered each. Without items or documents there
-are no rows. Further columns are ignored by ``matches`` and kept by ``clean_rows``.
+   (the first two thirds of its words, rounded up) and of its answer (the rest). A question or answer
+   of fewer than three words is looked for as one run of its own length; items of one or two words
+   have no answer. Items of more than PART_WORDS are only retrieved by their parts: question and
+   answer are the whole item's, and are looked for in the passage with as many words before and
+   after it as the item is longer.
+
+Words are lower-cased (A-Z). Items of one word and more are indexed; null and empty documents or
+items match nothing. Benchmark rows that repeat an item_id with the same words count once; rows that
+share an item_id (null too) but not the words are items of their own, each reported. Repeated rows of
+documents, and those with a null doc_id, are answered each. Of passages with equal scores that with most
+overlap is given, then the first. Long texts are many passages. Without items or documents there are no rows. Further columns are
+ignored by ``matches`` and kept by ``clean_rows``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, pick, spool
-from .words import slices, words_of
+from .common import bounded_batches, discard, pick, spool
+from .words import Words, slices, words_of
 
 THRESHOLD, OVERLAP = 0.5, 0.5
 K1, B = 1.2, 0.75
 #: Items of a block, and of the smaller ones into which blocks are cut.
 BLOCKS = (8, 2)
-MIN_WORDS, MIN_PASSAGE = 5, 64
+MIN_PASSAGE = 64
 #: Cells of passages by blocks that are summed at once.
 CELLS = 1 << 20
-SHARD_BYTES = 16 << 20
-#: Items above this many words are retrieved by parts of so many, each with its own threshold.
-MAX_ITEM_WORDS = 256
+#: Bytes of word hashes in an index, and indexes that one pass over the documents takes along.
+SHARD_BYTES, PASS_SHARDS = 16 << 20, 4
+#: Items above this many words are retrieved by even parts of at most so many, each with its own threshold.
+PART_WORDS = 256
 
-MATCH = "doc_id bigint, item_id bigint, at bigint, score double, question_overlap double, answer_overlap double"
+MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("at", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+MATCH_SQL = "doc_id bigint, item_id bigint, at bigint, score double, question_overlap double, answer_overlap double"
 
 
 @dataclass
@@ -56,93 +64,94 @@ class Blocks:
     blocks: np.ndarray
     most: np.ndarray
 
+    def peak(self, term: int, block: int) -> float:
+        lo, hi = self.begin[term], self.begin[term + 1]
+        k = lo + int(np.searchsorted(self.blocks[lo:hi], block))
+        return float(self.most[k]) if k < hi and self.blocks[k] == block else 0.0
+
 
 @dataclass
 class Index:
     """Postings of the terms (sorted hashes): of term t they are entries begin[t] to begin[t + 1] of
-    items and impacts, by rising item. levels: their blocks, from the largest."""
+    parts and impacts, by rising part. levels: their blocks, from the largest."""
 
     terms: np.ndarray
-    begin: list[int]
-    items: list[int]
-    impacts: list[float]
+    begin: np.ndarray
+    parts: np.ndarray
+    impacts: np.ndarray
     most: np.ndarray
     levels: list[Blocks]
-    block_max: list[dict[int, float]]
-    #: of every part of an item: the item's id, and its words beyond the longest part
-    ids: list[int]
+    #: of every part the number of its item
+    item: np.ndarray
+    #: of every item its id, its words beyond the longest part, and of question and answer the words
+    #: of a run and the hashes of the runs
+    ids: list[int | None]
     beyond: list[int]
-    #: of question and answer: words of a run, and hashes of its runs
-    triples: list[tuple[tuple[int, np.ndarray], ...]]
-    longest: int
+    runs: list[tuple[tuple[int, np.ndarray], ...]]
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, words (hashes in order) of every item."""
+    """item_id, words (hashes in order) of every item with words, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, ids, lists = words_of(batch.column("text"), lower=True), [], []
-            for i, item in enumerate(batch.column("item_id").to_pylist()):
-                h = words.hashes[words.first[i] : words.first[i + 1]]
-                if len(h) >= MIN_WORDS and item is not None:
-                    ids.append(item)
-                    lists.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["item_id", "words"])
+            words = words_of(batch.column("text"), lower=True)
+            some = np.flatnonzero(np.diff(words.first))
+            lists = pa.array([words.hashes[words.first[i] : words.first[i + 1]].view(np.int64) for i in some], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(some)), lists], names=["item_id", "words"])
 
-    return pick(benchmark, item_id="bigint", text="string").mapInArrow(run, "item_id bigint, words array<bigint>")
+    return pick(benchmark, item_id="bigint", text="string").mapInArrow(run, "item_id bigint, words array<bigint>").distinct()
 
 
-def triples_of(h: np.ndarray, n: int = 3) -> np.ndarray:
-    """Hashes of the runs of n words, or of all words where these are fewer."""
+def runs_of(h: np.ndarray, n: int = 3) -> np.ndarray:
+    """Hashes of the runs of n words; of all words where these are fewer, none without words."""
     n = min(n, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
+    out = np.zeros(len(h) - n + 1 if n else 0, np.uint64)
     for k in range(n):
         out = out * np.uint64(0xD1342543DE82EF95) + h[k : k + len(out)]
     return out
 
 
-def build_index(rows: list[tuple[int, np.ndarray]], df: dict[int, int], n_items: int, mean: float, longest: int = 0) -> Index:
-    """rows: item id and word hashes; df: in how many of all items a word is; longest: words of the
-    longest part in any index."""
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """Even parts of at most PART_WORDS of n words."""
+    cuts = np.linspace(0, n, -(-n // PART_WORDS) + 1).astype(int).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def build_index(rows: list[tuple[int | None, np.ndarray]], df: dict[int, int], n_items: int, mean: float) -> Index:
+    """rows: item id and word hashes; df: in how many of all items a word is."""
     postings: dict[int, list[tuple[int, float]]] = {}
-    ids, beyond, triples = [], [], []
-    for item, h in rows:
+    item: list[int] = []
+    beyond, runs = [], []
+    for i, (_, h) in enumerate(rows):
         cut = -(-2 * len(h) // 3)
-        whole = tuple((min(3, len(x)), np.unique(triples_of(x))) for x in (h[:cut], h[cut:]))
-        for k in range(0, len(h), MAX_ITEM_WORDS):
-            part = h[k : k + MAX_ITEM_WORDS]
-            if len(part) < MIN_WORDS:
-                continue
-            longest = max(longest, len(part))
-            terms, tf = np.unique(part, return_counts=True)
+        beyond.append(max(0, len(h) - PART_WORDS))
+        runs.append(tuple((min(3, len(x)), np.unique(runs_of(x))) for x in (h[:cut], h[cut:])))
+        for a, b in parts_of(len(h)):
+            terms, tf = np.unique(h[a:b], return_counts=True)
             idf = np.array([np.log(1 + (n_items - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in terms])
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / mean))
+            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (b - a) / mean))
             for t, x in zip(terms.tolist(), (impact / impact.sum()).tolist(), strict=True):
-                postings.setdefault(t, []).append((len(ids), x))
-            ids.append(item)
-            beyond.append(max(0, len(h) - MAX_ITEM_WORDS))
-            triples.append(whole)
+                postings.setdefault(t, []).append((len(item), x))
+            item.append(i)
     terms = np.array(sorted(postings), np.uint64)
     lists = [postings[t] for t in terms.tolist()]
     begin = np.cumsum([0, *map(len, lists)])
-    items = np.array([k for x in lists for k, _ in x], np.int64)
+    parts = np.array([k for x in lists for k, _ in x], np.int64)
     impacts = np.array([v for x in lists for _, v in x])
     term, levels = np.repeat(np.arange(len(lists)), np.diff(begin)), []
     for size in BLOCKS:
-        n = len(ids) // size + 1
-        keys, at = np.unique(term * n + items // size, return_index=True)
+        n = len(item) // size + 1
+        keys, at = np.unique(term * n + parts // size, return_index=True)
         levels.append(Blocks(size, np.searchsorted(keys, np.arange(len(lists) + 1) * n), keys % n, np.maximum.reduceat(impacts, at)))
-    top = levels[0]
-    block_max = [dict(zip(top.blocks[a:b].tolist(), top.most[a:b].tolist(), strict=True)) for a, b in zip(top.begin[:-1], top.begin[1:], strict=True)]
-    return Index(terms, begin.tolist(), items.tolist(), impacts.tolist(), np.maximum.reduceat(impacts, begin[:-1]), levels, block_max, ids, beyond, triples, longest)
+    return Index(terms, begin, parts, impacts, np.maximum.reduceat(impacts, begin[:-1]), levels, np.array(item), [i for i, _ in rows], beyond, runs)
 
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """All items whose impacts over ``terms`` sum to the threshold at least, by block-max WAND."""
-    items, impacts, size = index.items, index.impacts, BLOCKS[0]
-    # item at the cursor, cursor, end, greatest impact, impacts by block
-    heads = [[items[index.begin[t]], index.begin[t], index.begin[t + 1], float(index.most[t]), index.block_max[t]] for t in terms.tolist()]
+    """All parts whose impacts over ``terms`` sum to the threshold at least, by block-max WAND."""
+    parts, impacts, top = index.parts, index.impacts, index.levels[0]
+    # part at the cursor, cursor, end, greatest impact, term
+    heads = [[int(parts[index.begin[t]]), int(index.begin[t]), int(index.begin[t + 1]), float(index.most[t]), t] for t in terms.tolist()]
     found, least = [], threshold - 1e-9
     while heads:
         heads.sort(key=itemgetter(0))
@@ -157,21 +166,21 @@ def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, f
         at = heads[pivot][0]
         while pivot + 1 < len(heads) and heads[pivot + 1][0] == at:
             pivot += 1
-        block = at // size
+        block = at // top.size
         # the block's own maxima, before any posting is scored
-        good = sum(c[4].get(block, 0.0) for c in heads[: pivot + 1]) >= least
+        good = sum(top.peak(c[4], block) for c in heads[: pivot + 1]) >= least
         upto = at
         if not good:
-            upto = (block + 1) * size
+            upto = (block + 1) * top.size
             if pivot + 1 < len(heads):
                 upto = max(at + 1, min(upto, heads[pivot + 1][0]))
         score = 0.0
         for c in heads[: pivot + 1]:
-            c[1] = bisect_left(items, upto, c[1], c[2])
-            if good and c[1] < c[2] and items[c[1]] == at:
-                score += impacts[c[1]]
+            c[1] += int(np.searchsorted(parts[c[1] : c[2]], upto))
+            if good and c[1] < c[2] and parts[c[1]] == at:
+                score += float(impacts[c[1]])
                 c[1] += 1
-            c[0] = items[c[1]] if c[1] < c[2] else -1
+            c[0] = int(parts[c[1]]) if c[1] < c[2] else -1
         if good and score >= least:
             found.append((at, score))
         heads = [c for c in heads if c[0] >= 0]
@@ -192,7 +201,7 @@ def candidates(index: Index, ids: np.ndarray, start: np.ndarray, end: np.ndarray
     """Passages, with their distinct terms, in which some block of each level can reach the
     threshold. ids: the term of each word, negative if it isn't in the index."""
     out, n_terms, least = [], len(index.terms), threshold - 1e-9
-    step = max(16, min(4096, CELLS // (len(index.ids) // BLOCKS[-1] + 1)))
+    step = max(16, min(4096, CELLS // (len(index.item) // BLOCKS[-1] + 1)))
     for lo in range(0, len(start), step):
         a, b = start[lo : lo + step], end[lo : lo + step]
         size = b - a
@@ -204,7 +213,7 @@ def candidates(index: Index, ids: np.ndarray, start: np.ndarray, end: np.ndarray
         left = np.bincount(row, index.most[term], len(a))[row] >= least
         row, term, above = row[left], term[left], None
         for level in index.levels:
-            n_blocks = len(index.ids) // level.size + 1
+            n_blocks = len(index.item) // level.size + 1
             n = level.begin[term + 1] - level.begin[term]
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - level.begin[term], n)
             cell = np.repeat(row, n) * n_blocks + level.blocks[entry]
@@ -220,62 +229,108 @@ def candidates(index: Index, ids: np.ndarray, start: np.ndarray, end: np.ndarray
     return out
 
 
-def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
+def better(new: tuple[float, float], old: tuple[float, float]) -> bool:
+    """Greater, or as great and greater in the second value."""
+    return new[0] > old[0] + 1e-9 or new[0] > old[0] - 1e-9 and new[1] > old[1] + 1e-9
+
+
+def held_items(index: Index, words: Words, passage_words: int, threshold: float, overlap: float) -> list[tuple[int, tuple]]:
+    """Text number and (item_id, at, score, question_overlap, answer_overlap) of every text and item
+    that it holds, from the first of its best passages."""
+    ids = np.searchsorted(index.terms, words.hashes)
+    ids[index.terms[np.minimum(ids, len(index.terms) - 1)] != words.hashes] = -1
+    text, start, end = passages(words.first, passage_words)
+    best: dict[tuple[int, int], tuple] = {}
+    for p, terms in candidates(index, ids, start, end, threshold):
+        held: dict[tuple[int, int], np.ndarray] = {}  # runs in reach, by words around the passage and of a run
+        for part, score in wand(index, terms, threshold):
+            item, overlaps = int(index.item[part]), []
+            more = index.beyond[item]
+            for n, x in index.runs[item]:
+                if (more, n) not in held:
+                    lo, hi = max(words.first[text[p]], start[p] - more), min(words.first[text[p] + 1], end[p] + more)
+                    held[more, n] = np.unique(runs_of(words.hashes[lo:hi], n))
+                overlaps.append(float(np.isin(x, held[more, n]).mean()) if len(x) else 1.0)
+            q, a = overlaps
+            key = (int(text[p]), item)
+            if q >= overlap and a >= overlap and (key not in best or better((score, q + a), (best[key][2], sum(best[key][3:])))):
+                best[key] = (index.ids[item], int(start[p] - words.first[text[p]]), score, q, a)
+    return [(key[0], best[key]) for key in sorted(best)]
+
+
+def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame | None, int, int]:
+    """A table (shard, index), the number of shards, and the words of a passage."""
     items = spool(items_of(benchmark), "op1-items")
     size = F.size("words")
-    n, total, mean, longest = items.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.avg(size), F.coalesce(F.max(size), F.lit(0))).first()
+    n, total, mean, longest = items.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.avg(size), F.max(size)).first()
+    if not n:
+        return None, 0, 0
     shards = -(-8 * total // shard_bytes)
+    mine = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "words"), F.lit(shards)).cast("int"))
     df = items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    out = []
-    for k in range(shards):  # each of bounded size
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)  # all parts of an item are in one
-        rows = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in mine.orderBy("item_id", "words").collect()]
-        used = mine.select(F.explode("words").alias("term")).distinct()
-        counts = {int(np.int64(r.term).view(np.uint64)): r.df for r in df.join(used, "term", "left_semi").collect()}
-        if rows:
-            out.append(build_index(rows, counts, n, mean, min(longest, MAX_ITEM_WORDS)))
-    return out
+    used = mine.select("shard", F.explode("words").alias("term")).distinct().join(df, "term").select(F.col("shard").alias("of"), "term", "df")
+
+    def build(key: tuple, rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        df = dict(zip(counts["term"].to_numpy(np.int64).view(np.uint64).tolist(), counts["df"].tolist(), strict=True))
+        listed = [(None if pd.isna(i) else int(i), np.asarray(w, np.int64).view(np.uint64)) for i, w in zip(rows["item_id"], rows["words"], strict=True)]
+        listed.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes()))
+        return pd.DataFrame({"shard": [key[0]], "index": [pickle.dumps(build_index(listed, df, n, mean))]})
 
+    # an item_id is text here, as pandas has no whole numbers beside nulls
+    left = mine.select("shard", F.col("item_id").cast("string").alias("item_id"), "words")
+    built = left.groupBy("shard").cogroup(used.groupBy("of")).applyInPandas(build, "shard int, index binary")
+    out = spool(built, "op1-indexes")
+    discard(items)
+    return out, shards, max(MIN_PASSAGE, 2 * min(longest, PART_WORDS))
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+
+def passes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, pass_shards: int = PASS_SHARDS) -> Iterator[tuple]:
+    """A broadcast list of pickled indexes for each pass, the words of a passage, and whether more follow."""
+    table, shards, passage_words = indexes(benchmark, shard_bytes)
+    for k in range(0, shards, pass_shards):
+        rows = table.where(F.col("shard").between(k, k + pass_shards - 1)).orderBy("shard").collect()  # PASS_SHARDS at most
+        yield benchmark.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in rows]), passage_words, k + pass_shards < shards
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, pass_shards: int = PASS_SHARDS) -> DataFrame:
     """doc_id, item_id, at (first word of the best passage), score, question_overlap, answer_overlap
     of every document and item that it holds."""
     spark = docs.sparkSession
     texts, out = pick(docs, doc_id="bigint", text="string"), None
-    for index in indexes(benchmark, shard_bytes):
-        shared = spark.sparkContext.broadcast(index)
+    for shared, passage_words, more in passes(benchmark, shard_bytes, pass_shards):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, passage_words=passage_words) -> Iterator[pa.RecordBatch]:
+            loaded = [pickle.loads(x) for x in shared.value]
             for batch in slices(batches):
                 words = words_of(batch.column("text"), lower=True)
-                ids = np.searchsorted(index.terms, words.hashes)
-                ids[index.terms[np.minimum(ids, len(index.terms) - 1)] != words.hashes] = -1
-                text, start, end = passages(words.first, max(MIN_PASSAGE, 2 * index.longest))
-                best: dict[tuple[int, int], tuple] = {}
-                for p, terms in candidates(index, ids, start, end, threshold):
-                    held: dict[tuple[int, int], np.ndarray] = {}  # runs in reach, by words around the passage and of a run
-                    for item, score in wand(index, terms, threshold):
-                        more, overlaps = index.beyond[item], []
-                        for n, x in index.triples[item]:
-                            if (more, n) not in held:
-                                lo, hi = max(words.first[text[p]], start[p] - more), min(words.first[text[p] + 1], end[p] + more)
-                                held[more, n] = np.unique(triples_of(words.hashes[lo:hi], n))
-                            overlaps.append(float(np.isin(x, held[more, n]).mean()))
-                        q, a = overlaps
-                        key = (int(text[p]), index.ids[item])
-                        if q >= overlap and a >= overlap and (key not in best or score > best[key][1] + 1e-9):
-                            best[key] = (int(start[p] - words.first[text[p]]), score, q, a)
+                found = [f for index in loaded for f in held_items(index, words, passage_words, threshold, overlap)]
                 names = batch.column("doc_id").to_pylist()
-                rows = [(names[t], item, *v) for (t, item), v in sorted(best.items())]
-                yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "item_id", "at", "score", "question_overlap", "answer_overlap"), zip(*rows, strict=True) if rows else [[]] * 6, strict=True)), schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("at", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+                columns = zip(*[(names[t], *v) for t, v in found], strict=True) if found else [[]] * len(MATCH)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MATCH, strict=True)], schema=MATCH)
 
-        found = texts.mapInArrow(run, MATCH)
+        found = texts.mapInArrow(run, MATCH_SQL)
+        if more or out is not None:  # one pass after the other
+            found = spool(found, "op1-matches")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], MATCH) if out is None else out
+    return spark.createDataFrame([], MATCH_SQL) if out is None else out
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that hold no item. Rows with a null doc_id can't be named and stay."""
-    bad = spool(matches(docs, benchmark, threshold, overlap).select("doc_id").distinct(), "op1-bad")
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "doc_id", "left_anti")
+def clean_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, pass_shards: int = PASS_SHARDS) -> DataFrame:
+    """The rows of ``docs`` that hold no item. Each is judged by itself, where it is read."""
+    bounded_batches(docs.sparkSession)
+    for shared, passage_words, more in passes(benchmark, shard_bytes, pass_shards):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, passage_words=passage_words) -> Iterator[pa.RecordBatch]:
+            loaded = [pickle.loads(x) for x in shared.value]
+            for batch in slices(batches):
+                words, clean = words_of(batch.column("text"), lower=True), np.ones(batch.num_rows, bool)
+                for index in loaded:
+                    clean[[t for t, _ in held_items(index, words, passage_words, threshold, overlap)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if more:
+            docs = spool(docs, "op1-clean")
+            shared.unpersist()
+    return docs
