@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, pick, spool
+from .common import BROADCAST_ROWS, discard, pick, spool
 from .words import PUNCTUATION, Words, hash_words, slices, words_of
 
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
@@ -115,9 +115,11 @@ def learn(counted: DataFrame) -> Model:
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (F.col("all_toxic") + PRIOR - a)) - F.log(b / (F.col("all_clean") + PRIOR - b))
     z = odds / F.sqrt(1 / a + 1 / b)
-    rows = spool(rows.select("bucket", "level", "corpus", "all_corpus", "toxic", odds.alias("odds"), z.alias("z")).where((F.abs("z") >= Z_LEAST) & ((F.col("z") < 0) | (F.col("toxic") >= LEAST_TOXIC))), "op8-odds")
+    told = (F.abs("z") >= Z_LEAST) & ((F.col("z") < 0) | (F.col("toxic") >= LEAST_TOXIC))
+    rows = spool(rows.select("bucket", "level", "corpus", "all_corpus", "toxic", odds.alias("odds"), z.alias("z")).where(told), "op8-odds")
     got = rows.select("bucket", F.col("odds").cast("float")).toPandas()  # at most (len(PREFIXES) + 1) << BITS rows
     hist = rows.where("level = 0").groupBy(F.round("odds", 1).alias("s")).agg((F.sum("corpus") / F.first("all_corpus")).alias("p")).toPandas()
+    discard(rows)
     s, p = np.append(hist.s.to_numpy(float), 0.0) - DRIFT, np.append(hist.p.to_numpy(float), 1 - hist.p.sum())
     low, high = 0.0, 4.0
     if (p * s).sum() >= 0 or not (s > 0).any():
@@ -166,38 +168,42 @@ def word_scores(words: Words, dense: np.ndarray) -> np.ndarray:
     return out - np.float32(DRIFT)
 
 
+def read_text(scores: np.ndarray, scale: float) -> tuple[float | None, list[dict]]:
+    """A text's statistic (none without a segment) and its significant segments."""
+    if not (scores > 0).any():
+        return None, []
+    found, length = segments(scores.astype(np.float64)), np.log(len(scores))
+    held = [{"start": x, "end": y, "score": s, "bits": w} for x, y, s in found if (w := scale * s - length) > 0]
+    return sum(h["bits"] for h in held) if held else float(scale * max(s for _, _, s in found) - length), held
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, statistic (null without a segment), segments (start, end in words; score; bits) of every row, significant ones only."""
+    """``docs``, of which text becomes statistic (null without a segment) and segments (start, end in
+    words; score; bits), significant ones only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("bits", pa.float64())]))
+    kept = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, scale = shared.value.dense(), shared.value.scale
         for batch in slices(batches):
             words = words_of(batch.column("text"), lower=True, gaps=PUNCTUATION)
-            scores, stats, lists = word_scores(words, dense), [], []
-            has = np.concatenate([[0], np.cumsum(scores > 0)])
-            for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-                held, best = [], None
-                if has[b] > has[a]:
-                    found = segments(scores[a:b].astype(np.float64))
-                    best = float(scale * max(s for _, _, s in found) - np.log(b - a))
-                    held = [{"start": x, "end": y, "score": s, "bits": w} for x, y, s in found if (w := scale * s - np.log(b - a)) > 0]
-                stats.append(sum(h["bits"] for h in held) if held else best)
-                lists.append(held)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(stats, pa.float64()), pa.array(lists, kind)], names=["doc_id", "statistic", "segments"])
+            scores = word_scores(words, dense)
+            stats, lists = zip(*[read_text(scores[a:b], scale) for a, b in zip(words.first[:-1], words.first[1:], strict=True)], strict=True)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(stats, pa.float64()), pa.array(lists, kind)], names=[*[f.name for f in kept], "statistic", "segments"])
 
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, statistic double, segments array<struct<start:bigint,end:bigint,score:double,bits:double>>")
+    said = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "statistic double", "segments array<struct<start:bigint,end:bigint,score:double,bits:double>>"])
+    return docs.mapInArrow(run, said)
 
 
 def bin_of(statistic: Column) -> Column:
     return F.when(statistic.isNull(), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(BINS), 1 + F.floor((statistic - LOWEST) / BIN)))).cast("int")
 
 
-def calibrated(scanned: DataFrame, train: DataFrame) -> list[float]:
-    """Share of toxic documents by bin of the statistic, made monotone by pooling neighbours."""
-    known = scanned.select("doc_id", bin_of(F.col("statistic")).alias("bin")).join(F.broadcast(train.where("calibrates")), "doc_id")  # LABEL_ROWS at most
-    rows = known.groupBy("bin").agg(F.sum("toxic").alias("n"), F.count("*").alias("m")).collect()  # BINS + 1 at most
+def calibrated(scanned: DataFrame) -> list[float]:
+    """Share of toxic documents by bin of the statistic, made monotone by pooling neighbours. scanned:
+    statistic and toxic of the calibrating documents."""
+    rows = scanned.groupBy(bin_of(F.col("statistic")).alias("bin")).agg(F.sum("toxic").alias("n"), F.count("*").alias("m")).collect()  # BINS + 1 at most
     n, m = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for r in rows:
         n[r.bin], m[r.bin] = r.n, r.m
@@ -210,17 +216,41 @@ def calibrated(scanned: DataFrame, train: DataFrame) -> list[float]:
     return [float(a / b) if b else 0.0 for a, b, size in pools for _ in range(int(size))]
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_segments, statistic of every row of ``docs``."""
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[float]]:
+    """The model, and the score of every bin of the statistic."""
     train = training(labels)
-    model = learn(spool(counts(docs, train), "op8-counts"))
-    found = spool(scan(docs, model), "op8-scan")
-    rate = F.array(*[F.lit(x) for x in calibrated(found, train)])
-    score = F.element_at(rate, bin_of(F.col("statistic")) + 1)
-    return found.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), F.size("segments").alias("n_segments"), "statistic")
+    counted = spool(counts(docs, train), "op8-counts")
+    model = learn(counted)
+    known = pick(docs, doc_id="bigint", text="string").join(F.broadcast(train.where("calibrates").select("doc_id", "toxic")), "doc_id")  # LABEL_ROWS at most
+    rates = calibrated(scan(known, model))
+    discard(train, counted)
+    return model, rates
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, segments, statistic of every row of ``docs``."""
+    model, rates = trained(docs, labels)
+    found = scan(pick(docs, doc_id="bigint", text="string"), model)
+    score = F.element_at(F.array(*[F.lit(x) for x in rates]), bin_of(F.col("statistic")) + 1)
+    return found.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "segments", "statistic")
 
 
 def clean_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic; rows with a null doc_id can't be named and stay."""
-    bad = spool(scores(docs, labels).where("predicted = 1").select("doc_id").distinct(), "op8-bad")
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "doc_id", "left_anti")
+    """The rows of ``docs`` that aren't predicted toxic. Each is judged by itself, where it is read, so
+    that one with a null or repeated doc_id goes by its own text."""
+    model, rates = trained(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((model, np.array(rates)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, rates = shared.value
+        dense = model.dense()
+        for batch in slices(batches):
+            words = words_of(batch.column("text"), lower=True, gaps=PUNCTUATION)
+            scored, clean = word_scores(words, dense), []
+            for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+                statistic, _ = read_text(scored[a:b], model.scale)
+                at = 0 if statistic is None else max(1, min(BINS, 1 + int(np.floor((statistic - LOWEST) / BIN))))
+                clean.append(rates[at] < THRESHOLD)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
