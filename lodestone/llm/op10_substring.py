@@ -1,29 +1,30 @@
-"""Substring dedup by groups of suffixes, in place of prefix-partitioned suffix trees.
-
-No tree is built: windows of one length are sorted and compared for equality, without common prefixes
-or maximal repeats, which is all that the covered words need.
+"""Substring dedup by sparse suffix trees in groups of common prefixes.
 
 A window is WINDOW consecutive words; a word goes if a window over it also starts in a document with
 a smaller doc_id.
 
 1. Suffixes are grouped by their prefixes. Of each window's ANCHOR-word sequences the one of smallest
-   hash is its anchor, so that equal windows have equal anchors at equal places. Suffixes start at
-   anchors (about a fifth of all words) and reach back to the first window that the anchor stands for.
+   hash is its anchor, so that equal windows have equal anchors at equal places: a group's prefix is
+   an anchor (about a fifth of all words begin one), and its suffixes are those that begin at the
+   windows which the anchor stands for.
 2. Anchors are counted by document, with a map-side combine. Those of one document can't be part of
-   a repeat; a Bloom filter of FILTER_BITS at most, or several in turn where there are more anchors,
-   keeps what may be shared.
-3. A group that fits into memory has the anchor as its prefix. Prefixes with more suffixes than
-   GROUP_ROWS are lengthened to WINDOW words, where a group is one node of the tree and needs only its
-   smallest doc_id, which is summed before it is shuffled. Such windows are told by one hash of 64
-   bits, which isn't verified.
-4. In each memory-sized group the windows of all suffixes are sorted; equal ones form a node, whose
-   leaves beyond the smallest doc_id are covered. Words are compared by 40 bits each, a window thus
-   by 520.
-5. Covered windows are merged into ranges by document and cut out of the texts.
-
-Null texts have no words. A null doc_id neither covers nor is covered. Rows that repeat a doc_id don't
-cover each other, and each loses what the others lose. Further columns are ignored; an empty table
-gives no rows.
+   a repeat; a Bloom filter of FILTER_BITS at most keeps what may be shared. What it lets through
+   besides costs shuffle, not results, so one filter and one pass serve any number of anchors.
+3. Prefixes of more than GROUP_ROWS suffixes are lengthened to WINDOW words. Then a group is one node
+   of the tree and needs only its smallest doc_id, which is summed before it is shuffled. Such nodes
+   are told by two hashes of 64 bits. A second filter tells which prefixes these are; an anchor that
+   it takes by mistake is only worked on in this way.
+4. Each other group fits into memory. Its suffixes are sorted, the longest common prefixes of
+   neighbours are taken, and the intervals in which these are WINDOW words or more are the tree's deep
+   internal nodes: each is a repeat, its leaves are where it starts, and all leaves but those of the
+   smallest doc_id are covered. Words are compared by 40 bits each, a window thus by 520. Suffixes
+   end with the last window of their anchor, so that the next anchor's group carries a repeat on.
+5. Covered windows are merged into ranges by document, which are the maximal repeated passages, and
+   cut out of the texts.
+
+Null texts have no words. A null doc_id neither covers nor is covered. Rows that share a doc_id don't
+cover each other; each loses what smaller doc_ids have. Further columns are ignored; an empty table
+gives no rows. Very long texts are many suffixes; equal texts are equal leaves.
 """
 
 from __future__ import annotations
@@ -36,18 +37,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_spooled, pick, spool
+from .common import BROADCAST_ROWS, discard, join_spooled, pick, spool
 from .words import Words, slices, words_of
 
 WINDOW, ANCHOR = 13, 5
-#: A prefix of more documents than this is lengthened.
+#: A prefix of more suffixes than this is lengthened.
 GROUP_ROWS = 1000
-#: Greatest size of one filter; KEY_BITS for each anchor in it.
+#: Greatest size of a filter; KEY_BITS for each anchor in it.
 FILTER_BITS, KEY_BITS = 29, 16
-CODE = 5
+#: Bytes by which a word is compared in a group; words of a suffix at most.
+CODE, SUFFIX_WORDS = 5, 2 * WINDOW - ANCHOR
 CHUNK_ROWS = 40_000
+#: Runs of words of one Arrow batch.
+BATCH_RUNS = 1 << 16
 #: Nodes under lengthened prefixes that are looked up in memory.
-NODES = 2_000_000
+NODES = 1_000_000
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +78,7 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def anchor_keys(docs: DataFrame) -> DataFrame:
-    """anchor, doc_id: the distinct anchors of each document."""
+    """anchor, doc_id, n: the distinct anchors of each document, and how often it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -82,15 +87,17 @@ def anchor_keys(docs: DataFrame) -> DataFrame:
             key = words.grams(ANCHOR)[where].view(np.int64)
             order = np.lexsort((key, text))
             key, text = key[order], text[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new]), batch.column("doc_id").take(pa.array(text[new]))], names=["anchor", "doc_id"])
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else np.empty(0, np.int64)
+            n = np.diff(np.append(new, len(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), batch.column("doc_id").take(pa.array(text[new])), pa.array(n)], names=["anchor", "doc_id", "n"])
 
-    return docs.mapInArrow(run, "anchor bigint, doc_id bigint")
+    return docs.mapInArrow(run, "anchor bigint, doc_id bigint, n bigint")
 
 
-def bloom(shared: DataFrame, bits: int) -> np.ndarray:
-    """Filter of 2**bits bits over the anchors, put together from blocks of 2**16 bits."""
+def bloom(shared: DataFrame, n: int, most_bits: int) -> np.ndarray:
+    """Filter over n anchors of KEY_BITS each and 2**most_bits at most, put together from blocks of
+    2**16 bits."""
+    bits = min(most_bits, max(16, (n * KEY_BITS).bit_length()))
     slot = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
     rows = shared.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bit")).distinct()
 
@@ -106,126 +113,146 @@ def bloom(shared: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-SUFFIX = "anchor bigint, doc_id bigint, start int, words binary"
+SUFFIX = "anchor bigint, doc_id bigint, text_key int, start int, words binary"
 
 
 class Chosen:
-    """What the filter and the list of long prefixes keep of a slice's anchors."""
+    """The anchors of a slice that the first filter keeps, without or only with those of the second."""
 
-    def __init__(self, shared, words: Words, rounds: int, turn: int, hot: bool) -> None:
-        on, long = shared.value
+    def __init__(self, shared, words: Words, hot: bool) -> None:
         text, where, first, last = anchors(words)
         key = words.grams(ANCHOR)[where]
-        slot = key & np.uint64(len(on) * 8 - 1)
-        held = (on[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        key = key.view(np.int64)
-        if rounds > 1:
-            held &= np.mod(key, rounds) == turn
-        held &= np.isin(key, long) == hot
-        self.key, self.text, self.first, self.last = key[held], text[held], first[held], last[held]
-
-    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, text and first word of each window that the anchors stand for."""
+
+        def on(bits: np.ndarray) -> np.ndarray:
+            slot = key & np.uint64(len(bits) * 8 - 1)
+            return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        held = on(shared.value[0]) & (on(shared.value[1]) == hot)
+        self.key, self.text, self.first, self.last = key[held].view(np.int64), text[held], first[held], last[held]
+
+    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes, text and first word of each window that the anchors stand for."""
         n = self.last - self.first + 1
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first, n)
-        return words.grams(WINDOW)[at].view(np.int64), np.repeat(self.text, n), at
+        return words.grams(WINDOW)[at].view(np.int64), words.grams(WINDOW, _OTHER)[at].view(np.int64), np.repeat(self.text, n), at
 
 
-def suffixes(docs: DataFrame, shared, rounds: int, turn: int) -> DataFrame:
-    """Suffixes at anchors in the filter: the first window's word and the words of all windows."""
+def suffixes(docs: DataFrame, shared) -> DataFrame:
+    """The suffixes of each anchor that the filter keeps, as one run: its first word in the text and
+    the words from there to the end of the last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = words_of(batch.column("text"))
-            x = Chosen(shared, words, rounds, turn, False)
-            size = x.last - x.first + WINDOW
-            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - x.first, size)
-            codes = np.ascontiguousarray(words.hashes.view(np.uint8).reshape(-1, 8)[:, :CODE])[index].reshape(-1)
-            ends = np.concatenate([[0], np.cumsum(size) * CODE]).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(x.key), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
-            start = pa.array((x.first - words.first[x.text]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x.key), batch.column("doc_id").take(pa.array(x.text)), start, column], names=["anchor", "doc_id", "start", "words"])
+            x, all_codes = Chosen(shared, words, False), np.ascontiguousarray(words.hashes.view(np.uint8).reshape(-1, 8)[:, :CODE])
+            for k in range(0, len(x.key), BATCH_RUNS):
+                key, text, first, last = (a[k : k + BATCH_RUNS] for a in (x.key, x.text, x.first, x.last))
+                size = last - first + WINDOW
+                index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+                codes = all_codes[index].reshape(-1)
+                ends = np.concatenate([[0], np.cumsum(size) * CODE]).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
+                start, at = pa.array((first - words.first[text]).astype(np.int32)), pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(at), batch.column("text_key").take(at), start, column], names=["anchor", "doc_id", "text_key", "start", "words"])
 
     return docs.mapInArrow(run, SUFFIX)
 
 
-def long_nodes(docs: DataFrame, shared, rounds: int, turn: int) -> DataFrame:
-    """node, least: the windows under lengthened prefixes that several documents have, with the
+def long_nodes(docs: DataFrame, shared) -> DataFrame:
+    """node, other, least: the windows under lengthened prefixes that several documents have, with the
     smallest doc_id; summed in each slice before rows leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = words_of(batch.column("text"))
-            node, text, _ = Chosen(shared, words, rounds, turn, True).windows(words)
+            node, other, text, _ = Chosen(shared, words, True).windows(words)
             doc = batch.column("doc_id").to_numpy()[text]
-            order = np.lexsort((doc, node))
-            node, doc = node[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+            order = np.lexsort((doc, other, node))
+            node, other, doc = node[order], other[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])])) if len(node) else np.empty(0, np.int64)
             ends = np.append(new[1:], len(node)) - 1 if len(node) else new
-            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(doc[new]), pa.array(doc[ends])], names=["node", "least", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(other[new]), pa.array(doc[new]), pa.array(doc[ends])], names=["node", "other", "least", "most"])
 
-    found = docs.mapInArrow(run, "node bigint, least bigint, most bigint")
-    return found.groupBy("node").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("node", "least")
+    found = docs.mapInArrow(run, "node bigint, other bigint, least bigint, most bigint")
+    return found.groupBy("node", "other").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("node", "other", "least")
 
 
-def covered_by_nodes(docs: DataFrame, shared, rounds: int, turn: int, nodes: DataFrame) -> DataFrame:
-    """doc_id, starts: the covered windows under lengthened prefixes, one row for a document.
+def covered_by_nodes(docs: DataFrame, shared, nodes: DataFrame) -> DataFrame:
+    """doc_id, text_key, starts: the covered windows under lengthened prefixes, one row for a text.
 
-    Up to NODES nodes are looked up where the documents are read; more are joined by window.
+    Up to NODES nodes are looked up where the documents are read; more, or any that share their
+    first hash, are joined by window.
     """
     spark = docs.sparkSession
-    if nodes.count() > NODES:
+    n = nodes.count()
+    table = nodes.orderBy("node").toArrow() if n <= NODES else None
+    if table is None or n > 1 and bool((np.diff(table.column("node").to_numpy()) == 0).any()):
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 words = words_of(batch.column("text"))
-                node, text, at = Chosen(shared, words, rounds, turn, True).windows(words)
-                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("doc_id").take(pa.array(text)), pa.array((at - words.first[text]).astype(np.int32))], names=["node", "doc_id", "start"])
+                node, other, text, at = Chosen(shared, words, True).windows(words)
+                of, start = pa.array(text), pa.array((at - words.first[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), batch.column("doc_id").take(of), batch.column("text_key").take(of), start], names=["node", "other", "doc_id", "text_key", "start"])
 
-        rows = docs.mapInArrow(listed, "node bigint, doc_id bigint, start int")
-        return join_spooled(rows, nodes, "node", "inner").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    table = nodes.toArrow()  # NODES rows at most
-    node, least = (np.asarray(table.column(c)) for c in ("node", "least"))
-    order = np.argsort(node)
-    known = spark.sparkContext.broadcast((node[order], least[order]))
+        rows = docs.mapInArrow(listed, "node bigint, other bigint, doc_id bigint, text_key int, start int")
+        return join_spooled(rows, nodes, ["node", "other"], "inner", n).where("doc_id > least").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    known = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("node", "other", "least")))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, least = known.value
+        nodes, others, least = known.value
         for batch in slices(batches):
             words = words_of(batch.column("text"))
-            node, text, at = Chosen(shared, words, rounds, turn, True).windows(words)
+            node, other, text, at = Chosen(shared, words, True).windows(words)
             k = np.minimum(np.searchsorted(nodes, node), max(0, len(nodes) - 1))
             doc = batch.column("doc_id").to_numpy()
-            hit = (nodes[k] == node) & (doc[text] > least[k]) if len(nodes) else np.zeros(len(node), bool)
+            hit = (nodes[k] == node) & (others[k] == other) & (doc[text] > least[k]) if len(nodes) else np.zeros(len(node), bool)
             text, start = text[hit], (at[hit] - words.first[text[hit]]).astype(np.int32)
             new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.empty(0, np.int64)
             starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(text)).astype(np.int32)), pa.array(start))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[text[new]]), starts], names=["doc_id", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[text[new]]), batch.column("text_key").take(pa.array(text[new])), starts], names=["doc_id", "text_key", "starts"])
 
-    return docs.mapInArrow(looked_up, "doc_id bigint, starts array<int>")
+    return docs.mapInArrow(looked_up, "doc_id bigint, text_key int, starts array<int>")
 
 
-def covered_by_tree(doc: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Of each suffix a bit mask of its windows that also start in a smaller document."""
+def common_prefixes(sorted_: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Of sorted suffixes (rows of SUFFIX_WORDS * CODE bytes) the words that each shares with the one before."""
+    same = (sorted_[1:] == sorted_[:-1]).reshape(len(sorted_) - 1, SUFFIX_WORDS, CODE).all(axis=2)
+    upto = np.where(same.all(axis=1), SUFFIX_WORDS, np.argmin(same, axis=1))
+    return np.concatenate([[0], np.minimum(upto, np.minimum(n_words[1:], n_words[:-1]))])
+
+
+def deep_nodes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves of the tree of all suffixes of ``column`` (runs of words), in sorted order: of each its
+    run and its place in the run, the deep internal node that it is under (a leaf without one is a
+    node of its own), and the words that it shares with the leaf before."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)
+    data = np.concatenate([np.frombuffer(column.buffers()[2], np.uint8), np.zeros(SUFFIX_WORDS * CODE, np.uint8)])
     n = np.diff(ends) // CODE - WINDOW + 1
-    row = np.repeat(np.arange(len(doc)), n)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    leaves = data[(ends[row] + k * CODE)[:, None] + np.arange(WINDOW * CODE)].view(f"S{WINDOW * CODE}").reshape(-1)
-    order = np.argsort(leaves, kind="stable")
-    sorted_ = leaves[order]
-    node = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) - 1
+    run = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    begin = ends[run] + place * CODE
+    n_words = (ends[run + 1] - begin) // CODE
+    leaves = np.lib.stride_tricks.sliding_window_view(data, SUFFIX_WORDS * CODE)[begin]
+    leaves[np.arange(SUFFIX_WORDS * CODE)[None, :] >= (n_words * CODE)[:, None]] = 0  # what follows belongs to other runs
+    order = np.argsort(leaves.view(f"S{SUFFIX_WORDS * CODE}").reshape(-1), kind="stable")
+    shared = common_prefixes(leaves[order], n_words[order])
+    return run[order], place[order], np.cumsum(shared < WINDOW) - 1, shared
+
+
+def covered_by_tree(doc: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Of each run a bit mask of its windows that also start in a smaller document."""
+    run, place, node, _ = deep_nodes(column)
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    least = np.minimum.reduceat(doc[row[order]], starts)
+    least = np.minimum.reduceat(doc[run], starts)
     out = np.zeros(len(doc), np.int64)
-    hit = doc[row[order]] > least[node]
-    np.bitwise_or.at(out, row[order][hit], 1 << k[order][hit])
+    hit = doc[run] > least[node]
+    np.bitwise_or.at(out, run[hit], 1 << place[hit])
     return out
 
 
 def covered_in_groups(rows: DataFrame) -> DataFrame:
-    """doc_id, start, mask of suffixes with covered windows, by groups of one anchor."""
+    """doc_id, text_key, start, mask of runs with covered windows, by groups of one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,7 +261,7 @@ def covered_in_groups(rows: DataFrame) -> DataFrame:
             batch = table.combine_chunks().to_batches()[0]
             mask = covered_by_tree(batch.column("doc_id").to_numpy(), batch.column("words"))
             some = pa.array(mask > 0)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").filter(some), batch.column("start").filter(some), pa.array(mask[mask > 0].astype(np.int32))], names=["doc_id", "start", "mask"])
+            return pa.RecordBatch.from_arrays([*[batch.column(c).filter(some) for c in ("doc_id", "text_key", "start")], pa.array(mask[mask > 0].astype(np.int32))], names=["doc_id", "text_key", "start", "mask"])
 
         for batch in batches:
             held.append(batch)
@@ -248,13 +275,14 @@ def covered_in_groups(rows: DataFrame) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield work(pa.Table.from_batches(held))
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id bigint, start int, mask int")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id bigint, text_key int, start int, mask int")
 
 
 def ranges(covered: DataFrame) -> DataFrame:
-    """doc_id, cuts: removed ranges of words as start, end, start, end, ..."""
-    marks = F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "mask"))).alias("marks")
-    lists = covered.groupBy("doc_id").agg(marks, F.flatten(F.collect_list("starts")).alias("starts"))
+    """doc_id, text_key, cuts: the maximal repeated passages of each text, ranges of words as start,
+    end, start, end, ..."""
+    marks = F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "mask"))).alias("marks")
+    lists = covered.groupBy("doc_id", "text_key").agg(marks, F.flatten(F.collect_set("starts")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,16 +295,16 @@ def ranges(covered: DataFrame) -> DataFrame:
                 gap = np.flatnonzero(np.diff(at) > WINDOW)
                 begin, end = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + WINDOW
                 out.append(np.stack([begin, end], 1).reshape(-1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "cuts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text_key", "cuts"])
 
-    return lists.mapInArrow(run, "doc_id bigint, cuts array<int>")
+    return lists.mapInArrow(run, "doc_id bigint, text_key int, cuts array<int>")
 
 
 def cut_out(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of ``docs``."""
     n, size = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
     small = n <= BROADCAST_ROWS and size <= 10 * BROADCAST_ROWS
-    both = docs.join(F.broadcast(cuts) if small else cuts, "doc_id", "left").select("doc_id", "text", "cuts")
+    both = docs.join(F.broadcast(cuts) if small else cuts, ["doc_id", "text_key"], "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -293,31 +321,53 @@ def cut_out(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text. Rows that share a doc_id are told apart by a hash of the text."""
+    return pick(docs, doc_id="bigint", text="string").select("doc_id", F.hash("text").alias("text_key"), "text")
+
+
+def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, text_key, cuts: the passages of each text that smaller doc_ids have, as ranges of words."""
+    named = keyed(docs).where("doc_id is not null")
+    keys = anchor_keys(named).groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("n"))
+    shared = spool(keys.where("least < most").select("anchor", "n"), "op10-anchors")
+    hot = F.col("n") > group_rows
+    n, n_hot = shared.agg(F.count("*"), F.count_if(hot)).first()
+    chosen = docs.sparkSession.sparkContext.broadcast((bloom(shared, n, filter_bits), bloom(shared.where(hot), n_hot, filter_bits)))
+    found = covered_in_groups(suffixes(named, chosen)).withColumn("starts", F.lit(None).cast("array<int>"))
+    if n_hot:
+        nodes = spool(long_nodes(named, chosen), "op10-nodes")
+        long = covered_by_nodes(named, chosen, nodes)
+        found = found.unionByName(long.select("doc_id", "text_key", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("mask"), "starts"))
+    covered = spool(found, "op10-covered")
+    cuts = spool(ranges(covered), "op10-cuts")
+    chosen.unpersist()
+    discard(shared, covered)
+    return cuts
+
+
 def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of ``docs``."""
-    docs = pick(docs, doc_id="bigint", text="string")
-    named = docs.where("doc_id is not null")
-    keys = anchor_keys(named).groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    shared = spool(keys.where("least < most").select("anchor", "n"), "op10-anchors")
-    n, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    hot = shared.where(F.col("n") > max(group_rows, total // 2000)).select("anchor").collect()  # 2000 at most
-    hot = np.array([r.anchor for r in hot], np.int64)
-    rounds = max(1, -(-n * KEY_BITS // (1 << filter_bits)))
-    bits = min(filter_bits, max(16, int(n * KEY_BITS / rounds).bit_length()))
-    spark, found = docs.sparkSession, None
-    for turn in range(rounds):
-        mine = shared.where(F.pmod("anchor", F.lit(rounds)) == turn) if rounds > 1 else shared
-        chosen = spark.sparkContext.broadcast((bloom(mine, bits), np.sort(hot)))
-        parts = [covered_in_groups(suffixes(named, chosen, rounds, turn)).withColumn("starts", F.lit(None).cast("array<int>"))]
-        if len(hot):
-            nodes = spool(long_nodes(named, chosen, rounds, turn), "op10-nodes")
-            long = covered_by_nodes(named, chosen, rounds, turn, nodes)
-            parts.append(long.select("doc_id", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("mask"), "starts"))
-        for part in parts:
-            found = part if found is None else found.unionByName(part)
-    cuts = spool(ranges(spool(found, "op10-covered")), "op10-cuts")
-    return cut_out(docs, cuts)
+    return cut_out(keyed(docs), repeats(docs, group_rows, filter_bits))
 
 
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+), windows AS (
+  SELECT row, doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS words FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW} AND doc_id IS NOT NULL)
+), covered AS (
+  SELECT row, i FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY words)
+), gone AS (
+  SELECT DISTINCT row, unnest(range(i, i + {WINDOW})) AS pos FROM covered
+), kept AS (
+  SELECT row, string_agg(x, ' ' ORDER BY pos) AS text, count(*) AS n FROM (SELECT row, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM d) ANTI JOIN gone USING (row, pos) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""

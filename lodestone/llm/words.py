@@ -73,12 +73,13 @@ class Words:
     hashes: np.ndarray
     first: np.ndarray
 
-    def grams(self, n: int) -> np.ndarray:
-        """Hash of the n words from each word on; only meaningful where these are of one text."""
+    def grams(self, n: int, base: np.uint64 = _GRAM) -> np.ndarray:
+        """Hash of the n words from each word on; only meaningful where these are of one text.
+        Another odd base gives another hash."""
         h, m = self.hashes, max(0, len(self.hashes) - n + 1)
         g = np.full(m, n, np.uint64)
         for k in range(n):
-            g *= _GRAM
+            g *= base
             g += h[k : k + m]
         return mix(g)
 
