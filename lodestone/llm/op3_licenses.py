@@ -1,18 +1,27 @@
 """License scans by the Dice coefficient over word bigrams, with DataFrame functions only.
 
 1. Templates and texts are normalised: lower case, anything but letters and digits as one blank.
-   Units of a text are its lines, its paragraphs (between blank lines) and the whole.
+   Units of a text are its lines, its paragraphs (between blank lines), the whole, and passages: as
+   many words as a template has, from any of the template's bigrams on. So a notice is found within
+   prose, wrapped over lines, or laid out in several paragraphs of a longer text.
 2. Dice of at least THRESHOLD needs |unit| between t/(2-t) and (2-t)/t times |template|, in distinct
-   bigrams. Templates are listed by the sizes they allow, and units join them by size alone.
+   bigrams. Templates are listed by the sizes they allow, and lines, paragraphs and wholes join them
+   by size alone.
 3. It also needs ceil(t/(2-t) * |template|) bigrams in common, so that of any |template| less that
    plus one bigrams a unit has one at least. Those with a few long words are taken; a text
    or unit without any of these words is dropped before it is split up. Words of few letters
    aren't used where a unit without the longer ones would have to hold all other bigrams.
-4. Dice of the pairs left; each unit keeps its best template, ties going to the first by name.
+4. For passages, the bigrams of the texts left are joined with those of the templates. A passage
+   can match only if as many of a template's bigrams as needed begin within its words, which the sorted
+   places tell; only those few are taken from the text and compared.
+5. Dice of the pairs left; each unit keeps its best template, ties going to the first by name. Of
+   passages a text keeps the best (then the first) of each template, and of overlapping ones that
+   with most bigrams in common (then the better, then the first by name).
 
 Null and empty texts have no units. Units that are equal because a text is one line or paragraph
-are reported as each kind. Rows that repeat a doc_id and text are reported once. Further columns are
-ignored; an empty table gives no rows.
+are reported as each kind. Rows are told apart by doc_id and text, a null doc_id is one value; rows
+that repeat both are reported once. Long texts are scanned whole. Further columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import join_spooled, pick, spool
 
 THRESHOLD = 0.8
 #: Letters of the words that a unit is told by: as many if these suffice, else fewer.
@@ -119,29 +128,74 @@ def _unit(kind: str) -> Callable[[Column, Column], Column]:
     return lambda text, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("unit"), text.alias("text"))
 
 
-def units(docs: DataFrame, words: list[str], rest: list[list[str]]) -> DataFrame:
-    """doc_id, kind, unit, text of every unit that is ``marked``."""
-    texts = pick(docs, doc_id="bigint", text="string").where(marked(F.col("text"), words, rest))
+def normalised(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def units(texts: DataFrame, words: list[str], rest: list[list[str]]) -> DataFrame:
+    """doc_id, text_key, kind, unit, text of every line, paragraph and whole that is ``marked``."""
     kinds = [("line", F.split("text", r"\r?\n")), ("paragraph", F.split("text", r"\r?\n[ \t]*\r?\n")), ("whole", F.array("text"))]
     parts = F.flatten(F.array(*[F.transform(a, _unit(k)) for k, a in kinds]))
-    found = texts.select("doc_id", F.explode(parts).alias("u")).select("doc_id", "u.kind", "u.unit", "u.text")
+    found = texts.select("doc_id", "text_key", F.explode(parts).alias("u")).select("doc_id", "text_key", "u.kind", "u.unit", "u.text")
     return found.where(marked(F.col("text"), words, rest))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, kind, unit, license, dice: the best template of every unit that matches one."""
-    spark = docs.sparkSession
-    rows = [(n, m, g) for n, text in sorted(templates.items()) if (g := template_bigrams(text)) for m in range(math.ceil(threshold / (2 - threshold) * len(g) - 1e-9), math.floor((2 - threshold) / threshold * len(g) + 1e-9) + 1)]
-    listed = F.broadcast(spark.createDataFrame(rows, "license string, size int, template array<string>"))  # fixed templates
-    normal = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    found = units(docs, *markers(templates, threshold)).select("doc_id", "kind", "unit", normal.alias("normal")).where(F.contains("normal", F.lit(" ")))
-    found = found.select("doc_id", "kind", "unit", bigrams(F.col("normal")).alias("grams")).withColumn("size", F.size("grams"))
+def least_common(n: int, threshold: float) -> int:
+    """Bigrams that a unit must have in common with a template of n."""
+    return math.ceil(threshold / (2 - threshold) * n - 1e-9)
+
+
+def in_units(texts: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """The best template of each line, paragraph and whole."""
+    rows = [(n, m, g) for n, text in sorted(templates.items()) if (g := template_bigrams(text)) for m in range(least_common(len(g), threshold), math.floor((2 - threshold) / threshold * len(g) + 1e-9) + 1)]
+    listed = F.broadcast(texts.sparkSession.createDataFrame(rows, "license string, size int, template array<string>"))  # fixed templates
+    key = ["doc_id", "text_key", "kind", "unit"]
+    found = units(texts, *markers(templates, threshold)).select(*key, normalised(F.col("text")).alias("normal")).where(F.contains("normal", F.lit(" ")))
+    found = found.select(*key, bigrams(F.col("normal")).alias("grams")).withColumn("size", F.size("grams"))
     common = F.size(F.array_intersect("grams", "template"))
     found = found.join(listed, "size").withColumn("dice", 2.0 * common / (F.col("size") + F.size("template"))).where(F.col("dice") >= threshold)
-    best = found.groupBy("doc_id", "kind", "unit").agg(F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("best"))
+    best = found.groupBy(*key).agg(F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("best"))
     return best.select("doc_id", "kind", "unit", "best.license", (-F.col("best.less")).alias("dice"))
 
 
+def in_passages(texts: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """The best passages of each text; unit is a passage's first word."""
+    grams = {n: g for n, text in templates.items() if (g := template_bigrams(text))}
+    length = {n: len(re.sub(r"[\W_]+", " ", templates[n].lower()).split()) for n in grams}
+    spark, key = texts.sparkSession, ["doc_id", "text_key"]
+    listed = F.broadcast(spark.createDataFrame([(x, n) for n, g in grams.items() for x in g], "gram string, license string"))  # fixed templates
+    plan = F.broadcast(spark.createDataFrame([(n, g, length[n], least_common(len(g), threshold)) for n, g in grams.items()], "license string, template array<string>, n_words int, needed int"))
+    w = F.split(normalised(F.col("text")), " ")
+    words = texts.select(*key, w.alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    at = words.select(*key, F.posexplode(pairs).alias("at", "gram")).join(listed, "gram").groupBy(*key, "license").agg(F.sort_array(F.collect_list("at")).alias("at")).join(plan, "license")
+    # as many hits as needed begin within the words of a passage that starts at this one
+    starts = F.filter("at", lambda x, i: F.get("at", i + F.col("needed") - 1) <= x + F.col("n_words") - 2)
+    found = spool(at.select(*key, "license", "template", "n_words", starts.alias("starts")).where(F.size("starts") > 0), "op3-passages")
+
+    def compared(x: Column) -> Column:
+        part = F.slice("w", x + 1, F.col("n_words"))
+        n = F.greatest(F.size(part) - 1, F.lit(0))
+        own = F.array_distinct(F.zip_with(F.slice(part, F.lit(1), n), F.slice(part, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+        common = F.size(F.array_intersect(own, F.col("template")))
+        return F.struct((-2.0 * common / (F.size(own) + F.size("template"))).alias("less"), x.alias("unit"), common.alias("common"))
+
+    # a row that comes twice has the same passages
+    best = join_spooled(words, found.drop("doc_id"), "text_key", "inner").select(*key, "license", "n_words", F.array_min(F.transform("starts", compared)).alias("b")).where(F.col("b.less") <= -threshold)
+    ranked = best.select(*key, F.struct((-F.col("b.common")).alias("rank"), F.col("b.less").alias("less"), "license", F.col("b.unit").alias("unit"), (F.col("b.unit") + F.col("n_words")).alias("end")).alias("p"))
+    lists = ranked.groupBy(*key).agg(F.collect_set("p").alias("all"))  # a template each
+    lone = F.filter("all", lambda p: ~F.exists("all", lambda q: (q < p) & (q["unit"] < p["end"]) & (p["unit"] < q["end"])))
+    return lists.select("doc_id", F.explode(lone).alias("p")).select("doc_id", F.lit("passage").alias("kind"), "p.unit", "p.license", (-F.col("p.less")).alias("dice"))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, kind, unit, license, dice: the best template of every unit that matches one."""
+    texts = pick(docs, doc_id="bigint", text="string").where(marked(F.col("text"), *markers(templates, threshold)))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text")
+    texts = spool(texts.select("doc_id", F.md5(named).alias("text_key"), "text"), "op3-marked")
+    return in_units(texts, templates, threshold).unionByName(in_passages(texts, templates, threshold))
+
+
 def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -150,17 +204,31 @@ _NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _GRAMS = "list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])"
 ORACLE_SQL = rf"""
 WITH t AS (
-  SELECT license, {_GRAMS} AS template FROM (SELECT license, string_split({_NORMAL.format('text')}, ' ') AS w FROM (VALUES {", ".join(f"({_text(n)}, {_text(x)})" for n, x in sorted(TEMPLATES.items()))}) v(license, text))
+  SELECT license, w AS template_words, {_GRAMS} AS template FROM (SELECT license, string_split({_NORMAL.format('text')}, ' ') AS w FROM (VALUES {", ".join(f"({_text(n)}, {_text(x)})" for n, x in sorted(TEMPLATES.items()))}) v(license, text))
+), docs AS (
+  SELECT DISTINCT doc_id, text FROM documents
 ), u AS (
-  SELECT DISTINCT doc_id, kind, unit, x FROM (
-    SELECT doc_id, 'line' AS kind, unnest(range(0, len(a))) AS unit, unnest(a) AS x FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS a FROM documents)
-    UNION ALL SELECT doc_id, 'paragraph', unnest(range(0, len(a))), unnest(a) FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n[ \t]*\r?\n') AS a FROM documents)
-    UNION ALL SELECT doc_id, 'whole', 0, text FROM documents)
+  SELECT doc_id, text, 'line' AS kind, unnest(range(0, len(a))) AS unit, unnest(a) AS x FROM (SELECT doc_id, text, regexp_split_to_array(text, '\r?\n') AS a FROM docs)
+  UNION ALL SELECT doc_id, text, 'paragraph', unnest(range(0, len(a))), unnest(a) FROM (SELECT doc_id, text, regexp_split_to_array(text, '\r?\n[ \t]*\r?\n') AS a FROM docs)
+  UNION ALL SELECT doc_id, text, 'whole', 0, text FROM docs
 ), g AS (
-  SELECT doc_id, kind, unit, {_GRAMS} AS grams FROM (SELECT *, string_split({_NORMAL.format('x')}, ' ') AS w FROM u) WHERE len(w) > 1
+  SELECT doc_id, text, kind, unit, {_GRAMS} AS grams FROM (SELECT *, string_split({_NORMAL.format('x')}, ' ') AS w FROM u) WHERE len(w) > 1
 ), d AS (
   SELECT *, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice FROM g, t
+), best AS (
+  SELECT doc_id, kind, CAST(unit AS INTEGER) AS unit, license, dice FROM d WHERE dice >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, text, kind, unit ORDER BY dice DESC, license) = 1
+), hits AS (
+  SELECT doc_id, text, license, w[pos + 1:pos + len(template_words)] AS w, pos, pos + len(template_words) AS stop, template
+  FROM (SELECT doc_id, text, words AS w, unnest(range(0, len(words) - 1)) AS pos FROM (SELECT doc_id, text, string_split({_NORMAL.format('text')}, ' ') AS words FROM docs)) p, t
+  WHERE list_contains(template, w[pos + 1] || ' ' || w[pos + 2])
+), passages AS (
+  SELECT *, len(list_intersect(grams, template)) AS common, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice FROM (SELECT *, {_GRAMS} AS grams FROM hits)
+), top AS (
+  SELECT * FROM passages WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, text, license ORDER BY dice DESC, pos) = 1
 )
-SELECT doc_id, kind, CAST(unit AS INTEGER) AS unit, license, dice FROM d WHERE dice >= {THRESHOLD}
-QUALIFY row_number() OVER (PARTITION BY doc_id, kind, unit ORDER BY dice DESC, license) = 1
+SELECT * FROM best
+UNION ALL SELECT doc_id, 'passage', CAST(pos AS INTEGER), license, dice FROM top p WHERE NOT EXISTS (
+  SELECT 1 FROM top q WHERE q.doc_id IS NOT DISTINCT FROM p.doc_id AND q.text = p.text AND q.pos < p.stop AND p.pos < q.stop
+    AND (q.common > p.common OR q.common = p.common AND (q.dice > p.dice OR q.dice = p.dice AND q.license < p.license)))
 """
