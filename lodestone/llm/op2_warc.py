@@ -1,94 +1,132 @@
 """WARC archives with revisit records.
 
 1. Headers only (page id, payload length and digest) are shuffled by payload digest; of equal
-   payloads of MIN_BYTES and more the smallest page id is the response, the others revisit it.
-2. Records are written by Spark's text writer. Its line separator is the two CRLF that end a WARC
-   record, so a part file is a WARC file, and Spark's commit protocol covers lost executors.
-   Headers are fresh; a revisit has no block and names the response's record and digest.
-3. Archives are read as binary files of bounded size and parsed record by record; payload digests
-   are computed again and compared. Revisit records are joined to the original responses by
-   digest, from which they get the length of the payload.
+   payloads of MIN_BYTES and more the smallest page id is the response, the others revisit it. Up to
+   BROADCAST_ROWS repeated digests are looked up where the pages are read. With more, revisit records
+   are made from headers alone, and the other pages are told by page id, which has no hot value.
+2. Records are written with fresh headers, each as a gzip member of its own; a revisit has no block and
+   names the response's record and digest. Each task joins members up to FILE_BYTES (or one longer
+   record), and each such value is a file of Spark's text writer, whose commit protocol covers lost
+   executors. Its line separator, which ends every file, is an empty gzip member.
+3. Archives are read as binary files and decompressed member by member, so that a task holds one file
+   and one record; payload digests are computed again and compared. Revisit records are joined to the
+   original responses by digest, from which they get the length of the payload.
 
 A null html is an empty payload; a null url gives a record without target. A payload under MIN_BYTES
-is always a response. Rows that repeat the response's page_id and payload are responses too. A null
-page_id is written as an empty record id and read as null. No pages give no rows.
+is always a response. Of equal payloads without any page_id all are responses; rows that repeat the
+response's page_id and payload are responses too. A null page_id is written as an empty record id and
+read as null. Repeated rows are written each. No pages give no rows.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_spooled, pick, shared_dir, spool
+from .common import BATCH_BYTES, BROADCAST_ROWS, discard, join_spooled, pick, shared_dir, spool
 
 MIN_BYTES = 100
-#: Records of one archive file; bounds what a reading task holds.
-FILE_RECORDS = 4000
+#: Compressed bytes of one archive file, unless a record alone is longer.
+FILE_BYTES = 32 << 20
 EPOCH = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
-def header(*lines: Column) -> Column:
-    return F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines)
-
+def resolve(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """page_id, url, payload, bytes, digest, refers_to (null for responses; revisits may lack a payload)."""
+    rows = pick(pages, page_id="bigint", url="string", html="string").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("bigint"), "digest": F.sha2("payload", 256)})
+    heads = rows.where(F.col("bytes") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    several = spool(heads.where("n > 1 and first_id is not null").select("digest", "first_id"), "op2-repeated")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
+    columns = ["page_id", "url", "payload", "bytes", "digest"]
+    if several.count() <= broadcast_rows:
+        return rows.join(F.broadcast(several), "digest", "left").select(*columns, refers)
+    revisits = spool(rows.drop("payload").join(several, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "url", "bytes", "digest", refers), "op2-revisits")
+    known = revisits.select(F.col("page_id").alias("known_id"), F.col("digest").alias("known_digest")).distinct()
+    responses = rows.join(known, [F.col("page_id").eqNullSafe(F.col("known_id")), F.col("digest") == F.col("known_digest")], "left_anti")
+    return responses.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits.withColumn("payload", F.lit("")).select(*columns, "refers_to"))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """A WARC record."""
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {EPOCH}"]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + re.sub(r"[\r\n]", "%0A", url))
+    lines.append(f"WARC-Payload-Digest: sha256:{digest}")
+    if refers_to is None:
+        lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
+    else:
+        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}", "Content-Length: 0"]
+        payload = b""
+    return "\r\n".join(lines).encode() + END + payload + END
+
+
+def archives(resolved: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """value: the bytes of one archive file a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        held = 0
+        for batch in batches:
+            payloads = batch.column("payload").cast(pa.binary())
+            for page_id, url, digest, refers_to, payload in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to")], payloads, strict=True):
+                member = gzip.compress(record(page_id, url, payload.as_py(), digest, refers_to), 6, mtime=0)
+                if members and held + len(member) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+                    members, held = [], 0
+                members.append(member)
+                held += len(member)
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
 
-def field(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), value)
+    return resolved.select("page_id", "url", "digest", "refers_to", "payload").mapInArrow(run, "value binary")
 
 
-def resolve(pages: DataFrame) -> DataFrame:
-    """``pages`` with payload, digest and refers_to (null for responses)."""
-    rows = pick(pages, page_id="bigint", url="string", html="string").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha2("payload", 256)})
-    heads = rows.where(F.col("bytes") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    several = spool(heads.where("n > 1").select("digest", "first_id"), "op2-repeated")
-    found = join_spooled(rows, several, "digest")
-    return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
-
-
-def records(resolved: DataFrame) -> DataFrame:
-    """One column of WARC records without their closing CRLFs."""
-    uri = F.coalesce(F.regexp_replace("url", r"[\r\n]", "%0A"), F.lit(None))
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    common = [field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))), field("WARC-Date", F.lit(EPOCH)), field("WARC-Target-URI", uri), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))]
-    response = header(field("WARC-Type", F.lit("response")), *common, field("Content-Type", F.lit("text/html; charset=utf-8")), field("Content-Length", F.col("bytes").cast("string")))
-    revisit = header(
-        field("WARC-Type", F.lit("revisit")), *common, field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
-        field("WARC-Profile", F.lit(PROFILE)), field("Content-Length", F.lit("0")),
-    )
-    block = F.when(F.col("refers_to").isNull(), F.concat(response, F.lit(END), F.col("payload"))).otherwise(F.concat(revisit, F.lit(END)))
-    return resolved.select(block.alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """Write deduplicated archives, gzip files under ``path``."""
-    records(resolve(pages)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("errorifexists").text(path)
+    files = archives(resolve(pages, broadcast_rows), file_bytes)
+    # a cast of bytes to text keeps them as they are; ISO-8859-1 is of the separator alone
+    files.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).mode("errorifexists").text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
-    at = 0
-    while at < len(content):
-        stop = content.index(b"\r\n\r\n", at)
-        lines = content[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        start, size = stop + 4, int(head["Content-Length"])
-        if content[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"{head['WARC-Record-ID']}: its block doesn't end at its length")
-        yield head, content[start : start + size]
-        at = start + size + 4
+def unzipped(content: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, one at a time, without empty ones."""
+    while content:
+        member = zlib.decompressobj(31)
+        data = member.decompress(content) + member.flush()
+        if not member.eof:
+            raise ValueError("an archive ends within a member")
+        content = member.unused_data
+        if data:
+            yield data
 
 
-READ = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload_bytes bigint, html string"
+def parse(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    stop = member.index(END)
+    lines = member[:stop].decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
+    head = dict(line.split(": ", 1) for line in lines[1:])
+    start, size = stop + len(END), int(head["Content-Length"])
+    if member[start + size :] != END:
+        raise ValueError(f"{head['WARC-Record-ID']}: its block doesn't end at its length")
+    return head, member[start : start + size]
+
+
+READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("html", pa.string())])
+READ_SQL = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload_bytes bigint, html string"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -98,21 +136,28 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         inner = (urn or "")[len("<urn:page:") : -1]
         return int(inner) if inner else None
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
+
         for batch in batches:
-            for content in batch["content"]:
-                out = []
-                for head, block in parse(gzip.decompress(content)):
+            for content in batch.column("content"):
+                rows, held = [], 0
+                for head, block in map(parse, unzipped(content.as_py())):
                     kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
-                        raise ValueError(f"{head['WARC-Record-ID']}: its payload doesn't have its digest")
                     first = kind == "response"
-                    out.append((page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, digest, page(head.get("WARC-Refers-To")), len(block) if first else None, block.decode() if first and payloads else None))
-                frame = pd.DataFrame(out, columns=["page_id", "url", "record_type", "payload_digest", "refers_to", "payload_bytes", "html"])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                    if first and hashlib.sha256(block).hexdigest() != digest:
+                        raise ValueError(f"{head['WARC-Record-ID']}: its payload doesn't have its digest")
+                    rows.append((page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, digest, page(head.get("WARC-Refers-To")), len(block) if first else None, block.decode() if first and payloads else None))
+                    held += 200 + (len(block) if payloads else 0)
+                    if held > BATCH_BYTES:
+                        yield out(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield out(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(parsed, READ)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInArrow(parsed, READ_SQL)
 
 
 def resolved_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -123,6 +168,7 @@ def resolved_archives(spark: SparkSession, path: str, payloads: bool = False) ->
     responses = found.where("record_type = 'response'")
     wanted = revisits.withColumnRenamed("refers_to", "page_id")
     originals = spool(join_spooled(responses, wanted, ["payload_digest", "page_id"], "left_semi").select("payload_digest", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("html").alias("full_html")).dropDuplicates(["payload_digest", "refers_to"]), "op2-originals")
+    discard(revisits)
     joined = join_spooled(found, originals, ["payload_digest", "refers_to"])
     return joined.select("page_id", "url", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.coalesce("html", "full_html").alias("html"))
 
