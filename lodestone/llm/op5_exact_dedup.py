@@ -11,8 +11,9 @@
 
 Nulls count as empty; documents without any character besides white space are equal to each other.
 Ties of length go to the smallest doc_id, a null doc_id comes last. Rows that repeat the keeper's
-doc_id and text are kept with it, as the id names one document. An empty table gives no rows;
-further columns are ignored.
+doc_id and length are kept with it, as the id names one document; rows that repeat its doc_id but
+are shorter aren't. Long texts are many chunks. An empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spooled, pick, spool
+from .common import BROADCAST_ROWS, pick, spool
 
 MIN_CHARS, MAX_CHARS = 512, 4096
+#: Recipes that several documents share are broadcast if they hold at most so many identifiers.
+BROADCAST_IDS = 4_000_000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -65,14 +68,17 @@ def deduplicate(docs: DataFrame, bits: int = 64, least: int = MIN_CHARS, most: i
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("best"),
     )
-    several = spool(groups.where("group_size > 1").select("recipe", "ranks", "group_size", F.col("best.doc_id").alias("keep_id")), "op5-groups")
+    several = spool(groups.where("group_size > 1").select("recipe", "ranks", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars")), "op5-groups")
     # ranks is null unless hashes collided
+    n, ids = several.agg(F.count("*"), F.coalesce(F.sum(F.size("recipe") + F.greatest(F.size(F.coalesce("ranks", F.array().cast("array<int>"))), F.lit(0))), F.lit(0))).first()
     on = several.withColumnsRenamed({"recipe": "r_recipe", "ranks": "r_ranks"})
-    found = join_spooled(recipes, on, [F.col("recipe") == F.col("r_recipe"), F.col("ranks").eqNullSafe(F.col("r_ranks"))], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    small = n <= BROADCAST_ROWS and ids <= BROADCAST_IDS
+    found = recipes.join(F.broadcast(on) if small else on, [F.col("recipe") == F.col("r_recipe"), F.col("ranks").eqNullSafe(F.col("r_ranks"))], "left")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"),
+        (alone | F.col("doc_id").eqNullSafe(keep) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"),
     )
 
 
@@ -93,9 +99,9 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
 ), g AS (
-  SELECT doc_id, t, count(*) OVER (PARTITION BY t) AS group_size,
+  SELECT doc_id, t, n, count(*) OVER (PARTITION BY t) AS group_size, max(n) OVER (PARTITION BY t) AS most,
          first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST) AS keep_id
   FROM d
 )
-SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM g
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = most AS kept, sha256(t) AS text_sha256 FROM g
 """
