@@ -8,11 +8,12 @@
    water filling, in closed form by windows over the few rows of the tree.
 3. A leaf passes through whole epochs and then takes a prefix of one more, in the seeded order of
    that epoch: the longest that its remaining quota holds. The prefix is found by radix selection:
-   sums by leaf and the next 12 bits of the order, five times, so no leaf is ever sorted.
+   sums by leaf and the next 12 bits of the order, five times, so no leaf is ever sorted. Running
+   sums go by 64 buckets at a time, first of their upper and then of their lower six bits.
 
 Tokens are words, unless ``docs`` is given with a token column. Null and empty texts have no tokens;
-they follow their place in the order. A null language or source is a leaf of its own, named ''.
-Repeated rows share their place, and a place is taken whole or not. Further columns are
+they follow their place in the order. A null language or source is a leaf of its own, named ''; a null
+doc_id has a place as others. Repeated rows share their place, and a place is taken whole or not. Further columns are
 ignored by ``mix`` and kept by ``mixed_rows``; an empty table gives no rows.
 """
 
@@ -92,6 +93,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def first_over(sums: DataFrame) -> DataFrame:
+    """Leaf, bucket, rest: the first bucket of each leaf at which its running sum exceeds its rest,
+    and what is left of the rest before that bucket."""
+    running = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket"))
+    over = sums.withColumn("upto", running).where("upto > rest")
+    first = over.groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("m"))
+    return first.select(*LEAF, "m.bucket", "m.rest")
+
+
 def cutoffs(places: DataFrame, plan: DataFrame, n_leaves: int) -> DataFrame:
     """``plan`` with cut: the place at which a leaf's prefix first exceeds its rest. Places before are taken."""
     at = plan.select(*LEAF, F.lit(0).cast("bigint").alias("cut"), "rest")
@@ -100,10 +110,12 @@ def cutoffs(places: DataFrame, plan: DataFrame, n_leaves: int) -> DataFrame:
         inside = places.join(small(at, n_leaves), LEAF)
         if known:
             inside = inside.where(F.shiftrightunsigned("key", shift + ROUND_BITS) == F.shiftrightunsigned("cut", shift + ROUND_BITS))
-        sums = inside.groupBy(*LEAF, F.shiftrightunsigned("key", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-        running = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket"))
-        over = sums.withColumn("upto", running).where("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("m"))
-        at = spool(over.select(*LEAF, F.shiftleft("m.bucket", shift).alias("cut"), "m.rest"), "op7-cut")
+        sums = spool(inside.groupBy(*LEAF, F.shiftrightunsigned("key", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest")), "op7-sums")
+        half = ROUND_BITS // 2
+        upper = first_over(sums.groupBy(*LEAF, F.shiftrightunsigned("bucket", half).alias("bucket")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest")))
+        lower = sums.drop("rest").join(small(upper.withColumnRenamed("bucket", "upper"), n_leaves), LEAF).where(F.shiftrightunsigned("bucket", half) == F.col("upper"))
+        before, at = at, spool(first_over(lower).select(*LEAF, F.shiftleft("bucket", shift).alias("cut"), "rest"), "op7-cut")
+        discard(sums, *([before] if known else []))
     return plan.join(at.select(*LEAF, "cut"), LEAF, "left")
 
 
