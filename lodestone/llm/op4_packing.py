@@ -1,6 +1,7 @@
 """Token-id output: best-fit-decreasing packing into rows of a fixed length.
 
-1. Each text is encoded with a public vocabulary and closed by an end token. A document longer than
+1. Each text is encoded with a public vocabulary, whose file the driver reads and broadcasts, and
+   closed by an end token. A document longer than
    a row is split into pieces of a row's length and a rest; nothing is dropped.
 2. Pieces of one input split, up to GROUP_TOKENS at a time, are packed where they were read, so no
    text or token is shuffled. Pieces go in order of falling length, each into the row with the least
@@ -21,8 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick
@@ -42,13 +43,19 @@ SCHEMA = "pack_id bigint, n_tokens int, token_ids binary, cu_seqlens array<int>,
 _encodings: dict = {}
 
 
-def encoding(path: str, pattern: str = PATTERN):
-    """The vocabulary, loaded once a worker."""
+def vocabulary_of(spark: SparkSession, path: str) -> Broadcast:
+    """Name and lines of the vocabulary file, which only the driver has to see; some MB at most."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast((path, f.read()))
+
+
+def encoding(shared: Broadcast, pattern: str = PATTERN):
+    """The vocabulary, built once a worker."""
+    path, lines = shared.value
     if path not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         _encodings[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
 
@@ -104,6 +111,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> list[list[int]]:
 def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABULARY, end_token: int = END_TOKEN, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Packed rows, as SCHEMA has them."""
     kind = np.dtype("<u2" if end_token < 1 << 16 else "<u4")
+    shared = vocabulary_of(docs.sparkSession, vocabulary)
 
     def packed(group: list[tuple[int | None, np.ndarray]], at: int, first: int) -> pa.RecordBatch:
         pieces = [(k, n, a) for k, (_, ids) in enumerate(group) for n, a in enumerate(range(0, len(ids), row_tokens))]
@@ -120,7 +128,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PACKED, strict=True)], schema=PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, first = encoding(vocabulary), TaskContext.get().partitionId() << 40
+        code, first = encoding(shared), TaskContext.get().partitionId() << 40
         at = first
         group: list[tuple[int | None, np.ndarray]] = []
         held = 0
@@ -141,6 +149,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
 def unpack(rows: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABULARY, end_token: int = END_TOKEN) -> DataFrame:
     """doc_id, text of every packed row: the inverse of ``pack``."""
     kind = np.dtype("<u2" if end_token < 1 << 16 else "<u4")
+    shared = vocabulary_of(rows.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +162,7 @@ def unpack(rows: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCA
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoding(vocabulary)
+        code = encoding(shared)
         for batch in batches:
             texts = [code.decode(np.frombuffer(b"".join(x["ids"] for x in parts), kind)[:-1].tolist()) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
