@@ -251,3 +251,24 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     out = join_spooled(out, labels, "node", "left", n_labels)
     found = F.coalesce("component", "node")
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT row, doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS shingle FROM (SELECT row, doc_id, w, unnest(range(1, greatest(2, len(w) - {WORDS - 2}))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT row, doc_id, count(*) AS n FROM s GROUP BY ALL
+), links AS (
+  SELECT DISTINCT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.row AS ra, y.row AS rb, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.row = ra JOIN n nb ON nb.row = rb WHERE 100 * common >= {PERCENT} * (na.n + nb.n - common)
+), reach(node, other) AS (
+  SELECT DISTINCT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+), least AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least.component_id, coalesce(d.doc_id = least.component_id, true) AS kept
+FROM d LEFT JOIN n ON n.row = d.row LEFT JOIN least ON least.node = d.doc_id
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import op1_decontaminate, op2_warc, op3_licenses, op4_packing, op5_exact_dedup, op6_minhash, op7_mixing, op8_toxicity, op9_quality, op10_substring
 from .common import read
@@ -38,7 +39,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op8_toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", "n_segments")
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
 
 
 def op9_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +62,7 @@ ORACLE = {
     "op2_warc_revisits": op2_warc.ORACLE_SQL,
     "op3_license_scan": op3_licenses.ORACLE_SQL,
     "op5_exact_dedup_recipes": op5_exact_dedup.ORACLE_SQL,
+    "op6_minhash_tensored": op6_minhash.ORACLE_SQL,
     "op7_mix_sources": op7_mixing.ORACLE_SQL,
+    "op10_substring_trees": op10_substring.ORACLE_SQL,
 }
