@@ -13,8 +13,8 @@ CJK_WIDE = r"[\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]"
 
 #: Words of login walls and bot checks.
 ANTI_BOT = (
-    "captcha", "verify", "verification", "security check", "access denied", "blocked", "manual auth",
-    "验证码", "请先登录", "登录 / 注册", "登录/注册", "人机验证", "安全验证", "需要验证", "访问异常", "频繁访问",
+    "验证码", "captcha", "verify", "verification", "请先登录", "登录 / 注册", "登录/注册", "人机验证", "安全验证", "需要验证", "访问异常", "频繁访问",
+    "security check", "access denied", "blocked", "manual auth",
 )
 #: Titles that are no title.
 WALL_TITLES = ("登录", "登录 / 注册", "访问异常", "安全验证", "人机验证")
@@ -105,6 +105,12 @@ def is_zh(text: Column) -> Column:
     return F.coalesce(count(text, CJK) / F.nullif(F.length(text), F.lit(0)) > 0.2, F.lit(False))
 
 
+def non_blank_language(text: Column) -> Column:
+    """zh or en by the share of CJK among characters other than blanks; unknown without any."""
+    n = F.length(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")))
+    return F.when(n == 0, "unknown").when(count(text, CJK_WIDE) / n > 0.3, "zh").otherwise("en")
+
+
 def is_english(text: Column) -> Column:
     return F.coalesce(count(text, "[a-zA-Z]") / F.nullif(F.length(text), F.lit(0)) > 0.7, F.lit(False))
 
@@ -162,24 +168,31 @@ def section(text: Column, pattern: str) -> Column:
 
 
 def excerpt(text: Column, words: int) -> Column:
-    """The first words, and an ellipsis if there are more."""
+    """The first words, with an ellipsis if there are more; a short text stays as it is."""
     w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    return F.concat(F.array_join(F.slice(w, 1, words), " "), F.when(F.size(w) > words, "...").otherwise(""))
+    return F.when(F.size(w) > words, F.concat(F.array_join(F.slice(w, 1, words), " "), F.lit("…"))).otherwise(text)
 
 
 def summarize(text: Column, most: int) -> Column:
-    """The first ``most`` characters, cut at the last blank, with an ellipsis."""
+    """The first ``most`` characters of one line, cut at the last blank, with an ellipsis."""
     one = strip(F.regexp_replace(text, r"\s+", " "))
     head = F.substring(one, 1, most)
     cut = F.regexp_extract(head, r"^(.*) [^ ]*$", 1)
     return F.when(F.length(one) <= most, one).otherwise(F.concat(F.when(cut != "", cut).otherwise(head), F.lit("…")))
 
 
+#: Marks that end a sentence, in the order in which they are tried.
+SENTENCE_ENDS = ("。", ".", "！", "!", "?", "\n")
+
+
 def truncate_sentence(text: Column, most: int) -> Column:
-    """Cut after the last sentence within ``most`` characters, if that keeps a third; else with an ellipsis."""
+    """Cut after the last of the first mark that is beyond a third of ``most``, else with an ellipsis."""
     head = F.substring(text, 1, most)
-    whole = F.regexp_extract(head, r"(?s)^(.*[.!?。！？])", 1)
-    return F.when(F.length(text) <= most, text).when(F.length(whole) > most / 3, whole).otherwise(F.concat(head, F.lit("…")))
+    out = F.when(F.length(text) <= most, text)
+    for mark in SENTENCE_ENDS:
+        at = F.length(head) - F.instr(F.reverse(head), mark) + 1  # place of the last one
+        out = out.when(F.contains(head, F.lit(mark)) & (at - 1 > most // 3), F.substr(head, F.lit(1), at))
+    return out.otherwise(F.concat(head, F.lit("…")))
 
 
 def pack_parts(parts: Column, most: int, joiner: str) -> Column:
@@ -257,17 +270,6 @@ def skills_in(text: Column, names: Sequence[str] = SKILLS) -> Column:
     return F.array_sort(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: low.contains(F.lower(n))))
 
 
-def skills_by_pattern(text: Column, patterns: Sequence[str], most: int = 20) -> Column:
-    """Matches of the patterns in order, each once, at most ``most``."""
-    return F.slice(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])), 1, most)
-
-
-def first_field(text: Column, patterns: Sequence[str], default: str) -> Column:
-    """First group of the first pattern that matches."""
-    found = [F.nullif(strip(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns]
-    return F.coalesce(*found, F.lit(default))
-
-
 def is_garbage(source: str, title: str, company: str, raw_text: str, position: Column, crawled: Sequence[str] = CRAWLED, words: Sequence[str] = ANTI_BOT) -> Column:
     """A crawled row with words of a bot check and a weak sign of being a posting."""
     weak = either(F.length(strip(F.coalesce(raw_text, F.lit("")))) < 300, blank(F.col(title)), blank(F.col(company)), F.coalesce(F.trim(title).isin(*WALL_TITLES), F.lit(False)), position.isNull())

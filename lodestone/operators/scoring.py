@@ -103,6 +103,26 @@ def page(n_header: Column, experience: Column, projects: Column, n_education: Co
     )
 
 
+def suggestions(gpas: Column, durations: Column, skills: Column, longest: Column) -> Column:
+    """What to leave out of a resume that exceeds a page: a low GPA, short stays, repeated skills, the
+    longest sections; at least one."""
+    texts = "array<string>"
+    low = F.get(F.filter(gpas, lambda g: g < 3.0), 0)
+    months = lambda m: F.regexp_extract(m, r"(\d+)\s*月", 1).try_cast("int")
+    short = F.transform(F.filter(F.coalesce(durations, F.array().cast(texts)), lambda m: F.coalesce(months(m) < 3, F.lit(False))), lambda m: F.concat(F.lit("短期实习（"), m, F.lit("）≤ 3 月，建议合并或删除")))
+    often = F.filter(F.array_distinct(skills), lambda s: F.size(F.filter(skills, lambda o: o == s)) >= 3)
+    lines = {
+        "experience": "工作经历段落总行数最多，建议精简描述 / 删除最早一段", "projects": "项目经历段落总行数最多，建议只保留 2-3 个最相关的项目",
+        "achievements": "独立成果数据条目过多（>5 条），建议合并相似项",
+    }
+    found = F.concat(
+        F.when(low.isNotNull(), F.array(F.concat(F.lit("GPA "), low.cast("string"), F.lit(" 低于 3.0，建议删除 GPA 字段")))).otherwise(F.array().cast(texts)), short,
+        F.when(F.size(often) > 0, F.array(F.concat(F.lit("重复技能 "), F.array_join(F.slice(often, 1, 3), ", "), F.lit(" 出现 ≥ 3 次，可去重")))).otherwise(F.array().cast(texts)),
+        *[F.when(F.array_contains(longest, name), F.array(F.lit(line))).otherwise(F.array().cast(texts)) for name, line in lines.items()],
+    )
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("简历超出一页，建议精简整体内容")))
+
+
 def rule_score(resume: Column, job: Column, years: Column) -> Column:
     """Share of the job's skills in percent, half without skills, ten up or down by experience."""
     base = F.when(F.size(job) > 0, F.floor(F.size(F.array_intersect(resume, job)) / F.size(job) * 100)).otherwise(50)

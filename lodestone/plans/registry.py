@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import frames as S
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+_SOME = "CASE o_orderkey % {0} WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE {1} END"
+_SAID = "CASE o_orderkey % 3 WHEN 0 THEN [] WHEN 1 THEN [''] ELSE ['a', 'b'] END"
 #: Canonical frames as SQL over the driver's tables; ``lodestone.sources.frames`` builds the same in Spark.
 FRAMES_SQL = {
     "jds": """SELECT doc_id AS id, 'u' || (doc_id % 7) AS user_id, 'http://x.example/job/' || (doc_id % 400) || '?p=1#top' AS url,
@@ -37,6 +41,12 @@ FRAMES_SQL = {
     "ranked": """SELECT l_orderkey AS query_id, l_partkey AS candidate, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS INTEGER) AS rank,
         CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS INTEGER) AS score, CAST(1 + l_partkey % 5 AS INTEGER) AS score2, l_returnflag = 'R' AS is_mock, l_linestatus AS source, l_suppkey % 7 = 0 AS is_origin FROM lineitem""",
     "skills": """SELECT o_custkey AS user_id, list_sort(list(DISTINCT p_brand)) AS skills, count(DISTINCT o_orderkey) AS n_orders FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_custkey""",
+    "postings": f"""SELECT p_partkey AS id, {S.POSTING} AS text FROM part""",
+    "listings": f"""SELECT p_partkey AS id, {S.LISTING} AS text FROM part""",
+    "cvs": f"""SELECT * FROM (SELECT {S.CONTACT} FROM customer) LEFT JOIN (SELECT o_custkey AS id,
+        list({{'at': o_orderkey, 'company': {_SOME.format(4, "'Acme'")}, 'title': {_SOME.format(5, "'Dev'")}, 'duration': CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 7) || ' 月' END, 'description': {_SOME.format(6, "'did it'")}, 'achievements': {_SAID}}} ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS experience,
+        list({{'at': o_orderkey, 'name': {_SOME.format(3, "'P'")}, 'role': {_SOME.format(5, "'R'")}, 'tech_stack': {_SAID}, 'description': {_SOME.format(4, "'D'")}, 'achievements': {_SAID}}} ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS projects
+        FROM orders GROUP BY o_custkey) USING (id)""",
     "tree": """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey - 1 END AS parent_id, CAST(p_size AS INTEGER) AS version, p_partkey % 50 = 3 AS is_primary FROM part""",
 }
 

@@ -109,31 +109,6 @@ def fn_strip_bullet(spark, d):
 _STATE = "last_value(CASE WHEN contains(lower(line), 'the') THEN 'responsibilities' WHEN contains(lower(line), 'der') THEN 'requirements' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no)"
 
 
-@query("fn_split_resp_req", f"SELECT doc_id, count(*) FILTER (WHERE state = 'responsibilities') AS responsibilities, count(*) FILTER (WHERE state = 'requirements') AS requirements FROM (SELECT doc_id, {_STATE} AS state FROM ({_L})) GROUP BY doc_id")
-def fn_split_resp_req(spark, d):
-    """Lines belong to what the last marked line said."""
-    w = Window.partitionBy("doc_id").orderBy("at")
-    mark = F.when(F.lower("line").contains("the"), "responsibilities").when(F.lower("line").contains("der"), "requirements")
-    rows = C.lines_of(S.table(spark, d, "documents"), "doc_id", "text").withColumn("state", F.last(mark, ignorenulls=True).over(w))
-    return rows.groupBy("doc_id").agg(F.count_if(F.col("state") == "responsibilities").alias("responsibilities"), F.count_if(F.col("state") == "requirements").alias("requirements"))
-
-
-@query("fn_resume_sections", f"SELECT doc_id, word, CAST(min(line_no) AS INTEGER) AS first_line FROM ({_L}), (VALUES ('the'), ('die'), ('que')) v(word) WHERE length(line) < 60 AND contains(lower(line), word) GROUP BY doc_id, word")
-def fn_resume_sections(spark, d):
-    """First short line of each section's keyword."""
-    lines = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.length("line") < 60)
-    words = lines.select("doc_id", "at", F.lower("line").alias("low"), F.explode(F.array(F.lit("the"), F.lit("die"), F.lit("que"))).alias("word"))
-    return words.where(F.contains("low", "word")).groupBy("doc_id", "word").agg(F.min("at").alias("first_line"))
-
-
-@query("rule_context", "SELECT conv_id, turn, '[' || role || '] ' || coalesce(lag(substr(text, 1, 30)) OVER w, 'none') || ' | ' || coalesce(lead(substr(text, 1, 30)) OVER w, 'none') AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def rule_context(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    head = F.substring("text", 1, 30)
-    context = F.concat(F.lit("["), "role", F.lit("] "), F.coalesce(F.lag(head).over(w), F.lit("none")), F.lit(" | "), F.coalesce(F.lead(head).over(w), F.lit("none")))
-    return S.table(spark, d, "conversations").select("conv_id", "turn", context.alias("context"))
-
-
 # -- scores ---------------------------------------------------------------------------------------------
 
 _SUB = f"""SELECT id, least(1, CASE WHEN id % 2 = 0 THEN 0.35 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.10 ELSE 0 END + CASE WHEN n_tags > 0 THEN 0.20 + least(0.20, n_tags * 0.04) ELSE 0 END + CASE WHEN industry_tag <> '' THEN 0.20 ELSE 0 END)::DOUBLE AS parsed,

@@ -87,11 +87,6 @@ def filter_garbage(spark, d):
     return rows.where(T.is_garbage("source", "title", "company", "raw_text", F.col("position_tag"), crawled=("src1", "src2", "src3"), words=("verify", "license", "blocked"))).select("id", "source")
 
 
-@query("filter_criteria", "SELECT id, salary_min, salary_max, company FROM jds WHERE salary_min >= 8 AND salary_max <= 30 AND contains(lower(company), 'c1')", ("jds",))
-def filter_criteria(spark, d):
-    return S.jds(spark, d).where((F.col("salary_min") >= 8) & (F.col("salary_max") <= 30) & store.contains_any("C1", "company")).select("id", "salary_min", "salary_max", "company")
-
-
 @query("filter_threshold_strategy", "SELECT m.id, s.strategy, m.score FROM matches m, (VALUES ('aggressive', 65), ('balanced', 70), ('conservative', 75)) s(strategy, least) WHERE m.score >= s.least", ("matches",))
 def filter_threshold_strategy(spark, d):
     least = F.create_map(*[F.lit(x) for x in ("aggressive", 65, "balanced", 70, "conservative", 75)])
@@ -142,11 +137,6 @@ def live_snapshot(spark, d):
     return S.live(S.jds(spark, d)).agg(F.count("*").alias("total"), F.count_if(recent).alias("recent"), F.countDistinct("industry_tag").alias("industries"), F.countDistinct("source").alias("platforms"))
 
 
-@query("validate_row", "SELECT id, coalesce(salary_min > salary_max, false) AS salary_reversed, language NOT IN ('en', 'de', 'fr') AS bad_language, coalesce(quality_score NOT BETWEEN 0 AND 0.9, false) AS bad_score FROM jds", ("jds",))
-def validate_row(spark, d):
-    return S.jds(spark, d).selectExpr("id", "coalesce(salary_min > salary_max, false) AS salary_reversed", "language NOT IN ('en', 'de', 'fr') AS bad_language", "coalesce(NOT (quality_score BETWEEN 0 AND 0.9), false) AS bad_score")
-
-
 @query("case_bands", "SELECT id, CASE WHEN quality_score IS NULL THEN 'unrated' WHEN quality_score >= 0.7 THEN '4' WHEN quality_score >= 0.5 THEN '3' WHEN quality_score >= 0.3 THEN '2' ELSE '1' END AS stars, CASE WHEN quality_score * 100 >= 85 THEN 'high' WHEN quality_score * 100 >= 70 THEN 'medium' ELSE 'low' END AS level, CASE WHEN length(title) > 15 THEN 'long' WHEN length(title) > 5 THEN 'medium' ELSE 'short' END AS form, CASE WHEN quality_score >= 0.1 THEN 'red' WHEN quality_score >= 0.03 THEN 'amber' ELSE 'green' END AS colour FROM jds", ("jds",))
 def case_bands(spark, d):
     q = F.col("quality_score")

@@ -96,9 +96,3 @@ def scan_text_file(spark, d):
     return texts.agg(F.count("*").alias("n"), F.sum(F.length(F.rtrim(F.regexp_replace("text", "\n", "")))).alias("n_chars"))
 
 
-@query("scan_pdf_blocks", "SELECT doc_id, CAST(i AS INTEGER) AS block, CASE WHEN contains(x, '|') THEN 'table' WHEN regexp_matches(x, '^[ ]*([-*•]|[0-9]+[.)])[ ]') THEN 'list' WHEN length(x) <= 40 AND NOT regexp_matches(x, '[.!?]$') THEN 'heading' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(x) <> ''")
-def scan_pdf_blocks(spark, d):
-    """Kinds of the text blocks of a document, by the text heuristics alone."""
-    lines = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "x")).where(F.trim("x") != "")
-    kind = F.when(F.col("x").contains("|"), "table").when(F.regexp_like("x", F.lit(r"^[ ]*([-*•]|[0-9]+[.)])[ ]")), "list").when((F.length("x") <= 40) & ~F.regexp_like("x", F.lit(r"[.!?]$")), "heading").otherwise("paragraph")
-    return lines.select("doc_id", "block", kind.alias("kind"))

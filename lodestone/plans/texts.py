@@ -106,12 +106,15 @@ def fn_summarize(spark, d):
     return docs(spark, d).select("doc_id", T.summarize(F.col("text"), 80).alias("summary"))
 
 
-@query("fn_truncate_sentence", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN length(regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?。！？])', 1)) > 200 / 3 THEN regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?。！？])', 1) ELSE substr(text, 1, 200) || '…' END AS head FROM documents")
+_CUTS = " ".join(f"WHEN contains(head, {m}) AND length(head) - strpos(reverse(head), {m}) > 66 THEN substr(head, 1, length(head) - strpos(reverse(head), {m}) + 1)" for m in ("'。'", "'.'", "'！'", "'!'", "'?'", "chr(10)"))
+
+
+@query("fn_truncate_sentence", f"SELECT doc_id, CASE WHEN length(text) <= 200 THEN text {_CUTS} ELSE head || '…' END AS head FROM (SELECT doc_id, text, substr(text, 1, 200) AS head FROM documents)")
 def fn_truncate_sentence(spark, d):
     return docs(spark, d).select("doc_id", T.truncate_sentence(F.col("text"), 200).alias("head"))
 
 
-@query("fn_excerpt", f"SELECT doc_id, array_to_string(w[1:30], ' ') || CASE WHEN len(w) > 30 THEN '...' ELSE '' END AS head FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents)")
+@query("fn_excerpt", f"SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '…' ELSE text END AS head FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents)")
 def fn_excerpt(spark, d):
     return docs(spark, d).select("doc_id", T.excerpt(F.col("text"), 30).alias("head"))
 
@@ -158,13 +161,6 @@ def fn_days_old(spark, d):
 _LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 
 
-@query("fn_parse_line_records", f"SELECT doc_id, line, trim(substr(x, 1, 120)) AS title FROM ({_LINES}) WHERE length(trim(x)) >= 10 AND NOT contains(lower(x), 'verify')")
-def fn_parse_line_records(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "x"))
-    kept = lines.where((F.length(F.trim("x")) >= 10) & ~T.holds_any(F.col("x"), ("verify",)))
-    return kept.select("doc_id", (F.col("at") + 1).cast("bigint").alias("line"), F.trim(F.substring("x", 1, 120)).alias("title"))
-
-
 _NAMES = "[" + ", ".join(f"'{n}'" for n in sorted(T.SKILLS)) + "]"
 
 
@@ -176,48 +172,9 @@ def fn_extract_skills_dict(spark, d):
 _PATTERNS = (r"\b[A-Z][a-z]+ing\b", r"\b[A-Z]{3,}\b", r"\bth[a-z]{3}\b")
 
 
-@query("fn_extract_skills_regex")
-def fn_extract_skills_regex(spark, d):
-    return docs(spark, d).select("doc_id", T.skills_by_pattern(F.col("text"), _PATTERNS).alias("skills"))
-
-
-@query("fn_extract_field", f"SELECT page_id, coalesce(nullif({_strip("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, ''), nullif({_strip("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, ''), 'untitled') AS title FROM pages")
-def fn_extract_field(spark, d):
-    return pages(spark, d).select("page_id", T.first_field(F.col("html"), ["<h1>([^<]*)</h1>", "<title>([^<]*)</title>"], "untitled").alias("title"))
-
-
-@query("fn_extract_requirements", f"SELECT doc_id, list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5 AND contains(lower(x), 'the')), 1, 10) AS required FROM documents")
-def fn_extract_requirements(spark, d):
-    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    return docs(spark, d).select("doc_id", F.slice(F.filter(lines, lambda x: (F.length(x) > 5) & F.lower(x).contains("the")), 1, 10).alias("required"))
-
-
-@query("fn_completeness", "SELECT c_custkey AS id, list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'name' END, CASE WHEN c_custkey % 3 = 0 THEN 'phone' END, CASE WHEN c_acctbal < 0 THEN 'skills' END], lambda x: x IS NOT NULL) AS missing FROM customer")
-def fn_completeness(spark, d):
-    return S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_compact(F.array(F.when(F.col("c_custkey") % 2 == 0, "name"), F.when(F.col("c_custkey") % 3 == 0, "phone"), F.when(F.col("c_acctbal") < 0, "skills"))).alias("missing"))
-
-
 _ISSUES = "CAST(c_custkey % 2 = 0 AS INTEGER) + CAST(c_custkey % 3 = 0 AS INTEGER) * 2 + CAST(c_acctbal < 0 AS INTEGER)"
 
 
-@query("fn_profile_validate", f"SELECT c_custkey AS id, (10 - ({_ISSUES})) / 10.0::DOUBLE AS score, (10 - ({_ISSUES})) / 10.0::DOUBLE >= 0.8 AS valid FROM customer")
-def fn_profile_validate(spark, d):
-    n = (F.col("c_custkey") % 2 == 0).cast("int") + (F.col("c_custkey") % 3 == 0).cast("int") * 2 + (F.col("c_acctbal") < 0).cast("int")
-    return S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((10 - n) / F.lit(10.0)).alias("score")).withColumn("valid", F.col("score") >= 0.8)
-
-
-@query("fn_section_validation", "SELECT user_id, list_filter(list_transform(skills, lambda s, i: CASE WHEN NOT s LIKE 'Brand#1%' THEN 'item ' || i END), lambda x: x IS NOT NULL) AS missing FROM skills", ("skills",))
-def fn_section_validation(spark, d):
-    """Labels, with the item's number, of the items that lack what is required."""
-    labels = F.transform("skills", lambda s, i: F.when(~s.startswith("Brand#1"), F.concat(F.lit("item "), i + 1)))
-    return S.skills(spark, d).select("user_id", F.array_compact(labels).alias("missing"))
-
-
-@query("fn_detect_empty_sections", "SELECT id, list_filter([CASE WHEN n_tags = 0 THEN 'tags' END, CASE WHEN quality_score IS NULL THEN 'quality' END, CASE WHEN salary_max IS NULL THEN 'salary' END], lambda x: x IS NOT NULL) AS empty FROM jds", ("jds",))
-def fn_detect_empty_sections(spark, d):
-    return S.jds(spark, d).select("id", F.array_compact(F.array(F.when(F.col("n_tags") == 0, "tags"), F.when(F.col("quality_score").isNull(), "quality"), F.when(F.col("salary_max").isNull(), "salary"))).alias("empty"))
-
-
 _WALL = "(contains(lower(html), 'captcha') OR contains(lower(html), 'verify') OR contains(lower(html), 'blocked') OR contains(lower(html), 'access denied') OR contains(lower(html), 'security check') OR contains(lower(html), 'manual auth') OR contains(lower(html), 'verification'))"
 
 
@@ -232,27 +189,6 @@ def fn_is_garbage(spark, d):
     return rows.select("doc_id", T.is_garbage("source", "title", "company", "text", F.lit("p"), crawled=("src1",), words=("license",)).alias("garbage"))
 
 
-@query("fn_looks_like_list", f"SELECT doc_id, avg(CAST(regexp_matches(x, '^[ ]*([-*•]|[0-9]+[.)])[ ]') AS INTEGER)) >= 0.5 AS list, avg(CAST(contains(x, '|') AS INTEGER)) >= 0.5 AS table_ FROM ({_LINES}) GROUP BY doc_id")
-def fn_looks_like_list(spark, d):
-    lines = F.split("text", "\n")
-    share = lambda f: F.size(F.filter(lines, f)) / F.size(lines)
-    return docs(spark, d).select("doc_id", (share(lambda x: F.regexp_like(x, F.lit(r"^[ ]*([-*•]|[0-9]+[.)])[ ]"))) >= 0.5).alias("list"), (share(lambda x: x.contains("|")) >= 0.5).alias("table_"))
-
-
-@query("fn_classify_heading", f"SELECT doc_id, line, CASE WHEN length(x) > 40 THEN 'body' WHEN upper(x) = x AND lower(x) <> x THEN 'h1' WHEN x LIKE '%:' THEN 'h2' ELSE 'body' END AS level FROM ({_LINES})")
-def fn_classify_heading(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "x"))
-    level = F.when(F.length("x") > 40, "body").when((F.upper("x") == F.col("x")) & (F.lower("x") != F.col("x")), "h1").when(F.col("x").endswith(":"), "h2").otherwise("body")
-    return lines.select("doc_id", (F.col("at") + 1).cast("bigint").alias("line"), level.alias("level"))
-
-
-@query("fn_block_to_markdown", f"SELECT doc_id, line, '| ' || array_to_string(list_transform(string_split(x, '|'), lambda c: trim(c)), ' | ') || ' |' AS row FROM ({_LINES}) WHERE contains(x, '|')")
-def fn_block_to_markdown(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "x")).where(F.col("x").contains("|"))
-    cells = F.array_join(F.transform(F.split("x", r"\|"), lambda c: F.trim(c)), " | ")
-    return lines.select("doc_id", (F.col("at") + 1).cast("bigint").alias("line"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("row"))
-
-
 @query("fn_chunk_id", "SELECT doc_id, 'chunk_' || regexp_replace(source, '[^A-Za-z0-9]+', '-', 'g') || '_' || (doc_id % 9) || '_' || lpad(CAST(doc_id % 1000 AS VARCHAR), 4, '0') AS id FROM documents")
 def fn_chunk_id(spark, d):
     return docs(spark, d).select("doc_id", T.chunk_id(F.col("source"), F.col("doc_id") % 9, F.col("doc_id") % 1000).alias("id"))
@@ -278,12 +214,6 @@ def fn_filename(spark, d):
     return S.table(spark, d, "part").select("p_partkey", T.filename(F.col("p_name"), F.col("p_brand")).alias("name"))
 
 
-@query("fn_query_forms", f"SELECT id, split_part(trim(title), ' ', 1) AS short, trim(title) AS medium, trim(title) || ' ' || substr(raw_text, 1, 40) AS long FROM jds", ("jds",))
-def fn_query_forms(spark, d):
-    title = F.trim("title")
-    return S.jds(spark, d).select("id", F.split_part(title, F.lit(" "), F.lit(1)).alias("short"), title.alias("medium"), F.concat_ws(" ", title, F.substring("raw_text", 1, 40)).alias("long"))
-
-
 @query("fn_json_get", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
 def fn_json_get(spark, d):
     return S.table(spark, d, "events").select("event_id", T.json_number(F.col("props"), "k").alias("k"))

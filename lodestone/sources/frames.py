@@ -10,6 +10,33 @@ from pyspark.sql.window import Window
 AS_OF = "2024-01-31 00:00:00"
 
 
+#: Texts as expressions that every SQL engine reads alike: a posting and lines of a list of a part, a
+#: resume of a customer, a line of a results page.
+POSTING = """CASE p_partkey % 4 WHEN 0 THEN '职位名称：' || p_name WHEN 1 THEN 'Position: ' || p_name WHEN 2 THEN 'Senior ' || p_name ELSE repeat('x', 60) END || chr(10)
+  || CASE p_partkey % 3 WHEN 0 THEN '公司：' || p_brand || '科技' WHEN 1 THEN 'Company:  ' || p_brand || ' Ltd.' ELSE 'We build things' END || chr(10)
+  || CASE p_partkey % 5 WHEN 0 THEN '工作地点：北京' WHEN 1 THEN 'location: ' || p_type ELSE 'remote' END || chr(10)
+  || CASE p_partkey % 6 WHEN 0 THEN '薪资：' || (p_partkey % 40) || '-' || (p_partkey % 40 + 9) || 'K' WHEN 1 THEN 'Salary:' || p_size ELSE '' END || chr(10)
+  || CASE p_partkey % 2 WHEN 0 THEN '岗位职责：' ELSE 'Responsibilities' END || chr(10)
+  || '• 负责' || p_type || '的设计' || chr(10) || '- lead the team of ' || p_brand || chr(10) || '1. 快速学习新技术' || chr(10) || 'no bullet here' || chr(10) || '- ' || chr(10)
+  || CASE p_partkey % 4 WHEN 0 THEN '【任职要求】' WHEN 1 THEN 'Requirements:' WHEN 2 THEN 'Qualifications' ELSE '你需要' END || chr(10)
+  || '- ' || (p_partkey % 9) || '年以上 Python 或 Java 经验' || chr(10) || '- 精通' || p_name || '，熟悉SQL数据库' || chr(10) || '2) 掌握React框架' || chr(10) || '- ok' || chr(10)
+  || chr(10) || CASE p_partkey % 3 WHEN 0 THEN '【加分项】' WHEN 1 THEN 'Preferred Qualifications:' ELSE '优先' END || chr(10)
+  || '一、英语流利' || chr(10) || '- Kubernetes and Docker' || chr(10) || '2. ok' || chr(10) || chr(10) || 'End.'"""
+LISTING = """CASE p_partkey % 6 WHEN 0 THEN '- ' || p_name || chr(10) || '2 ' || p_type WHEN 1 THEN p_name || ' | ' || p_brand || chr(10) || p_type || ' |' WHEN 2 THEN p_name || chr(10) || '* ' || p_type
+  WHEN 3 THEN p_name || '|' || p_type || chr(10) || '' || chr(10) || p_brand || '|' || p_size WHEN 4 THEN p_name || chr(10) || p_brand || ' | ' || p_type || ' | x' ELSE p_name END"""
+HEADED = """CASE p_partkey % 9 WHEN 0 THEN '1.2.3.4. ' WHEN 1 THEN '1.2.3.' WHEN 2 THEN '10.2. ' WHEN 3 THEN '7. ' WHEN 4 THEN '（3） ' WHEN 5 THEN 'IV. ' WHEN 6 THEN '  ' ELSE '' END || CASE WHEN p_partkey % 10 = 9 THEN '' ELSE repeat(p_name || ' ', CAST(1 + p_partkey % 8 AS INT)) END"""
+RESUME = """c_name || chr(10) || CASE c_custkey % 4 WHEN 0 THEN '工作经历' WHEN 1 THEN 'Work Experience:' WHEN 2 THEN 'My projects' ELSE 'nothing' END || chr(10) || 'a line' || chr(10) || c_mktsegment || chr(10)
+  || CASE c_custkey % 3 WHEN 0 THEN '教育背景' WHEN 1 THEN 'EDUCATION' ELSE repeat('education ', 8) END || chr(10) || 'a school' || chr(10)
+  || CASE c_custkey % 5 WHEN 0 THEN '专业技能' WHEN 1 THEN 'Technical Skills and projects' ELSE 'more' END || chr(10) || 'Python' || chr(10) || 'SQL'"""
+RESULT_LINE = """CASE page_id % 5 WHEN 0 THEN '  Engineer ' || page_id || ' https://jobs.example/job/' || page_id || '.html | 公司：Acme ' || page_id || ' | x' WHEN 1 THEN '登录 https://jobs.example/job/5.html'
+  WHEN 2 THEN 'A long title, ' || repeat('very ', 30) || 'https://jobs.example/job/' || page_id || '.shtml' WHEN 3 THEN 'x https://jobs.example/job/7.html' ELSE 'no link ' || page_id END"""
+#: Columns of a resume that was read, from a customer.
+CONTACT = """c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'Unknown' WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 13 = 0 THEN '未知' ELSE c_name END AS name,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'c' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '.example' WHEN 1 THEN '@nowhere' ELSE '@x.example' END END AS email,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '138-0000 ' || (1000 + c_custkey % 9000) ELSE '12-' || c_custkey END AS phone,
+  CAST(c_custkey % 5 AS INT) AS n_skills, CAST(c_custkey % 6 - 1 AS INT) AS years, CAST(c_custkey % 2 AS INT) AS n_education, CAST(c_custkey % 3 AS INT) AS n_achievements"""
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -96,6 +123,29 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("o_custkey").alias("user_id")).agg(F.sort_array(F.collect_set("p_brand")).alias("skills"), F.countDistinct("o_orderkey").alias("n_orders"))
 
 
+def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumes that were read: contact, counts, and entries of experience and projects by order."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit(""))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    text = lambda n, x: F.when(k % n == 0, None).when(k % n == 1, " ").otherwise(x)
+    job = F.struct(k.alias("at"), text(4, "Acme").alias("company"), text(5, "Dev").alias("title"), F.when(k % 7 > 0, F.concat((k % 7).cast("string"), F.lit(" 月"))).alias("duration"), text(6, "did it").alias("description"), said.alias("achievements"))
+    project = F.struct(k.alias("at"), text(3, "P").alias("name"), text(5, "R").alias("role"), said.alias("tech_stack"), text(4, "D").alias("description"), said.alias("achievements"))
+    nested = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(F.when(F.col("o_orderstatus") != "F", job))).alias("experience"), F.sort_array(F.collect_list(F.when(F.col("o_orderstatus") == "F", project))).alias("projects"))
+    return table(spark, sf_dir, "customer").selectExpr(*fields(CONTACT)).join(nested, "id", "left")
+
+
+def fields(columns: str) -> list[str]:
+    """A list of named expressions as one for each column."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(columns):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not quoted and not depth:
+            out.append(columns[start:i])
+            start = i + 1
+    return [*out, columns[start:]]
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version tree: rows with their parent."""
     return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey - 1 END AS parent_id", "p_size AS version", "p_partkey % 50 = 3 AS is_primary")
