@@ -50,9 +50,46 @@ def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return ranks.groupBy(by).agg(F.count("*").alias("n"), F.when(spread > 0, cov / F.sqrt(F.greatest(spread, F.lit(1e-12)))).otherwise(0.0).alias("rho"))
 
 
-def quota(df: DataFrame, strata: list[str], size: Column, *order: Column) -> DataFrame:
-    """At most ``size`` rows of each stratum, in the given (seeded) order; short strata give all."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_n") <= size).drop("_n")
+def quota(df: DataFrame, strata: list[str], size: Column, most: int, *order: Column) -> DataFrame:
+    """At most ``size`` rows of each stratum, in the given (seeded) order; short strata give all. No
+    size exceeds ``most``, so each partition is pruned to that before the shuffle."""
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_n") <= most)
+    return numbered.where(F.col("_n") <= size).drop("_n")
+
+
+def numbered(df: DataFrame, by: str, part: Column, *order: str) -> DataFrame:
+    """``df`` with number, from 1 on within each value of ``by``, in the given order, of which ``part`` is
+    a range. Rows are numbered within ranges and moved on by the counts of the ranges before, so that no
+    task holds all of a hot value."""
+    rows = df.withColumn("_part", part)
+    counts = rows.groupBy(by, "_part").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = counts.select(by, "_part", before.alias("_before"))
+    local = rows.withColumn("number", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)))
+    return local.join(moved, [by, "_part"]).withColumn("number", F.col("number") + F.col("_before")).drop("_part", "_before")
+
+
+def quantile(counts: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """by, n, mean, quantile (interpolated) from counts (n) of distinct values; nulls don't count."""
+    upto = F.sum(F.when(F.col(value).isNotNull(), F.col("n"))).over(Window.partitionBy(by).orderBy(F.col(value).asc_nulls_last()))
+    rows = counts.withColumn("upto", upto)
+    known = F.when(F.col(value).isNotNull(), F.col("n"))
+    whole = counts.groupBy(by).agg(F.sum("n").alias("n"), F.sum(known).alias("known"), (F.sum(F.col(value) * F.col("n")) / F.sum(known)).alias("mean"))
+    place = (F.col("known") - 1) * share
+    at = rows.select(by, value, "upto").join(whole, by).withColumns({"low": F.floor(place), "high": F.ceil(place), "place": place})
+    found = at.groupBy(by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.min(F.when(F.col("upto") > F.col("low"), F.col(value))).alias("a"), F.min(F.when(F.col("upto") > F.col("high"), F.col(value))).alias("b"), F.first(F.col("place") - F.col("low")).alias("part"))
+    return found.select(by, "n", "mean", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
+
+
+def clamped_scaling(steps: Column) -> Column:
+    """m, low, high of the steps one after the other, each of which scales by m and clamps to low and high."""
+    start = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"))
+
+    def then(a: Column, b: Column) -> Column:
+        clamp = lambda x: F.least(F.greatest(x, b["low"]), b["high"])
+        return F.struct((a["m"] * b["m"]).alias("m"), clamp(a["low"] * b["m"]).alias("low"), clamp(a["high"] * b["m"]).alias("high"))
+
+    return F.aggregate(steps, start, then)
 
 
 def seeded(column: str, seed: int) -> Column:

@@ -67,11 +67,28 @@ def cached(df: DataFrame, position: str, industry: str, function: str | None, no
 
 
 def closure(tree: DataFrame) -> DataFrame:
-    """id, root, depth of every row of ``tree`` (id, parent_id) that a root is above, by pointer doubling.
+    """id, root, depth of every row of ``tree`` (id, parent_id). A row whose parent is missing is a root.
+    A row on a cycle is its own root, and one under a cycle has the row of the cycle that it reaches
+    first; depth then counts from there.
+    """
+    known = tree.select(F.col("id").alias("parent_id"), F.lit(True).alias("known")).where("parent_id is not null").distinct()
+    rows = tree.select("id", "parent_id").join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
+    found, rest = climb(rows)
+    if rest is None:
+        return found
+    # far up from rows without a root there are cycles, and all rows of these
+    cycles = rest.select("at").distinct().select(F.col("at").alias("id"), F.lit(True).alias("round"))
+    left = rows.join(rest.select("id"), "id", "left_semi").join(cycles, "id", "left")
+    under, _ = climb(left.select("id", F.when(F.col("round").isNull(), F.col("parent_id")).alias("parent_id")))
+    return found.unionByName(under)
+
+
+def climb(tree: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """id, root, depth of the rows that have a root, by pointer doubling, and the rows without one (id,
+    at: a row far above), if there are any.
 
     Each round joins rows with what their ancestor points to, so that pointers are twice as long,
-    and is written as a table; after log2(depth) rounds all are at their roots. Rows on or under a
-    cycle or a missing parent have no root and are left out.
+    and is written as a table; after log2(depth) rounds all are at their roots.
     """
     spark, path = tree.sparkSession, work_path(tree.sparkSession, "closure")
     rows = tree.select("id", F.coalesce("parent_id", "id").alias("at"), F.col("parent_id").isNotNull().cast("int").alias("depth"), F.col("parent_id").isNull().alias("done"))
@@ -80,9 +97,11 @@ def closure(tree: DataFrame) -> DataFrame:
         rows.write.parquet(f"{path}/{k}")
         rows = spark.read.schema(schema).parquet(f"{path}/{k}")
         n = rows.count() if n is None else n
-        # pointers longer than there are rows go round in a cycle
-        if reach > n or rows.where("not done").isEmpty():
-            return rows.where("done").select("id", F.col("at").alias("root"), "depth")
+        found = rows.where("done").select("id", F.col("at").alias("root"), "depth")
+        if rows.where("not done").isEmpty():
+            return found, None
+        if reach > n:  # pointers longer than there are rows go round in a cycle
+            return found, rows.where("not done").select("id", "at")
         above = rows.select(F.col("id").alias("above"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
         longer = rows.where("not done").join(above, F.col("at") == F.col("above")).select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
         rows, reach = rows.where("done").unionByName(longer), 2 * reach

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import measure as M
 from ..operators import store
 from ..sources import frames as S
+from . import scores
 from .registry import query
 
 NOW = f"TIMESTAMP '{S.AS_OF}'"
@@ -58,8 +60,10 @@ def ops_mock_rate(spark, d):
 
 @query("ops_latency", f"SELECT coalesce(rerank, 'unknown') AS rerank, count(*) AS n, round(avg(latency), 4) AS mean, round(quantile_cont(latency, 0.95), 4) AS p95 FROM checks WHERE checked_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1", ("checks",))
 def ops_latency(spark, d):
+    """Equal latencies are counted first, so that a quantile is read off running counts of distinct values."""
     rows = S.checks(spark, d).where(F.col("checked_at") >= S.as_of() - F.expr("INTERVAL '7' DAY"))
-    return rows.groupBy(F.coalesce("rerank", F.lit("unknown")).alias("rerank")).agg(F.count("*").alias("n"), F.round(F.avg("latency"), 4).alias("mean"), F.round(F.percentile("latency", F.lit(0.95)), 4).alias("p95"))
+    counts = rows.groupBy(F.coalesce("rerank", F.lit("unknown")).alias("rerank"), "latency").agg(F.count("*").alias("n"))
+    return M.quantile(counts, "rerank", "latency", 0.95).select("rerank", "n", F.round("mean", 4).alias("mean"), F.round("quantile", 4).alias("p95"))
 
 
 @query("ops_success_rate", f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'cache_hit') AS cached, round(count(*) FILTER (WHERE status IN ('success', 'cache_hit')) / count(*), 4) AS success_rate FROM llm_calls WHERE created_at >= {NOW} - INTERVAL 7 DAY", ("llm_calls",))
@@ -81,9 +85,14 @@ def agg_platform_stats(spark, d):
     return S.jds(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("salary_min"), 4).alias("low"), F.round(F.avg("salary_max"), 4).alias("high"), F.count_if(F.col("salary_min").isNotNull() & F.col("salary_max").isNotNull()).alias("paid"))
 
 
-@query("agg_kb_stats", "SELECT skill, count(*) AS n FROM (SELECT unnest(skills) AS skill FROM skills) GROUP BY skill ORDER BY n DESC, skill LIMIT 10", ("skills",))
+@query("agg_kb_stats", "SELECT 'postings' AS stat, CAST(NULL AS VARCHAR) AS name, count(*) AS n FROM part UNION ALL SELECT 'companies', NULL, count(DISTINCT p_brand) FROM part WHERE p_brand <> '' UNION ALL SELECT * FROM (SELECT 'skill', skill, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS skill FROM part) GROUP BY skill ORDER BY n DESC, skill LIMIT 10)")
 def agg_kb_stats(spark, d):
-    return S.skills(spark, d).select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(10)
+    """How many postings and companies there are, and the ten most frequent skills."""
+    rows = S.table(spark, d, "part").select(F.nullif("p_brand", F.lit("")).alias("company"), F.split("p_name", " ").alias("skills"))
+    whole = rows.agg(F.count("*").alias("postings"), F.countDistinct("company").alias("companies"))
+    counts = whole.select(F.explode(F.map_from_arrays(F.array(F.lit("postings"), F.lit("companies")), F.array("postings", "companies"))).alias("stat", "n")).select("stat", F.lit(None).cast("string").alias("name"), "n")
+    skills = rows.select(F.explode("skills").alias("name")).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+    return counts.unionByName(skills.select(F.lit("skill").alias("stat"), "name", "n"))
 
 
 @query("topk_counter", "SELECT position_tag, count(*) AS n FROM jds GROUP BY position_tag ORDER BY n DESC, position_tag LIMIT 3", ("jds",))
@@ -103,9 +112,18 @@ def agg_translate_progress(spark, d):
     return S.chunks(spark, d).agg(F.count("*").alias("total"), done.alias("done"), (F.count("*") - done).alias("pending"), rate(done, F.count("*")).alias("ratio"))
 
 
-@query("agg_source_breakdown", "SELECT user_id, chunk_type, count(*) AS n, min(id) AS first_id FROM chunks GROUP BY user_id, chunk_type", ("chunks",))
+_CUT = "list_filter(c, lambda x, i: x IS NOT NULL AND list_position(c, x) = i)"
+
+
+@query("agg_source_breakdown", f"SELECT query_id, list_sort(list_transform(list_distinct(p), lambda x: x || ':' || len(list_filter(p, lambda y: y = x)))) AS platforms, len({_CUT}) AS n_jds, {_CUT}[1:5] AS top_jds, list_transform(range(0, least(5, len(c))), lambda k: coalesce(c[k + 1], -1) || ' ' || p[k + 1] || ' ' || s[k + 1]) AS top_chunks FROM (SELECT query_id, list(CASE WHEN candidate % 9 > 0 THEN candidate END ORDER BY rank) AS c, list(CASE WHEN rank % 4 = 0 THEN 'other' ELSE source END ORDER BY rank) AS p, list(score ORDER BY rank) AS s FROM ranked GROUP BY query_id)", ("ranked",))
 def agg_source_breakdown(spark, d):
-    return S.chunks(spark, d).groupBy("user_id", "chunk_type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    """What a result list rests on: hits by platform, distinct postings in order, and the first five hits."""
+    hit = F.struct("rank", F.when(F.col("candidate") % 9 > 0, F.col("candidate")).alias("jd_id"), F.when(F.col("rank") % 4 > 0, F.col("source")).alias("platform"), "score")
+    lists = S.ranked(spark, d).groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))  # a result list each
+    platforms, jds = F.transform("hits", lambda h: F.coalesce(h["platform"], F.lit("other"))), F.array_distinct(F.array_compact(F.col("hits.jd_id")))
+    counted = F.transform(F.array_distinct(platforms), lambda x: F.concat(x, F.lit(":"), F.size(F.filter(platforms, lambda y: y == x)).cast("string")))
+    first = F.transform(F.slice("hits", 1, 5), lambda h: F.concat_ws(" ", F.coalesce(h["jd_id"], F.lit(-1)).cast("string"), F.coalesce(h["platform"], F.lit("other")), h["score"].cast("string")))
+    return lists.select("query_id", F.array_sort(counted).alias("platforms"), F.size(jds).cast("bigint").alias("n_jds"), F.slice(jds, 1, 5).alias("top_jds"), first.alias("top_chunks"))
 
 
 @query("agg_industries_covered", "SELECT user_id, list_sort(list(DISTINCT industry_tag)) AS industries FROM jds GROUP BY user_id", ("jds",))
@@ -113,9 +131,15 @@ def agg_industries_covered(spark, d):
     return S.jds(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_set("industry_tag")).alias("industries"))
 
 
-@query("agg_classify_report", "SELECT industry_tag, position_tag, count(*) AS n FROM jds GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10", ("jds",))
+@query("agg_classify_report", f"WITH c AS ({scores.CLASSIFY_SQL}) SELECT 'layer' AS stat, coalesce(CAST(layer AS VARCHAR), 'none') AS name, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT * FROM (SELECT 'industry', industry, count(*) AS n FROM c WHERE industry IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 5) UNION ALL SELECT * FROM (SELECT 'position', position, count(*) AS n FROM c WHERE industry IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10)")
 def agg_classify_report(spark, d):
-    return S.jds(spark, d).groupBy("industry_tag", "position_tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "industry_tag", "position_tag").limit(10)
+    """Texts by layer of the classifier, the five most frequent industries and the ten most frequent positions, from one pass."""
+    one = lambda stat, name: F.struct(F.lit(stat).alias("stat"), name.alias("name"))
+    said = F.array(one("layer", F.coalesce(F.col("layer").cast("string"), F.lit("none"))), one("industry", F.col("industry")), one("position", F.col("position")))
+    counts = scores.classify(spark, d).select(F.inline(said)).where("name is not null").groupBy("stat", "name").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("stat").orderBy(F.desc("n"), "name"))  # names of a taxonomy
+    most = F.when(F.col("stat") == "industry", 5).when(F.col("stat") == "position", 10).otherwise(10)
+    return counts.withColumn("place", place).where(F.col("place") <= most).select("stat", "name", "n")
 
 
 @query("agg_quality_histogram", "SELECT CASE WHEN quality_score IS NULL THEN 'unrated' WHEN quality_score >= 0.7 THEN '4' WHEN quality_score >= 0.5 THEN '3' WHEN quality_score >= 0.3 THEN '2' ELSE '1' END AS stars, count(*) AS n FROM jds GROUP BY 1", ("jds",))
@@ -123,35 +147,66 @@ def agg_quality_histogram(spark, d):
     return S.jds(spark, d).groupBy(T.stars(F.col("quality_score")).alias("stars")).agg(F.count("*").alias("n"))
 
 
-@query("agg_feedback", "SELECT event_type AS step, count(*) AS n, round(avg(value), 2) AS mean, round(CASE WHEN count(*) < 2 THEN 0 ELSE stddev_samp(value) END, 2) AS deviation, round(count(*) FILTER (WHERE value > 50) / count(*), 4) AS completed FROM events GROUP BY event_type")
+#: A feedback form from an event, as an expression that both engines read.
+_FORM = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'Step ' || (event_id % 5 + 1) END AS step, CASE WHEN event_id % 7 > 0 THEN CAST(event_id % 60 AS INT) END AS minutes, CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'Step ' || (event_id % 4) || ': stuck' END AS blocked_a, CASE WHEN event_id % 9 = 0 THEN 'the end' END AS blocked_b, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 5 + 1 AS INT) END AS preserve_numbers, CAST(event_id % 4 + 1 AS INT) AS natural_rewrite, CASE WHEN event_id = 17 THEN 4 END AS no_fabrication, CAST(NULL AS INT) AS rewrite_reason_helpful, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS intent"
+#: What is rated.
+_RATED = ("preserve_numbers", "natural_rewrite", "no_fabrication", "rewrite_reason_helpful")
+_FEEDBACK = f"""WITH f AS (SELECT {_FORM} FROM events), v AS (
+  SELECT 'step' AS stat, coalesce(step, '未知') AS name, 1.0::DOUBLE AS v FROM f UNION ALL SELECT 'intent', coalesce(intent, '未知'), 1 FROM f
+  UNION ALL SELECT 'blocked', trim(split_part(x, ':', 1)), 1 FROM (SELECT unnest([blocked_a, blocked_b]) AS x FROM f) WHERE x IS NOT NULL
+  UNION ALL SELECT 'finished', 'all', CASE WHEN step = 'Step 5' THEN 1 ELSE 0 END FROM f UNION ALL SELECT 'minutes', 'all', minutes FROM f
+  {" ".join(f"UNION ALL SELECT 'quality', '{k}', {k} FROM f" for k in _RATED)})
+  SELECT stat, name, count(v) AS n, round(coalesce(avg(v), 0), 2) AS mean, round(CASE WHEN count(v) < 2 THEN 0 ELSE stddev_samp(v) END, 2) AS deviation FROM v GROUP BY stat, name"""
+
+
+@query("agg_feedback", _FEEDBACK)
 def agg_feedback(spark, d):
-    return S.table(spark, d, "events").groupBy(F.split_part("event_type", F.lit(":"), F.lit(1)).alias("step")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 2).alias("deviation"), F.round(rate(F.count_if(F.col("value") > 50), F.count("*")), 4).alias("completed"))
+    """Counts of steps, intents and blocked steps, the share that finished, minutes and ratings, from one pass."""
+    one = lambda stat, name, v: F.struct(F.lit(stat).alias("stat"), name.alias("name"), v.cast("double").alias("v"))
+    all_, step = F.lit("all"), F.coalesce("step", F.lit("未知"))
+    rows = S.table(spark, d, "events").selectExpr(*S.fields(_FORM))
+    blocked = F.transform(F.array_compact(F.array("blocked_a", "blocked_b")), lambda x: one("blocked", F.trim(F.split_part(x, F.lit(":"), F.lit(1))), F.lit(1)))
+    said = F.array(one("step", step, F.lit(1)), one("intent", F.coalesce("intent", F.lit("未知")), F.lit(1)), one("finished", all_, F.coalesce((F.col("step") == "Step 5").cast("int"), F.lit(0))), one("minutes", all_, F.col("minutes")), *[one("quality", F.lit(k), F.col(k)) for k in _RATED])
+    values = rows.select(F.inline(F.concat(said, blocked)))
+    return values.groupBy("stat", "name").agg(F.count("v").alias("n"), F.round(F.coalesce(F.avg("v"), F.lit(0.0)), 2).alias("mean"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 2).alias("deviation"))
 
 
-@query("agg_match_stats", "SELECT user_id, count(*) FILTER (WHERE score >= 80) AS high, count(*) FILTER (WHERE score >= 70 AND score < 80) AS medium, count(*) FILTER (WHERE score < 70) AS low, round(avg(score), 4) AS mean FROM matches GROUP BY user_id", ("matches",))
+@query("agg_match_stats", "SELECT user_id, count(*) FILTER (WHERE score >= 80) AS high, count(*) FILTER (WHERE score >= 70 AND score < 80) AS medium, count(*) FILTER (WHERE score < 70) AS low, round(avg(score), 4) AS mean, CASE WHEN avg(score) >= 80 THEN 1.0::DOUBLE WHEN avg(score) >= 70 THEN 0.8::DOUBLE WHEN avg(score) >= 50 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS quality FROM matches GROUP BY user_id", ("matches",))
 def agg_match_stats(spark, d):
     s = F.col("score")
-    return S.matches(spark, d).groupBy("user_id").agg(F.count_if(s >= 80).alias("high"), F.count_if((s >= 70) & (s < 80)).alias("medium"), F.count_if(s < 70).alias("low"), F.round(F.avg(s), 4).alias("mean"))
+    quality = F.when(F.avg(s) >= 80, 1.0).when(F.avg(s) >= 70, 0.8).when(F.avg(s) >= 50, 0.6).otherwise(0.4)
+    return S.matches(spark, d).groupBy("user_id").agg(F.count_if(s >= 80).alias("high"), F.count_if((s >= 70) & (s < 80)).alias("medium"), F.count_if(s < 70).alias("low"), F.round(F.avg(s), 4).alias("mean"), quality.alias("quality"))
 
 
-@query("agg_search_quality", "SELECT source, round((0.5 + 0.3 * avg(CAST(length(title) > 20 AS INTEGER)) + 0.2 * avg(CAST(salary_max IS NOT NULL AS INTEGER))) * CASE WHEN count(*) < 5 THEN 0.7 ELSE 1 END, 4) AS quality FROM jds GROUP BY source", ("jds",))
+_FOUND = "source, CASE WHEN id % 4 > 0 THEN title END AS title, CASE WHEN id % 6 = 0 THEN '' ELSE company END AS company, CASE WHEN id % 9 > 0 THEN url END AS url, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 0 ELSE salary_min END AS pay"
+
+
+@query("agg_search_quality", f"SELECT source, round((0.5 + 0.3 * avg(CAST(coalesce(title, '') <> '' AND coalesce(company, '') <> '' AND coalesce(url, '') <> '' AS INTEGER)) + 0.2 * avg(CAST(coalesce(pay, 0) <> 0 AS INTEGER))) * CASE WHEN count(*) < 5 THEN 0.7 ELSE 1 END, 4) AS quality FROM (SELECT {_FOUND} FROM jds) GROUP BY source", ("jds",))
 def agg_search_quality(spark, d):
+    """Postings with title, company and address, and those with a salary; few results count less."""
     share = lambda c: F.avg(c.cast("int"))
-    raw = 0.5 + 0.3 * share(F.length("title") > 20) + 0.2 * share(F.col("salary_max").isNotNull())
-    return S.jds(spark, d).groupBy("source").agg(F.round(raw * F.when(F.count("*") < 5, 0.7).otherwise(1.0), 4).alias("quality"))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    raw = 0.5 + 0.3 * share(said("title") & said("company") & said("url")) + 0.2 * share(F.coalesce("pay", F.lit(0)) != 0)
+    return S.jds(spark, d).selectExpr(*S.fields(_FOUND)).groupBy("source").agg(F.round(raw * F.when(F.count("*") < 5, 0.7).otherwise(1.0), 4).alias("quality"))
 
 
-@query("agg_platform_perf", "SELECT event_type AS platform, round(avg(CAST(value > 10 AS INTEGER)) * 0.4 + least(avg(value) / 20, 1) * 0.3 + least(count(*) / 2000, 1) * 0.3, 4) AS score FROM events GROUP BY 1")
+@query("agg_platform_perf", "SELECT platform, round(ok / n * 0.4 + least(results / n / 20, 1) * 0.3 + least(results / n / greatest(seconds, 1) / 2, 1) * 0.3, 4) AS score FROM (SELECT event_type AS platform, count(*) AS n, count(*) FILTER (WHERE value > 10) AS ok, coalesce(sum(user_id % 40) FILTER (WHERE value > 10), 0) AS results, coalesce(sum(value / 1000000) FILTER (WHERE value > 10), 0) AS seconds FROM events GROUP BY 1)")
 def agg_platform_perf(spark, d):
-    one = F.lit(1.0)
-    return S.table(spark, d, "events").groupBy(F.col("event_type").alias("platform")).agg(F.round(F.avg((F.col("value") > 10).cast("int")) * 0.4 + F.least(F.avg("value") / 20, one) * 0.3 + F.least(F.count("*") / 2000, one) * 0.3, 4).alias("score"))
+    """Searches that succeeded, results of a search, and results a second, of each platform."""
+    ok, one = F.col("value") > 10, F.lit(1.0)
+    of = S.table(spark, d, "events").groupBy(F.col("event_type").alias("platform")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.sum(F.when(ok, F.col("user_id") % 40).otherwise(0)).alias("results"), F.sum(F.when(ok, F.col("value") / 1000000).otherwise(0.0)).alias("seconds"))
+    mean = F.col("results") / F.col("n")
+    return of.select("platform", F.round(F.col("ok") / F.col("n") * 0.4 + F.least(mean / 20, one) * 0.3 + F.least(mean / F.greatest("seconds", one) / 2, one) * 0.3, 4).alias("score"))
 
 
-@query("agg_apply_stats", "SELECT user_id, round(avg(CAST(applied AS INTEGER)), 4) AS success_rate, round(avg(score), 4) AS mean, CASE WHEN avg(score) >= 80 AND avg(CAST(score >= 85 AS INTEGER)) >= 0.3 THEN 'aggressive' WHEN avg(score) >= 50 THEN 'balanced' ELSE 'conservative' END AS strategy FROM matches GROUP BY user_id", ("matches",))
+@query("agg_apply_stats", "SELECT user_id, round(rate, 4) AS success_rate, round(mean, 4) AS mean, CASE WHEN n > 5 AND rate < 0.5 THEN 'conservative' WHEN mean >= 80 AND top >= n * 0.5 THEN 'aggressive' WHEN mean >= 70 THEN 'balanced' ELSE 'conservative' END AS strategy, CASE WHEN rate >= 0.8 THEN 1.0::DOUBLE WHEN rate >= 0.5 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS quality FROM (SELECT user_id, count(*) AS n, avg(CAST(applied AS INTEGER)) AS rate, avg(score + 50) AS mean, count(*) FILTER (WHERE score + 50 >= 85) AS top FROM matches GROUP BY user_id)", ("matches",))
 def agg_apply_stats(spark, d):
-    s = F.avg("score")
-    top = F.avg((F.col("score") >= 85).cast("int"))
-    return S.matches(spark, d).groupBy("user_id").agg(F.round(F.avg(F.col("applied").cast("int")), 4).alias("success_rate"), F.round(s, 4).alias("mean"), F.when((s >= 80) & (top >= 0.3), "aggressive").when(s >= 50, "balanced").otherwise("conservative").alias("strategy"))
+    """Success and scores of a user's applications, and the strategy: history first, then the scores."""
+    score = F.col("score") + 50
+    of = S.matches(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.avg(F.col("applied").cast("int")).alias("rate"), F.avg(score).alias("mean"), F.count_if(score >= 85).alias("top"))
+    rate, mean = F.col("rate"), F.col("mean")
+    strategy = F.when((F.col("n") > 5) & (rate < 0.5), "conservative").when((mean >= 80) & (F.col("top") >= F.col("n") * 0.5), "aggressive").when(mean >= 70, "balanced").otherwise("conservative")
+    return of.select("user_id", F.round(rate, 4).alias("success_rate"), F.round(mean, 4).alias("mean"), strategy.alias("strategy"), F.when(rate >= 0.8, 1.0).when(rate >= 0.5, 0.8).otherwise(0.5).alias("quality"))
 
 
 @query("agg_monitor_report", "SELECT model, count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS tokens, round(sum(total_tokens) / 1000 * 0.002, 6) AS cost, round(count(*) / greatest(sum(latency_ms) / 1000, 1), 6) AS per_second FROM llm_calls GROUP BY model", ("llm_calls",))
@@ -217,12 +272,12 @@ def win_token_budget(spark, d):
     return S.table(spark, d, "conversations").select("conv_id", "turn", F.sum(T.estimate_tokens(F.col("text"))).over(w).alias("used")).where("used <= 300")
 
 
-@query("win_keep_recent", "SELECT conv_id, turn, 'recent' AS why FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5 UNION ALL SELECT conv_id, turn, 'important' FROM conversations WHERE role = 'system'")
+@query("win_keep_recent", "SELECT conv_id, turn, 'recent' AS why FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10 UNION ALL SELECT conv_id, turn, 'last of important' FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5 UNION ALL SELECT conv_id, turn, 'important' FROM conversations WHERE role = 'system'")
 def win_keep_recent(spark, d):
-    """Important turns and the last five; a turn may be both."""
-    rows = S.table(spark, d, "conversations").select("conv_id", "turn", "role")
-    last = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 5")
-    return last.selectExpr("conv_id", "turn", "'recent' AS why").unionByName(rows.where("role = 'system'").selectExpr("conv_id", "turn", "'important' AS why"))
+    """Both strategies: the last ten turns; or important turns and the last five, where a turn may be both."""
+    rows = S.table(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))).alias("n"))
+    why = F.array_compact(F.array(F.when(F.col("n") <= 10, "recent"), F.when(F.col("n") <= 5, "last of important"), F.when(F.col("role") == "system", "important")))
+    return rows.select("conv_id", "turn", F.explode(why).alias("why"))
 
 
 @query("win_last_n_rate", "SELECT event_id, avg(CAST(event_type <> 'error' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rate FROM events")
@@ -231,35 +286,55 @@ def win_last_n_rate(spark, d):
     return S.table(spark, d, "events").select("event_id", F.avg((F.col("event_type") != "error").cast("int")).over(w).alias("rate"))
 
 
-@query("win_adaptive_delay", "WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT user_id, 0::BIGINT AS n, 2.0::DOUBLE AS delay FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT r.user_id, e.n, CASE WHEN e.bad THEN least(60, r.delay * 1.5) ELSE greatest(1, r.delay * 0.9) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, round(arg_max(delay, n), 6) AS delay FROM r GROUP BY user_id")
+ADAPTIVE_SQL = "WITH RECURSIVE e AS (SELECT user_id, avg(CAST(event_type <> 'error' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rate, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT user_id, 0::BIGINT AS n, 2.0::DOUBLE AS delay FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT r.user_id, e.n, CASE WHEN e.rate < 0.8 THEN least(60, r.delay * 1.5) WHEN e.rate > 0.95 AND r.delay > 1 THEN greatest(1, r.delay * 0.9) ELSE r.delay END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, round(arg_max(delay, n), 6) AS delay FROM r GROUP BY user_id"
+
+
+@query("win_adaptive_delay", ADAPTIVE_SQL)
 def win_adaptive_delay(spark, d):
-    """Delay after all outcomes of a user, in order: times 1.5 after an error, times 0.9 else, clamped."""
-    outcomes = F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") == "error").alias("bad"))))
-    step = lambda s, e: F.when(e["bad"], F.least(F.lit(60.0), s * 1.5)).otherwise(F.greatest(F.lit(1.0), s * 0.9))
-    return S.table(spark, d, "events").groupBy("user_id").agg(outcomes.alias("o")).select("user_id", F.round(F.aggregate("o", F.lit(2.0), step), 6).alias("delay"))
+    """Delay after all outcomes of a user, in order: times 1.5 while under 0.8 of the last ten succeed,
+    times 0.9 while over 0.95 do, within 1 and 60.
+
+    Each step is a clamped scaling, and these compose: a user's steps are folded by day, and then the
+    days, so that no user's outcomes are in one row.
+    """
+    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
+    events = S.table(spark, d, "events").select("user_id", "ts", "event_id", F.avg((F.col("event_type") != "error").cast("int")).over(last).alias("rate"))
+    factor = F.when(F.col("rate") < 0.8, 1.5).when(F.col("rate") > 0.95, 0.9).otherwise(1.0)
+    steps = F.sort_array(F.collect_list(F.struct("ts", "event_id", factor.alias("m"), F.when(factor < 1, 1.0).otherwise(0.0).alias("low"), F.when(factor > 1, 60.0).otherwise(float("inf")).alias("high"))))
+    days = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(M.clamped_scaling(steps).alias("x")).select("user_id", "day", "x.*")
+    whole = days.groupBy("user_id").agg(M.clamped_scaling(F.sort_array(F.collect_list(F.struct("day", "m", "low", "high")))).alias("x"))  # a row for each day
+    return whole.select("user_id", F.round(F.least(F.greatest(2.0 * F.col("x.m"), "x.low"), "x.high"), 6).alias("delay"))
 
 
 @query("win_form_rotation", "SELECT id, CASE row_number() OVER (PARTITION BY source ORDER BY id) % 3 WHEN 1 THEN 'short' WHEN 2 THEN 'medium' ELSE 'long' END AS form FROM jds", ("jds",))
 def win_form_rotation(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("id")) % 3
-    return S.jds(spark, d).select("id", F.when(n == 1, "short").when(n == 2, "medium").otherwise("long").alias("form"))
-
+    n = F.col("number") % 3
+    rows = M.numbered(S.jds(spark, d).select("source", "id"), "source", F.floor(F.col("id") / 10_000), "id")
+    return rows.select("id", F.when(n == 1, "short").when(n == 2, "medium").otherwise("long").alias("form"))
 
-_ROOTS = "SELECT id, id - id % 5 AS root, version, is_primary FROM tree"
 
-
-@query("parent_child_closure", "WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey - 1 END AS parent_id FROM part), c AS (SELECT id, id AS root, 0 AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, c.root, c.depth + 1 FROM t JOIN c ON t.parent_id = c.id) SELECT id, root, depth FROM c")
+@query("parent_child_closure", "WITH RECURSIVE t AS (SELECT id, CASE WHEN parent_id IN (SELECT id FROM tree) THEN parent_id END AS parent_id FROM tree), c AS (SELECT id, id AS root, 0 AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, c.root, c.depth + 1 FROM t JOIN c ON t.parent_id = c.id) SELECT id, root, depth FROM c".replace("WITH RECURSIVE t AS", ", t AS"), ("tree",), True)
 def parent_child_closure(spark, d):
-    """Root and depth of every version."""
+    """Root and depth of every version; one whose parent is missing is a root."""
     return store.closure(S.tree(spark, d))
 
 
-@query("win_version_group_order", f"SELECT id, root, CAST(row_number() OVER (PARTITION BY root ORDER BY version, id) AS INTEGER) AS place, bool_or(is_primary) OVER (PARTITION BY root) AS primary_group, max(version) OVER (PARTITION BY root) AS newest FROM ({_ROOTS})", ("tree",))
+_GROUPED = """, t AS (SELECT *, CASE WHEN parent_id IN (SELECT id FROM tree) THEN parent_id END AS up FROM tree), c AS (SELECT id, id AS root FROM t WHERE up IS NULL UNION ALL SELECT t.id, c.root FROM t JOIN c ON t.up = c.id),
+  g AS (SELECT t.user_id, c.root, bool_or(is_primary) AS main, max(updated_at) AS newest, arg_min(t.id, {'v': coalesce(version, 1), 'i': t.id}) AS base FROM t JOIN c USING (id) GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY main DESC, newest DESC, root) AS group_no FROM g)
+  SELECT t.id, t.user_id, CASE WHEN main THEN n.root ELSE base END AS root_id, CAST(group_no AS INTEGER) AS group_no, CAST(row_number() OVER (PARTITION BY c.root ORDER BY coalesce(version, 1), updated_at, t.id) AS INTEGER) AS place FROM t JOIN c USING (id) JOIN n ON n.root = c.root AND n.user_id = t.user_id"""
+
+
+@query("win_version_group_order", _GROUPED, ("tree",), True)
 def win_version_group_order(spark, d):
-    """Place within the version group, and what groups are ordered by."""
-    rows = S.tree(spark, d).withColumn("root", F.col("id") - F.col("id") % 5)
-    w = Window.partitionBy("root")
-    return rows.select("id", "root", F.row_number().over(w.orderBy("version", "id")).alias("place"), F.bool_or("is_primary").over(w).alias("primary_group"), F.max("version").over(w).alias("newest"))
+    """Versions by group: a user's primary group first, the others by their newest version; within a group by version."""
+    rows = S.tree(spark, d).withColumn("version", F.coalesce("version", F.lit(1)))
+    rows = rows.join(store.closure(rows).select("id", "root"), "id")
+    groups = rows.groupBy("user_id", "root").agg(F.bool_or("is_primary").alias("main"), F.max("updated_at").alias("newest"), F.min(F.struct("version", "id")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("main"), F.desc("newest"), "root"))
+    listed = groups.select("user_id", "root", F.when(F.col("main"), F.col("root")).otherwise(F.col("first.id")).alias("root_id"), number.alias("group_no"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("version", "updated_at", "id"))
+    return rows.join(listed, ["user_id", "root"]).select("id", "user_id", "root_id", "group_no", place.alias("place"))
 
 
 @query("batch_sort_desc", "SELECT user_id, id, score FROM (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id) <= 20) ORDER BY score DESC, id", ("matches",))

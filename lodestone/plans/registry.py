@@ -27,6 +27,7 @@ FRAMES_SQL = {
     "chunks": """SELECT vec_id AS id, vec_id % 100 AS jd_id, CAST(vec_id // 100 AS INTEGER) AS chunk_index, embedding, 'u' || (vec_id % 7) AS user_id,
         CASE label % 5 WHEN 0 THEN 'responsibility' WHEN 1 THEN 'requirement' WHEN 2 THEN 'overview' WHEN 3 THEN 'nice_to_have' ELSE 'full' END AS chunk_type,
         CASE vec_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'zh' WHEN 2 THEN 'mixed' END AS language, vec_id % 3 = 0 AS translated, CAST(vec_id % 5 AS INTEGER) AS retry_count FROM embeddings""",
+    "chunk_texts": """SELECT doc_id AS id, substr(text, 1, 300) AS chunk_text FROM documents""",
     "llm_calls": """SELECT event_id AS id, ts AS created_at, user_id, 'm' || (user_id % 3) AS model,
         CASE event_type WHEN 'click' THEN 'judge_batch' WHEN 'view' THEN 'analyze' WHEN 'purchase' THEN 'retrieve' WHEN 'signup' THEN 'embed' ELSE 'judge_single' END AS operation,
         CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'cache_hit' ELSE 'success' END AS status,
@@ -47,22 +48,22 @@ FRAMES_SQL = {
         list({{'at': o_orderkey, 'company': {_SOME.format(4, "'Acme'")}, 'title': {_SOME.format(5, "'Dev'")}, 'duration': CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 7) || ' 月' END, 'description': {_SOME.format(6, "'did it'")}, 'achievements': {_SAID}}} ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS experience,
         list({{'at': o_orderkey, 'name': {_SOME.format(3, "'P'")}, 'role': {_SOME.format(5, "'R'")}, 'tech_stack': {_SAID}, 'description': {_SOME.format(4, "'D'")}, 'achievements': {_SAID}}} ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS projects
         FROM orders GROUP BY o_custkey) USING (id)""",
-    "tree": """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey - 1 END AS parent_id, CAST(p_size AS INTEGER) AS version, p_partkey % 50 = 3 AS is_primary FROM part""",
+    "tree": """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 50 = 7 THEN -1 ELSE p_partkey - 1 END AS parent_id, CAST(nullif(p_size, 7) AS INTEGER) AS version, p_partkey % 50 = 3 AS is_primary, p_partkey // 50 AS user_id, p_retailprice AS updated_at FROM part""",
 }
 
 
-def frames(*names: str) -> str:
+def frames(*names: str, recursive: bool = False) -> str:
     """WITH clause of the named frames."""
-    return "WITH " + ", ".join(f"{n} AS ({FRAMES_SQL[n]})" for n in names) + " "
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{n} AS ({FRAMES_SQL[n]})" for n in names) + " "
 
 
-def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` may refer to the frames it ``uses``."""
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), recursive: bool = False) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` may refer to the frames it ``uses``, after which it may add its own."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = (frames(*uses) + sql) if uses else sql
+            ORACLE[name] = (frames(*uses, recursive=recursive) + sql) if uses else sql
         return f
 
     return add

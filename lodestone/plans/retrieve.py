@@ -10,21 +10,26 @@ from ..operators import measure as M
 from ..operators import retrieval as R
 from ..operators import store
 from ..sources import frames as S
+from ..sources.files import work_table
 from .registry import query
 
-QUERY_IDS = (0, 7, 42)
-_Q = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id IN (0, 7, 42)"
+#: The query set: rows whose id is divisible by this.
+EVERY = 50
+_Q = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0"
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 _SIM = f"SELECT c.id, c.jd_id, c.chunk_index, c.chunk_type, q.query_id, {_DOT.format(a='c.embedding', b='q.vector')} / (sqrt({_DOT.format(a='c.embedding', b='c.embedding')}) * sqrt({_DOT.format(a='q.vector', b='q.vector')})) AS similarity FROM chunks c, ({_Q}) q"
 _W = "CASE chunk_type WHEN 'responsibility' THEN 1.2::DOUBLE WHEN 'requirement' THEN 1.3::DOUBLE WHEN 'overview' THEN 0.8::DOUBLE WHEN 'nice_to_have' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
 
 
 def queries(spark, d):
-    return S.table(spark, d, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS)).selectExpr("vec_id AS query_id", "embedding AS vector")
+    return S.table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).selectExpr("vec_id AS query_id", "embedding AS vector")
 
 
-def similar(spark, d, chunk_type=None):
-    return R.similar(S.chunks(spark, d).select("id", "jd_id", "chunk_index", "chunk_type", "embedding"), queries(spark, d), chunk_type)
+def similar(spark, d, k=None, by=None, weight=None, where=None):
+    rows = S.chunks(spark, d)
+    rows = rows.where(where) if where else rows
+    rows = rows.withColumns({"required": F.col("chunk_type") == "requirement", "useful": F.col("chunk_type").isin("requirement", "responsibility"), "full": F.col("chunk_type") == "full", "weight": R.type_weight(F.col("chunk_type"))})
+    return R.similar(rows.select("id", "jd_id", "chunk_index", "chunk_type", "required", "useful", "full", "weight", "embedding"), queries(spark, d), k, by, weight)
 
 
 def tagged(spark, d, df):
@@ -34,14 +39,14 @@ def tagged(spark, d, df):
 
 @query("topk_cosine", f"SELECT query_id, id, round(similarity, 4) AS similarity FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10", ("chunks",))
 def topk_cosine(spark, d):
-    return R.top(similar(spark, d), 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+    return similar(spark, d, 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
 
 @query("topk_vec0_postfilter", f"SELECT query_id, id, round(similarity, 4) AS similarity FROM (SELECT * FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 200) WHERE chunk_type = 'requirement' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10", ("chunks",))
 def topk_vec0_postfilter(spark, d):
     """The two-stage form: over-fetch, then filter, so fewer than k may be left."""
-    near = R.top(similar(spark, d), max(20 * 10, 200)).where("chunk_type = 'requirement'")
-    return R.top(near.drop("rank"), 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+    near = similar(spark, d, max(20 * 10, 200)).where("chunk_type = 'requirement'")
+    return R.top(near, 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
 
 def _retrieved(k, least, industry):
@@ -54,28 +59,63 @@ def _retrieved(k, least, industry):
 @query("retrieve", _retrieved(5, 0.2, "src1"), ("chunks", "jds"))
 def retrieve(spark, d):
     """Candidates by cosine, soft weights of type and industry, the top k, then the threshold."""
-    near = R.top(similar(spark, d), R.candidates_wanted(5, False))
+    near = similar(spark, d, R.candidates_wanted(5, False))
     return R.weighted(tagged(spark, d, near), 5, 0.2, "src1").select("query_id", "id", "chunk_type", F.round("similarity", 4).alias("similarity"), F.round("ranked_score", 4).alias("ranked_score"))
 
 
 @query("topk_weighted", f"SELECT query_id, id, round(similarity * {_W}, 4) AS ranked_score FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity * {_W} * 1.0 DESC, id) <= 20", ("chunks",))
 def topk_weighted(spark, d):
-    return R.weighted(similar(spark, d), 20, -1.0).select("query_id", "id", F.round("ranked_score", 4).alias("ranked_score"))
+    return R.weighted(similar(spark, d, 20, weight="weight"), 20, -1.0).select("query_id", "id", F.round("ranked_score", 4).alias("ranked_score"))
 
 
-@query("topk_rerank", f"SELECT query_id, id, round(0.7 * (1 / (1 + exp(-(chunk_index - 2.0)))) + (1 - 0.7) * (similarity * {_W} * 1.0), 4) AS ranked_score FROM (SELECT * FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 50) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.7 * (1 / (1 + exp(-(chunk_index - 2.0)))) + (1 - 0.7) * (similarity * {_W} * 1.0) DESC, id) <= 10", ("chunks",))
+_LOGIT = "len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '\\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(lower(coalesce({1}, '')), '\\s+'), lambda x: x <> '')))) - 2.0::DOUBLE"
+_CHUNKS = f"SELECT c.*, t.chunk_text, q.chunk_text AS query_text FROM ({{}}) c LEFT JOIN chunk_texts t ON t.id = c.id LEFT JOIN chunk_texts q ON q.id = c.query_id"
+
+
+def _reranked(k, rows, boost="1.0::DOUBLE"):
+    best = f"SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= {max(5 * k, 50)}"
+    scored = f"SELECT *, {_LOGIT.format('query_text', 'chunk_text')} AS logit FROM ({_CHUNKS.format(best)})"
+    cut = f"SELECT *, 0.7::DOUBLE * round(CASE WHEN logit >= 0 THEN 1 / (1 + exp(-logit)) ELSE exp(logit) / (1 + exp(logit)) END, 4) + (1 - 0.7::DOUBLE) * (similarity * {_W} * {boost}) AS ranked FROM ({scored}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, id) <= {max(4 * k, 20)}"
+    return f"SELECT query_id, id, chunk_type, round(similarity, 4) AS similarity, round(ranked, 4) AS ranked_score FROM ({cut}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ranked DESC, id) <= {k}"
+
+
+def with_texts(spark, d):
+    """Chunks with their texts and tags, and queries with theirs."""
+    texts = S.chunk_texts(spark, d)
+    jds = S.jds(spark, d).select(F.col("id").alias("jd_id"), "industry_tag", "position_tag")
+    chunks = S.chunks(spark, d).join(texts, "id", "left").join(jds, "jd_id", "left").select("id", "jd_id", "chunk_index", "chunk_type", "user_id", "position_tag", "industry_tag", "chunk_text", "embedding")
+    asked = queries(spark, d).join(texts.select(F.col("id").alias("query_id"), F.col("chunk_text").alias("query_text")), "query_id", "left")
+    return chunks, asked
+
+
+@query("topk_rerank", _reranked(10, _SIM), ("chunks", "chunk_texts"))
 def topk_rerank(spark, d):
-    """A scorer's logits lead, soft weights follow; here the logit is a stand-in column."""
-    near = R.top(similar(spark, d), R.candidates_wanted(10, True))
-    return R.weighted(near, 10, 0.9, rerank=T.sigmoid(F.col("chunk_index") - 2.0)).select("query_id", "id", F.round("ranked_score", 4).alias("ranked_score"))
+    """A scorer's logits lead, soft weights follow; the scorer is a pandas UDF of any model, here of shared words."""
+    chunks, asked = with_texts(spark, d)
+    return R.retrieve(chunks, asked, 10, score=R.scorer(R.shared_words))
+
 
+_FILTERED = f"SELECT s.*, j.industry_tag FROM ({_SIM}) s JOIN chunks c ON c.id = s.id JOIN (SELECT id AS jd, industry_tag, position_tag FROM jds) j ON j.jd = s.jd_id WHERE c.user_id = 'u3' AND j.position_tag = 'p2' AND s.query_id % 100 = 0"
+_FALLBACK = "SELECT q.query_id, c.id, c.chunk_type, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS ranked_score FROM (SELECT vec_id AS query_id, split_part(text, ' ', 1) AS asked FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 50) q, (SELECT c.id, c.chunk_index, c.chunk_type, t.chunk_text FROM chunks c JOIN chunk_texts t ON t.id = c.id JOIN (SELECT id AS jd, position_tag FROM jds) j ON j.jd = c.jd_id WHERE c.user_id = 'u3' AND j.position_tag = 'p2') c WHERE asked <> '' AND contains(lower(c.chunk_text), lower(asked)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, c.id) <= 3"
 
-@query("topk_like", "SELECT item_id, doc_id FROM (SELECT b.item_id, d.doc_id FROM documents d, (SELECT item_id, split_part(text, ' ', 2) AS word FROM benchmark WHERE length(split_part(text, ' ', 2)) > 6) b WHERE contains(lower(d.text), lower(b.word))) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 5")
+
+@query("retrieve_filtered", f"SELECT * FROM ({_reranked(3, _FILTERED, "CASE WHEN industry_tag = 'src1' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END")}) UNION ALL SELECT * FROM ({_FALLBACK})", ("chunks", "chunk_texts", "jds"))
+def retrieve_filtered(spark, d):
+    """All filters, an industry and a scorer; queries without a vector search by text."""
+    chunks, asked = with_texts(spark, d)
+    asked = asked.withColumns({"vector": F.when(F.col("query_id") % 100 == 0, F.col("vector")), "query_text": F.when(F.col("query_id") % 100 == 0, F.col("query_text")).otherwise(F.split_part("query_text", F.lit(" "), F.lit(1)))})
+    return R.retrieve(chunks, asked, 3, user_id="u3", position="p2", industry="src1", score=R.scorer(R.shared_words))
+
+
+_WORDS2 = "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)"
+
+
+@query("topk_like", f"SELECT item_id AS query_id, doc_id AS id FROM (SELECT b.item_id, d.doc_id FROM documents d, (SELECT item_id, {_WORDS2} AS said FROM benchmark WHERE item_id % 50 = 0) b WHERE contains(lower(d.text), lower(b.said))) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 5")
 def topk_like(spark, d):
-    """Substring search of a query set's words, first matches by id."""
-    words = S.table(spark, d, "benchmark").select("item_id", F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("word")).where(F.length("word") > 6)
-    found = S.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")).join(F.broadcast(words), F.col("low").contains(F.col("word")))
-    return R.top(found.withColumn("none", F.lit(0.0)), 5, "none", "item_id", "doc_id").select("item_id", "doc_id")
+    """Substring search of a query set's texts, first matches by number."""
+    asked = S.table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("query_text"))
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("chunk_index"), F.lit("full").alias("chunk_type"), F.col("text").alias("chunk_text"))
+    return R.like(rows, asked, 5).select("query_id", "id")
 
 
 @query("retrieve_fallback", "SELECT id, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS ranked_score FROM jds WHERE contains(lower(raw_text), 'license') AND user_id = 'u1' ORDER BY id LIMIT 5", ("jds",))
@@ -86,9 +126,9 @@ def retrieve_fallback(spark, d):
 
 @query("retrieve_two_pass", f"SELECT query_id, branch, id FROM (SELECT *, min(branch) OVER (PARTITION BY query_id) AS first FROM (SELECT query_id, 1 AS branch, id, similarity FROM ({_SIM}) WHERE chunk_type = 'requirement' AND similarity >= 0.3 UNION ALL SELECT query_id, 2, id, similarity FROM ({_SIM}))) WHERE branch = first QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 5", ("chunks",))
 def retrieve_two_pass(spark, d):
-    """Requirements first; all types where no requirement is near enough."""
-    all_ = similar(spark, d)
-    both = all_.where("chunk_type = 'requirement' and similarity >= 0.3").withColumn("branch", F.lit(1)).unionByName(all_.withColumn("branch", F.lit(2)))
+    """Requirements first; all types where no requirement is near enough. One pass gives the best of both kinds."""
+    near = similar(spark, d, 5, by="required")
+    both = near.where("required and similarity >= 0.3").withColumn("branch", F.lit(1)).unionByName(near.withColumn("branch", F.lit(2)))
     first = both.withColumn("first", F.min("branch").over(Window.partitionBy("query_id"))).where("branch = first")
     return R.top(first, 5).select("query_id", "branch", "id")
 
@@ -96,18 +136,32 @@ def retrieve_two_pass(spark, d):
 _TOP20 = f"SELECT * FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 20"
 
 
-@query("retrieve_to_structured", f"SELECT query_id, list(id ORDER BY id) FILTER (WHERE chunk_type = 'responsibility') AS responsibilities, list(id ORDER BY id) FILTER (WHERE chunk_type = 'requirement') AS requirements FROM ({_TOP20}) GROUP BY query_id", ("chunks",))
+_TOP10 = f"SELECT * FROM (SELECT s.*, t.chunk_text FROM ({_SIM}) s LEFT JOIN chunk_texts t ON t.id = s.id) WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10"
+_OF = "coalesce(list(substr(chunk_text, 1, 40) ORDER BY similarity DESC, id) FILTER (WHERE chunk_text IS NOT NULL AND {}), [])"
+
+
+@query("retrieve_to_structured", f"SELECT query_id, {_OF.format("chunk_type = 'responsibility'")} AS responsibilities, {_OF.format("chunk_type = 'requirement'")} AS requirements, {_OF.format("chunk_type NOT IN ('responsibility', 'requirement')")} AS other, list_sort(list_distinct(list(jd_id))) AS jds FROM ({_TOP10}) GROUP BY query_id", ("chunks", "chunk_texts"))
 def retrieve_to_structured(spark, d):
-    found = R.top(similar(spark, d), 20)
-    of = lambda kind: F.nullif(F.sort_array(F.collect_list(F.when(F.col("chunk_type") == kind, F.col("id")))), F.array().cast("array<bigint>"))
-    return found.groupBy("query_id").agg(of("responsibility").alias("responsibilities"), of("requirement").alias("requirements"))
+    """Texts of the ten best hits of 0.4 and more, by type, and the postings that they are from."""
+    near = similar(spark, d, 10).where("similarity >= 0.4").join(S.chunk_texts(spark, d), "id", "left")
+    hits = F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("less"), "id", "chunk_type", F.substring("chunk_text", 1, 40).alias("text"))))
+    lists = near.groupBy("query_id").agg(hits.alias("h"), F.sort_array(F.collect_set("jd_id")).alias("jds"))  # ten hits each
+    of = lambda test: F.filter(F.transform(F.filter("h", test), lambda x: x["text"]), lambda x: x.isNotNull())
+    return lists.select("query_id", of(lambda x: x["chunk_type"] == "responsibility").alias("responsibilities"), of(lambda x: x["chunk_type"] == "requirement").alias("requirements"), of(lambda x: ~x["chunk_type"].isin("responsibility", "requirement")).alias("other"), "jds")
+
+
+_TOP20T = f"SELECT *, chunk_type IN ('requirement', 'responsibility') AS useful FROM (SELECT s.*, t.chunk_text FROM ({_SIM}) s LEFT JOIN chunk_texts t ON t.id = s.id WHERE s.query_id % 100 = 0 OR s.chunk_type NOT IN ('requirement', 'responsibility')) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 20"
 
 
-@query("skeleton_context", f"SELECT query_id, string_agg('chunk ' || id, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM ({_SIM}) WHERE chunk_type IN ('requirement', 'responsibility')) WHERE rank <= 10 GROUP BY query_id", ("chunks",))
+@query("skeleton_context", f"SELECT query_id, string_agg(substr(coalesce(chunk_text, ''), 1, 300), chr(10) || '---' || chr(10) ORDER BY similarity DESC, id) AS context FROM (SELECT * FROM (SELECT *, bool_or(useful) OVER (PARTITION BY query_id) AS any_useful FROM ({_TOP20T})) WHERE useful OR NOT any_useful QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10) GROUP BY query_id", ("chunks", "chunk_texts"))
 def skeleton_context(spark, d):
-    found = R.top(similar(spark, d).where("chunk_type in ('requirement', 'responsibility')"), 10)
-    listed = F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("chunk "), "id").alias("said"))))
-    return found.groupBy("query_id").agg(F.array_join(listed["said"], "\n---\n").alias("context"))
+    """Texts of the ten best useful hits of twenty; of all hits where none is useful."""
+    near = similar(spark, d, 20, by="useful")
+    hits = R.top(near.where((F.col("query_id") % 100 == 0) | ~F.col("useful")), 20).drop("rank")
+    whole = hits.withColumn("any_useful", F.bool_or("useful").over(Window.partitionBy("query_id"))).where("useful or not any_useful")
+    first = R.top(whole, 10).join(S.chunk_texts(spark, d), "id", "left")
+    listed = F.sort_array(F.collect_list(F.struct("rank", F.substring(F.coalesce("chunk_text", F.lit("")), 1, 300).alias("said"))))
+    return first.groupBy("query_id").agg(F.array_join(listed["said"], "\n---\n").alias("context"))
 
 
 # -- joins of chunks, postings and lists ------------------------------------------------------------
@@ -131,11 +185,13 @@ def dict_lookup_join(spark, d):
     return S.matches(spark, d).join(index, "jd_id", "left").select("id", "jd_id", F.coalesce("source", F.lit("")).alias("source"))
 
 
-@query("history_lookup_default", "SELECT c.c_custkey AS user_id, coalesce(h.score, 75) AS score FROM customer c LEFT JOIN (SELECT user_id, score FROM matches QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id) = 1) h ON h.user_id = c.c_custkey", ("matches",))
+@query("history_lookup_default", "SELECT user_id, count(*) AS n, round(avg(score), 1) AS mean, count(*) FILTER (WHERE score >= 85) AS high, count(*) FILTER (WHERE score >= 70 AND score < 85) AS medium FROM (SELECT a.user_id, coalesce(h.score + 50, 75) AS score FROM (SELECT o_custkey AS user_id, o_orderkey * 3 % 2000 AS jd_id FROM orders) a LEFT JOIN (SELECT jd_id, score FROM matches QUALIFY row_number() OVER (PARTITION BY jd_id ORDER BY id) = 1) h ON h.jd_id = a.jd_id) GROUP BY user_id", ("matches",))
 def history_lookup_default(spark, d):
-    first = store.first_by(S.matches(spark, d), ["user_id"], F.asc("id")).select("user_id", "score")
-    users = S.table(spark, d, "customer").selectExpr("c_custkey AS user_id")
-    return users.join(first, "user_id", "left").select("user_id", F.coalesce("score", F.lit(75.0)).alias("score"))
+    """Scores of applications from the first match of their posting, 75 where there is none."""
+    first = store.first_by(S.matches(spark, d), ["jd_id"], F.asc("id")).select("jd_id", "score")
+    applied = S.table(spark, d, "orders").selectExpr("o_custkey AS user_id", "o_orderkey * 3 % 2000 AS jd_id")
+    score = F.coalesce(F.col("score") + 50, F.lit(75.0))
+    return applied.join(first, "jd_id", "left").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(score), 1).alias("mean"), F.count_if(score >= 85).alias("high"), F.count_if((score >= 70) & (score < 85)).alias("medium"))
 
 
 @query("merge_records_join", "SELECT coalesce(a.query_id, b.query_id, c.query_id) AS query_id, a.n, b.best, c.mocks FROM (SELECT query_id, count(*) AS n FROM ranked WHERE rank > 2 GROUP BY ALL) a FULL JOIN (SELECT query_id, max(score) AS best FROM ranked WHERE source = 'O' GROUP BY ALL) b ON a.query_id = b.query_id FULL JOIN (SELECT query_id, count(*) AS mocks FROM ranked WHERE is_mock GROUP BY ALL) c ON coalesce(a.query_id, b.query_id) = c.query_id", ("ranked",))
@@ -149,7 +205,7 @@ def merge_records_join(spark, d):
 
 @query("self_retrieval_semi", f"SELECT query_id, bool_or(jd_id = query_id % 100) AS hit FROM ({_TOP20}) GROUP BY query_id", ("chunks",))
 def self_retrieval_semi(spark, d):
-    return R.top(similar(spark, d), 20).groupBy("query_id").agg(F.bool_or(F.col("jd_id") == F.col("query_id") % 100).alias("hit"))
+    return similar(spark, d, 20).groupBy("query_id").agg(F.bool_or(F.col("jd_id") == F.col("query_id") % 100).alias("hit"))
 
 
 @query("zip_join", "SELECT query_id, rank, score, score2 FROM ranked", ("ranked",))
@@ -167,10 +223,11 @@ def cross_join_score(spark, d):
 
 @query("set_overlap_at_k", f"WITH a AS (SELECT query_id, id FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10), b AS (SELECT query_id, id FROM ({_SIM}) WHERE chunk_type <> 'full' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10) SELECT a.query_id, count(b.id) / 10.0::DOUBLE AS overlap FROM a LEFT JOIN b ON a.query_id = b.query_id AND a.id = b.id GROUP BY a.query_id".replace("WITH a AS", ", a AS"), ("chunks",))
 def set_overlap_at_k(spark, d):
-    """Share of the top ten that two retrieval paths have in common."""
+    """Share of the top ten that two retrieval paths have in common: of all types, and without full ones."""
+    near = similar(spark, d, 10, by="full")
     ids = lambda df: R.top(df, 10).groupBy("query_id").agg(F.collect_set("id").alias("ids"))
-    a, b = ids(similar(spark, d)), ids(similar(spark, d).where("chunk_type <> 'full'")).withColumnRenamed("ids", "other")
-    return a.join(b, "query_id").select("query_id", (F.size(F.array_intersect("ids", "other")) / 10.0).alias("overlap"))
+    both = ids(near).join(ids(near.where("not full")).withColumnRenamed("ids", "other"), "query_id")
+    return both.select("query_id", (F.size(F.array_intersect("ids", "other")) / 10.0).alias("overlap"))
 
 
 # -- evaluation -------------------------------------------------------------------------------------
@@ -221,22 +278,25 @@ _TWO = f"SELECT a.query_id, CASE WHEN a.idcg = 0 THEN 0 ELSE a.dcg / a.idcg END
 
 
 def two_ndcgs(spark, d):
-    a = per(spark, d).select("query_id", M.ndcg(F.col("dcg"), F.col("idcg")).alias("x"))
-    return a.join(per(spark, d, "score2").select("query_id", M.ndcg(F.col("dcg"), F.col("idcg")).alias("y")), "query_id")
+    """query_id, x, y: both judges' NDCG, from one pass with a row for each judge and rank."""
+    rows = S.ranked(spark, d).select("query_id", "rank", F.explode(F.create_map(F.lit("x"), F.col("score"), F.lit("y"), F.col("score2"))).alias("judge", "judged"))
+    both = M.per_query(rows.select(F.struct("query_id", "judge").alias("query_id"), "rank", "judged"), F.col("judged"))
+    of = lambda judge: F.max(F.when(F.col("query_id.judge") == judge, M.ndcg(F.col("dcg"), F.col("idcg"))))
+    return both.groupBy(F.col("query_id.query_id").alias("query_id")).agg(of("x").alias("x"), of("y").alias("y"))
 
 
 @query("eval_spearman", f"SELECT count(*) AS n, round(corr(rx, ry), 4) AS rho, corr(rx, ry) >= 0.8 AS passed, round(avg(abs(x - y)), 4) AS mean_difference FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT query_id, round(x, 9) AS x, round(y, 9) AS y FROM ({_TWO})))", ("ranked",))
 def eval_spearman(spark, d):
     """Rank correlation of two judges' NDCG over all queries. Ranks come from counts by value, so no
-    window holds all queries."""
-    both = two_ndcgs(spark, d).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    window holds all queries: lists of ten with binary relevance have at most 2**10 values of NDCG."""
+    both = work_table(two_ndcgs(spark, d), "ndcg").select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
     def ranks(c):
         values = both.groupBy(c).agg(F.count("*").alias("n"))
         below = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
         return values.select(c, (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
-    ranked = both.join(ranks("x"), "x").join(ranks("y"), "y")
+    ranked = both.join(F.broadcast(ranks("x")), "x").join(F.broadcast(ranks("y")), "y")  # 2**10 values at most
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 4).alias("rho"), (F.corr("rx", "ry") >= 0.8).alias("passed"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("mean_difference"))
 
 
@@ -264,7 +324,7 @@ def eval_compare(spark, d):
 
 @query("eval_self_retrieval", f"SELECT avg(CAST(hit AS INTEGER)) AS hit_rate, round(min(best), 4) AS least, round(median(best), 4) AS middle, round(avg(best), 4) AS mean, round(max(best), 4) AS most FROM (SELECT query_id, bool_or(jd_id = query_id % 100 AND rank <= 5) AS hit, max(similarity) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM ({_SIM})) GROUP BY query_id)", ("chunks",))
 def eval_self_retrieval(spark, d):
-    found = R.top(similar(spark, d), 5).groupBy("query_id").agg(F.bool_or(F.col("jd_id") == F.col("query_id") % 100).alias("hit"), F.max("similarity").alias("best"))
+    found = R.top(similar(spark, d, 5), 5).groupBy("query_id").agg(F.bool_or(F.col("jd_id") == F.col("query_id") % 100).alias("hit"), F.max("similarity").alias("best"))
     return found.agg(F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.round(F.min("best"), 4).alias("least"), F.round(F.percentile("best", F.lit(0.5)), 4).alias("middle"), F.round(F.avg("best"), 4).alias("mean"), F.round(F.max("best"), 4).alias("most"))
 
 
@@ -279,17 +339,24 @@ def eval_weak_counts(spark, d):
     return per(spark, d).agg(F.count_if(F.col("n_relevant") == 0).alias("none"), F.count_if(F.col("n_relevant").between(1, 2)).alias("weak"))
 
 
-@query("agg_eval_dims", "SELECT coalesce(CASE WHEN query_id % 3 > 0 THEN source END, 'cross') AS dimension, count(*) AS n FROM ranked GROUP BY 1", ("ranked",))
+_ASKED = "CASE WHEN l_orderkey % 3 > 0 THEN l_linestatus END AS source, CASE l_linenumber % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'long' END AS form, l_returnflag AS kind"
+
+
+@query("agg_eval_dims", f"SELECT dimension, coalesce(value, 'cross') AS value, count(*) AS n FROM (SELECT unnest(['source', 'form', 'type']) AS dimension, unnest([source, form, kind]) AS value FROM (SELECT {_ASKED} FROM lineitem)) GROUP BY ALL")
 def agg_eval_dims(spark, d):
-    return S.ranked(spark, d).groupBy(F.coalesce(F.when(F.col("query_id") % 3 > 0, F.col("source")), F.lit("cross")).alias("dimension")).agg(F.count("*").alias("n"))
+    """Queries by source (none is 'cross'), by form and by type, from one pass."""
+    said = F.expr("map('source', coalesce(source, 'cross'), 'form', form, 'type', kind)")
+    return S.table(spark, d, "lineitem").selectExpr(*S.fields(_ASKED)).select(F.explode(said).alias("dimension", "value")).groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
-@query("classify_failure", "SELECT query_id, CASE WHEN zh AND o > 0.7 THEN 'cross_language_zh_to_en' WHEN NOT zh AND f > 0.7 THEN 'cross_language_en_to_zh' WHEN zh AND f > 0.7 THEN 'same_language_but_unrelated' ELSE 'mixed' END AS reason FROM (SELECT query_id, query_id % 2 = 0 AS zh, avg(CAST(source = 'O' AS INTEGER)) AS o, avg(CAST(source = 'F' AS INTEGER)) AS f FROM ranked GROUP BY query_id)", ("ranked",))
+@query("classify_failure", "SELECT q.query_id, CASE WHEN r.query_id IS NULL THEN 'no_result_record' WHEN n = 0 THEN 'no_recall_at_all' WHEN zh AND o > 0.7 THEN 'cross_language_zh_to_en' WHEN NOT zh AND f > 0.7 THEN 'cross_language_en_to_zh' WHEN zh AND f > 0.7 THEN 'same_language_but_unrelated' ELSE 'mixed' END AS reason FROM (SELECT o_orderkey AS query_id, o_orderkey % 2 = 0 AS zh FROM orders) q LEFT JOIN (SELECT query_id, count(*) FILTER (WHERE query_id % 11 > 0) AS n, avg(CAST(source = 'O' AS INTEGER)) AS o, avg(CAST(source = 'F' AS INTEGER)) AS f FROM ranked GROUP BY query_id) r ON r.query_id = q.query_id", ("ranked",))
 def classify_failure(spark, d):
+    """Why a query found nothing: no record, no hits, hits of another language, or of the same one."""
     share = lambda s: F.avg((F.col("source") == s).cast("int"))
-    r = S.ranked(spark, d).groupBy("query_id").agg((F.col("query_id") % 2 == 0).alias("zh"), share("O").alias("o"), share("F").alias("f"))
-    reason = F.when(F.col("zh") & (F.col("o") > 0.7), "cross_language_zh_to_en").when(~F.col("zh") & (F.col("f") > 0.7), "cross_language_en_to_zh").when(F.col("zh") & (F.col("f") > 0.7), "same_language_but_unrelated").otherwise("mixed")
-    return r.select("query_id", reason.alias("reason"))
+    asked = S.table(spark, d, "orders").selectExpr("o_orderkey AS query_id", "o_orderkey % 2 = 0 AS zh")
+    r = S.ranked(spark, d).groupBy("query_id").agg(F.count_if(F.col("query_id") % 11 > 0).alias("n"), share("O").alias("o"), share("F").alias("f"))
+    reason = F.when(F.col("n").isNull(), "no_result_record").when(F.col("n") == 0, "no_recall_at_all").when(F.col("zh") & (F.col("o") > 0.7), "cross_language_zh_to_en").when(~F.col("zh") & (F.col("f") > 0.7), "cross_language_en_to_zh").when(F.col("zh") & (F.col("f") > 0.7), "same_language_but_unrelated").otherwise("mixed")
+    return asked.join(r, "query_id", "left").select("query_id", reason.alias("reason"))
 
 
 @query("topk_drift", f"SELECT query_id, round(abs(x - y), 6) AS drift FROM ({_TWO}) ORDER BY round(abs(x - y), 6) DESC, query_id LIMIT 5", ("ranked",))
@@ -301,12 +368,12 @@ def topk_drift(spark, d):
 def sample_stratified(spark, d):
     n = M.ndcg(F.col("dcg"), F.col("idcg"))
     rows = per(spark, d).select("query_id", F.when(n >= 0.8, "easy").when(n <= 0.3, "hard").otherwise("boundary").alias("difficulty"))
-    return M.quota(rows, ["difficulty"], F.when(F.col("difficulty") == "easy", 20).otherwise(15), M.seeded("query_id", 42))
+    return M.quota(rows, ["difficulty"], F.when(F.col("difficulty") == "easy", 20).otherwise(15), 20, M.seeded("query_id", 42))
 
 
 @query("win_stratified_quota", "SELECT query_id, rank, source FROM ranked QUALIFY row_number() OVER (PARTITION BY source, rank ORDER BY md5('7:' || query_id)) <= 5", ("ranked",))
 def win_stratified_quota(spark, d):
-    return M.quota(S.ranked(spark, d).select("query_id", "rank", "source"), ["source", "rank"], F.lit(5), M.seeded("query_id", 7))
+    return M.quota(S.ranked(spark, d).select("query_id", "rank", "source"), ["source", "rank"], F.lit(5), 5, M.seeded("query_id", 7))
 
 
 @query("sample_fixed_n", "SELECT r.query_id, r.rank, r.candidate FROM ranked r JOIN (SELECT query_id FROM (SELECT DISTINCT query_id FROM ranked) ORDER BY md5('42:' || query_id) LIMIT 30) q ON q.query_id = r.query_id WHERE r.rank <= 5", ("ranked",))
@@ -317,19 +384,51 @@ def sample_fixed_n(spark, d):
     return r.join(F.broadcast(drawn), "query_id", "left_semi").where("rank <= 5").select("query_id", "rank", "candidate")
 
 
-@query("golden_candidates", "SELECT query_id, candidate, min(priority) AS priority FROM (SELECT query_id, candidate, 0 AS priority FROM ranked WHERE is_origin UNION ALL SELECT query_id, candidate, 1 FROM ranked WHERE rank <= 3) GROUP BY query_id, candidate", ("ranked",))
-def golden_candidates(spark, d):
-    """Origins first, then what was recalled, each candidate once."""
-    r = S.ranked(spark, d)
-    both = r.where("is_origin").selectExpr("query_id", "candidate", "0 AS priority").unionByName(r.where("rank <= 3").selectExpr("query_id", "candidate", "1 AS priority"))
-    return both.groupBy("query_id", "candidate").agg(F.min("priority").alias("priority"))
+_POOL = "SELECT p_partkey AS candidate, CASE p_size % 2 WHEN 0 THEN 'O' ELSE 'F' END AS source, md5('pool:' || p_partkey) AS place FROM part"
+_PICKED = """, asked AS (SELECT query_id, arg_min(source, rank) AS source, arg_min(candidate, rank) FILTER (WHERE is_origin) AS origin FROM ranked GROUP BY query_id),
+  listed AS (SELECT query_id, candidate, min(ord) AS ord FROM (SELECT query_id, origin AS candidate, 0 AS ord FROM asked WHERE origin IS NOT NULL UNION ALL SELECT query_id, candidate, rank FROM ranked WHERE rank <= 10) GROUP BY query_id, candidate),
+  counted AS (SELECT a.query_id, a.source, count(l.candidate) AS n FROM asked a LEFT JOIN listed l ON l.query_id = a.query_id GROUP BY ALL),
+  pool AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS number, count(*) OVER (PARTITION BY source) AS size FROM ({pool})),
+  more AS (SELECT c.query_id, p.candidate, 100 + k AS ord, c.n FROM counted c, (SELECT unnest(range(0, 9)) AS k) ks, pool p WHERE c.n < 5 AND p.source = c.source AND p.number = (CAST('0x' || substr(md5('golden:' || c.query_id), 1, 8) AS BIGINT) + k) % p.size),
+  fresh AS (SELECT m.query_id, m.candidate, m.ord FROM (SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY m.ord) AS place FROM (SELECT query_id, candidate, min(ord) AS ord, any_value(n) AS n FROM more GROUP BY query_id, candidate) m ANTI JOIN listed l ON l.query_id = m.query_id AND l.candidate = m.candidate) m WHERE m.place <= 5 - m.n)
+  SELECT query_id, candidate, CASE WHEN ord = 0 THEN 'origin' ELSE 'recalled' END AS why, ord FROM listed UNION ALL SELECT query_id, candidate, 'distractor', CAST(ord AS INTEGER) FROM fresh""".replace("{pool}", _POOL)
+
 
+@query("golden_candidates", _PICKED, ("ranked",))
+def golden_candidates(spark, d):
+    """The origin first, then up to ten recalled ones, then distractors of the query's source up to five in all.
 
-@query("mock_judge", "SELECT item_id, doc_id, CASE WHEN n >= greatest(2, 0.4 * w) THEN 4 WHEN n >= 1 THEN 3 ELSE 2 END AS score FROM (SELECT b.item_id, d.doc_id, len(b.words) AS w, len(list_filter(b.words, lambda x: length(x) > 1 AND contains(lower(d.text), x))) AS n FROM documents d, (SELECT item_id, list_distinct(list_filter(string_split(lower(replace(text, chr(10), ' ')), ' '), lambda x: x <> '')) AS words FROM benchmark WHERE item_id IN (0, 3)) b)")
+    Distractors are neighbours in a hashed order of their source, from a hashed place of the query on,
+    so that queries and pool are joined by number.
+    """
+    r = S.ranked(spark, d)
+    asked = r.groupBy("query_id").agg(F.min_by("source", "rank").alias("source"), F.min_by(F.when(F.col("is_origin"), F.col("candidate")), F.when(F.col("is_origin"), F.col("rank"))).alias("origin"))
+    listed = asked.where("origin is not null").selectExpr("query_id", "origin AS candidate", "0 AS ord").unionByName(r.where("rank <= 10").selectExpr("query_id", "candidate", "rank AS ord"))
+    listed = listed.groupBy("query_id", "candidate").agg(F.min("ord").alias("ord"))
+    counted = asked.select("query_id", "source").join(listed.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    pool = S.table(spark, d, "part").select(F.col("p_partkey").alias("candidate"), F.when(F.col("p_size") % 2 == 0, "O").otherwise("F").alias("source"), F.md5(F.concat(F.lit("pool:"), "p_partkey")).alias("place"))
+    pool = M.numbered(pool, "source", F.substring("place", 1, 2), "place").select("source", "candidate", (F.col("number") - 1).alias("number"))
+    sizes = pool.groupBy("source").agg(F.count("*").alias("size"))
+    start = F.conv(F.substring(F.md5(F.concat(F.lit("golden:"), "query_id")), 1, 8), 16, 10).cast("bigint")
+    wanted = counted.where("n < 5").join(F.broadcast(sizes), "source").select("query_id", "source", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: (start + k) % F.col("size"))).alias("k", "number"))  # a row for each source
+    more = wanted.join(pool, ["source", "number"]).groupBy("query_id", "candidate").agg(F.min(F.col("k") + 100).alias("ord"), F.first("n").alias("n")).join(listed.select("query_id", "candidate"), ["query_id", "candidate"], "left_anti")
+    fresh = more.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))).where("place <= 5 - n")
+    return listed.select("query_id", "candidate", F.when(F.col("ord") == 0, "origin").otherwise("recalled").alias("why"), "ord").unionByName(fresh.select("query_id", "candidate", F.lit("distractor").alias("why"), "ord"))
+
+
+@query("mock_judge", "SELECT item_id, doc_id, CASE WHEN n >= greatest(2, 0.4 * w) THEN 4 WHEN n >= 1 THEN 3 ELSE 2 END AS score FROM (SELECT b.item_id, d.doc_id, len(b.words) AS w, len(list_filter(b.words, lambda x: length(x) > 1 AND contains(lower(d.text), x))) AS n FROM documents d, (SELECT item_id, list_distinct(list_filter(string_split(lower(replace(text, chr(10), ' ')), ' '), lambda x: x <> '')) AS words FROM benchmark WHERE item_id % 50 = 0) b)")
 def mock_judge(spark, d):
-    """Overlap of a query set's words with every document."""
+    """Overlap of a query set's words with every document, in blocks of queries."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " "), lambda x: x != ""))
-    asked = S.table(spark, d, "benchmark").where("item_id in (0, 3)").select("item_id", words.alias("words"))
-    both = S.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")).crossJoin(F.broadcast(asked))  # two queries
-    n = F.size(F.filter("words", lambda x: (F.length(x) > 1) & F.col("low").contains(x)))
-    return both.select("item_id", "doc_id", F.when(n >= F.greatest(F.lit(2.0), 0.4 * F.size("words")), 4).when(n >= 1, 3).otherwise(2).alias("score"))
+    asked = S.table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select("item_id", words.alias("words"))
+    texts, out = S.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")), None
+    blocks = max(1, -(-asked.count() // R.QUERY_BLOCK))
+    for b in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))  # about QUERY_BLOCK items in a row
+        both = texts.crossJoin(F.broadcast(mine)).select("doc_id", "low", F.inline("items"))
+        n = F.size(F.filter("words", lambda x: (F.length(x) > 1) & F.col("low").contains(x)))
+        part = both.select("item_id", "doc_id", F.when(n >= F.greatest(F.lit(2.0), 0.4 * F.size("words")), 4).when(n >= 1, 3).otherwise(2).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+

@@ -59,7 +59,10 @@ def classify_l2_tfidf(spark, d):
     return X.by_tfidf(part_texts(spark, d), taxonomy(spark), "id").withColumn("score", F.round("score", 6))
 
 
-@query("classify", f"SELECT x.id, CASE WHEN a.id IS NOT NULL THEN 1 WHEN b.id IS NOT NULL THEN 2 END AS layer, coalesce(a.industry, b.industry) AS industry, coalesce(a.function, b.function) AS function, coalesce(a.position, b.position) AS position FROM ({_TEXT}) x LEFT JOIN ({_L1}) a ON a.id = x.id LEFT JOIN ({_L2.format(least=0.6)}) b ON b.id = x.id")
+CLASSIFY_SQL = f"SELECT x.id, CASE WHEN a.id IS NOT NULL THEN 1 WHEN b.id IS NOT NULL THEN 2 END AS layer, coalesce(a.industry, b.industry) AS industry, coalesce(a.function, b.function) AS function, coalesce(a.position, b.position) AS position FROM ({_TEXT}) x LEFT JOIN ({_L1}) a ON a.id = x.id LEFT JOIN ({_L2.format(least=0.6)}) b ON b.id = x.id"
+
+
+@query("classify", CLASSIFY_SQL)
 def classify(spark, d):
     return X.classify(part_texts(spark, d), taxonomy(spark), "id")
 

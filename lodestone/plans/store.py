@@ -246,7 +246,7 @@ def set_exclusive_flag(spark, d):
 
 @query("clone_version", "SELECT id, parent_id, version, is_primary FROM tree UNION ALL SELECT id + 10000000, id, coalesce(version, 1) + 1, CASE WHEN id % 6 = 0 THEN false ELSE is_primary END FROM tree WHERE id % 3 = 0", ("tree",))
 def clone_version(spark, d):
-    rows = S.tree(spark, d)
+    rows = S.tree(spark, d).select("id", "parent_id", "version", "is_primary")
     change = rows.where("id % 3 = 0").selectExpr("id AS source_id", "CASE WHEN id % 6 = 0 THEN false END AS is_primary")
     return rows.unionByName(mutate.clone_version(rows, change, F.col("s.id") + 10000000))
 

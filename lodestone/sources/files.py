@@ -21,11 +21,23 @@ MODES = {"raise": "FAILFAST", "skip": "DROPMALFORMED", "report": "PERMISSIVE"}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestone-work"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, in a
+    temporary one in local mode, in which all tasks share a machine; elsewhere an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/lodestone-work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, malformed: str = "raise") -> DataFrame:
     """JSON lines; blank lines are skipped. ``report`` keeps malformed lines in _corrupt_record."""
     if malformed == "report":

@@ -72,6 +72,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, chunk_text: the document of the same number, its first characters."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "substr(text, 1, 300) AS chunk_text")
+
+
 def llm_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log of model calls."""
     return calls_of(table(spark, sf_dir, "events"))
@@ -148,4 +153,4 @@ def fields(columns: str) -> list[str]:
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version tree: rows with their parent."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey - 1 END AS parent_id", "p_size AS version", "p_partkey % 50 = 3 AS is_primary")
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 50 = 7 THEN -1 ELSE p_partkey - 1 END AS parent_id", "nullif(p_size, 7) AS version", "p_partkey % 50 = 3 AS is_primary", "p_partkey div 50 AS user_id", "p_retailprice AS updated_at")
