@@ -10,7 +10,7 @@ a smaller doc_id.
 2. Anchors are counted by document, with a map-side combine. Those of one document can't be part of
    a repeat; a Bloom filter of FILTER_BITS at most keeps what may be shared. What it lets through
    besides costs shuffle, not results, so one filter and one pass serve any number of anchors.
-3. Prefixes of more than GROUP_ROWS suffixes are lengthened to WINDOW words. Then a group is one node
+3. Prefixes of more suffixes than GROUP_ROWS allows are lengthened to WINDOW words. Then a group is one node
    of the tree and needs only its smallest doc_id, which is summed before it is shuffled. Such nodes
    are told by two hashes of 64 bits. A second filter tells which prefixes these are; an anchor that
    it takes by mistake is only worked on in this way.
@@ -41,8 +41,9 @@ from .common import BROADCAST_ROWS, discard, join_spooled, pick, spool
 from .words import Words, slices, words_of
 
 WINDOW, ANCHOR = 13, 5
-#: A prefix of more suffixes than this is lengthened.
-GROUP_ROWS = 1000
+#: A prefix of more suffixes than a SHAREth of all is lengthened, but none of up to the first number and
+#: all of more than the second, whose suffixes still fit into memory.
+GROUP_ROWS, SHARE = (1000, 20_000), 2000
 #: Greatest size of a filter; KEY_BITS for each anchor in it.
 FILTER_BITS, KEY_BITS = 29, 16
 #: Bytes by which a word is compared in a group; words of a suffix at most.
@@ -134,7 +135,7 @@ class Chosen:
         """Both hashes, text and first word of each window that the anchors stand for."""
         n = self.last - self.first + 1
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first, n)
-        return words.grams(WINDOW)[at].view(np.int64), words.grams(WINDOW, _OTHER)[at].view(np.int64), np.repeat(self.text, n), at
+        return words.grams_at(at, WINDOW).view(np.int64), words.grams_at(at, WINDOW, _OTHER).view(np.int64), np.repeat(self.text, n), at
 
 
 def suffixes(docs: DataFrame, shared) -> DataFrame:
@@ -326,13 +327,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return pick(docs, doc_id="bigint", text="string").select("doc_id", F.hash("text").alias("text_key"), "text")
 
 
-def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def repeats(docs: DataFrame, group_rows: tuple[int, int] = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, text_key, cuts: the passages of each text that smaller doc_ids have, as ranges of words."""
     named = keyed(docs).where("doc_id is not null")
     keys = anchor_keys(named).groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("n"))
     shared = spool(keys.where("least < most").select("anchor", "n"), "op10-anchors")
-    hot = F.col("n") > group_rows
-    n, n_hot = shared.agg(F.count("*"), F.count_if(hot)).first()
+    n, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = F.col("n") > min(group_rows[1], max(group_rows[0], total // SHARE))
+    n_hot = shared.where(hot).count()
     chosen = docs.sparkSession.sparkContext.broadcast((bloom(shared, n, filter_bits), bloom(shared.where(hot), n_hot, filter_bits)))
     found = covered_in_groups(suffixes(named, chosen)).withColumn("starts", F.lit(None).cast("array<int>"))
     if n_hot:
@@ -346,7 +348,7 @@ def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, filter_bits: int = FI
     return cuts
 
 
-def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_rows: tuple[int, int] = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of ``docs``."""
     return cut_out(keyed(docs), repeats(docs, group_rows, filter_bits))
 

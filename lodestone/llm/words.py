@@ -83,6 +83,14 @@ class Words:
             g += h[k : k + m]
         return mix(g)
 
+    def grams_at(self, at: np.ndarray, n: int, base: np.uint64 = _GRAM) -> np.ndarray:
+        """The same of the words ``at`` alone."""
+        g = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            g *= base
+            g += self.hashes[at + k]
+        return mix(g)
+
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; null counts as empty."""

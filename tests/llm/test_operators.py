@@ -617,9 +617,9 @@ def without_repeats(texts, n=13):
     return out
 
 
-@pytest.mark.parametrize(("group_rows", "filter_bits", "nodes"), [(1000, 29, 10**6), (5, 29, 10**6), (1000, 16, 10**6), (3, 16, 10**6), (3, 16, 10)])
+@pytest.mark.parametrize(("group_rows", "filter_bits", "nodes"), [((1000, 2000), 29, 10**6), ((5, 5), 29, 10**6), ((1000, 2000), 16, 10**6), ((1, 3), 16, 10**6), ((3, 3), 16, 10)])
 def test_repeats(spark, texts, monkeypatch, group_rows, filter_bits, nodes):
-    """Also with lengthened prefixes, with several filters in turn, and with nodes joined."""
+    """Also with lengthened prefixes, with full filters, and with nodes joined."""
     monkeypatch.setattr(op10, "NODES", nodes)
     got = rows(op10.remove_repeats(documents(spark, texts), group_rows, filter_bits), "doc_id", "n_words", "n_removed", "kept_text")
     assert got == sorted(without_repeats(texts), key=repr)
@@ -629,4 +629,23 @@ def test_repeats_edges(spark):
     same = " ".join(f"w{k}" for k in range(20))
     df = spark.createDataFrame([(None, same), (4, same), (4, same), (9, same), (2, None)], "doc_id bigint, text string")
     assert rows(op10.remove_repeats(df), "doc_id", "n_words", "n_removed") == sorted([(None, 20, 0), (4, 20, 0), (4, 20, 0), (9, 20, 20), (2, 0, 0)], key=repr)
+    # rows that share a doc_id and differ in their texts
+    two = spark.createDataFrame([(1, same), (4, f"a b c {same}"), (4, f"{same} d e"), (4, "x " * 30), (3, "x " * 30)], "doc_id bigint, text string")
+    assert rows(op10.remove_repeats(two), "doc_id", "kept_text") == sorted([(1, same), (4, "a b c"), (4, "d e"), (4, ""), (3, " ".join(["x"] * 30))], key=repr)
     assert op10.remove_repeats(empty(spark)).count() == 0
+
+
+def test_deep_nodes():
+    """Nodes are the groups of suffixes that share a window, each with its longest common prefixes."""
+    rng = random.Random(3)
+    n = op10.CODE
+    said = [[rng.randrange(1, 4) for _ in range(rng.randint(13, 21))] for _ in range(60)]
+    said += [x[:17] + [9] for x in said[:20] if len(x) > 17]
+    column = pa.array([b"".join(w.to_bytes(n, "big") for w in x) for x in said], pa.binary())
+    run, place, node, shared = op10.deep_nodes(column)
+    suffixes = [tuple(said[r][p:]) for r, p in zip(run, place, strict=True)]
+    assert sorted((r, p) for r, p in zip(run.tolist(), place.tolist(), strict=True)) == [(r, p) for r, x in enumerate(said) for p in range(len(x) - 12)]
+    for k in range(1, len(suffixes)):
+        common = next((i for i, (a, b) in enumerate(zip(suffixes[k - 1], suffixes[k], strict=False)) if a != b), min(len(suffixes[k - 1]), len(suffixes[k])))
+        assert shared[k] == common and (node[k] == node[k - 1]) == (common >= 13)
+    assert len(set(node.tolist())) == len({x[:13] for x in suffixes})
