@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,11 +61,45 @@ def units(sectioned: DataFrame, key: str) -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame:
-    """key, chunk_index, chunk_type, heading_path, chunk_text. Texts without any chunk give one overview."""
-    found = units(sections(lines_of(docs, key, text), key, heading_type(F.trim("line"))), key).where(F.length("text") >= LEAST)
-    pieces = found.select(key, "at", "kind", "heading", F.posexplode(cap_length(F.col("text"), MOST)).alias("piece", "chunk_text"))
-    index = F.row_number().over(Window.partitionBy(key).orderBy("at", "piece")) - 1
-    path = F.when(F.col("heading").isNull(), F.array().cast("array<string>")).otherwise(F.array("heading"))
-    chunks = pieces.select(key, index.alias("chunk_index"), F.col("kind").alias("chunk_type"), path.alias("heading_path"), "chunk_text")
-    rest = docs.where(strip(F.col(text)) != "").join(found.select(key).distinct(), key, "left_anti")
-    return chunks.unionByName(rest.select(key, F.lit(0).alias("chunk_index"), F.lit("overview").alias("chunk_type"), F.array().cast("array<string>").alias("heading_path"), F.substring(strip(F.col(text)), 1, MOST).alias("chunk_text")))
+    """key, chunk_index, chunk_type, heading_path, chunk_text. Texts without any chunk give one overview.
+
+    A document is folded line by line within its row, so that no text is shuffled.
+    """
+    chunks = F.transform(document_units(F.col(text)), lambda u: F.transform(cap_length(u["text"], MOST), lambda t: F.struct(u["kind"].alias("kind"), u["heading"].alias("heading"), t.alias("text"))))
+    whole = strip(F.col(text))
+    alone = F.when(whole != "", F.array(F.struct(F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("heading"), F.substring(whole, 1, MOST).alias("text"))))
+    found = docs.select(key, F.flatten(chunks).alias("c"), alone.alias("alone"))
+    rows = found.select(key, F.posexplode(F.when(F.size("c") > 0, F.col("c")).otherwise(F.col("alone"))).alias("chunk_index", "c"))
+    path = F.when(F.col("c.heading").isNull(), F.array().cast("array<string>")).otherwise(F.array("c.heading"))
+    return rows.select(key, "chunk_index", F.col("c.kind").alias("chunk_type"), path.alias("heading_path"), F.col("c.text").alias("chunk_text"))
+
+
+UNIT = "struct<kind:string,heading:string,text:string>"
+
+
+def document_units(text: Column, opens: Callable[[Column], Column] | None = None) -> Column:
+    """Units of a text of LEAST characters and more, in order: bullets one by one, other neighbouring
+    lines together, each with the kind and the heading that it is under."""
+    opens = opens or (lambda line: heading_type(F.trim(line)))
+    lines = F.transform(F.transform(F.split(text, r"\r\n|\n|\r"), F.rtrim), lambda x: F.struct(x.alias("line"), opens(x).alias("opens"), F.regexp_like(x, F.lit(BULLET)).alias("bullet")))
+    # open: the lines of a unit that may go on
+    start = F.struct(F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("open"), F.array().cast(f"array<{UNIT}>").alias("done"))
+
+    def unit(s: Column, said: Column) -> Column:
+        return F.struct(s["kind"].alias("kind"), s["heading"].alias("heading"), strip(said).alias("text"))
+
+    def closed(s: Column) -> Column:
+        return F.when(F.length(strip(s["open"])) >= LEAST, F.concat(s["done"], F.array(unit(s, s["open"])))).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        head, blank, bullet = x["opens"].isNotNull(), F.trim(x["line"]) == "", x["bullet"]
+        ends, item = head | blank | bullet, strip_bullet(x["line"])
+        done = F.when(ends, closed(s)).otherwise(s["done"])
+        done = F.when(~head & ~blank & bullet & (F.length(strip(item)) >= LEAST), F.concat(done, F.array(unit(s, item)))).otherwise(done)
+        grown = F.when(s["open"].isNull(), x["line"]).otherwise(F.concat_ws("\n", s["open"], x["line"]))
+        return F.struct(
+            F.coalesce(x["opens"], s["kind"]).alias("kind"), F.when(head, F.trim(x["line"])).otherwise(s["heading"]).alias("heading"),
+            F.when(~ends, grown).alias("open"), done.alias("done"),
+        )
+
+    return F.aggregate(lines, start, step, closed)

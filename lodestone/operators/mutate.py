@@ -11,6 +11,24 @@ from pyspark.sql.window import Window
 from .store import first_by
 
 
+def last_of_key(incoming: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row for each key: the last in the given order, as the last write wins; any without an order."""
+    return first_by(incoming, [key], *[o.desc() for o in order]) if order else incoming.dropDuplicates([key])
+
+
+def surviving_ids(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """id, stored_id: of each incoming row, the id under which its key is stored after an insert that
+    ignores known keys. A null key is stored as it comes."""
+    names = list(keys)
+    null = F.lit(False)
+    for c in names:
+        null = null | F.col(f"n.{c}").isNull()
+    stored = insert_ignore(existing.select("id", *names), incoming.select("id", *names), names, *order).dropna(subset=names)
+    stored = stored.groupBy(*names).agg(F.min("id").alias("stored_id"))
+    both = incoming.select("id", *names).alias("n").join(stored.alias("s"), names, "left")
+    return both.select("n.id", F.when(null, F.col("n.id")).otherwise(F.col("stored_id")).alias("stored_id"))
+
+
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """Add rows whose key is new; of several, the first in the given order. Null keys never conflict."""
     known = [c for c in keys]
@@ -20,15 +38,18 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return existing.unionByName(fresh.select(*existing.columns)).unionByName(unkeyed.select(*existing.columns))
 
 
-def insert_replace(existing: DataFrame, incoming: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
-    """Incoming rows replace those of their key whole; columns that they lack get their defaults."""
+def insert_replace(existing: DataFrame, incoming: DataFrame, key: str, defaults: dict[str, Column], *order: Column) -> DataFrame:
+    """Incoming rows replace those of their key whole; columns that they lack get their defaults. The last
+    of repeated keys counts."""
+    incoming = last_of_key(incoming, key, *order)
     full = incoming.select(*[F.col(c) if c in incoming.columns else defaults.get(c, F.lit(None)).cast(existing.schema[c].dataType).alias(c) for c in existing.columns])
     return existing.join(incoming.select(key), key, "left_anti").select(*existing.columns).unionByName(full)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Insert or update by key; a null in the columns to ``keep`` leaves the old value."""
-    old, new = existing.alias("o"), incoming.alias("n")
+def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: Sequence[str] = (), *order: Column) -> DataFrame:
+    """Insert or update by key; a null in the columns to ``keep`` leaves the old value. The last of
+    repeated keys counts."""
+    old, new = existing.alias("o"), last_of_key(incoming, key, *order).alias("n")
     hit = F.col(f"n.{key}").isNotNull()
     columns = [F.coalesce(f"n.{key}", f"o.{key}").alias(key)]
     for c in existing.columns:
@@ -43,9 +64,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: Sequence[st
     return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
 
 
-def update(existing: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Set columns of the rows that ``updates`` has, nulls included."""
-    new = updates.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
+def update(existing: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], *order: Column) -> DataFrame:
+    """Set columns of the rows that ``updates`` has, nulls included. The last of repeated keys counts."""
+    new = last_of_key(updates, key, *order).select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
     both = existing.join(new, key, "left")
     return both.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in existing.columns])
 
@@ -103,8 +124,28 @@ def append_indexed(existing: DataFrame, incoming: DataFrame, group: str, order:
     return existing.unionByName(placed.select(*existing.columns))
 
 
-def copy_shared_columns(source: DataFrame, target: DataFrame, key: str, **fill: Column) -> DataFrame:
-    """Append to ``target`` the rows of new keys, by the columns that both have; nulls may be filled."""
+def coerced(value: Column, kind: str) -> Column:
+    """Stored text as a column of another store takes it: json (text that is no JSON becomes a JSON
+    string), array (what is no list becomes its only entry), bool, or as it is."""
+    parsed = F.try_parse_json(value)
+    if kind == "json":
+        quoted = F.to_json(F.array(value))
+        return F.when(value.isNull() | parsed.isNotNull(), value).otherwise(F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+    if kind == "array":
+        is_list = F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False))
+        return F.when(value.isNull(), None).when(is_list, F.from_json(value, "array<string>")).otherwise(F.array(value))
+    return value.cast("boolean") if kind == "bool" else value
+
+
+def copy_shared_columns(source: DataFrame, target: DataFrame, key: str, kinds: dict[str, str] | None = None, **fill: Column) -> DataFrame:
+    """Append to ``target`` the rows of new keys, by the columns that both have; ``kinds`` says how
+    columns are coerced, nulls and empty texts may be filled."""
     shared = [c for c in target.columns if c in source.columns]
-    rows = source.select(*[(F.coalesce(F.col(c), fill[c]) if c in fill else F.col(c)).cast(target.schema[c].dataType).alias(c) for c in shared])
+
+    def one(c: str) -> Column:
+        value = coerced(F.col(c), kinds[c]) if kinds and c in kinds else F.col(c)
+        value = F.coalesce(F.nullif(value, F.lit("")), fill[c]) if c in fill else value
+        return value.cast(target.schema[c].dataType).alias(c)
+
+    rows = source.select(*map(one, shared))
     return target.unionByName(rows.join(target.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -230,6 +230,26 @@ def set_overlap_at_k(spark, d):
     return both.select("query_id", (F.size(F.array_intersect("ids", "other")) / 10.0).alias("overlap"))
 
 
+@query("bench_vec", f"SELECT query_id, 1.0::DOUBLE AS overlap FROM ({_Q})")
+def bench_vec(spark, d):
+    """Overlap of the ten nearest by blocks of products and by an expression in the JVM; bench.py times both."""
+    ids = lambda df, name: df.groupBy("query_id").agg(F.collect_set("id").alias(name))
+    both = ids(similar(spark, d, 10), "a").join(ids(R.top(scanned(spark, d), 10), "b"), "query_id")
+    return both.select("query_id", (F.size(F.array_intersect("a", "b")) / 10.0).alias("overlap"))
+
+
+def scanned(spark, d):
+    """Similarities of the query set by an expression, norms once a row and once a query."""
+    norm = lambda c: F.when(R.dot(F.col(c), F.col(c)) == 0, 1.0).otherwise(F.sqrt(R.dot(F.col(c), F.col(c))))
+    rows, asked = S.chunks(spark, d).select("id", "embedding", norm("embedding").alias("n")), queries(spark, d)
+    blocks, out = max(1, -(-asked.count() // R.QUERY_BLOCK)), None
+    for b in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).withColumn("m", norm("vector"))  # about QUERY_BLOCK rows
+        part = rows.crossJoin(F.broadcast(mine)).select("query_id", "id", (R.dot(F.col("embedding"), F.col("vector")) / (F.col("n") * F.col("m"))).alias("similarity"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # -- evaluation -------------------------------------------------------------------------------------
 
 _PER = """SELECT query_id, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN place <= 10 THEN rel / log2(place + 1) ELSE 0 END) AS idcg,
@@ -430,5 +450,3 @@ def mock_judge(spark, d):
         part = both.select("item_id", "doc_id", F.when(n >= F.greatest(F.lit(2.0), 0.4 * F.size("words")), 4).when(n >= 1, 3).otherwise(2).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
-
-

@@ -166,6 +166,12 @@ def insert_ignore(spark, d):
     return mutate.insert_ignore(stored_jds(spark, d), incoming_pages(spark, d), ["url", "user_id"], F.asc("id"))
 
 
+@query("insert_ignore_id", f"SELECT n.id, coalesce(j.id, min(n.id) OVER (PARTITION BY n.url, n.user_id)) AS stored_id FROM ({_NEW}) n LEFT JOIN ({_STORED}) j ON j.url = n.url AND j.user_id = n.user_id", ("jds",))
+def insert_ignore_id(spark, d):
+    """The id under which each incoming row's key is stored after an insert that ignores known keys."""
+    return mutate.surviving_ids(stored_jds(spark, d), incoming_pages(spark, d), ["url", "user_id"], F.asc("id"))
+
+
 @query("anti_join_dedup", f"SELECT {_KEEP} FROM ({_NEW}) n WHERE NOT EXISTS (SELECT 1 FROM jds j WHERE j.url = n.url AND j.user_id = n.user_id)", ("jds",))
 def anti_join_dedup(spark, d):
     return incoming_pages(spark, d).join(S.jds(spark, d).select("url", "user_id").distinct(), ["url", "user_id"], "left_anti").select("id", "user_id", "url")
@@ -199,11 +205,16 @@ def append_log(spark, d):
     return rows.unionByName(rows.where("status = 'error'").selectExpr("id + 1000000000 AS id", "'audit' AS operation", "'success' AS status", "0L AS total_tokens"))
 
 
-@query("bulk_append_chunks", "SELECT id, jd_id, chunk_index FROM chunks UNION ALL SELECT p.page_id + 1000000, p.page_id % 100, CAST(coalesce(t.top, -1) + row_number() OVER (PARTITION BY p.page_id % 100 ORDER BY p.page_id) AS INTEGER) FROM pages p LEFT JOIN (SELECT jd_id, max(chunk_index) AS top FROM chunks GROUP BY jd_id) t ON t.jd_id = p.page_id % 100", ("chunks",))
+_DIM = "CASE page_id % 3 WHEN 0 THEN 512 ELSE 64 END"
+
+
+@query("bulk_append_chunks", f"WITH new AS (SELECT p.page_id + 1000000 AS id, p.page_id % 100 AS jd_id, CAST(coalesce(t.top, -1) + row_number() OVER (PARTITION BY p.page_id % 100 ORDER BY p.page_id) AS INTEGER) AS chunk_index, {_DIM} AS dim FROM pages p LEFT JOIN (SELECT jd_id, max(chunk_index) AS top FROM chunks GROUP BY jd_id) t ON t.jd_id = p.page_id % 100) SELECT 'chunk' AS store, id, jd_id, chunk_index FROM chunks UNION ALL SELECT 'chunk', id, jd_id, chunk_index FROM new UNION ALL SELECT 'index', id, jd_id, chunk_index FROM new WHERE dim = 512".replace("WITH new AS", ", new AS"), ("chunks",))
 def bulk_append_chunks(spark, d):
-    rows = S.chunks(spark, d).select("id", "jd_id", "chunk_index")
-    new = S.table(spark, d, "pages").selectExpr("page_id + 1000000 AS id", "page_id % 100 AS jd_id")
-    return mutate.append_indexed(rows, new, "jd_id", ["id"], "chunk_index")
+    """Chunks are numbered on within their posting; those with vectors of 512 numbers go to the index too."""
+    rows = S.chunks(spark, d).selectExpr("id", "jd_id", "chunk_index", "cast(NULL AS int) AS dim")
+    new = S.table(spark, d, "pages").selectExpr("page_id + 1000000 AS id", "page_id % 100 AS jd_id", f"{_DIM} AS dim")
+    stores = F.array_compact(F.array(F.lit("chunk"), F.when(F.col("dim") == 512, "index")))
+    return mutate.append_indexed(rows, new, "jd_id", ["id"], "chunk_index").select(F.explode(stores).alias("store"), "id", "jd_id", "chunk_index")
 
 
 @query("point_update", "SELECT id, applied OR id % 6 = 0 AS applied, CASE WHEN id % 6 = 0 THEN NULL ELSE score END AS score FROM matches", ("matches",))
@@ -251,11 +262,15 @@ def clone_version(spark, d):
     return rows.unionByName(mutate.clone_version(rows, change, F.col("s.id") + 10000000))
 
 
-@query("migrate_copy_table", "SELECT doc_id AS id, lang AS language, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, 'unknown'), NULL FROM documents WHERE doc_id % 2 = 1")
+_OLD = "doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '[\"a\", \"b' || doc_id || '\"]' WHEN 1 THEN 'plain' WHEN 2 THEN '{\"k\": ' || doc_id || '}' END AS tags, CASE doc_id % 3 WHEN 0 THEN '{\"n\": 1}' WHEN 1 THEN 'no json' END AS sections, CAST(doc_id % 2 AS INT) AS is_public, CASE WHEN doc_id % 5 > 0 THEN 'u' || doc_id % 7 WHEN doc_id % 10 = 0 THEN '' END AS user_id"
+
+
+@query("migrate_copy_table", f"SELECT id, CASE WHEN tags IS NULL THEN NULL WHEN id % 4 = 0 THEN ['a', 'b' || id] ELSE [tags] END AS tags, CASE WHEN sections IS NULL OR json_valid(sections) THEN sections ELSE CAST(to_json(sections) AS VARCHAR) END AS sections, is_public = 1 AS is_public, coalesce(nullif(user_id, ''), 'nobody') AS user_id FROM (SELECT {_OLD} FROM documents) WHERE id % 6 > 0 UNION ALL SELECT doc_id, NULL, NULL, NULL, 'kept' FROM documents WHERE doc_id % 6 = 0")
 def migrate_copy_table(spark, d):
-    rows = S.table(spark, d, "documents").selectExpr("doc_id AS id", "lang AS language", "source", "n_chars")
-    target = rows.where("id % 2 = 0").select("id", "language", "source")
-    return mutate.copy_shared_columns(rows.selectExpr("id", "CASE WHEN id % 3 > 0 THEN language END AS language", "n_chars AS extra"), target, "id", language=F.lit("unknown"))
+    """Rows of new keys, by the columns that both stores have, coerced to the other store's types."""
+    source = S.table(spark, d, "documents").selectExpr(*S.fields(_OLD)).withColumn("dropped", F.lit(1))
+    target = S.table(spark, d, "documents").where("doc_id % 6 = 0").selectExpr("doc_id AS id", "cast(NULL AS array<string>) AS tags", "cast(NULL AS string) AS sections", "cast(NULL AS boolean) AS is_public", "'kept' AS user_id")
+    return mutate.copy_shared_columns(source, target, "id", {"tags": "array", "sections": "json", "is_public": "bool"}, user_id=F.lit("nobody"))
 
 
 @query("migrate_merge_sources", "SELECT url, origin, id FROM (SELECT split_part(split_part(url, '?', 1), '#', 1) AS url, origin, id FROM (SELECT url, 'jds' AS origin, id FROM jds UNION ALL SELECT url, 'pages', page_id FROM pages)) QUALIFY row_number() OVER (PARTITION BY url ORDER BY origin, id) = 1", ("jds",))
@@ -264,6 +279,18 @@ def migrate_merge_sources(spark, d):
     return store.first_by(both.withColumn("url", T.strip_url(F.col("url"))), ["url"], F.asc("origin"), F.asc("id"))
 
 
+_MERGED = "SELECT split_part(split_part(url, '?', 1), '#', 1) AS url, origin, id FROM (SELECT CASE WHEN id % 9 > 0 THEN url END AS url, 'jds' AS origin, id FROM jds UNION ALL SELECT url, 'pages', page_id FROM pages)"
+
+
+@query("migrate_merge_counts", f"SELECT origin, count(*) AS n, count(*) FILTER (WHERE url IS NOT NULL AND first) AS inserted, count(*) FILTER (WHERE url IS NOT NULL AND NOT first) AS duplicate FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY origin, id) = 1 AS first FROM ({_MERGED})) GROUP BY origin", ("jds",))
+def migrate_merge_counts(spark, d):
+    """How many rows of each source a merge inserts, and finds to be known; those without an address count as neither."""
+    both = S.jds(spark, d).selectExpr("CASE WHEN id % 9 > 0 THEN url END AS url", "'jds' AS origin", "id").unionByName(S.table(spark, d, "pages").selectExpr("url", "'pages' AS origin", "page_id AS id"))
+    both = both.withColumn("url", T.strip_url(F.col("url")))
+    kept = store.first_by(both.where("url is not null"), ["url"], F.asc("origin"), F.asc("id")).groupBy("origin").agg(F.count("*").alias("inserted"))
+    return both.groupBy("origin").agg(F.count("*").alias("n"), F.count("url").alias("named")).join(kept, "origin", "left").select("origin", "n", F.coalesce("inserted", F.lit(0)).alias("inserted"), (F.col("named") - F.coalesce("inserted", F.lit(0))).alias("duplicate"))
+
+
 @query("union_sources", "SELECT 'jds' AS origin, count(*) AS n, count(DISTINCT url) AS urls FROM jds UNION ALL SELECT 'pages', count(*), count(DISTINCT url) FROM pages", ("jds",))
 def union_sources(spark, d):
     both = S.jds(spark, d).selectExpr("url", "'jds' AS origin", "company").unionByName(S.table(spark, d, "pages").selectExpr("url", "'pages' AS origin", "html"), allowMissingColumns=True)
@@ -277,8 +304,13 @@ def column_intersect(spark, d):
     return spark.createDataFrame([(c,) for c in S.table(spark, d, "documents").columns if c in target], "shared string")
 
 
-@query("schema_converge", "SELECT id, source, coalesce(language, '') AS language, CAST(n_tags AS BIGINT) AS n_tags FROM jds", ("jds",))
+_LOOSE = "doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN '[\"r' || doc_id || '\"]' END AS requirements, CASE WHEN doc_id % 4 = 0 THEN '[\"p\", \"q\"]' END AS preferred, CASE WHEN doc_id % 5 > 1 THEN '[\"' || source || '\"]' END AS skills, CASE WHEN doc_id % 2 = 0 THEN lang END AS implicit"
+
+
+@query("schema_converge", f"SELECT id, CASE WHEN requirements IS NULL THEN [] ELSE ['r' || id] END AS requirements, CASE WHEN preferred IS NULL THEN [] ELSE ['p', 'q'] END AS preferred, CASE WHEN skills IS NULL THEN [] ELSE [source] END AS skills, coalesce(implicit, '') AS implicit, coalesce(skills, '[]') AS tags FROM (SELECT {_LOOSE}, source FROM documents)")
 def schema_converge(spark, d):
-    """Loose columns become one JSON object and are read back by schema."""
-    packed = S.jds(spark, d).select("id", F.to_json(F.struct("source", F.coalesce("language", F.lit("")).alias("language"), "n_tags")).alias("sections"))
-    return packed.select("id", F.from_json("sections", "source string, language string, n_tags bigint").alias("s")).select("id", "s.*")
+    """Loose JSON columns become one JSON object and a list, with defaults, and are read back by schema."""
+    rows = S.table(spark, d, "documents").selectExpr(*S.fields(_LOOSE))
+    lists = [T.json_list(F.col(c)).alias(c) for c in ("requirements", "preferred", "skills")]
+    packed = rows.select("id", F.to_json(F.struct(*lists, F.coalesce("implicit", F.lit("")).alias("implicit"))).alias("parsed_sections"), F.coalesce("skills", F.lit("[]")).alias("tags"))
+    return packed.select("id", F.from_json("parsed_sections", "requirements array<string>, preferred array<string>, skills array<string>, implicit string").alias("s"), "tags").select("id", "s.*", "tags")

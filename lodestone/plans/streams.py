@@ -77,6 +77,17 @@ def scan_jsonl(spark, d):
     return rows.select(id_.alias("event_id"), F.col("_corrupt_record").isNotNull().alias("bad"))
 
 
+@query("sink_json_report", "SELECT 'baseline' AS key, CAST(count(*) AS VARCHAR) AS n, CAST(max(event_id) AS VARCHAR) AS top FROM events UNION ALL SELECT 'other', '7', NULL")
+def sink_json_report(spark, d):
+    """A summary written as JSON, and merged under its key into an older progress report."""
+    old, out = files.work_path(spark, "progress"), files.work_path(spark, "report")
+    spark.range(1).select(F.lit('{"baseline": {"n": 1}, "other": {"n": 7}}').alias("v")).coalesce(1).write.text(old)
+    files.write_report(S.table(spark, d, "events").agg(F.count("*").alias("n"), F.max("event_id").alias("top")), out)
+    summary = spark.read.schema("n bigint, top bigint").json(out)
+    merged = files.merge_report(spark, old, "baseline", summary)
+    return merged.select(F.explode(F.from_json("report", "map<string, struct<n: string, top: string>>")).alias("key", "v")).select("key", "v.n", "v.top")
+
+
 @query("scan_json_dir", "SELECT n_nationkey AS id, n_name AS name FROM nation ORDER BY lpad(CAST(n_nationkey AS VARCHAR), 4, '0') DESC LIMIT 10")
 def scan_json_dir(spark, d):
     """One file for each object, the last names first."""
@@ -86,13 +97,10 @@ def scan_json_dir(spark, d):
     return files.read_json_dir(spark, f"{out}/*.json", "file string, id int, name string", 1 << 20).orderBy(F.desc("file")).limit(10).select("id", "name")
 
 
-@query("scan_text_file", "SELECT count(*) AS n, CAST(sum(length(r_name)) AS BIGINT) AS n_chars FROM region")
+@query("scan_text_file", "SELECT 'txt' AS suffix, count(*) AS n, CAST(sum(length(r_name)) AS BIGINT) AS n_chars FROM region")
 def scan_text_file(spark, d):
-    """Whole files as rows."""
+    """Whole files as rows, read by their suffix."""
     out = files.work_path(spark, "texts")
-    rows = S.table(spark, d, "region")
-    rows.select("r_name").repartitionByRange(32, "r_name").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(out)
-    texts = files.read_texts(spark, f"{out}/*.txt").where(F.length("text") > 0)
-    return texts.agg(F.count("*").alias("n"), F.sum(F.length(F.rtrim(F.regexp_replace("text", "\n", "")))).alias("n_chars"))
-
-
+    S.table(spark, d, "region").select("r_name").repartitionByRange(32, "r_name").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(out)
+    texts = files.read_documents(spark, f"{out}/*.*").where(F.length("text") > 0)
+    return texts.groupBy("suffix").agg(F.count("*").alias("n"), F.sum(F.length(F.rtrim(F.regexp_replace("text", "\n", "")))).alias("n_chars"))

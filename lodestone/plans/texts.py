@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import frames as S
+from ..sources import replies
 from .registry import query
 
 WS = r"[ \t\n\x0b\f\r]"
@@ -119,15 +120,36 @@ def fn_excerpt(spark, d):
     return docs(spark, d).select("doc_id", T.excerpt(F.col("text"), 30).alias("head"))
 
 
-@query("fn_split_long_text")
+def packed(parts: str, key: str, most: int, joined: str) -> str:
+    """Common table expressions that end in ``pieces`` (key, part, text): the parts (key, i from 1 on, p)
+    joined greedily up to ``most`` characters. joined: how p follows x."""
+    fits = f"length(x) + length(p) <= {most}"
+    return f"""parts AS ({parts}), r AS (SELECT DISTINCT {key}, 0::BIGINT AS i, 0 AS part, '' AS x FROM parts
+      UNION ALL SELECT {", ".join(f"r.{k.strip()}" for k in key.split(","))}, parts.i, CASE WHEN {fits} OR x = '' THEN part ELSE part + 1 END, CASE WHEN {fits} THEN CASE WHEN x = '' THEN p ELSE {joined} END ELSE p END FROM r JOIN parts ON {" AND ".join(f"parts.{k.strip()} = r.{k.strip()}" for k in key.split(","))} AND parts.i = r.i + 1),
+      pieces AS (SELECT {key}, part, arg_max(x, i) AS text FROM r GROUP BY {key}, part)"""
+
+
+_CUT = r"'([。.!?！？])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'"
+
+
+def sentences(rows: str, key: str, text: str, most: int = 800) -> str:
+    """Parts of ``packed`` for texts of more than ``most`` characters: their sentences."""
+    return f"SELECT {key}, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS p FROM (SELECT {key}, string_split(regexp_replace({text}, {_CUT}), chr(1)) AS l FROM ({rows}) WHERE length({text}) > {most})"
+
+
+_PARAGRAPHS = rf"SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS p FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\n{WS}*\n)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents)"
+
+
+@query("fn_split_long_text", f"WITH RECURSIVE {packed(_PARAGRAPHS, 'doc_id', 4000, 'x || p')} SELECT doc_id, part, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM pieces WHERE text <> ''")
 def fn_split_long_text(spark, d):
     parts = docs(spark, d).select("doc_id", F.posexplode(T.split_long_text(F.col("text"))).alias("part", "text"))
-    return parts.select("doc_id", "part", F.length("text").alias("n_chars"))
+    return parts.select("doc_id", "part", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query("fn_cap_length")
+@query("fn_cap_length", f"WITH RECURSIVE {packed(sentences('SELECT doc_id, text FROM documents', 'doc_id', 'text'), 'doc_id', 800, "trim(x || ' ' || p)")} SELECT doc_id, part, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, part, text FROM pieces WHERE text <> '' UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 800)")
 def fn_cap_length(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(T.cap_length(F.col("text"))).alias("part", "text")).select("doc_id", "part", F.length("text").alias("n_chars"))
+    parts = docs(spark, d).select("doc_id", F.posexplode(T.cap_length(F.col("text"))).alias("part", "text"))
+    return parts.select("doc_id", "part", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 _MONEY = "(doc_id % 40) || '-' || (doc_id % 40 + 7) || 'K·14薪'"
@@ -237,17 +259,39 @@ def fn_date(spark, d):
     return S.table(spark, d, "events").select("event_id", F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), (F.col("ts") >= S.as_of() - F.expr("INTERVAL '7' DAY")).alias("recent"), age.alias("age"))
 
 
-@query("scan_html", f"SELECT page_id, {_strip("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|header)[^>]*>.*?</(script|style|nav|footer|header)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '" + WS + "+', ' ', 'g')")} AS text, {_strip("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title FROM pages")
+_OF = r"regexp_replace({}, '(?s)<!--.*?-->', '', 'g')"
+_PARTS = "list_filter(list_transform(regexp_split_to_array({}, '(?s)<[^>]*>'), lambda x: " + _strip("x") + "), lambda x: x <> '')"
+_PAGE = "array_to_string(" + _PARTS.format(_OF.format(r"regexp_replace(html, '(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</(script|style|nav|footer|header)>', '', 'g')")) + ", chr(10))"
+
+
+def _element(pattern, separator):
+    return "array_to_string(" + _PARTS.format(_OF.format(f"regexp_extract(html, '(?is){pattern}', 1)")) + f", '{separator}')"
+
+
+TITLES, BODIES = ("<h1[^>]*>(.*?)</h1>", "<title>(.*?)</title>"), ("<div[^>]*class=\"job-detail\"[^>]*>(.*?)</div>", "<article[^>]*>(.*?)</article>")
+_TITLE = "coalesce(" + ", ".join(f"CASE WHEN {_element(p, '')} <> '' AND length({_element(p, '')}) < 200 THEN {_element(p, '')} END" for p in TITLES) + ", '')"
+_BODY = "coalesce(" + ", ".join(f"CASE WHEN length({_element(p, chr(10))}) > 50 THEN {_element(p, chr(10))} END" for p in BODIES) + ", array_to_string(list_filter(string_split(" + _PAGE + ", chr(10)), lambda x: length(x) > 20 OR " + " OR ".join(f"contains(lower(x), '{w}')" for w in replies.DESCRIBING) + ")[1:20], chr(10)))"
+
+
+@query("scan_html", f"SELECT page_id, {_TITLE} AS title, {_BODY} AS text FROM pages")
 def scan_html(spark, d):
-    """Visible text of a page: without scripts, styles and page furniture."""
-    bare = F.regexp_replace("html", r"(?is)<(script|style|nav|footer|header)[^>]*>.*?</(script|style|nav|footer|header)>", " ")
-    text = T.strip(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
-    return pages(spark, d).select("page_id", text.alias("text"), T.strip(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"))
+    """Title and description of a page: the first element of a list with text of fitting length, else long lines of the page."""
+    html = F.col("html")
+    return pages(spark, d).select("page_id", replies.by_selectors(html, TITLES).alias("title"), replies.description(html, BODIES).alias("text"))
+
+
+#: Replies of two sites as JSON text, from a part, and the fields that they are made of.
+_BOSS = "CASE p_partkey % 3 WHEN 0 THEN '{\"id\": \"' || p_partkey || '\", \"job_detail\": {\"job_name\": \" ' || p_name || ' \", \"company\": {\"name\": \"' || p_brand || '\"}, \"area\": \"A\", \"district\": \"B\", \"salary_low\": ' || p_size || ', \"salary_high\": 99, \"job_experience\": {\"name\": \"3 y\"}, \"description\": \"优先 ' || p_type || '\", \"requirements\": \"5年以上 SQL语言\"}}' WHEN 1 THEN '{\"id\": \"' || p_partkey || '\", \"job_name\": \"\", \"company_name\": \"' || p_brand || '\", \"city_name\": \"C\", \"salary\": \"10K\", \"education\": \"BSc\", \"job_desc\": \"d\", \"href\": \"http://x/' || p_partkey || '\"}' ELSE '{}' END"
+_LAGOU = "CASE p_partkey % 2 WHEN 0 THEN '{\"positionName\": \"' || p_name || '\", \"companyFullName\": \"' || p_brand || '\", \"label\": \"a, b,,\", \"positionAdvantage\": \"food\", \"href\": \"/jobs/' || p_partkey || '.html\", \"salary\": \"1k\"}' ELSE '{\"companyShortName\": \"S\", \"companyFullName\": \"F\", \"district\": \" D \", \"jobDesc\": \" one \", \"skills\": \"two\", \"href\": \"http://y\"}' END"
 
 
-@query("scan_http_json", "SELECT event_id, user_id, event_type AS title, coalesce(value, 0) AS salary, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+@query("scan_http_json", """SELECT p_partkey AS id, 'boss' AS site, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE 'Untitled' END AS title, CASE p_partkey % 3 WHEN 2 THEN 'Unknown' ELSE p_brand END AS company, CASE p_partkey % 3 WHEN 0 THEN 'AB' WHEN 1 THEN 'C' ELSE '' END AS location, CASE p_partkey % 3 WHEN 0 THEN p_size || '-99' WHEN 1 THEN '10K' ELSE '' END AS salary_str,
+    CASE p_partkey % 3 WHEN 0 THEN '3 y' ELSE '' END AS experience_level, CASE p_partkey % 3 WHEN 1 THEN 'BSc' ELSE '' END AS education, CASE p_partkey % 3 WHEN 0 THEN '优先 ' || p_type || chr(10) || '5年以上 SQL语言' WHEN 1 THEN 'd' ELSE '' END AS raw_text, CASE p_partkey % 3 WHEN 0 THEN ['5', 'SQL语言'] ELSE [] END AS skills_required,
+    CASE p_partkey % 3 WHEN 0 THEN list_filter(list_concat(['优先'], regexp_extract_all(p_type, '[A-Za-z]{2,8}')), lambda x: true) ELSE [] END AS skills_nice, CASE p_partkey % 3 WHEN 0 THEN 'https://www.zhipin.com/job/detail/' || p_partkey || '.html' WHEN 1 THEN 'http://x/' || p_partkey ELSE 'https://www.zhipin.com/job/detail/.html' END AS source_url FROM part
+  UNION ALL SELECT p_partkey, 'lagou', CASE p_partkey % 2 WHEN 0 THEN p_name ELSE 'Untitled' END, CASE p_partkey % 2 WHEN 0 THEN p_brand ELSE 'S' END, CASE p_partkey % 2 WHEN 0 THEN '' ELSE 'D' END, CASE p_partkey % 2 WHEN 0 THEN '1k' ELSE '' END, '', '', CASE p_partkey % 2 WHEN 0 THEN 'Detail URL: /jobs/' || p_partkey || '.html' ELSE 'one' || chr(10) || 'two' END,
+    CASE p_partkey % 2 WHEN 0 THEN ['a', 'b'] ELSE [] END, CASE p_partkey % 2 WHEN 0 THEN ['food'] ELSE [] END, CASE p_partkey % 2 WHEN 0 THEN 'https://www.lagou.com/jobs/' || p_partkey || '.html' ELSE 'http://y' END FROM part""")
 def scan_http_json(spark, d):
-    """Reply of a posting interface to a row: nested fields with fall-backs."""
-    reply = F.to_json(F.struct(F.struct(F.col("event_type").alias("jobName"), "user_id").alias("job"), F.struct(F.col("value").alias("salary")).alias("detail"), F.col("props").alias("raw")))
-    row = F.from_json(reply, "job struct<jobName string, title string, user_id bigint>, detail struct<salary double>, raw string")
-    return S.table(spark, d, "events").select("event_id", row.alias("r")).select("event_id", "r.job.user_id", F.coalesce("r.job.title", "r.job.jobName").alias("title"), F.coalesce("r.detail.salary", F.lit(0.0)).alias("salary"), F.get_json_object("r.raw", "$.k").try_cast("int").alias("k"))
+    """Rows from the replies of two sites: nested fields with fall-backs."""
+    rows = S.table(spark, d, "part").selectExpr("p_partkey AS id", f"{_BOSS} AS boss", f"{_LAGOU} AS lagou")
+    one = rows.select("id", F.lit("boss").alias("site"), replies.boss_posting(F.col("boss")).alias("r")).select("id", "site", "r.*")
+    return one.unionByName(rows.select("id", F.lit("lagou").alias("site"), replies.lagou_posting(F.col("lagou")).alias("r")).select("id", "site", "r.*"))

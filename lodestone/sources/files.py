@@ -6,7 +6,7 @@ import hashlib
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,40 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_report(summary: DataFrame, path: str) -> None:
+    """One JSON object from a frame of one row."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def merge_report(spark: SparkSession, old: str | None, key: str, summary: DataFrame) -> DataFrame:
+    """A progress report of one row and column, ``report``: the JSON object at ``old`` (none, or one that
+    can't be read, is empty) with the summary under ``key``."""
+    new = summary.select(F.struct(*summary.columns).alias("s")).limit(1).select(F.to_json(F.struct(F.col("s").alias(key))).alias("new"))
+    text = spark.read.option("wholetext", True).text(old).agg(F.max("value").alias("old")) if old else spark.range(1).select(F.lit(None).cast("string").alias("old"))
+    entries = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    kept = F.filter(entries(F.col("old")), lambda k: k != key)
+    of = F.from_json("old", "map<string, variant>")
+    parts = F.transform(kept, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(of[k])))
+    inner = F.regexp_extract("new", r"(?s)^\{(.*)\}$", 1)
+    both = text.crossJoin(F.broadcast(new))  # one row each
+    return both.select(F.concat(F.lit("{"), F.array_join(F.concat(parts, F.array(inner)), ","), F.lit("}")).alias("report"))
+
+
+#: Suffixes of plain texts; others need a reader of their own.
+TEXT_SUFFIXES = ("txt", "md", "rst")
+
+
+def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """file_name, suffix, text of every file. Texts are decoded; ``readers`` maps further suffixes to
+    functions of a column of bytes, such as pandas UDFs. Files of other suffixes have a null text."""
+    rows = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file_name"), "content")
+    suffix = F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1))
+    text = F.when(suffix.isin(*TEXT_SUFFIXES), F.decode("content", "UTF-8"))
+    for name, reader in (readers or {}).items():
+        text = text.when(suffix == name, reader(F.col("content")))
+    return rows.select("file_name", suffix.alias("suffix"), text.alias("text"))
+
+
 def read_json_dir(spark: SparkSession, glob: str, schema: str, limit: int) -> DataFrame:
     """One object for each file, the last names first."""
     rows = spark.read.schema(schema).option("multiLine", True).json(glob).select("*", F.col("_metadata.file_name").alias("file_name"))

@@ -1,9 +1,13 @@
 """Hand-computed cases on literal frames: CJK, malformed input, null keys, bounds."""
 
+import json
+import math
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import blocks as B
+from lodestone.functions import postings as P2
 from lodestone.functions import text as T
 from lodestone.operators import chunking as C
 from lodestone.operators import measure as M
@@ -102,6 +106,19 @@ def test_writes(spark):
     assert sorted(r.id for r in mutate.older_than(logs, "at", 30, F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")).collect()) == [1, 3]
 
 
+def test_last_write_wins(spark):
+    old = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id int, q double")
+    new = spark.createDataFrame([(1, 5.0, 1), (1, 6.0, 2), (3, 7.0, 2), (3, 8.0, 1)], "id int, q double, at int")
+    both = lambda df: sorted((r.id, r.q) for r in df.collect())
+    assert both(mutate.upsert(old, new, "id", (), F.col("at"))) == [(1, 6.0), (2, 2.0), (3, 7.0)]
+    assert both(mutate.update(old, new, "id", ["q"], F.col("at"))) == [(1, 6.0), (2, 2.0)]
+    assert both(mutate.insert_replace(old, new, "id", {}, F.col("at"))) == [(1, 6.0), (2, 2.0), (3, 7.0)]
+    assert len(mutate.upsert(old, new, "id").collect()) == 3
+    keyed = spark.createDataFrame([(1, "a"), (2, None)], "id int, url string")
+    more = spark.createDataFrame([(3, "a"), (4, "b"), (5, "b"), (6, None)], "id int, url string")
+    assert sorted((r.id, r.stored_id) for r in mutate.surviving_ids(keyed, more, ["url"], F.asc("id")).collect()) == [(3, 1), (4, 4), (5, 4), (6, 6)]
+
+
 def test_cache_with_null_function(spark):
     rows = spark.createDataFrame([(1, "p", "i", None, 1, 9), (2, "p", "i", None, 3, 9), (3, "p", "i", "f", 2, 9), (4, "p", "i", "g", 5, 9), (5, "p", "i", "f", 9, 4)], "id int, position string, industry string, function string, updated_at int, expires_at int")
     assert store.cached(rows, "p", "i", "f", F.lit(5)).first().id == 3
@@ -124,8 +141,41 @@ def test_retrieval_contract(spark):
     rows = spark.createDataFrame([(0, 1, "nice_to_have", 0.7), (0, 2, "overview", 0.7), (0, 3, "requirement", 0.7), (0, 4, "full", 0.3)], "query_id int, id int, chunk_type string, similarity double")
     assert [r.id for r in R.weighted(rows, 5, 0.5).orderBy("rank").collect()] == [3, 2, 1]
     assert sorted(r.id for r in R.weighted(rows, 5, 0.9, rerank=F.lit(0.5)).collect()) == [1, 2, 3, 4]
-    assert one(spark, R.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
-    assert one(spark, R.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0.0
+
+
+def test_similarities_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 3), float(k % 5), 1.0], "a" if k % 2 else "b") for k in range(40)] + [(40, [0.0, 0.0, 0.0], "a"), (41, [1.0], "a"), (42, None, "b")], "id bigint, embedding array<float>, kind string")
+    asked = spark.createDataFrame([(k, [1.0, float(k), 2.0]) for k in range(7)] + [(7, [0.0, 0.0, 0.0])], "query_id bigint, vector array<float>")
+
+    def cosine(a, b):
+        n = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (n(a) * n(b))
+
+    data = [(r.id, list(r.embedding), r.kind) for r in rows.collect() if r.embedding is not None and len(r.embedding) == 3]
+    want = {}
+    for q in asked.collect():
+        for kind in ("a", "b"):
+            best = sorted((-round(cosine(v, q.vector), 12), i) for i, v, k in data if k == kind)[:3]
+            want |= {(q.query_id, i): -s for s, i in best}
+    for block in (4096, 3):  # one block, and several
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        got = {(r.query_id, r.id): round(r.similarity, 12) for r in R.similar(rows, asked, 3, by="kind").collect()}
+        assert got == want
+    assert R.similar(rows, asked, None).count() == 8 * len(data)
+    assert R.similar(rows, asked.limit(0), 3).count() == R.similar(rows.limit(0), asked, 3).count() == 0
+
+
+def test_retrieval_with_filters_and_fallback(spark):
+    rows = spark.createDataFrame([(k, k, "requirement" if k % 2 else "overview", f"u{k % 2}", "p", "i" if k > 4 else "j", f"text {k} alpha" if k != 3 else "beta alpha", [1.0, float(k)]) for k in range(8)], "id bigint, chunk_index int, chunk_type string, user_id string, position_tag string, industry_tag string, chunk_text string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "text alpha", [1.0, 1.0]), (2, "BETA", None)], "query_id bigint, query_text string, vector array<float>")
+    got = [(r.query_id, r.id, r.ranked_score) for r in R.retrieve(rows, asked, 2, 0.5, chunk_type="requirement", user_id="u1", position="p", industry="i").collect()]
+    # similarity by weights of type and industry; the text search for the query without a vector
+    soft = {k: (1 + k) / math.sqrt(2 * (1 + k * k)) * 1.3 * (1.2 if k > 4 else 1) for k in (1, 3, 5, 7)}
+    assert sorted(g[1:] for g in got if g[0] == 1) == sorted(sorted(((k, round(x, 4)) for k, x in soft.items()), key=lambda x: -x[1])[:2])
+    assert [g for g in got if g[0] == 2] == [(2, 3, 0.0)]
+    scored = R.retrieve(rows, asked, 2, 0.99, chunk_type="requirement", score=R.scorer(R.shared_words)).where("query_id = 1").collect()
+    assert len(scored) == 2 and {r.id for r in scored} <= {1, 5, 7}  # the threshold isn't used
+    assert R.retrieve(rows, asked, 2, position="other").count() == 0
 
 
 def test_quality(spark):
@@ -149,6 +199,46 @@ def test_vectors(spark):
     assert all(abs(sum(x * x for x in r.v) - 1) < 1e-5 for r in v)
 
 
+def test_documents_by_suffix(spark, tmp_path):
+    for name, data in (("a.txt", "x"), ("b.MD", "y"), ("c.pdf", "z"), ("d.bin", "w")):
+        (tmp_path / name).write_text(data)
+    got = {r.file_name: r.text for r in files.read_documents(spark, str(tmp_path), {"pdf": lambda c: F.concat(F.lit("pdf "), F.decode(c, "UTF-8"))}).collect()}
+    assert got == {"a.txt": "x", "b.MD": "y", "c.pdf": "pdf z", "d.bin": None}
+
+
+def test_progress_report(spark, tmp_path):
+    summary = spark.createDataFrame([(3, "m")], "n int, model string")
+    (tmp_path / "old.json").write_text('{"x": [1, {"y": null}], "baseline": {"n": 1}}')
+    (tmp_path / "bad.json").write_text("oops")
+    for old, want in (("old.json", {"x": [1, {"y": None}], "baseline": {"n": 3, "model": "m"}}), ("bad.json", {"baseline": {"n": 3, "model": "m"}}), (None, {"baseline": {"n": 3, "model": "m"}})):
+        path = old and str(tmp_path / old)
+        assert json.loads(files.merge_report(spark, path, "baseline", summary).first().report) == want
+
+
+def test_rules_of_postings(spark):
+    text = "招聘\n任职要求：\n- 5年以上Java经验\n- 精通Python，熟悉SQL数据库\n加分项\n- x"
+    assert one(spark, P2.skills_by_rule(F.lit(text))) == ["5", "P", "S", "熟悉SQL数据库"]
+    assert one(spark, P2.requirements(F.lit(text))) == ["Python", "Java", "SQL", "5年以上Java经验", "精通Python，熟悉SQL数据库"]
+    assert one(spark, P2.labelled(F.lit("x" * 60 + "\n\n Engineer "), "title")) == "Engineer"
+    assert one(spark, P2.labelled(F.lit("LOCATION: Bern\n"), "location")) == "Bern"
+    said = one(spark, P2.duties_and_needs(F.lit("- early\n职责\n1. a\nplain\n要求\n• b\n- ")))
+    assert (said.responsibilities, said.requirements) == (["early", "a"], ["b"])
+    # the reference's own cases: no entries, an incomplete and a complete one
+    job = "struct<company:string,title:string,duration:string,achievements:array<string>>"
+    assert one(spark, P2.lacking(F.array().cast(f"array<{job}>"), "experience")) == ["至少 1 段工作经历"]
+    assert one(spark, P2.lacking(F.from_json(F.lit('[{"company": "A", "title": " ", "achievements": [""]}, {"company": "A", "title": "T", "duration": "1", "achievements": ["x"]}]'), f"array<{job}>"), "experience")) == ["第 1 段工作经历：职位", "第 1 段工作经历：起止时间", "第 1 段工作经历：至少 1 个成果"]
+
+
+def test_blocks(spark):
+    level = lambda t, size=10, fonts=("x",): one(spark, B.heading(F.lit(t), F.lit(size), F.array(*map(F.lit, fonts))))
+    assert [level(t) for t in ("1.2.3.4. a", "1.2.3. a", "1.2. a", "1. a", "（2）a", "IV. a", "a", " ")] == [4, 3, 2, 1, 1, 1, 0, 0]
+    assert (level("a", 20), level("a" * 90, 20), level("a", 10, ("arial-bold",)), level("a", 10, ("Bold",))) == (1, 0, 1, 0)
+    assert values(spark, B.looks_like_list, ["- a\n- b", "- a", "- a\nb", "1 a\n2 b\nc"]) == [True, False, False, True]
+    assert one(spark, B.markdown(F.array(F.array(F.lit("a"), F.lit(" b ")), F.array(F.lit("")), F.array(F.lit("c"))))) == "| a | b |\n| --- | --- |\n| c |  |"
+    assert values(spark, lambda t: B.abstract(t, 10), ["short", "one two three", "一二三。四五，六七八九十"]) == ["short", "one two…", "一二三…"]
+    assert values(spark, lambda t: T.truncate_sentence(t, 12), ["One. Two! Three four", "abcdefghijklm", "一二三四五。六七八.九十十一"]) == ["One. Two!", "abcdefghijkl…", "一二三四五。"]
+
+
 def test_malformed_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": oops\n{"a": 2}\n')
     path = str(tmp_path / "x.jsonl")
@@ -161,11 +251,12 @@ def test_closure_of_deep_and_large_trees(spark, monkeypatch):
         monkeypatch.setattr(frames, "tree", lambda spark, d: rows)
         return QUERIES["parent_child_closure"](spark, "")
 
-    # a chain of 301, a root alone, a null id, a missing parent and a cycle with a row under it
+    # a chain of 301, a root alone, a null id, a missing parent with a row under it, and a cycle with two rows under it
     chain = [(k, k - 1 if k else None) for k in range(301)]
-    odd = [(400, None), (None, None), (500, 499), (501, 500), (600, 602), (601, 600), (602, 601), (603, 600)]
+    odd = [(400, None), (None, None), (500, 499), (501, 500), (600, 602), (601, 600), (602, 601), (603, 600), (604, 603)]
     got = found(spark.createDataFrame(chain + odd, "id bigint, parent_id bigint")).collect()
-    assert sorted(map(tuple, got), key=repr) == sorted([*((k, 0, k) for k in range(301)), (400, 400, 0), (None, None, 0)], key=repr)
+    want = [*((k, 0, k) for k in range(301)), (400, 400, 0), (None, None, 0), (500, 500, 0), (501, 500, 1), (600, 600, 0), (601, 601, 0), (602, 602, 0), (603, 600, 1), (604, 600, 2)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     large = found(spark.range(1_200_000).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id - 1 END AS parent_id"))
     assert large.count() == large.where("root = id - id % 5 and depth = id % 5").count() == 1_200_000
     assert found(spark.createDataFrame([], "id bigint, parent_id bigint")).count() == 0
