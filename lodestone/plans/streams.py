@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import files
 from ..sources import frames as S
 from ..streaming import logs
+from .aggregates import ADAPTIVE_SQL
 from .registry import query
 
 
@@ -30,19 +31,20 @@ def stream_lockout(spark, d):
     return logs.lockouts(spark, path(d), 2).withColumn("until", F.col("until").cast("timestamp_ntz"))
 
 
-@query("stream_rate_state", "WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT user_id, 0::BIGINT AS n, 2.0::DOUBLE AS delay FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT r.user_id, e.n, CASE WHEN e.bad THEN least(60, r.delay * 1.5) ELSE greatest(1, r.delay * 0.9) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, round(arg_max(delay, n), 6) AS delay FROM r GROUP BY user_id")
+@query("stream_rate_state", ADAPTIVE_SQL)
 def stream_rate_state(spark, d):
     return logs.adaptive_delay(spark, path(d)).withColumn("delay", F.round("delay", 6))
 
 
-@query("stream_domain_block", "SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'error' AND (b.ts < e.ts OR b.ts = e.ts AND b.event_id < e.event_id) AND e.ts <= b.ts + INTERVAL 30 MINUTE)")
+@query("stream_domain_block", "SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'error' AND (b.ts < e.ts OR b.ts = e.ts AND b.event_id < e.event_id) AND e.ts < b.ts + INTERVAL 30 MINUTE)")
 def stream_domain_block(spark, d):
     return logs.blocked(spark, path(d))
 
 
-@query("stream_incremental_index", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 5 + 1 >= 3 THEN 'given up' ELSE 'again' END AS state FROM events WHERE event_id % 5 < 3")
+@query("stream_incremental_index", "SELECT event_id, CASE WHEN ok THEN 'done' ELSE 'given up' END AS state, CAST(tries AS INTEGER) AS retry_count FROM (SELECT event_id, len(list_filter(range(event_id % 5, 3), lambda k: (event_id + k) % 4 > 1)) > 0 AS ok, coalesce(list_filter(range(event_id % 5, 3), lambda k: (event_id + k) % 4 > 1)[1], 3) AS tries FROM events WHERE event_id % 5 < 3)")
 def stream_incremental_index(spark, d):
-    return logs.incremental_index(spark, path(d))
+    """What is left to index is tried until it is done, three times at most."""
+    return logs.incremental_index(spark, path(d), lambda rows: (F.col("event_id") + F.col("retry_count")) % 4 > 1)
 
 
 @query("scan_embedding_blob", "SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN embedding WHEN 1 THEN [1.5, 2.5]::FLOAT[] END AS embedding FROM embeddings")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.files import work_path
+from ..operators.store import first_by
+from ..sources.files import work_path, work_table
 from ..sources.frames import calls_of
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -21,21 +23,33 @@ def events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def closing(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of the row that ends a log, from files at ``path``."""
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return spark.readStream.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drain(stream: DataFrame, name: str, mode: str, by: Sequence[str] = (), end: str | None = None) -> DataFrame:
     """Run until everything available is processed; return what was written.
 
-    Complete output replaces the table with each batch; other output is appended in batches whose
-    path is their number, so that a batch that is run again is written once.
+    Output goes to a folder for each batch, so that a batch that is run again is written once. Of
+    updates the last of each key ``by`` counts. ``end`` is the path that ``closing`` reads: after all
+    data, a row far in the future is put there and the stream goes on, so that state that waits for
+    the watermark is given out.
     """
     spark = stream.sparkSession
     path = work_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else f'batch={number}'}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.schema(", ".join(f"`{c}` {t}" for c, t in stream.dtypes)).parquet(f"{path}/all" if mode == "complete" else path).select(*stream.columns)
+    for last in (False, True) if end else (True,):
+        if last and end:
+            spark.createDataFrame([(-1, datetime(9998, 1, 1), -1)], "event_id bigint, ts timestamp_ntz, user_id bigint").coalesce(1).write.mode("append").parquet(end)
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    rows = spark.read.schema(", ".join([*[f"`{c}` {t}" for c, t in stream.dtypes], "batch int"])).parquet(path)
+    return (first_by(rows, by, F.desc("batch")) if by else rows).select(*stream.columns)
 
 
 def calls(spark: SparkSession, path: str) -> DataFrame:
@@ -48,58 +62,129 @@ def append_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def daily_usage(spark: SparkSession, path: str) -> DataFrame:
-    """Calls and tokens by user and day."""
+    """Calls and tokens by user and day, updated with each batch; days leave the state a day later."""
     by = calls(spark, path).withWatermark("created_at", "1 day").groupBy(F.window("created_at", "1 day"), "user_id")
     counted = by.agg(F.count("*").alias("calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"))
-    return drain(counted.select(F.to_date("window.start").alias("day"), "user_id", "calls", "tokens"), "stream-usage", "complete")
+    return drain(counted.select(F.to_date("window.start").alias("day"), "user_id", "calls", "tokens"), "stream-usage", "update", ["day", "user_id"])
 
 
 def lockouts(spark: SparkSession, path: str, failures: int, length: str = "15 minutes", step: str = "1 minute") -> DataFrame:
-    """Users and windows with as many failures."""
+    """Users and windows with as many failures, updated with each batch; windows leave the state when
+    they can't change any more."""
     bad = calls(spark, path).where("status = 'error'").withWatermark("created_at", length)
     counted = bad.groupBy(F.window("created_at", length, step), "user_id").agg(F.count("*").alias("failures")).where(F.col("failures") >= failures)
-    return drain(counted.select("user_id", F.col("window.end").alias("until"), "failures"), "stream-lockout", "complete")
+    return drain(counted.select("user_id", F.col("window.end").alias("until"), "failures"), "stream-lockout", "update", ["user_id", "until"])
+
+
+#: How late an event may come.
+LATE = "1 hour"
+
+
+class InOrder(StatefulProcessor):
+    """State by user over events in the order of their time, whatever the order in which they come.
+
+    Events wait until the watermark has passed them. ``start`` is the state of a new user (as
+    ``state_schema`` has it), and ``take`` maps it and the events that are due (time in microseconds,
+    event_id, failed) to the new state and rows.
+    """
+
+    def __init__(self, state_schema: str, start: tuple, take: Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]], columns: Sequence[str]) -> None:
+        self.state_schema, self.start, self.take, self.columns = state_schema, start, take, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, bad boolean")
+        self.state = handle.getValueState("state", self.state_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        most = -1
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["bad"].tolist(), strict=True)))
+            most = max(most, int(frame["us"].max()))
+        self.handle.registerTimer(most // 1000 + 1)
+        yield pd.DataFrame({c: [] for c in self.columns})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = sorted(map(tuple, self.waiting.get()))
+        due, rest = [w for w in waiting if w[0] < upto], [w for w in waiting if w[0] >= upto]
+        state, rows = self.take(self.state.get() if self.state.exists() else self.start, due)
+        self.state.update(state)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(spark: SparkSession, path: str, name: str, schema: str, processor: InOrder, by: Sequence[str] = ()) -> DataFrame:
+    """The rows that a processor gives out over the whole log."""
+    end = work_path(spark, f"{name}-end")
+    rows = events(spark, path).unionByName(closing(spark, end)).withWatermark("ts", LATE)
+    rows = rows.where("ts < TIMESTAMP '9000-01-01'").select("user_id", F.unix_micros("ts").alias("us"), "event_id", (F.col("event_type") == "error").alias("bad"), "ts")
+    out = rows.groupBy("user_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    conf, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, provider)
+    try:
+        return drain(out, name, "append", by, end)
+    finally:
+        spark.conf.set(conf, before)
 
 
 def adaptive_delay(spark: SparkSession, path: str) -> DataFrame:
-    """Delay of each user after all outcomes so far: state by user."""
+    """user_id, delay after all outcomes: times 1.5 while under 0.8 of the last ten succeed, times 0.9 while
+    over 0.95 do, within 1 and 60."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        delay, n = state.get if state.exists else (2.0, 0)
-        for frame in frames:
-            for bad in frame.sort_values(["ts", "event_id"])["bad"]:
-                delay = min(60.0, delay * 1.5) if bad else max(1.0, delay * 0.9)
-                n += 1
-        state.update((delay, n))
-        yield pd.DataFrame({"user_id": [key[0]], "delay": [delay], "n": [n]})
+    def take(state: tuple, due: list[tuple]) -> tuple[tuple, list[tuple]]:
+        delay, n, last = state[0], state[1], list(state[2])
+        for _, _, bad in due:
+            last = [*last, not bad][-10:]
+            share, n = sum(last) / len(last), n + 1
+            delay = min(60.0, delay * 1.5) if share < 0.8 else max(1.0, delay * 0.9) if share > 0.95 else delay
+        return (delay, n, last), [(delay, n)]
 
-    rows = events(spark, path).select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
-    out = rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, delay double, n bigint", "delay double, n bigint", "update", GroupStateTimeout.NoTimeout)
-    return drain(out, "stream-delay", "update").groupBy("user_id").agg(F.max_by("delay", "n").alias("delay"))
+    processor = InOrder("delay double, n bigint, last array<boolean>", (2.0, 0, []), take, ("user_id", "delay", "n"))
+    found = in_order(spark, path, "stream-delay", "user_id bigint, delay double, n bigint", processor)
+    return found.groupBy("user_id").agg(F.max_by("delay", "n").alias("delay"))
 
 
 def blocked(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
     """Events that fall into a block which an error before them opened: blocked-until state by user."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else -1
-        for frame in frames:
-            hit = []
-            for r in frame.sort_values(["us", "event_id"]).itertuples():
-                if r.us <= until:
-                    hit.append(r.event_id)
-                if r.bad:
-                    until = r.us + minutes * 60_000_000
-            yield pd.DataFrame({"event_id": pd.Series(hit, dtype="int64")})
-        state.update((until,))
-
-    rows = events(spark, path).select("user_id", F.unix_micros("ts").alias("us"), "event_id", (F.col("event_type") == "error").alias("bad"))
-    out = rows.groupBy("user_id").applyInPandasWithState(step, "event_id bigint", "until bigint", "append", GroupStateTimeout.NoTimeout)
-    return drain(out, "stream-blocked", "append")
-
-
-def incremental_index(spark: SparkSession, path: str, retries: int = 3) -> DataFrame:
-    """Events still to be indexed, with their outcome: done, to be tried again, or given up."""
-    rows = events(spark, path).select("event_id", "event_type", (F.col("event_id") % 5).cast("int").alias("retry_count"))
-    state = F.when(F.col("event_type") != "error", "done").when(F.col("retry_count") + 1 >= retries, "given up").otherwise("again")
-    return drain(rows.where(F.col("retry_count") < retries).select("event_id", state.alias("state")), "stream-index", "append")
+    def take(state: tuple, due: list[tuple]) -> tuple[tuple, list[tuple]]:
+        until, hit = state[0], []
+        for us, event_id, bad in due:
+            if us < until:
+                hit.append((event_id,))
+            if bad:
+                until = us + minutes * 60_000_000
+        return (until,), hit
+
+    return in_order(spark, path, "stream-blocked", "user_id bigint, event_id bigint", InOrder("until bigint", (-1,), take, ("user_id", "event_id"))).select("event_id")
+
+
+def incremental_index(spark: SparkSession, path: str, attempt: Callable[[DataFrame], Column], retries: int = 3) -> DataFrame:
+    """event_id, state (done or given up), retry_count of the events that were still to be indexed.
+
+    Each batch picks what has retries left and goes on until all of it is done or given up;
+    ``attempt`` tells for a frame of event_id and retry_count which rows succeed.
+    """
+    todo = events(spark, path).select("event_id", (F.col("event_id") % 5).cast("int").alias("retry_count")).where(F.col("retry_count") < retries)
+    out = work_path(spark, "stream-index")
+
+    def index(batch: DataFrame, number: int) -> None:
+        left = batch
+        for k in range(retries):
+            tried = work_table(left.withColumn("ok", attempt(left)), "tried")
+            state = F.when(F.col("ok"), "done").when(F.col("retry_count") + 1 >= retries, "given up")
+            ended = tried.select("event_id", state.alias("state"), (F.col("retry_count") + F.when(F.col("ok"), 0).otherwise(1)).alias("retry_count")).where("state is not null")
+            ended.write.mode("overwrite").parquet(f"{out}/batch={number}/round={k}")
+            left = tried.where(~F.col("ok") & (F.col("retry_count") + 1 < retries)).select("event_id", (F.col("retry_count") + 1).alias("retry_count"))
+
+    query = todo.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(index).start()
+    query.awaitTermination()
+    return spark.read.schema("event_id bigint, state string, retry_count int").parquet(f"{out}/batch=*/round=*")

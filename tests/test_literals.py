@@ -2,7 +2,8 @@
 
 import json
 import math
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from lodestone.operators import scoring as P
 from lodestone.operators import taxonomy as X
 from lodestone.plans import QUERIES
 from lodestone.sources import files, frames
+from lodestone.streaming import logs
 
 
 def one(spark, column, **values):
@@ -143,6 +145,29 @@ def test_retrieval_contract(spark):
     assert sorted(r.id for r in R.weighted(rows, 5, 0.9, rerank=F.lit(0.5)).collect()) == [1, 2, 3, 4]
 
 
+def test_streams_order_events_by_time(spark, tmp_path):
+    """Two files whose events interleave, and a user with more rows than an Arrow batch holds."""
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(milliseconds=140 * k + rng.randrange(90)), 1 if k % 3 else k % 7, "error" if rng.random() < 0.15 else "view", 0.0, "") for k in range(18_000)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    for name, part in (("a", rows[1::2]), ("b", rows[::2])):
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.parquet(str(tmp_path / name))
+    got = {r.user_id: round(r.delay, 6) for r in logs.adaptive_delay(spark, f"{tmp_path}/*/*.parquet").collect()}
+    hit = sorted(r.event_id for r in logs.blocked(spark, f"{tmp_path}/*/*.parquet", 1).collect())
+    delay, last, until, want = {}, {}, {}, []
+    for k, ts, user, kind, *_ in rows:
+        if ts < until.get(user, start):
+            want.append(k)
+        bad = kind == "error"
+        if bad:
+            until[user] = ts + timedelta(minutes=1)
+        last[user] = [*last.get(user, []), not bad][-10:]
+        share, x = sum(last[user]) / len(last[user]), delay.get(user, 2.0)
+        delay[user] = min(60.0, x * 1.5) if share < 0.8 else max(1.0, x * 0.9) if share > 0.95 else x
+    assert sum(r[2] == 1 for r in rows) > 12_000
+    assert got == {u: round(x, 6) for u, x in delay.items()} and hit == want
+
+
 def test_similarities_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(k, [float(k % 3), float(k % 5), 1.0], "a" if k % 2 else "b") for k in range(40)] + [(40, [0.0, 0.0, 0.0], "a"), (41, [1.0], "a"), (42, None, "b")], "id bigint, embedding array<float>, kind string")
     asked = spark.createDataFrame([(k, [1.0, float(k), 2.0]) for k in range(7)] + [(7, [0.0, 0.0, 0.0])], "query_id bigint, vector array<float>")
