@@ -36,6 +36,10 @@ from .common import BATCH_BYTES, BROADCAST_ROWS, discard, join_spooled, pick, sh
 MIN_BYTES = 100
 #: Compressed bytes of one archive file, unless a record alone is longer.
 FILE_BYTES = 32 << 20
+#: Payloads of originals are broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
+#: Bytes that are decompressed at once.
+PIECE_BYTES = 1 << 13
 EPOCH = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -102,13 +106,16 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, br
 
 def unzipped(content: bytes) -> Iterator[bytes]:
     """The members of a gzip file, one at a time, without empty ones."""
-    while content:
-        member = zlib.decompressobj(31)
-        data = member.decompress(content) + member.flush()
-        if not member.eof:
-            raise ValueError("an archive ends within a member")
-        content = member.unused_data
-        if data:
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            piece = view[at : at + PIECE_BYTES]
+            if not piece:
+                raise ValueError("an archive ends within a member")
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        if data := b"".join(parts):
             yield data
 
 
@@ -164,12 +171,18 @@ def resolved_archives(spark: SparkSession, path: str, payloads: bool = False) ->
     """Every record with the full payload's length (and html): revisit headers are shuffled by
     digest to the responses they refer to."""
     found = read_archives(spark, path, payloads)
+    if not payloads:
+        found = spool(found, "op2-headers")
     revisits = spool(found.where("record_type = 'revisit'").select("payload_digest", "refers_to").distinct(), "op2-revisits")
     responses = found.where("record_type = 'response'")
     wanted = revisits.withColumnRenamed("refers_to", "page_id")
-    originals = spool(join_spooled(responses, wanted, ["payload_digest", "page_id"], "left_semi").select("payload_digest", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("html").alias("full_html")).dropDuplicates(["payload_digest", "refers_to"]), "op2-originals")
+    originals = join_spooled(responses, wanted, ["payload_digest", "page_id"], "left_semi").select("payload_digest", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("html").alias("full_html"))
+    originals = spool(originals.dropDuplicates(["payload_digest", "refers_to"]), "op2-originals")
     discard(revisits)
-    joined = join_spooled(found, originals, ["payload_digest", "refers_to"])
+    # originals hold payloads only where these are asked for
+    n, size = originals.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("full_html")), F.lit(0))).first()
+    small = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    joined = found.join(F.broadcast(originals) if small else originals, ["payload_digest", "refers_to"], "left")
     return joined.select("page_id", "url", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.coalesce("html", "full_html").alias("html"))
 
 
