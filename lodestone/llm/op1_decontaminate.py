@@ -26,6 +26,7 @@ ignored by ``matches`` and kept by ``clean_rows``.
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
@@ -64,11 +65,6 @@ class Blocks:
     blocks: np.ndarray
     most: np.ndarray
 
-    def peak(self, term: int, block: int) -> float:
-        lo, hi = self.begin[term], self.begin[term + 1]
-        k = lo + int(np.searchsorted(self.blocks[lo:hi], block))
-        return float(self.most[k]) if k < hi and self.blocks[k] == block else 0.0
-
 
 @dataclass
 class Index:
@@ -149,9 +145,17 @@ def build_index(rows: list[tuple[int | None, np.ndarray]], df: dict[int, int], n
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """All parts whose impacts over ``terms`` sum to the threshold at least, by block-max WAND."""
-    parts, impacts, top = index.parts, index.impacts, index.levels[0]
+    top = index.levels[0]
+    # single values are read much faster from a memoryview than from the array
+    parts, impacts, begin, most = (memoryview(x) for x in (index.parts, index.impacts, index.begin, index.most))
+    block_begin, blocks, block_most = (memoryview(x) for x in (top.begin, top.blocks, top.most))
+
+    def peak(term: int, block: int) -> float:
+        k = bisect_left(blocks, block, block_begin[term], block_begin[term + 1])
+        return block_most[k] if k < block_begin[term + 1] and blocks[k] == block else 0.0
+
     # part at the cursor, cursor, end, greatest impact, term
-    heads = [[int(parts[index.begin[t]]), int(index.begin[t]), int(index.begin[t + 1]), float(index.most[t]), t] for t in terms.tolist()]
+    heads = [[parts[begin[t]], begin[t], begin[t + 1], most[t], t] for t in terms.tolist()]
     found, least = [], threshold - 1e-9
     while heads:
         heads.sort(key=itemgetter(0))
@@ -168,7 +172,7 @@ def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, f
             pivot += 1
         block = at // top.size
         # the block's own maxima, before any posting is scored
-        good = sum(top.peak(c[4], block) for c in heads[: pivot + 1]) >= least
+        good = sum(peak(c[4], block) for c in heads[: pivot + 1]) >= least
         upto = at
         if not good:
             upto = (block + 1) * top.size
@@ -176,11 +180,11 @@ def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, f
                 upto = max(at + 1, min(upto, heads[pivot + 1][0]))
         score = 0.0
         for c in heads[: pivot + 1]:
-            c[1] += int(np.searchsorted(parts[c[1] : c[2]], upto))
+            c[1] = bisect_left(parts, upto, c[1], c[2])
             if good and c[1] < c[2] and parts[c[1]] == at:
-                score += float(impacts[c[1]])
+                score += impacts[c[1]]
                 c[1] += 1
-            c[0] = int(parts[c[1]]) if c[1] < c[2] else -1
+            c[0] = parts[c[1]] if c[1] < c[2] else -1
         if good and score >= least:
             found.append((at, score))
         heads = [c for c in heads if c[0] >= 0]
