@@ -6,6 +6,7 @@ import math
 import random
 import re
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -548,8 +549,6 @@ def toxic(spark, n=900):
 def test_toxicity_on_held_out(spark):
     docs, labels = toxic(spark)
     got = {r.doc_id: r for r in op8.scores(docs, labels).collect()}
-    import zlib
-
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for k, r in got.items())
     held = [(r.predicted, int(k % 6 == 0)) for k, r in got.items() if r.held_out]
     assert sum(p == y for p, y in held) / len(held) > 0.95
@@ -558,6 +557,78 @@ def test_toxicity_on_held_out(spark):
     assert op8.clean_rows(docs, labels).count() == sum(1 - r.predicted for r in got.values())
 
 
+def segments_by_definition(s):
+    """The best segment, then what is left and right of it."""
+    out, todo = [], [(0, len(s))]
+    while todo:
+        lo, hi = todo.pop()
+        best, least, start, upto = (0.0, 0, 0), 0.0, lo, 0.0
+        for i in range(lo, hi):
+            upto += s[i]
+            if upto - least > best[0]:
+                best = (upto - least, start, i + 1)
+            if upto <= least:
+                least, start = upto, i + 1
+        if best[0] > 0:
+            out.append(best)
+            todo += [(lo, best[1]), (best[2], hi)]
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = toxic(spark, 700)
+    got = {r.doc_id: r for r in op8.scores(docs, labels).collect()}
+    texts_ = {r.doc_id: words(r.text.translate(LOWER)) for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    fold = {k: zlib.crc32(str(k).encode()) % 4 for k in texts_}
+    vocab = sorted({w for t in texts_.values() for w in t})
+    at = np.stack(list(op8.levels(W.words_of(pa.array(vocab), lower=True, gaps=W.PUNCTUATION))), 1)
+    buckets = {w: at[i].tolist() for i, w in enumerate(vocab)}
+    corpus, bad, clean = Counter(), Counter(), Counter()
+    for k, t in texts_.items():
+        held = {b for w in t for b in buckets[w]}
+        corpus.update(held)
+        if fold[k] not in (op8.HELD_OUT, op8.CALIBRATION):
+            (bad if known[k] else clean).update(held)
+    level = lambda b: b >> op8.BITS
+    total = lambda c: Counter({n: sum(v for b, v in c.items() if level(b) == n) for n in range(4)})
+    all_, all_bad, all_clean, odds = total(corpus), total(bad), total(clean), {}
+    for b, n in corpus.items():
+        prior = op8.PRIOR * n / all_[level(b)]
+        x, y = bad[b] + prior, clean[b] + prior
+        o = math.log(x / (all_bad[level(b)] + op8.PRIOR - x)) - math.log(y / (all_clean[level(b)] + op8.PRIOR - y))
+        z = o / math.sqrt(1 / x + 1 / y)
+        if abs(z) >= op8.Z_LEAST and (z < 0 or bad[b] >= op8.LEAST_TOXIC):
+            odds[b] = o
+    hist = Counter()
+    for b, o in odds.items():
+        if level(b) == 0:
+            hist[math.floor(abs(o) * 10 + 0.5) / 10 * (1 if o > 0 else -1) - op8.DRIFT] += corpus[b] / all_[0]
+    hist[-op8.DRIFT] += 1 - sum(hist.values())
+    low, high = 0.0, 4.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(p * math.exp(mid * x) for x, p in hist.items()) < 1 else (low, mid)
+    stats = {}
+    for k, t in texts_.items():
+        seen, scored = Counter(), []
+        for w in t:
+            x = next((odds[b] for b in buckets[w] if b in odds), 0.0)
+            seen[w] += x > 0
+            scored.append((x / seen[w] if x > 0 else x) - op8.DRIFT)
+        worth = [low * v - math.log(len(t)) for v, _, _ in segments_by_definition(scored)]
+        stats[k] = (sum(v for v in worth if v > 0) or max(worth)) if worth else None
+    bin_of = lambda v: 0 if v is None else max(1, min(op8.BINS, 1 + math.floor((v - op8.LOWEST) / op8.BIN)))
+    assert sum(stats[k] is None or abs(stats[k] - got[k].statistic) < 1e-3 for k in stats) == len(stats) and all((stats[k] is None) == (got[k].statistic is None) for k in stats)
+    tell = [(bin_of(stats[k]), known[k]) for k in stats if fold[k] == op8.CALIBRATION]
+    # a rising rate: for each bin the greatest over lower starts of the least mean up to a higher end
+    mean = lambda a, b: (sum(y for x, y in tell if a <= x <= b), sum(1 for x, _ in tell if a <= x <= b))
+    used = sorted({x for x, _ in tell})
+    rate = {x: max(min(mean(a, b)[0] / mean(a, b)[1] for b in used if b >= x) for a in used if a <= x) for x in used}
+    same = [abs(got[k].score - rate[bin_of(stats[k])]) < 1e-9 for k in stats if bin_of(stats[k]) in rate]
+    assert len(same) > 0.9 * len(stats) and sum(same) >= 0.99 * len(same)
+
+
 def test_toxicity_edges(spark, texts):
     docs, labels = toxic(spark, 60)
     none = labels.limit(0)
@@ -566,6 +637,13 @@ def test_toxicity_edges(spark, texts):
     odd = spark.createDataFrame([(None, None), (None, "vilest rotten"), (1, "")], "doc_id bigint, text string")
     bad = labels.unionByName(spark.createDataFrame([(None, 1, 0), (5, None, 0), (6, 1, 0)], "doc_id bigint, toxic int, text int"))
     assert op8.scores(docs.drop("toxic").unionByName(odd), bad).count() == 63
+    docs, labels = toxic(spark)
+    vile = docs.where("doc_id = 0").first().text + " vilest rotten vilest zzax rotten"
+    more = spark.createDataFrame([(None, vile, 1), (1, vile, 1), (1, vile, 1), (2, "plain", 1), (2, "plain", 1), (3, "w " * 60_000 + "vilest rotten zzbx", 1)], "doc_id bigint, text string, toxic int")
+    kept = {(r.doc_id, r.text) for r in op8.clean_rows(docs.where("doc_id > 3").unionByName(more), labels).collect() if r.doc_id is None or r.doc_id < 4}
+    assert (None, vile) not in kept and (1, vile) not in kept and (2, "plain") in kept
+    again = [r.score for r in op8.scores(more.unionByName(docs.where("doc_id > 3")), labels).where("doc_id = 1").collect()]
+    assert len(again) == 2 and len(set(again)) == 1
 
 
 # -- 9 --------------------------------------------------------------------------------------------------------
@@ -597,6 +675,16 @@ def test_quality(spark):
     got = {r.doc_id: r.kept for r in op9.classify(documents(spark, [*good, *junk, None, ""])).collect()}
     assert sum(got[k] for k in range(300)) >= 294 and sum(got[k] for k in range(300, 380)) <= 8 and len(got) == 382
     assert op9.classify(empty(spark)).count() == 0
+    odd = [(None, good[0], 1), (None, good[0], 1), (5, junk[0], 1), (5, good[1], 1), (6, f"{good[2]} " * 400, 1), (7, None, 1)]
+    both = documents(spark, [*good, *junk]).select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string, posterior int").drop("posterior"))
+    found = Counter((r.doc_id, r.kept) for r in op9.classify(both.withColumns({"score": F.lit("x"), "kept": F.lit(0)})).collect())
+    assert found[None, True] == 2 and sum(found.values()) == 386 and found[5, True] == 2 and found[5, False] == 1
+
+
+def test_quality_against_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = op9.classify(docs).join(labels.where("quality is not null"), "doc_id").select("kept", "quality").collect()
+    assert len(found) > 300 and sum(r.kept == (r.quality == 1) for r in found) >= 0.97 * len(found)
 
 
 # -- 10 -------------------------------------------------------------------------------------------------------
