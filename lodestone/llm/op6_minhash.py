@@ -9,7 +9,8 @@
    Similarity 0.75 is missed by a share of 2 * (1 - 0.75**2)**TUPLES, below 2e-5 at 14.
 4. In each bucket members are paired with its smallest member. Bitmaps give a lower bound of the
    symmetric difference, which drops pairs that can't be similar enough without loss.
-5. Pairs left are confirmed on the full sets, from the texts, and give components. Members of buckets
+5. Pairs left are confirmed on the full sets, from the texts, and give components. Pairs of one
+   document are dealt into groups, to each of which its text goes once. Members of buckets
    that hold several components may still be linked across these; such pairs are found by prefix and
    position filters on the full sets, which lose none, and confirmed likewise.
 
@@ -30,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_spooled, pick, spool
+from .common import BROADCAST_ROWS, discard, join_spooled, pick, spool
 from .words import Words, mix, slices, words_of
 
 WORDS, PERCENT, TUPLES = 5, 75, 14
+#: Pairs of one document that are confirmed in one group.
+PAIR_ROWS = 1000
 
 SKETCH = "doc_id bigint, n_shingles bigint, set_id binary, first array<bigint>, second array<bigint>, bitmap binary"
 
@@ -139,25 +142,37 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets have the similarity. Each text moves once for its own pairs."""
+    """The pairs (a, b) whose full sets have the similarity.
+
+    The text of each b goes to the task of its a, and the text of a only once for PAIR_ROWS pairs, into
+    which the pairs of an a are dealt, so that a hot one is in many tasks. Pairs are looked up where
+    texts are read if they are few; else each text of a pair is shuffled once more.
+    """
+    hot = spool(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_ROWS).alias("parts")).where("parts > 1"), "op6-hot")
+    pairs = spool(join_spooled(pairs, hot, "a").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part")), "op6-dealt")
+    n = pairs.count()
+    few = lambda df: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = pick(docs, doc_id="bigint", text="string")
-    ids = spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "op6-ids")
-    texts = spool(join_spooled(texts, ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "op6-texts")
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    texts = spool(texts.join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "op6-texts")
+    leads = pairs.select("a", "part").distinct().withColumn("b", F.lit(None).cast("bigint"))
+    rows = leads.withColumn("doc_id", F.col("a")).unionByName(pairs.select("a", "part", "b", F.col("b").alias("doc_id")))
+    rows = texts.join(few(rows), "doc_id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] = (-1, np.empty(0, np.uint64))
-        for big in batches:
-            for batch in slices([big], "text_b"):
-                ids_a, keep = batch.column("a").to_pylist(), []
-                for i, s in enumerate(shingle_sets(words_of(batch.column("text_b"), lower=True), size)):
-                    if ids_a[i] != last[0]:
-                        last = (ids_a[i], next(shingle_sets(words_of(batch.column("text_a").slice(i, 1), lower=True), size)))
-                    common = len(np.intersect1d(last[1], s, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(s) + len(last[1]) - common))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
+        lead = np.empty(0, np.uint64)
+        for batch in slices(batches):
+            keep = []
+            for b, s in zip(batch.column("b").to_pylist(), shingle_sets(words_of(batch.column("text"), lower=True), size), strict=True):
+                if b is None:  # a's own row comes first
+                    lead = s
+                    keep.append(False)
+                else:
+                    common = len(np.intersect1d(lead, s, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(s) + len(lead) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def pairs_apart(members: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

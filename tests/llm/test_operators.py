@@ -416,7 +416,10 @@ def near(texts, size=5, percent=75):
     return [(k, len(s), find(k), find(k) == k) for k, s in enumerate(sets)]
 
 
-def test_near_duplicates(spark, texts):
+@pytest.mark.parametrize("pair_rows", [1000, 7])
+def test_near_duplicates(spark, texts, monkeypatch, pair_rows):
+    """Also with hot documents dealt into many groups."""
+    monkeypatch.setattr(op6, "PAIR_ROWS", pair_rows)
     got = rows(op6.near_duplicates(documents(spark, texts)), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted(near(texts), key=repr)
 
