@@ -102,7 +102,8 @@ def detect_language(text: Column) -> Column:
 
 
 def is_zh(text: Column) -> Column:
-    return F.coalesce(count(text, CJK) / F.nullif(F.length(text), F.lit(0)) > 0.2, F.lit(False))
+    """Over a fifth of the characters are CJK or its punctuation."""
+    return F.coalesce(count(text, r"[\x{4e00}-\x{9fff}\x{3000}-\x{303f}]") / F.nullif(F.length(text), F.lit(0)) > 0.2, F.lit(False))
 
 
 def non_blank_language(text: Column) -> Column:
@@ -301,7 +302,7 @@ def sigmoid(x: Column) -> Column:
 
 def clamp_scores(scores: Column, n: int, low: int = 1, high: int = 5, missing: int = 3) -> Column:
     """Scores within bounds, ``n`` of them; missing ones are filled up."""
-    inside = F.transform(scores, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    inside = F.transform(scores, lambda x: F.when(x.isNull(), missing).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x))))
     return F.slice(F.concat(F.coalesce(inside, F.array().cast("array<int>")), F.array_repeat(F.lit(missing), n)), 1, n)
 
 

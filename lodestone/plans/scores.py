@@ -116,16 +116,16 @@ def win_paragraph_group(spark, d):
     return found.select("doc_id", "unit", F.col("at").alias("line_no"), F.size(F.split("text", "\n")).cast("bigint").alias("n"))
 
 
-@query("fn_match_heading", "SELECT id, CASE WHEN id % 5 = 0 THEN 'nice_to_have' WHEN id % 5 = 1 THEN 'responsibility' WHEN id % 5 = 2 THEN 'requirement' WHEN id % 5 = 3 THEN 'overview' END AS kind FROM jds", ("jds",))
+@query("fn_match_heading", f"SELECT doc_id, {_OPENS.replace('trim(line)', 'line')} AS kind FROM (SELECT doc_id, {S.HEADLINE} AS line FROM documents)")
 def fn_match_heading(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("- Nice to have:", "岗位职责：", "2. Requirements", "About us", "We negotiate contracts")]), (F.col("id") % 5 + 1).cast("int"))
-    return S.jds(spark, d).select("id", C.heading_type(said).alias("kind"))
+    rows = S.table(spark, d, "documents").selectExpr("doc_id", f"{S.HEADLINE} AS line")
+    return rows.select("doc_id", C.heading_type(F.col("line")).alias("kind"))
 
 
-@query("fn_strip_bullet", "SELECT doc_id, rtrim(substr(text, 1, 30)) AS line FROM (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS text FROM documents)")
+@query("fn_strip_bullet", f"SELECT doc_id, trim(regexp_replace(line, '{C.BULLET}', '')) AS line FROM (SELECT doc_id, {S.BULLETED} AS line FROM documents)")
 def fn_strip_bullet(spark, d):
-    line = F.concat(F.element_at(F.array(*[F.lit(x) for x in (" • ", "- ", "12. ", "3) ", "* ")]), (F.col("doc_id") % 5 + 1).cast("int")), F.substring(F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), 1, 30))
-    return S.table(spark, d, "documents").select("doc_id", F.rpad(C.strip_bullet(line), 30, " ").alias("line")).select("doc_id", F.rtrim("line").alias("line"))
+    rows = S.table(spark, d, "documents").selectExpr("doc_id", f"{S.BULLETED} AS line")
+    return rows.select("doc_id", C.strip_bullet(F.col("line")).alias("line"))
 
 
 _STATE = "last_value(CASE WHEN contains(lower(line), 'the') THEN 'responsibilities' WHEN contains(lower(line), 'der') THEN 'requirements' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no)"
@@ -133,18 +133,27 @@ _STATE = "last_value(CASE WHEN contains(lower(line), 'the') THEN 'responsibiliti
 
 # -- scores ---------------------------------------------------------------------------------------------
 
-_SUB = f"""SELECT id, least(1, CASE WHEN id % 2 = 0 THEN 0.35 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.10 ELSE 0 END + CASE WHEN n_tags > 0 THEN 0.20 + least(0.20, n_tags * 0.04) ELSE 0 END + CASE WHEN industry_tag <> '' THEN 0.20 ELSE 0 END)::DOUBLE AS parsed,
-  CASE WHEN deleted_at IS NOT NULL THEN 0 ELSE 0.70 END::DOUBLE AS trusted, round(1 / (1 + exp((greatest(0, (epoch_us({NOW}) - epoch_us(crawled_at)) / 86400000000) - 90) / 30)), 4) AS fresh,
-  CASE WHEN length(trim(raw_text)) < 200 THEN 0.2 WHEN length(trim(raw_text)) < 500 THEN 0.4 WHEN length(trim(raw_text)) < 1500 THEN 0.7 WHEN length(trim(raw_text)) < 3500 THEN 0.9 ELSE 1.0 END::DOUBLE AS rich FROM jds"""
+_STATED = "CASE id % 8 WHEN 0 THEN '51job_batch' WHEN 1 THEN 'jobsdb_batch' WHEN 2 THEN 'liepin_batch' WHEN 3 THEN 'smart_collector' WHEN 4 THEN 'crawler' WHEN 5 THEN 'manual' WHEN 6 THEN 'url' ELSE 'else' END"
+_TRUST = "CASE s " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in P.AUTHORITY.items()) + f" ELSE {P.OTHER_AUTHORITY} END"
+_BODY = "CASE id % 9 WHEN 0 THEN '请先登录' WHEN 1 THEN 'Please VERIFY: ' || raw_text WHEN 2 THEN raw_text || repeat('x', 3000) ELSE raw_text END"
+_WORDS = " OR ".join(f"contains(lower(coalesce(title, '') || chr(10) || coalesce(company, '') || chr(10) || coalesce(body, '')), '{w.lower()}')" for w in T.ANTI_BOT)
+_CRAWL = ", ".join(f"'{c}'" for c in T.CRAWLED)
+_TITLES = ", ".join(f"'{t}'" for t in T.WALL_TITLES)
+_SUB2 = f"""SELECT *, s IN ({_CRAWL}) AND ({_WORDS}) AND (length({_stripped("coalesce(body, '')")}) < 300 OR trim(coalesce(title, '')) = '' OR trim(coalesce(company, '')) = '' OR trim(title) IN ({_TITLES}) OR position_tag IS NULL) AS garbage,
+  round(least(1, CASE WHEN id % 2 = 0 THEN 0.35 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.10 ELSE 0 END + CASE WHEN n_tags > 0 THEN 0.20 + least(0.20, n_tags * 0.04) ELSE 0 END + CASE WHEN industry_tag <> '' THEN 0.20 ELSE 0 END)::DOUBLE, 4) AS parsed,
+  CASE WHEN deleted_at IS NOT NULL THEN 0 ELSE {_TRUST} END::DOUBLE AS trusted, CASE WHEN id % 10 = 3 THEN 0.5 ELSE round(1 / (1 + exp((greatest(0, (epoch_us({NOW}) - epoch_us(crawled_at)) / 86400000000) - 90) / 30)), 4) END::DOUBLE AS fresh,
+  CASE WHEN length(trim(body)) < 200 THEN 0.2 WHEN length(trim(body)) < 500 THEN 0.4 WHEN length(trim(body)) < 1500 THEN 0.7 WHEN length(trim(body)) < 3500 THEN 0.9 ELSE 1.0 END::DOUBLE AS rich FROM (SELECT *, {_STATED} AS s, {_BODY} AS body FROM jds)"""
 
 
-@query("jd_quality", f"SELECT id, round(parsed, 4) AS parsed, trusted, fresh, rich, round(0.35::DOUBLE * round(parsed, 4) + 0.25::DOUBLE * round(trusted, 4) + 0.2::DOUBLE * fresh + 0.2::DOUBLE * rich, 4) AS composite FROM ({_SUB})", ("jds",))
+@query("jd_quality", f"SELECT id, parsed, trusted, fresh, rich, garbage, CASE WHEN garbage THEN least(0.2::DOUBLE, raw) ELSE round(raw, 4) END AS composite FROM (SELECT *, 0.35::DOUBLE * parsed + 0.25::DOUBLE * round(trusted, 4) + 0.2::DOUBLE * fresh + 0.2::DOUBLE * rich AS raw FROM ({_SUB2}))", ("jds",))
 def jd_quality(spark, d):
-    rows = S.jds(spark, d).select(
+    """Sub-scores and quality of a posting: how much is structured, its source, its age and length; garbage is capped."""
+    rows = S.jds(spark, d).withColumns({"source": F.expr(_STATED), "raw_text": F.expr(_BODY), "crawled_at": F.when(F.col("id") % 10 != 3, F.col("crawled_at"))})
+    rows = rows.select(
         "id", F.round(P.completeness(F.col("id") % 2 == 0, F.col("id") % 3 == 0, F.col("n_tags"), F.col("industry_tag")), 4).alias("parsed"), P.authority(F.col("source"), F.col("deleted_at")).alias("trusted"),
         P.freshness(F.col("crawled_at"), S.as_of()).alias("fresh"), P.richness(F.col("raw_text")).alias("rich"), T.is_garbage("source", "title", "company", "raw_text", F.col("position_tag")).alias("garbage"),
     )
-    return rows.select("id", "parsed", "trusted", "fresh", "rich", P.composite(*[F.col(c) for c in ("parsed", "trusted", "fresh", "rich", "garbage")]).alias("composite"))
+    return rows.select("*", P.composite(*[F.col(c) for c in ("parsed", "trusted", "fresh", "rich", "garbage")]).alias("composite"))
 
 
 def resumes(spark, d):

@@ -45,10 +45,10 @@ def fn_detect_language(spark, d):
     return docs(spark, d).select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
-@query("fn_is_zh", "SELECT doc_id, false AS zh, len(regexp_extract_all(text, '[a-zA-Z]')) / nullif(length(text), 0) > 0.7 AS english FROM documents")
+@query("fn_is_zh", f"SELECT doc_id, coalesce(len(regexp_extract_all(t, '[一-鿿　-〿]')) / nullif(length(t), 0) > 0.2, false) AS zh, coalesce(len(regexp_extract_all(t, '[a-zA-Z]')) / nullif(length(t), 0) > 0.7, false) AS english FROM (SELECT doc_id, {S.SCRIPTS} AS t FROM documents)")
 def fn_is_zh(spark, d):
-    """The provided texts hold no CJK; tests do."""
-    return docs(spark, d).select("doc_id", T.is_zh(F.col("text")).alias("zh"), T.is_english(F.col("text")).alias("english"))
+    rows = docs(spark, d).selectExpr("doc_id", f"{S.SCRIPTS} AS t")
+    return rows.select("doc_id", T.is_zh(F.col("t")).alias("zh"), T.is_english(F.col("t")).alias("english"))
 
 
 @query("fn_tokenize", "SELECT doc_id, len(t) AS n, list_distinct(t).list_sort().list_aggregate('string_agg', ' ') AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]') AS t FROM documents)")
@@ -152,32 +152,37 @@ def fn_cap_length(spark, d):
     return parts.select("doc_id", "part", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-_MONEY = "(doc_id % 40) || '-' || (doc_id % 40 + 7) || 'K·14薪'"
-
-
 @query("fn_parse_salary_range", "SELECT doc_id, coalesce(try_cast(regexp_extract(text, '([0-9]+)[^0-9]+([0-9]+)', 1) AS INTEGER), try_cast(regexp_extract(text, '([0-9]+)', 1) AS INTEGER)) AS low, coalesce(try_cast(regexp_extract(text, '([0-9]+)[^0-9]+([0-9]+)', 2) AS INTEGER), try_cast(regexp_extract(text, '([0-9]+)', 1) AS INTEGER)) AS high FROM documents")
 def fn_parse_salary_range(spark, d):
     return docs(spark, d).select("doc_id", T.salary_range(F.col("text")).alias("s")).select("doc_id", "s.low", "s.high")
 
 
-@query("fn_parse_salary_boss", "SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN NULL ELSE CAST(doc_id % 40 AS INTEGER) END AS low, CAST(CASE doc_id % 4 WHEN 0 THEN doc_id % 40 + 7 WHEN 1 THEN NULL WHEN 2 THEN doc_id % 40 ELSE doc_id % 40 END AS INTEGER) AS high FROM documents")
+def _int(pattern, group=1):
+    return f"try_cast(regexp_extract(t, '{pattern}', {group}) AS INTEGER)"
+
+
+_PAIR, _OVER, _UNDER, _ONE = "(?i)([0-9]+)-([0-9]+)K?", "(?i)([0-9]+)K以上", "(?i)([0-9]+)K以下", "(?i)([0-9]+)K"
+
+
+@query("fn_parse_salary_boss", rf"SELECT doc_id, CASE WHEN regexp_matches(t, '{_PAIR}') THEN {_int(_PAIR)} WHEN regexp_matches(t, '{_OVER}') THEN {_int(_OVER)} WHEN regexp_matches(t, '{_UNDER}') THEN NULL ELSE {_int(_ONE)} END AS low, CASE WHEN regexp_matches(t, '{_PAIR}') THEN {_int(_PAIR, 2)} WHEN regexp_matches(t, '{_OVER}') THEN NULL WHEN regexp_matches(t, '{_UNDER}') THEN {_int(_UNDER)} ELSE {_int(_ONE)} END AS high FROM (SELECT doc_id, regexp_replace({S.PAY_K}, '[薪\s]', '', 'g') AS t FROM documents)")
 def fn_parse_salary_boss(spark, d):
-    n = F.col("doc_id") % 40
-    money = F.when(F.col("doc_id") % 4 == 0, F.concat(n, F.lit("-"), n + 7, F.lit("K·14 薪"))).when(F.col("doc_id") % 4 == 1, F.concat(n, F.lit(" K以上"))).when(F.col("doc_id") % 4 == 2, F.concat(n, F.lit("k以下"))).otherwise(F.concat(n, F.lit("K")))
-    return docs(spark, d).select("doc_id", T.salary_k(money).alias("s")).select("doc_id", "s.low", "s.high")
+    return docs(spark, d).selectExpr("doc_id", f"{S.PAY_K} AS t").select("doc_id", T.salary_k(F.col("t")).alias("s")).select("doc_id", "s.low", "s.high")
 
 
-@query("fn_parse_salary_jobsdb", "SELECT doc_id, CAST((20000 + doc_id * 10) // 1000 AS INTEGER) AS low, CAST(CASE WHEN doc_id % 2 = 0 THEN (30000 + doc_id * 10) // 1000 ELSE (20000 + doc_id * 10) // 1000 END AS INTEGER) AS high FROM documents")
+_K = "try_cast(replace(l[{}], ',', '') AS BIGINT) * CASE WHEN contains(lower(t), 'k') THEN 1000 ELSE 1 END // 1000"
+
+
+@query("fn_parse_salary_jobsdb", f"SELECT doc_id, CAST({_K.format(1)} AS INTEGER) AS low, CAST(coalesce({_K.format(2)}, {_K.format(1)}) AS INTEGER) AS high FROM (SELECT doc_id, t, regexp_extract_all(t, '[0-9,]+') AS l FROM (SELECT doc_id, {S.PAY} AS t FROM documents))")
 def fn_parse_salary_jobsdb(spark, d):
-    low, high = (F.format_number(n + F.col("doc_id") * 10, 0) for n in (20000, 30000))
-    return docs(spark, d).select("doc_id", T.salary_thousands(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("US$ "), low, F.lit(" - "), high)).otherwise(low)).alias("s")).select("doc_id", "s.low", "s.high")
+    return docs(spark, d).selectExpr("doc_id", f"{S.PAY} AS t").select("doc_id", T.salary_thousands(F.col("t")).alias("s")).select("doc_id", "s.low", "s.high")
+
 
+_DAYS, _WEEKS = r"Posted ([0-9]+)d\+? ago", "Posted ([0-9]+)w ago"
 
-@query("fn_days_old", "SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN doc_id % 60 WHEN 1 THEN doc_id % 9 * 7 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE doc_id % 30 END AS INTEGER) AS days FROM documents")
+
+@query("fn_days_old", rf"SELECT doc_id, CASE WHEN regexp_matches(t, '{_DAYS}') THEN {_int(_DAYS)} WHEN regexp_matches(t, '{_WEEKS}') THEN {_int(_WEEKS)} * 7 WHEN contains(t, 'Posted yesterday') THEN 1 WHEN contains(t, 'Posted today') THEN 0 ELSE try_cast(regexp_extract(lower(t), '([0-9]+)d\+?\s+ago', 1) AS INTEGER) END AS days FROM (SELECT doc_id, {S.AGE} AS t FROM documents)")
 def fn_days_old(spark, d):
-    k, n = F.col("doc_id") % 5, F.col("doc_id")
-    said = F.when(k == 0, F.concat(F.lit("Posted "), n % 60, F.lit("d+ ago"))).when(k == 1, F.concat(F.lit("Posted "), n % 9, F.lit("w ago"))).when(k == 2, "Posted yesterday").when(k == 3, "Posted today").otherwise(F.concat(n % 30, F.lit("D ago")))
-    return docs(spark, d).select("doc_id", T.days_old(said).alias("days"))
+    return docs(spark, d).selectExpr("doc_id", f"{S.AGE} AS t").select("doc_id", T.days_old(F.col("t")).alias("days"))
 
 
 _LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -241,11 +246,15 @@ def fn_json_get(spark, d):
     return S.table(spark, d, "events").select("event_id", T.json_number(F.col("props"), "k").alias("k"))
 
 
-@query("fn_json_loose", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, [least(5, greatest(1, CAST(json_extract(props, '$.k') AS INTEGER) % 9)), 3, 3] AS scores FROM events")
+_LOOSE = r"coalesce(nullif(" + _strip(r"regexp_extract(r, '(?s)```(?:json)?\s*(.*?)```', 1)") + r", ''), nullif(regexp_extract(r, '(?s)(\{.*\})', 1), ''), r)"
+
+
+@query("fn_json_loose", f"SELECT event_id, k, list_concat(list_transform(CASE WHEN k IS NULL THEN [NULL] ELSE [k % 9] END, lambda x: CAST(CASE WHEN x IS NULL THEN 3 ELSE least(5, greatest(1, x)) END AS INTEGER)), [3, 3]) AS scores FROM (SELECT event_id, CASE WHEN json_valid(j) THEN try_cast(json_extract_string(j, '$.k') AS BIGINT) END AS k FROM (SELECT event_id, {_LOOSE} AS j FROM (SELECT event_id, {S.REPLY} AS r FROM events)))")
 def fn_json_loose(spark, d):
-    reply = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```"))).otherwise(F.concat(F.lit("It is "), F.col("props"), F.lit(" then.")))
-    k = F.get_json_object(T.loose_json(reply), "$.k").try_cast("bigint")
-    return S.table(spark, d, "events").select("event_id", k.alias("k"), T.clamp_scores(F.array((k % 9).cast("int")), 3).alias("scores"))
+    """JSON in a fence, between words, or none; scores from 1 to 5, missing ones filled up."""
+    rows = S.table(spark, d, "events").selectExpr("event_id", f"{S.REPLY} AS r")
+    k = F.get_json_object(T.loose_json(F.col("r")), "$.k").try_cast("bigint")
+    return rows.select("event_id", k.alias("k"), T.clamp_scores(F.array((k % 9).cast("int")), 3).alias("scores"))
 
 
 @query("fn_sigmoid", "SELECT event_id, 1 / (1 + exp(-(value - 50) / 10)) AS p FROM events")

@@ -30,6 +30,14 @@ RESUME = """c_name || chr(10) || CASE c_custkey % 4 WHEN 0 THEN '工作经历' W
   || CASE c_custkey % 5 WHEN 0 THEN '专业技能' WHEN 1 THEN 'Technical Skills and projects' ELSE 'more' END || chr(10) || 'Python' || chr(10) || 'SQL'"""
 RESULT_LINE = """CASE page_id % 5 WHEN 0 THEN '  Engineer ' || page_id || ' https://jobs.example/job/' || page_id || '.html | 公司：Acme ' || page_id || ' | x' WHEN 1 THEN '登录 https://jobs.example/job/5.html'
   WHEN 2 THEN 'A long title, ' || repeat('very ', 30) || 'https://jobs.example/job/' || page_id || '.shtml' WHEN 3 THEN 'x https://jobs.example/job/7.html' ELSE 'no link ' || page_id END"""
+#: Short texts of a document's number: mixed scripts, salaries, ages of postings, headings, replies of a model.
+SCRIPTS = "CASE doc_id % 5 WHEN 0 THEN '产品，经理。' || substr(text, 1, CAST(doc_id % 40 AS INT)) WHEN 1 THEN '、。，' || substr(text, 1, 9) WHEN 2 THEN '' ELSE text END"
+PAY_K = "CASE doc_id % 7 WHEN 0 THEN (doc_id % 40) || '-' || (doc_id % 40 + 7) || 'K·14 薪' WHEN 1 THEN (doc_id % 40) || ' K以上' WHEN 2 THEN (doc_id % 40) || 'k以下' WHEN 3 THEN (doc_id % 40) || 'K' WHEN 4 THEN '面议' WHEN 5 THEN (doc_id % 9) || ' - ' || (doc_id % 30) ELSE (doc_id % 40) || '元/天' END"
+PAY = "CASE doc_id % 5 WHEN 0 THEN 'US$ ' || (20 + doc_id % 9) || ',' || (100 + doc_id % 900) || ' - ' || (40 + doc_id % 9) || ',000' WHEN 1 THEN (doc_id % 90) || 'K - ' || (doc_id % 90 + 5) || 'k' WHEN 2 THEN '18,500' WHEN 3 THEN 'none' ELSE doc_id || ' a month' END"
+AGE = "CASE doc_id % 7 WHEN 0 THEN 'Posted ' || (doc_id % 60) || 'd+ ago' WHEN 1 THEN 'Posted ' || (doc_id % 9) || 'w ago' WHEN 2 THEN 'x Posted yesterday' WHEN 3 THEN 'Posted today' WHEN 4 THEN (doc_id % 30) || 'D  ago' WHEN 5 THEN 'Posted ' || (doc_id % 60) || 'd ago' ELSE 'long ago' END"
+HEADLINE = "CASE doc_id % 9 WHEN 0 THEN '- Nice to have:' WHEN 1 THEN '岗位职责：' WHEN 2 THEN '2. Requirements' WHEN 3 THEN 'About us' WHEN 4 THEN 'We negotiate contracts' WHEN 5 THEN '• what you''ll do ' WHEN 6 THEN 'Skills & Experience:' WHEN 7 THEN '加分项' ELSE 'requirements ' || repeat('x', CAST(doc_id % 40 AS INT)) END"
+BULLETED = "CASE doc_id % 7 WHEN 0 THEN ' • ' WHEN 1 THEN '- ' WHEN 2 THEN '12. ' WHEN 3 THEN '3) ' WHEN 4 THEN '* ' WHEN 5 THEN '-' ELSE '4、 ' END || replace(substr(text, 1, 30), chr(10), ' ')"
+REPLY = "CASE event_id % 5 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'It is ' || props || ' then.' WHEN 2 THEN 'no json' WHEN 3 THEN '```' || chr(10) || ' {\"k\": 3} ' || chr(10) || '``` and {\"k\": 4}' ELSE props END"
 #: Columns of a resume that was read, from a customer.
 CONTACT = """c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'Unknown' WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 13 = 0 THEN '未知' ELSE c_name END AS name,
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'c' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '.example' WHEN 1 THEN '@nowhere' ELSE '@x.example' END END AS email,
