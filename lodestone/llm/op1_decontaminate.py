@@ -293,7 +293,10 @@ def passes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, pass_shards: in
     table, shards, passage_words = indexes(benchmark, shard_bytes)
     for k in range(0, shards, pass_shards):
         rows = table.where(F.col("shard").between(k, k + pass_shards - 1)).orderBy("shard").collect()  # PASS_SHARDS at most
-        yield benchmark.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in rows]), passage_words, k + pass_shards < shards
+        more = k + pass_shards < shards
+        if not more:
+            discard(table)
+        yield benchmark.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in rows]), passage_words, more
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, pass_shards: int = PASS_SHARDS) -> DataFrame:
