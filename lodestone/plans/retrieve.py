@@ -216,7 +216,8 @@ def zip_join(spark, d):
     return zipped.select("query_id", (F.col("at") + 1).alias("rank"), F.col("z.score").alias("score"), F.col("z.score2").alias("score2"))
 
 
-@query("cross_join_score", f"SELECT query_id, id, round(similarity, 4) AS similarity FROM ({_SIM})", ("chunks",))
+# a rounded negative number may be -0.0 in SQL; 0 makes it 0.0
+@query("cross_join_score", f"SELECT query_id, id, round(similarity, 4) + 0 AS similarity FROM ({_SIM})", ("chunks",))
 def cross_join_score(spark, d):
     return similar(spark, d).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
