@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text as T
 from ..operators import measure as M
 from ..operators import retrieval as R
 from ..operators import store

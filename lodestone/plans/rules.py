@@ -202,7 +202,6 @@ def filter_criteria(spark, d):
 
 
 _GPAS = "[CASE WHEN id % 5 = 0 THEN 2.5::DOUBLE WHEN id % 5 = 1 THEN 3.5::DOUBLE END, CASE WHEN id % 4 = 0 THEN 2.75::DOUBLE END]"
-_SKILLS = "[CASE WHEN id % 3 = 0 THEN 'Go' ELSE 'SQL' END, 'SQL', 'SQL', 'Go', 'Go']"
 
 
 @query("one_page_suggestions", f"""SELECT id, list_concat(
@@ -268,9 +267,6 @@ def scan_pdf_blocks(spark, d):
     return rows.select("id", "block", kind.alias("kind"))
 
 
-_HEAD = strip("coalesce(x, '')")
-
-
 def _abstract(x: str, most: int) -> str:
     one = strip(f"coalesce({x}, '')")
     head = f"substr({one}, 1, {most})"

@@ -185,9 +185,6 @@ def fn_days_old(spark, d):
     return docs(spark, d).selectExpr("doc_id", f"{S.AGE} AS t").select("doc_id", T.days_old(F.col("t")).alias("days"))
 
 
-_LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
-
-
 _NAMES = "[" + ", ".join(f"'{n}'" for n in sorted(T.SKILLS)) + "]"
 
 
@@ -196,12 +193,6 @@ def fn_extract_skills_dict(spark, d):
     return docs(spark, d).select("doc_id", T.skills_in(F.col("text")).alias("skills"))
 
 
-_PATTERNS = (r"\b[A-Z][a-z]+ing\b", r"\b[A-Z]{3,}\b", r"\bth[a-z]{3}\b")
-
-
-_ISSUES = "CAST(c_custkey % 2 = 0 AS INTEGER) + CAST(c_custkey % 3 = 0 AS INTEGER) * 2 + CAST(c_acctbal < 0 AS INTEGER)"
-
-
 _WALL = "(contains(lower(html), 'captcha') OR contains(lower(html), 'verify') OR contains(lower(html), 'blocked') OR contains(lower(html), 'access denied') OR contains(lower(html), 'security check') OR contains(lower(html), 'manual auth') OR contains(lower(html), 'verification'))"
 
 

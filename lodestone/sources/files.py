@@ -89,11 +89,6 @@ def read_json_dir(spark: SparkSession, glob: str, schema: str, limit: int) -> Da
     return rows.orderBy(F.desc("file_name")).limit(limit)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files: file_name, text."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
-
-
 @F.pandas_udf(VECTOR)
 def decode_vectors(blobs: pd.Series) -> pd.Series:
     """float32 little-endian bytes, or JSON as text; null if neither gives finite numbers."""
