@@ -39,7 +39,7 @@ CAPITALS, MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "[#$%&*|]"
 FILTERS = ("A", "B", "C", "D", "E")
 LOSSES = ("good", "toxic")
 #: Files that the counts of a state are written to.
-FILES = 8
+FILES = 4
 
 
 def failures(docs: DataFrame) -> DataFrame:
@@ -79,12 +79,11 @@ def edges(rows: DataFrame, filters: Sequence[str], losses: Sequence[str] = ()) -
     path = f"{shared_dir(spark)}/op11-edges-{uuid.uuid4().hex}"
     done: set[frozenset[str]] = set()
 
+    # counts of all filters in every state, so that the compiled code of one serves all
+    sums = [F.count("*").alias("alive"), *[F.count_if(f).alias(f) for f in filters], *[F.count_if(F.col(f) & F.col(x)).alias(f"{f}_{x}") for f in filters for x in losses]]
+
     def count(state: frozenset[str], alive: DataFrame) -> None:
-        rest = [f for f in filters if f not in state]
-        lost = lambda f: [F.count_if(F.col(f) & F.col(x)).alias(f"{f}_{x}") for x in losses]
-        sums = alive.groupBy("part").agg(F.count("*").alias("alive"), *[F.count_if(f).alias(f) for f in rest], *[c for f in rest for c in lost(f)])
-        told = F.explode(F.array(*[F.struct(F.lit(f).alias("filter"), F.col(f).alias("removed"), *[F.col(f"{f}_{x}").alias(x) for x in losses]) for f in rest])).alias("e")
-        out = sums.select("part", F.lit("".join(f for f in filters if f in state)).alias("state"), "alive", told).select("part", "state", "alive", "e.*")
+        out = alive.groupBy("part").agg(*sums).withColumn("state", F.lit("".join(f for f in filters if f in state)))
         out.coalesce(FILES).write.mode("append").parquet(path)
 
     def walk(state: frozenset[str], alive: DataFrame) -> None:
@@ -99,7 +98,8 @@ def edges(rows: DataFrame, filters: Sequence[str], losses: Sequence[str] = ()) -
             survivors.unpersist()
 
     walk(frozenset(), rows)
-    return spark.read.parquet(path)
+    each = F.array(*[F.struct(F.lit(f).alias("filter"), F.col(f).alias("removed"), *[F.col(f"{f}_{x}").alias(x) for x in losses]) for f in filters])
+    return spark.read.parquet(path).select("part", "state", "alive", F.explode(each).alias("e")).select("part", "state", "alive", "e.*").where(~F.col("state").contains(F.col("filter")))
 
 
 def audit(rows: DataFrame, filters: Sequence[str] = FILTERS, losses: Mapping[str, str] | None = None) -> DataFrame:
