@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_decontaminate, op2_warc, op3_licenses, op4_packing, op5_exact_dedup, op6_minhash, op7_mixing, op8_toxicity, op9_quality, op10_substring, op11_audit, op13_divergence
+from . import op1_decontaminate, op2_warc, op3_licenses, op4_packing, op5_exact_dedup, op6_minhash, op7_mixing, op8_toxicity, op9_quality, op10_substring, op11_audit, op12_private, op13_divergence
 from .common import read
 
 
@@ -54,6 +54,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_redact_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_private.redactions(read(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ QUERIES = {
     for f in (
         op1_decontaminate_wand, op2_warc_revisits, op3_license_scan, op4_pack_token_ids, op5_exact_dedup_recipes,
         op6_minhash_tensored, op7_mix_sources, op8_toxic_segments, op9_quality_weak_labels, op10_substring_trees,
-        op11_filter_audit, op13_source_divergence,
+        op11_filter_audit, op12_redact_private, op13_source_divergence,
     )
 }
 
