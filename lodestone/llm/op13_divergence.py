@@ -172,7 +172,8 @@ def differences(table: pa.Table) -> pa.Table:
     of this shard that either block holds, of which n_terms is the number."""
     lang, low, high = (table.column(c)[0].as_py() for c in ("lang", "low", "high"))
     codes = table.column("source").combine_chunks().dictionary_encode()
-    sources, at = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+    order = np.argsort(pc.rank(codes.dictionary).to_numpy())  # by name, so that all shards name a pair alike
+    sources, at = codes.dictionary.take(pa.array(order)), np.argsort(order)[codes.indices.to_numpy()]
     most, block = np.zeros(len(sources), np.int64), np.zeros(len(sources), np.int64)
     most[at], block[at] = table.column("most").to_numpy(), table.column("block").to_numpy()
     low_at, high_at = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -194,8 +195,7 @@ def differences(table: pa.Table) -> pa.Table:
             sums[k] += np.abs(theirs - matrix[mine]).sum(axis=1)
     a, b = (x.reshape(-1) for x in np.meshgrid(low_at, high_at, indexing="ij"))
     use = np.flatnonzero(a < b) if low == high else np.arange(len(a))
-    names = pa.array(sources, pa.string())
-    return pa.table({"lang": pa.array([lang] * len(use), pa.string()), "source": names.take(pa.array(a[use])), "item": names.take(pa.array(b[use])), "value": pa.array(sums.reshape(-1)[use]), "n_terms": pa.array(np.full(len(use), n_terms, np.int64))})
+    return pa.table({"lang": pa.array([lang] * len(use), pa.string()), "source": sources.take(pa.array(a[use])), "item": sources.take(pa.array(b[use])), "value": pa.array(sums.reshape(-1)[use]), "n_terms": pa.array(np.full(len(use), n_terms, np.int64))})
 
 
 def audit(docs: DataFrame, k: int = TOP, least_docs: int = LEAST_DOCS) -> DataFrame:
