@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid
-from ..sources.files import work_table
+from .vectors import QUERY_BLOCK, similar, top
 
 #: Ranking multipliers of chunk types, and of the industry asked for.
 TYPE_WEIGHT = {"responsibility": 1.2, "requirement": 1.3, "overview": 0.8, "nice_to_have": 0.5, "full": 1.0}
@@ -31,78 +28,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot(a, b) / (norm(a) * norm(b))).otherwise(0.0)
 
 
-#: Vectors of a block of queries, which is sent to all tasks; each block is one pass over the rows.
-QUERY_BLOCK = 4096
-#: Rows that are compared with a block at once.
-ROWS = 1024
-
-
-def similar(chunks: DataFrame, queries: DataFrame, k: int | None, by: str | None = None, weight: str | None = None) -> DataFrame:
-    """``chunks`` without embedding, with query_id and similarity: of each query (query_id, vector) the k
-    best rows, ties by id; for k of None all rows. ``by`` names a column of few values, of each of which
-    the k best are wanted, ``weight`` one by which similarities are multiplied to rank rows.
-
-    Queries go in blocks of QUERY_BLOCK. Each task keeps the k best of what it compares, and the rest is
-    merged. 0 for vectors of other length; a zero norm counts as 1.
-    """
-    spark, out = chunks.sparkSession, None
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    kept = [f for f in chunks.schema if f.name != "embedding"]
-    schema = StructType([*kept, StructField("query_id", LongType()), StructField("similarity", DoubleType())])
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("bigint"), F.col("vector").cast("array<double>")).toArrow()  # about QUERY_BLOCK rows
-        shared = spark.sparkContext.broadcast((block.column("query_id").to_numpy(), block.column("vector").to_pylist()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            width = max((len(v) for v in vectors if v is not None), default=0)
-            same = np.array([v is not None and len(v) == width for v in vectors], bool)
-            asked = np.array([v if ok else [0.0] * width for v, ok in zip(vectors, same, strict=True)], np.float64).reshape(len(ids), width)
-            length = np.sqrt(np.einsum("ij,ij->i", asked, asked))
-            for whole in batches:
-                for at in range(0, whole.num_rows, ROWS):
-                    yield compared(whole.slice(at, ROWS), ids, asked, np.where(length == 0, 1.0, length), same, width)
-
-        def compared(batch: pa.RecordBatch, ids: np.ndarray, asked: np.ndarray, length: np.ndarray, same: np.ndarray, width: int) -> pa.RecordBatch:
-            vectors = batch.column("embedding").cast(pa.list_(pa.float64())).to_pylist()
-            fits = np.array([v is not None and len(v) == width for v in vectors], bool)
-            rows = np.array([v if ok else [0.0] * width for v, ok in zip(vectors, fits, strict=True)], np.float64).reshape(len(vectors), width)
-            norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-            found = np.einsum("ij,kj->ik", asked, rows) / (length[:, None] * np.where(norm == 0, 1.0, norm)[None, :])
-            found[~same] = 0.0
-            use = np.flatnonzero(fits)
-            if k is None:
-                q, r = (x.reshape(-1) for x in np.meshgrid(np.arange(len(ids)), use, indexing="ij"))
-            else:
-                key, group = batch.column("id").to_numpy(), batch.column(by).to_pylist() if by else [0] * len(vectors)
-                times = batch.column(weight).to_numpy() if weight else np.ones(len(vectors))
-                pairs = []
-                for value in set(group):
-                    mine = use[[group[i] == value for i in use]]
-                    for q in range(len(ids)):
-                        best = mine[np.lexsort((key[mine], -found[q, mine] * times[mine]))[:k]]
-                        pairs.append((np.full(len(best), q), best))
-                q, r = (np.concatenate(x) if pairs else np.empty(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
-            taken = pa.array(r)
-            return pa.RecordBatch.from_arrays([*[batch.column(f.name).take(taken) for f in kept], pa.array(ids[q]), pa.array(found[q, r])], names=schema.names)
-
-        part = chunks.mapInArrow(run, schema)
-        if k is not None:
-            ranked = part.withColumn("_by", F.col("similarity") * (F.col(weight) if weight else F.lit(1.0)))
-            part = top(ranked, k, "_by", ["query_id", by] if by else "query_id").drop("rank", "_by")
-        if blocks > 1:
-            part = work_table(part, "similar")
-            shared.unpersist()
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def top(scored: DataFrame, k: int, score: str = "similarity", by: str | list[str] = "query_id", key: str = "id") -> DataFrame:
-    """The k best of each query; ties by key. Spark prunes each partition to k before the shuffle."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def candidates_wanted(k: int, rerank: bool) -> int:
     return max(5 * k, 50) if rerank else max(3 * k, k)
 

@@ -42,6 +42,8 @@ FRAMES_SQL = {
     "ranked": """SELECT l_orderkey AS query_id, l_partkey AS candidate, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS INTEGER) AS rank,
         CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS INTEGER) AS score, CAST(1 + l_partkey % 5 AS INTEGER) AS score2, l_returnflag = 'R' AS is_mock, l_linestatus AS source, l_suppkey % 7 = 0 AS is_origin FROM lineitem""",
     "skills": """SELECT o_custkey AS user_id, list_sort(list(DISTINCT p_brand)) AS skills, count(DISTINCT o_orderkey) AS n_orders FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_custkey""",
+    "people": """SELECT o_custkey AS id, list(DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'TOOL ' ELSE 'Tool ' END || l_partkey) AS skills, CAST(count(DISTINCT o_orderkey) % 5 AS INTEGER) AS years FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""",
+    "jobs": """SELECT l_orderkey AS id, list(DISTINCT CASE WHEN l_orderkey % 3 = 0 THEN 'TOOL ' ELSE 'tool ' END || l_partkey) AS skills FROM lineitem GROUP BY l_orderkey""",
     "postings": f"""SELECT p_partkey AS id, {S.POSTING} AS text FROM part""",
     "listings": f"""SELECT p_partkey AS id, {S.LISTING} AS text FROM part""",
     "cvs": f"""SELECT * FROM (SELECT {S.CONTACT} FROM customer) LEFT JOIN (SELECT o_custkey AS id,

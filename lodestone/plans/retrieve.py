@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from ..operators import measure as M
 from ..operators import retrieval as R
 from ..operators import store
+from ..operators import trigrams as G
+from ..operators import vectors as V
 from ..sources import frames as S
-from ..sources.files import work_table
+from ..sources.files import work_path, work_table
 from .registry import query
 
 #: The query set: rows whose id is divisible by this.
@@ -48,6 +50,22 @@ def topk_vec0_postfilter(spark, d):
     return R.top(near, 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
 
+def indexed(spark, d):
+    return V.build_index(S.chunks(spark, d).select("id", "chunk_type", "user_id", "embedding"), work_path(spark, "vectors"))
+
+
+@query("topk_vec_index")
+def topk_vec_index(spark, d):
+    """From an index of cells, of which each query reads a few; its recall is held against the scan in tests."""
+    return V.search_index(indexed(spark, d), queries(spark, d), 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("topk_vec_index_exact", f"SELECT query_id, id, round(similarity, 4) AS similarity FROM ({_SIM}) WHERE chunk_type = 'requirement' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10", ("chunks",))
+def topk_vec_index_exact(spark, d):
+    """From the index, with a filter, and on to every cell that could hold a better row."""
+    return V.search_index(indexed(spark, d), queries(spark, d), 10, where="chunk_type = 'requirement'", exact=True).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+
+
 def _retrieved(k, least, industry):
     return f"""SELECT query_id, id, chunk_type, round(similarity, 4) AS similarity, round(ranked, 4) AS ranked_score FROM (
       SELECT *, similarity * {_W} * CASE WHEN industry_tag = '{industry}' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS ranked FROM (
@@ -111,10 +129,26 @@ _WORDS2 = "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)"
 
 @query("topk_like", f"SELECT item_id AS query_id, doc_id AS id FROM (SELECT b.item_id, d.doc_id FROM documents d, (SELECT item_id, {_WORDS2} AS said FROM benchmark WHERE item_id % 50 = 0) b WHERE contains(lower(d.text), lower(b.said))) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 5")
 def topk_like(spark, d):
-    """Substring search of a query set's texts, first matches by number."""
+    """Substring search of a query set's texts by trigrams, first matches by number."""
     asked = S.table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("query_text"))
-    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("chunk_index"), F.lit("full").alias("chunk_type"), F.col("text").alias("chunk_text"))
-    return R.like(rows, asked, 5).select("query_id", "id")
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = G.search(G.build_trigrams(rows, work_path(spark, "trigrams")), rows, asked, ["text"])
+    return R.top(found.select("query_id", "id"), 5, "query_id").select("query_id", "id")
+
+
+_ASKED = "SELECT item_id AS query_id, trim(lower(CASE WHEN item_id % 100 = 0 THEN split_part(text, ' ', 3) ELSE substr(text, 1, 2) END)) AS asked, 'u' || (item_id % 7) AS user_id FROM benchmark WHERE item_id % 50 = 0"
+
+
+@query("search_jds_index", f"SELECT query_id, id, title, company FROM jds j, ({_ASKED}) q WHERE asked <> '' AND deleted_at IS NULL AND (j.user_id = q.user_id OR is_public) AND (contains(lower(title), asked) OR contains(lower(company), asked) OR contains(lower(raw_text), asked) OR contains(lower(position_tag), asked)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY is_public, crawled_at DESC, id) <= 30", ("jds",))
+def search_jds_index(spark, d):
+    """What a query set of users and words finds among own and public postings, by trigrams; two letters by a scan."""
+    word = F.when(F.col("item_id") % 100 == 0, F.split_part("text", F.lit(" "), F.lit(3))).otherwise(F.substring("text", 1, 2))
+    asked = S.table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.trim(word).alias("query_text"), F.concat(F.lit("u"), F.col("item_id") % 7).alias("asker"))
+    rows, columns = S.live(S.jds(spark, d)), ["title", "company", "raw_text", "position_tag"]
+    index = G.build_trigrams(rows.select("id", F.concat_ws("\n", *columns).alias("text")), work_path(spark, "trigrams"))
+    found = G.search(index, rows, asked, columns).join(F.broadcast(asked.drop("query_text")), "query_id").where("user_id = asker or is_public")  # the query set
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("is_public", F.desc("crawled_at"), "id"))
+    return found.withColumn("rank", first).where("rank <= 30").select("query_id", "id", "title", "company")
 
 
 @query("retrieve_fallback", "SELECT id, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS ranked_score FROM jds WHERE contains(lower(raw_text), 'license') AND user_id = 'u1' ORDER BY id LIMIT 5", ("jds",))

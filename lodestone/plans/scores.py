@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import matching
 from ..operators import scoring as P
 from ..operators import taxonomy as X
 from ..sources import frames as S
@@ -203,6 +204,16 @@ def rule_match(spark, d):
     return S.skills(spark, d).select("user_id", P.rule_score(F.col("skills"), job(), years).alias("score")).withColumn("apply", F.col("score") >= 70)
 
 
+_SHARED = "SELECT r.id AS resume_id, j.id AS job_id, any_value(r.years) AS years, any_value(j.skills) AS wants, list_sort(list(s)) AS matched FROM (SELECT id, years, unnest(skills) AS s FROM low_people) r JOIN (SELECT id, skills, unnest(skills) AS s FROM low_jobs) j USING (s) GROUP BY ALL"
+_LOW = "low_{0} AS (SELECT * REPLACE (list_distinct(list_transform(skills, lambda x: lower(x))) AS skills) FROM {0})"
+
+
+@query("match_pairs", f", {_LOW.format('people')}, {_LOW.format('jobs')} SELECT resume_id, job_id, score, matched, list_sort(list_filter(wants, lambda x: NOT list_contains(matched, x))) AS missing FROM (SELECT *, CAST(greatest(0, least(100, floor(len(matched) / len(wants) * 100) + CASE WHEN years >= 3 THEN 10 WHEN years < 1 THEN -10 ELSE 0 END)) AS INTEGER) AS score FROM ({_SHARED})) WHERE score >= 70", ("people", "jobs"))
+def match_pairs(spark, d):
+    """Every resume and job that reach the score to apply, with what is there and what is missing."""
+    return matching.matches(S.people(spark, d), S.jobs(spark, d))
+
+
 @query("simple_match", f"SELECT user_id, round(least(1, len(list_intersect(skills, {_JOB})) / 5 * 0.4 + 0.3 + 0.2 + 0.1), 6) AS score FROM skills", ("skills",))
 def simple_match(spark, d):
     return S.skills(spark, d).select("user_id", F.round(P.simple_score(F.col("skills"), job()), 6).alias("score"))

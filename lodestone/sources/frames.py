@@ -136,6 +136,20 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("o_custkey").alias("user_id")).agg(F.sort_array(F.collect_set("p_brand")).alias("skills"), F.countDistinct("o_orderkey").alias("n_orders"))
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumes of the customers: the parts they ordered as skills, in mixed case, and years."""
+    orders, lines = (table(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    skill = F.expr("concat(CASE WHEN l_partkey % 2 = 0 THEN 'TOOL ' ELSE 'Tool ' END, l_partkey)")
+    rows = orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy(F.col("o_custkey").alias("id"))
+    return rows.agg(F.collect_set(skill).alias("skills"), (F.countDistinct("o_orderkey") % 5).cast("int").alias("years"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs: an order's parts as wanted skills."""
+    skill = F.expr("concat(CASE WHEN l_orderkey % 3 = 0 THEN 'TOOL ' ELSE 'tool ' END, l_partkey)")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(skill).alias("skills"))
+
+
 def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resumes that were read: contact, counts, and entries of experience and projects by order."""
     k = F.col("o_orderkey")

@@ -14,6 +14,7 @@ from lodestone.operators import chunking as C
 from lodestone.operators import measure as M
 from lodestone.operators import mutate, store
 from lodestone.operators import retrieval as R
+from lodestone.operators import vectors as V
 from lodestone.operators import scoring as P
 from lodestone.operators import taxonomy as X
 from lodestone.plans import QUERIES
@@ -183,7 +184,7 @@ def test_similarities_in_blocks(spark, monkeypatch):
             best = sorted((-round(cosine(v, q.vector), 12), i) for i, v, k in data if k == kind)[:3]
             want |= {(q.query_id, i): -s for s, i in best}
     for block in (4096, 3):  # one block, and several
-        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        monkeypatch.setattr(V, "QUERY_BLOCK", block)
         got = {(r.query_id, r.id): round(r.similarity, 12) for r in R.similar(rows, asked, 3, by="kind").collect()}
         assert got == want
     assert R.similar(rows, asked, None).count() == 8 * len(data)

@@ -37,7 +37,11 @@ def table(columns, rows):
     return sorted(columns), sorted(repr([plain(r[k]) for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+#: Approximate by nature; test_vectors.py measures its recall.
+WITHOUT_SQL = {"topk_vec_index"}
+
+
+@pytest.mark.parametrize("name", sorted(plans.QUERIES.keys() - WITHOUT_SQL))
 def test_query(spark, duck, name):
     df = plans.QUERIES[name](spark, str(DATA))
     got = table(df.columns, [tuple(r) for r in df.collect()])
@@ -46,4 +50,4 @@ def test_query(spark, duck, name):
 
 
 def test_inventory_has_sql():
-    assert set(plans.QUERIES) == set(plans.ORACLE)
+    assert set(plans.QUERIES) == set(plans.ORACLE) | WITHOUT_SQL
