@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -209,15 +210,16 @@ class CellIndex:
     number: np.ndarray
     centres: np.ndarray
     least: np.ndarray
+    schema: StructType
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> CellIndex:
         got = spark.read.parquet(f"{path}/cells").orderBy("cell").toArrow()
         centres = np.array(got.column("centre").to_pylist(), float).reshape(len(got), -1 if len(got) else 0)
-        return cls(path, max(got.column("probes").to_pylist(), default=1), got.column("cell").to_numpy(), centres, got.column("least").to_numpy())
+        return cls(path, max(got.column("probes").to_pylist(), default=1), got.column("cell").to_numpy(), centres, got.column("least").to_numpy(), StructType.fromJson(json.loads(spark.read.parquet(f"{path}/schema").first()[0])))
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/rows")
+        return spark.read.schema(self.schema).parquet(f"{self.path}/rows")
 
 
 def build_index(chunks: DataFrame, path: str, cells: int | None = None) -> CellIndex:
@@ -252,6 +254,7 @@ def build_index(chunks: DataFrame, path: str, cells: int | None = None) -> CellI
 
     placed = work_table(chunks.mapInArrow(assign, schema), "vector-cells")
     placed.drop("near").hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/rows")
+    spark.createDataFrame([(placed.drop("near").schema.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
     held = placed.groupBy("cell").agg(F.min("near").alias("least"), F.count("*").alias("n"))
     known = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell bigint, centre array<double>")
     held = held.withColumn("probes", F.lit(probes_wanted(placed, centres)))
