@@ -8,9 +8,8 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.store import first_by
 from ..sources.files import work_path, work_table
 from ..sources.frames import calls_of
 
@@ -24,18 +23,36 @@ def events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 
 
 def closing(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of the row that ends a log, from files at ``path``."""
+    """Stream of the rows that end a log, from files at ``path``."""
     spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
     return spark.readStream.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str, mode: str, by: Sequence[str] = (), end: str | None = None) -> DataFrame:
+def until_done(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Run a stream until everything available is processed.
+
+    Batches without data are off for it: with timers of processing time the engine plans them without end.
+    """
+    conf = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        query = writer.trigger(availableNow=True).start()  # has a copy of the settings from here on
+    finally:
+        spark.conf.set(conf, before)
+    query.awaitTermination()
+
+
+#: Maps the state of a user and its due events (microseconds, event_id, failed) to the new state and rows.
+Take = Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]]
+
+
+def drain(stream: DataFrame, name: str, mode: str, end: tuple[str, DataFrame] | None = None) -> DataFrame:
     """Run until everything available is processed; return what was written.
 
-    Output goes to a folder for each batch, so that a batch that is run again is written once. Of
-    updates the last of each key ``by`` counts. ``end`` is the path that ``closing`` reads: after all
-    data, a row far in the future is put there and the stream goes on, so that state that waits for
-    the watermark is given out.
+    Output goes to a folder for each batch, so that a batch that is run again is written once. ``end`` is
+    the path that ``closing`` reads and rows to put there after all data: the stream then goes on, so
+    that what waits is given out.
     """
     spark = stream.sparkSession
     path = work_path(spark, name)
@@ -45,11 +62,9 @@ def drain(stream: DataFrame, name: str, mode: str, by: Sequence[str] = (), end:
 
     for last in (False, True) if end else (True,):
         if last and end:
-            spark.createDataFrame([(-1, datetime(9998, 1, 1), -1)], "event_id bigint, ts timestamp_ntz, user_id bigint").coalesce(1).write.mode("append").parquet(end)
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start()
-        query.awaitTermination()
-    rows = spark.read.schema(", ".join([*[f"`{c}` {t}" for c, t in stream.dtypes], "batch int"])).parquet(path)
-    return (first_by(rows, by, F.desc("batch")) if by else rows).select(*stream.columns)
+            end[1].withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.mode("append").parquet(end[0])
+        until_done(stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(write), spark)
+    return spark.read.schema(", ".join([*[f"`{c}` {t}" for c, t in stream.dtypes], "batch int"])).parquet(path).select(*stream.columns)
 
 
 def calls(spark: SparkSession, path: str) -> DataFrame:
@@ -61,84 +76,168 @@ def append_log(spark: SparkSession, path: str) -> DataFrame:
     return drain(calls(spark, path).select("id", "created_at", "operation", "status", "total_tokens"), "stream-log", "append")
 
 
+def merged(stream: DataFrame, name: str, by: Sequence[Column | str], **counts: Column) -> DataFrame:
+    """Sums by key over a whole stream: each batch writes its own sums, in a folder that a repeated batch
+    writes anew, and a read adds them up. So nothing waits, nothing is late, and no state is held."""
+    path = work_path(stream.sparkSession, name)
+
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by).agg(*[f.alias(c) for c, f in counts.items()])
+
+    def write(batch: DataFrame, number: int) -> None:
+        sums(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    keys = [c for c in sums(stream).columns if c not in counts]
+    parts = stream.sparkSession.read.schema(", ".join([*[f"`{c}` {t}" for c, t in sums(stream).dtypes], "batch int"])).parquet(path)
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def daily_usage(spark: SparkSession, path: str) -> DataFrame:
-    """Calls and tokens by user and day, updated with each batch; days leave the state a day later."""
-    by = calls(spark, path).withWatermark("created_at", "1 day").groupBy(F.window("created_at", "1 day"), "user_id")
-    counted = by.agg(F.count("*").alias("calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"))
-    return drain(counted.select(F.to_date("window.start").alias("day"), "user_id", "calls", "tokens"), "stream-usage", "update", ["day", "user_id"])
+    """Calls and tokens by user and day, however late they come."""
+    found = merged(calls(spark, path).withColumn("day", F.to_date("created_at")), "stream-usage", ["day", "user_id"], calls=F.count("*"), tokens=F.coalesce(F.sum("total_tokens"), F.lit(0)))
+    return found.select("day", "user_id", "calls", "tokens")
 
 
 def lockouts(spark: SparkSession, path: str, failures: int, length: str = "15 minutes", step: str = "1 minute") -> DataFrame:
-    """Users and windows with as many failures, updated with each batch; windows leave the state when
-    they can't change any more."""
-    bad = calls(spark, path).where("status = 'error'").withWatermark("created_at", length)
-    counted = bad.groupBy(F.window("created_at", length, step), "user_id").agg(F.count("*").alias("failures")).where(F.col("failures") >= failures)
-    return drain(counted.select("user_id", F.col("window.end").alias("until"), "failures"), "stream-lockout", "update", ["user_id", "until"])
+    """Users and windows with as many failures, however late they come."""
+    bad = calls(spark, path).where("status = 'error'").select("user_id", F.window("created_at", length, step).alias("w"))
+    counted = merged(bad.select("user_id", F.col("w.end").alias("until")), "stream-lockout", ["user_id", "until"], failures=F.count("*"))
+    return counted.where(F.col("failures") >= failures)
 
 
-#: How late an event may come.
-LATE = "1 hour"
+#: Time that events of a user wait for earlier ones, in microseconds of their own time; milliseconds of
+#: processing after which a user's last events wait no longer; and after which the state of a user without
+#: events leaves.
+WAIT, IDLE, TTL = 3_600_000_000, 600_000, 30 * 86_400_000
+#: A row of this time ends the log.
+FAR = datetime(9998, 1, 1)
+FAR_US = 253_000_000_000_000_000
 
 
 class InOrder(StatefulProcessor):
     """State by user over events in the order of their time, whatever the order in which they come.
 
-    Events wait until the watermark has passed them. ``start`` is the state of a new user (as
-    ``state_schema`` has it), and ``take`` maps it and the events that are due (time in microseconds,
-    event_id, failed) to the new state and rows.
+    ``start`` is the state of a new user (as ``state_schema`` has it), and ``take`` maps it and the events
+    that are due (time in microseconds, event_id, failed) to the new state and rows.
+
+    Events wait until the user's own later events are WAIT ahead (twice, at most), or for IDLE of processing time. The
+    engine has no watermark, so that it drops none: an event before what was folded already comes out
+    as a late row. A user's state leaves after ``ttl`` without events, and the user starts anew.
     """
 
-    def __init__(self, state_schema: str, start: tuple, take: Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]], columns: Sequence[str]) -> None:
-        self.state_schema, self.start, self.take, self.columns = state_schema, start, take, list(columns)
+    def __init__(self, state_schema: str, start: tuple, take: Take, columns: Sequence[str], idle: int = IDLE, ttl: int = TTL) -> None:
+        self.state_schema, self.start, self.take, self.columns, self.idle, self.ttl = state_schema, start, take, [*columns, *LATE_COLUMNS], idle, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, bad boolean")
-        self.state = handle.getValueState("state", self.state_schema)
+        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, bad boolean")  # the timer empties it
+        self.state = handle.getValueState("state", self.state_schema, self.ttl)
+        self.upto = handle.getValueState("upto", "us bigint, event_id bigint", self.ttl)
+        self.span = handle.getValueState("span", "oldest bigint, latest bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        most = -1
-        for frame in rows:
-            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["bad"].tolist(), strict=True)))
-            most = max(most, int(frame["us"].max()))
-        self.handle.registerTimer(most // 1000 + 1)
-        yield pd.DataFrame({c: [] for c in self.columns})
+        come = [r for frame in rows for r in zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["bad"].tolist(), strict=True)]
+        upto = tuple(self.upto.get()) if self.upto.exists() else (-(1 << 62), 0)
+        late, wait = [r for r in come if r[:2] <= upto], [r for r in come if r[:2] > upto and r[0] < FAR_US]
+        oldest, latest = tuple(self.span.get()) if self.span.exists() else (FAR_US, -(1 << 62))
+        if wait:
+            self.waiting.appendList(wait)
+            oldest, latest = min(oldest, min(wait)[0]), max(latest, max(wait)[0])
+            self.span.update((oldest, latest))
+        for expiry in self.handle.listTimers():
+            self.handle.deleteTimer(expiry)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        ended = max((r[0] for r in come), default=0) >= FAR_US
+        # the list is read once it spans twice the time, so that a row is read about twice
+        yield self.frame(key, self.fold(FAR_US if ended else latest - WAIT) if ended or latest - oldest > 2 * WAIT else [], late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = sorted(map(tuple, self.waiting.get()))
-        due, rest = [w for w in waiting if w[0] < upto], [w for w in waiting if w[0] >= upto]
-        state, rows = self.take(self.state.get() if self.state.exists() else self.start, due)
-        self.state.update(state)
+        yield self.frame(key, self.fold(FAR_US), [])
+
+    def fold(self, until: int) -> list[tuple]:
+        """Rows that the waiting events before ``until`` give."""
+        waiting = sorted(map(tuple, self.waiting.get())) if self.waiting.exists() else []
+        due, rest = [r for r in waiting if r[0] < until], [r for r in waiting if r[0] >= until]
         if rest:
             self.waiting.put(rest)
+            self.span.update((rest[0][0], rest[-1][0]))
         else:
             self.waiting.clear()
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=self.columns)
+            self.span.clear()
+        if not due:
+            return []
+        state, rows = self.take(self.state.get() if self.state.exists() else self.start, due)
+        self.state.update(state)
+        self.upto.update(due[-1][:2])
+        return rows
+
+    def frame(self, key: tuple, rows: list[tuple], late: list[tuple]) -> pd.DataFrame:
+        n = len(self.columns) - 1 - len(LATE_COLUMNS)
+        return pd.DataFrame([(key[0], *r, None, None, None) for r in rows] + [(key[0], *[None] * n, *r) for r in late], columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def in_order(spark: SparkSession, path: str, name: str, schema: str, processor: InOrder, by: Sequence[str] = ()) -> DataFrame:
-    """The rows that a processor gives out over the whole log."""
-    end = work_path(spark, f"{name}-end")
-    rows = events(spark, path).unionByName(closing(spark, end)).withWatermark("ts", LATE)
-    rows = rows.where("ts < TIMESTAMP '9000-01-01'").select("user_id", F.unix_micros("ts").alias("us"), "event_id", (F.col("event_type") == "error").alias("bad"), "ts")
-    out = rows.groupBy("user_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
-    conf, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, provider)
-    try:
-        return drain(out, name, "append", by, end)
-    finally:
-        spark.conf.set(conf, before)
+#: Columns of a late row, null in others.
+LATE_COLUMNS = ("late_us", "late_id", "late_bad")
 
 
-def adaptive_delay(spark: SparkSession, path: str) -> DataFrame:
-    """user_id, delay after all outcomes: times 1.5 while under 0.8 of the last ten succeed, times 0.9 while
-    over 0.95 do, within 1 and 60."""
+def outcomes(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id", F.unix_micros("ts").alias("us"), "event_id", (F.col("event_type") == "error").alias("bad"))
+
+
+def started(rows: DataFrame, schema: str, processor: InOrder) -> DataFrame:
+    """The stream of what a processor gives out of ``rows`` (user_id, us, event_id, bad)."""
+    # RocksDB alone holds such state; set for the session, as streams that run at once share it
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("user_id").transformWithStateInPandas(processor, f"{schema}, late_us bigint, late_id bigint, late_bad boolean", "Append", "ProcessingTime")
 
+
+def in_order(spark: SparkSession, path: str, name: str, schema: str, processor: InOrder) -> DataFrame:
+    """The rows that a processor gives out over the whole log.
+
+    Late rows are a part of what the stream writes. Users that have any are folded again from their
+    whole log, and these rows replace what the stream gave.
+    """
+    end = work_path(spark, f"{name}-end")
+    log = spark.read.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = log.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(FAR).alias("ts"), "user_id").distinct()
+    rows = outcomes(events(spark, path).unionByName(closing(spark, end)))
+    written = drain(started(rows, schema, processor), name, "append", end=(end, last))
+    late = work_table(written.where("late_us is not null").select("user_id").distinct(), f"{name}-late")
+    out = written.where("late_us is null").drop(*LATE_COLUMNS)
+    if not late.limit(1).count():
+        return out
+    return out.join(late, "user_id", "left_anti").unionByName(replayed(outcomes(log.join(late, "user_id", "left_semi")), schema, processor))
+
+
+def replayed(rows: DataFrame, schema: str, processor: InOrder) -> DataFrame:
+    """What a processor would give of rows (user_id, us, event_id, bad) in their order: a task folds its
+    sorted users one after another and holds one state."""
+    start, take = processor.start, processor.take
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, start
+        for frame in frames:
+            found = []
+            for own, mine in frame.groupby("user_id", sort=False, dropna=False):
+                if own != user:
+                    user, state = own, start
+                state, given = take(state, list(zip(mine["us"].tolist(), mine["event_id"].tolist(), mine["bad"].tolist(), strict=True)))
+                found += [(own, *r) for r in given]
+            yield pd.DataFrame(found, columns=processor.columns[: -len(LATE_COLUMNS)])
+
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInPandas(run, schema)
+
+
+class Delay:
+    """Times 1.5 while under 0.8 of the last ten succeed, times 0.9 while over 0.95 do, within 1 and 60."""
+
+    SCHEMA, START, COLUMNS = "delay double, n bigint, last array<boolean>", (2.0, 0, []), ("user_id", "delay", "n")
+
+    @staticmethod
     def take(state: tuple, due: list[tuple]) -> tuple[tuple, list[tuple]]:
         delay, n, last = state[0], state[1], list(state[2])
         for _, _, bad in due:
@@ -147,13 +246,15 @@ def adaptive_delay(spark: SparkSession, path: str) -> DataFrame:
             delay = min(60.0, delay * 1.5) if share < 0.8 else max(1.0, delay * 0.9) if share > 0.95 else delay
         return (delay, n, last), [(delay, n)]
 
-    processor = InOrder("delay double, n bigint, last array<boolean>", (2.0, 0, []), take, ("user_id", "delay", "n"))
-    found = in_order(spark, path, "stream-delay", "user_id bigint, delay double, n bigint", processor)
+
+def adaptive_delay(spark: SparkSession, path: str) -> DataFrame:
+    """user_id, delay after all outcomes, in the order of their time."""
+    found = in_order(spark, path, "stream-delay", "user_id bigint, delay double, n bigint", InOrder(Delay.SCHEMA, Delay.START, Delay.take, Delay.COLUMNS))
     return found.groupBy("user_id").agg(F.max_by("delay", "n").alias("delay"))
 
 
-def blocked(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
-    """Events that fall into a block which an error before them opened: blocked-until state by user."""
+def block(minutes: int) -> Take:
+    """Events that fall into a block which an error before them opened: blocked-until state."""
 
     def take(state: tuple, due: list[tuple]) -> tuple[tuple, list[tuple]]:
         until, hit = state[0], []
@@ -164,7 +265,12 @@ def blocked(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
                 until = us + minutes * 60_000_000
         return (until,), hit
 
-    return in_order(spark, path, "stream-blocked", "user_id bigint, event_id bigint", InOrder("until bigint", (-1,), take, ("user_id", "event_id"))).select("event_id")
+    return take
+
+
+def blocked(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
+    """event_id of events in a block of their user."""
+    return in_order(spark, path, "stream-blocked", "user_id bigint, event_id bigint", InOrder("until bigint", (-1,), block(minutes), ("user_id", "event_id"))).select("event_id")
 
 
 def incremental_index(spark: SparkSession, path: str, attempt: Callable[[DataFrame], Column], retries: int = 3) -> DataFrame:
