@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cap_length, strip
+from ..functions.text import strip
 
 LEAST, MOST, HEADING_MOST = 8, 800, 40
 
@@ -60,46 +61,82 @@ def units(sectioned: DataFrame, key: str) -> DataFrame:
     return body.groupBy(key, "section", "kind", "heading", "unit").agg(F.min("at").alias("at"), strip(joined).alias("text"))
 
 
+ASCII_SPACE = " \t\n\x0b\x0c\r"
+_BREAK = re.compile(r"\r\n|\n|\r")
+_BULLET = re.compile(BULLET, re.A)
+_OPENS = {name: re.compile(rf"^\s*[•\-*0-9.)(]*\s*({'|'.join(phrases)})[:：\s]*$", re.A | re.I) for name, phrases in HEADINGS.items()}
+_SENTENCE = re.compile(r"(?<=[。.!?！？])\s+", re.A)
+
+
+def opened(line: str) -> str | None:
+    """``heading_type`` of a line."""
+    return next((name for name, form in _OPENS.items() if form.search(line)), None) if len(line) <= HEADING_MOST else None
+
+
+def units_of(text: str) -> Iterator[tuple[str, str | None, str]]:
+    """kind, heading and text of each unit of LEAST characters and more, in order: bullets one by one, other
+    neighbouring lines together. Each line is looked at once."""
+    kind, heading, run = "overview", None, []
+
+    def unit(said: str) -> Iterator[tuple[str, str | None, str]]:
+        said = said.strip(ASCII_SPACE)
+        if len(said) >= LEAST:
+            yield kind, heading, said
+
+    for line in _BREAK.split(text):
+        line = line.rstrip(" ")
+        opens, bullet, blank = opened(line.strip(" ")), _BULLET.search(line), not line.strip(" ")
+        if not (opens or bullet or blank):
+            run.append(line)
+            continue
+        yield from unit("\n".join(run))
+        run = []
+        if opens:
+            kind, heading = opens, line.strip(" ")
+        elif bullet and not blank:
+            yield from unit(_BULLET.sub("", line).strip(" "))
+    yield from unit("\n".join(run))
+
+
+def packed(text: str, most: int = MOST) -> Iterator[str]:
+    """Sentences packed up to ``most`` characters; a text that fits stays as it is."""
+    if len(text) <= most:
+        yield text
+        return
+    open_ = ""
+    for part in _SENTENCE.split(text):
+        if len(open_) + len(part) <= most:
+            open_ = f"{open_} {part}".strip(" ") if open_ else part
+            continue
+        if open_:
+            yield open_
+        open_ = part
+    if open_:
+        yield open_
+
+
+@F.udtf(returnType="chunk_index int, chunk_type string, heading string, chunk_text string", useArrow=True)
+class Chunks:
+    """Table function of a text's chunks."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, str, str | None, str]]:
+        n = 0
+        for kind, heading, said in units_of(text or ""):
+            for piece in packed(said):
+                yield n, kind, heading, piece
+                n += 1
+        whole = (text or "").strip(ASCII_SPACE)
+        if not n and whole:
+            yield 0, "overview", None, whole[:MOST]
+
+
 def chunk_documents(docs: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame:
-    """key, chunk_index, chunk_type, heading_path, chunk_text. Texts without any chunk give one overview.
+    """key, chunk_index, chunk_type, heading_path, chunk_text. Texts without any chunk give one overview;
+    null and blank ones none.
 
-    A document is folded line by line within its row, so that no text is shuffled.
+    A lateral join with a table function, in Arrow batches where the rows are: no text is shuffled, and
+    the work is linear in it.
     """
-    chunks = F.transform(document_units(F.col(text)), lambda u: F.transform(cap_length(u["text"], MOST), lambda t: F.struct(u["kind"].alias("kind"), u["heading"].alias("heading"), t.alias("text"))))
-    whole = strip(F.col(text))
-    alone = F.when(whole != "", F.array(F.struct(F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("heading"), F.substring(whole, 1, MOST).alias("text"))))
-    found = docs.select(key, F.flatten(chunks).alias("c"), alone.alias("alone"))
-    rows = found.select(key, F.posexplode(F.when(F.size("c") > 0, F.col("c")).otherwise(F.col("alone"))).alias("chunk_index", "c"))
-    path = F.when(F.col("c.heading").isNull(), F.array().cast("array<string>")).otherwise(F.array("c.heading"))
-    return rows.select(key, "chunk_index", F.col("c.kind").alias("chunk_type"), path.alias("heading_path"), F.col("c.text").alias("chunk_text"))
-
-
-UNIT = "struct<kind:string,heading:string,text:string>"
-
-
-def document_units(text: Column, opens: Callable[[Column], Column] | None = None) -> Column:
-    """Units of a text of LEAST characters and more, in order: bullets one by one, other neighbouring
-    lines together, each with the kind and the heading that it is under."""
-    opens = opens or (lambda line: heading_type(F.trim(line)))
-    lines = F.transform(F.transform(F.split(text, r"\r\n|\n|\r"), F.rtrim), lambda x: F.struct(x.alias("line"), opens(x).alias("opens"), F.regexp_like(x, F.lit(BULLET)).alias("bullet")))
-    # open: the lines of a unit that may go on
-    start = F.struct(F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("open"), F.array().cast(f"array<{UNIT}>").alias("done"))
-
-    def unit(s: Column, said: Column) -> Column:
-        return F.struct(s["kind"].alias("kind"), s["heading"].alias("heading"), strip(said).alias("text"))
-
-    def closed(s: Column) -> Column:
-        return F.when(F.length(strip(s["open"])) >= LEAST, F.concat(s["done"], F.array(unit(s, s["open"])))).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        head, blank, bullet = x["opens"].isNotNull(), F.trim(x["line"]) == "", x["bullet"]
-        ends, item = head | blank | bullet, strip_bullet(x["line"])
-        done = F.when(ends, closed(s)).otherwise(s["done"])
-        done = F.when(~head & ~blank & bullet & (F.length(strip(item)) >= LEAST), F.concat(done, F.array(unit(s, item)))).otherwise(done)
-        grown = F.when(s["open"].isNull(), x["line"]).otherwise(F.concat_ws("\n", s["open"], x["line"]))
-        return F.struct(
-            F.coalesce(x["opens"], s["kind"]).alias("kind"), F.when(head, F.trim(x["line"])).otherwise(s["heading"]).alias("heading"),
-            F.when(~ends, grown).alias("open"), done.alias("done"),
-        )
-
-    return F.aggregate(lines, start, step, closed)
+    rows = docs.select(key, F.col(text).alias("_text")).lateralJoin(Chunks(F.col("_text").outer()))
+    path = F.when(F.col("heading").isNull(), F.array().cast("array<string>")).otherwise(F.array("heading"))
+    return rows.select(key, "chunk_index", "chunk_type", path.alias("heading_path"), "chunk_text")
