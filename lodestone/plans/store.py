@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mutate, store
+from ..operators.tables import StoredTable
 from ..sources import frames as S
+from ..sources.files import work_path
 from .registry import query
 
 PICK = "id, user_id, title, company, source, is_public, crawled_at"
@@ -192,6 +194,16 @@ def upsert_coalesce(spark, d):
     return mutate.upsert(rows, old.unionByName(new), "id", keep=["total"])
 
 
+@query("upsert_partition", "SELECT id, user_id, status, CASE WHEN status = 'open' AND id % 10 = 0 THEN total + 1 ELSE total END AS total FROM drafts UNION ALL SELECT c_custkey + 100000000, c_custkey, 'open', NULL FROM customer", ("drafts",))
+def upsert_partition(spark, d):
+    """An upsert into a table stored by status, of which it rewrites one partition."""
+    rows = S.drafts(spark, d).select("id", "user_id", "status", "total")
+    table = StoredTable.create(rows, work_path(spark, "drafts"), ["status"])
+    new = rows.where("status = 'open' and id % 10 = 0").withColumn("total", F.col("total") + 1).unionByName(S.table(spark, d, "customer").selectExpr("c_custkey + 100000000 AS id", "c_custkey AS user_id", "'open' AS status", "cast(NULL AS double) AS total"))
+    table.merge(new, "id", lambda old, more: mutate.upsert(old, more, "id"))
+    return table.read()
+
+
 @query("upsert_cache", f"SELECT id, position, industry, function, CASE WHEN id % 7 = 0 THEN {NOW} ELSE updated_at END AS updated_at, CASE WHEN id % 7 = 0 THEN {NOW} + INTERVAL 24 HOUR ELSE expires_at END AS expires_at FROM ({CACHE.format('o_orderdate + INTERVAL 100 DAY')})")
 def upsert_cache(spark, d):
     rows = cache(spark, d)

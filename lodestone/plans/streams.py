@@ -41,6 +41,12 @@ def stream_domain_block(spark, d):
     return logs.blocked(spark, path(d))
 
 
+@query("stream_user_store", "SELECT user_id, CAST(user_id % 8 AS INTEGER) AS shard, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1, 2")
+def stream_user_store(spark, d):
+    """A sink into a stored table in which each batch counts once."""
+    return logs.user_store(spark, path(d)).read()
+
+
 @query("stream_incremental_index", "SELECT event_id, CASE WHEN ok THEN 'done' ELSE 'given up' END AS state, CAST(tries AS INTEGER) AS retry_count FROM (SELECT event_id, len(list_filter(range(event_id % 5, 3), lambda k: (event_id + k) % 4 > 1)) > 0 AS ok, coalesce(list_filter(range(event_id % 5, 3), lambda k: (event_id + k) % 4 > 1)[1], 3) AS tries FROM events WHERE event_id % 5 < 3)")
 def stream_incremental_index(spark, d):
     """What is left to index is tried until it is done, three times at most."""

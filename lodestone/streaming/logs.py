@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.tables import StoredTable
 from ..sources.files import work_path, work_table
 from ..sources.frames import calls_of
 
@@ -273,6 +274,30 @@ def blocked(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
     return in_order(spark, path, "stream-blocked", "user_id bigint, event_id bigint", InOrder("until bigint", (-1,), block(minutes), ("user_id", "event_id"))).select("event_id")
 
 
+#: Partitions of the table of users.
+SHARDS = 8
+
+
+def added(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows by user with their numbers added up."""
+    return old.unionByName(new).groupBy("user_id", "shard").agg(F.sum("events").alias("events"), F.sum("failures").alias("failures"))
+
+
+def user_store(spark: SparkSession, path: str, table: StoredTable | None = None) -> StoredTable:
+    """Events and failures of each user in a stored table, which each batch adds to once, even if it runs
+    again; only the shards of its users are written."""
+    schema = "user_id bigint, shard int, events bigint, failures bigint"
+    table = table or StoredTable.create(spark.createDataFrame([], schema), work_path(spark, "user-store"), ["shard"])
+    rows = events(spark, path).select("user_id", F.pmod("user_id", F.lit(SHARDS)).cast("int").alias("shard"), F.lit(1).cast("bigint").alias("events"), (F.col("event_type") == "error").cast("bigint").alias("failures"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy("user_id", "shard").agg(F.sum("events").alias("events"), F.sum("failures").alias("failures"))
+        table.merge(work_table(sums, "user-batch"), "user_id", added, number)
+
+    until_done(rows.writeStream.option("checkpointLocation", f"{table.path}-state").foreachBatch(put), spark)
+    return table
+
+
 def incremental_index(spark: SparkSession, path: str, attempt: Callable[[DataFrame], Column], retries: int = 3) -> DataFrame:
     """event_id, state (done or given up), retry_count of the events that were still to be indexed.
 

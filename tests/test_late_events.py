@@ -87,3 +87,14 @@ def test_batches_that_run_again_count_once(spark, tmp_path):
     put(spark, tmp_path, "a", [(k, k, k % 3, k % 2 == 0) for k in range(20)])
     first = logs.daily_usage(spark, f"{tmp_path}/*/*.parquet")
     assert first.agg(F.sum("calls")).first()[0] == 20
+
+
+def test_the_store_counts_a_batch_once(spark, tmp_path):
+    put(spark, tmp_path, "a", [(k, k, k % 3, k % 2 == 0) for k in range(20)])
+    put(spark, tmp_path, "b", [(k, k, 9, True) for k in range(5)])
+    table = logs.user_store(spark, f"{tmp_path}/*/*.parquet")
+    want = [(0, 7, 4), (1, 7, 3), (2, 6, 3), (9, 5, 5)]
+    assert sorted((r.user_id, r.events, r.failures) for r in table.read().collect()) == want
+    again = spark.createDataFrame([(9, 1, 5, 5)], "user_id bigint, shard int, events bigint, failures bigint")
+    assert not table.merge(again, "user_id", logs.added, 1)
+    assert sorted((r.user_id, r.events, r.failures) for r in table.read().collect()) == want
