@@ -285,6 +285,35 @@ def route(text: Column, branches: Sequence[tuple[str, Sequence[str]]], other: st
     return out
 
 
+#: Words of titles by type of document, and the type without any; branches of a chat message
+#: by words (those marked long count in messages over LONG_MESSAGE characters alone), in their order.
+DOC_TYPES = (
+    ("个人简历", ("resume", "cv ", "简历", "简历 ")), ("职位描述", ("jd", "job description", "职位描述", "招聘 ")), ("政策文件", ("policy", "政策", "规定")), ("研究报告", ("report", "报告")),
+)
+DOC_TYPE_KEYS, ANY_DOC_TYPE = ("document_type", "doc_type", "type"), "文档内容"
+LONG_MESSAGE = 100
+CHAT_BRANCHES = (
+    ("match", False, ("匹配", "匹配度", "match", "分析匹配", "看看匹配")), ("state", False, ("状态", "state", "当前状态", "当前")), ("parse_resume", False, (".pdf", ".docx", ".md", ".txt")),
+    ("parse_resume", False, ("解析简历", "parse resume", "读简历")), ("analyze_jd", True, ("职位", "jd", "job", "要求", "职责")), ("analyze_jd", False, ("分析jd", "分析职位", "analyze jd")),
+    ("workflow", False, ("完整工作流", "优化简历", "生成简历", "cover letter", "求职信", "完整流程", "帮我申请", "run workflow")),
+)
+
+
+def doc_type(metadata: Column) -> Column:
+    """Type of a document from its metadata, a variant: a named one, else by words of its title."""
+    named = [F.nullif(F.try_variant_get(metadata, f"$.{k}", "string"), F.lit("")) for k in DOC_TYPE_KEYS]
+    return F.coalesce(*named, route(F.try_variant_get(metadata, "$.document_title", "string"), DOC_TYPES, ANY_DOC_TYPE))
+
+
+def chat_branch(message: Column) -> Column:
+    """Branch of a chat message by its words; ``model`` where none decides."""
+    out = F.lit("model")
+    for name, long, words in reversed(CHAT_BRANCHES):
+        hit = holds_any(message, words)
+        out = F.when(hit & (F.char_length(message) > LONG_MESSAGE) if long else hit, name).otherwise(out)
+    return out
+
+
 def chunk_id(source: Column, page: Column, seq: Column, prefix: str = "chunk") -> Column:
     return F.concat_ws("_", F.lit(prefix), F.regexp_replace(source, r"[^A-Za-z0-9]+", "-"), page.cast("string"), F.lpad(seq.cast("string"), 4, "0"))
 

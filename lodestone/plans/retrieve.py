@@ -151,10 +151,17 @@ def search_jds_index(spark, d):
     return found.withColumn("rank", first).where("rank <= 30").select("query_id", "id", "title", "company")
 
 
-@query("retrieve_fallback", "SELECT id, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS ranked_score FROM jds WHERE contains(lower(raw_text), 'license') AND user_id = 'u1' ORDER BY id LIMIT 5", ("jds",))
+_TEXTS = "SELECT item_id AS query_id, lower(split_part(text, ' ', 3)) AS asked, 'u' || (item_id % 7) AS asker FROM benchmark WHERE item_id % 50 = 0"
+
+
+@query("retrieve_fallback", f"SELECT query_id, id, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS ranked_score FROM jds, ({_TEXTS}) WHERE asked <> '' AND user_id = asker AND contains(lower(raw_text), asked) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 5", ("jds",))
 def retrieve_fallback(spark, d):
-    found = S.jds(spark, d).where(store.contains_any("license", "raw_text") & (F.col("user_id") == "u1"))
-    return found.orderBy("id").limit(5).select("id", F.lit(0.0).alias("similarity"), F.lit(0.0).alias("ranked_score"))
+    """A query set's words, each among its user's postings, without scores."""
+    asked = S.table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit(" "), F.lit(3)).alias("query_text"), F.concat(F.lit("u"), F.col("item_id") % 7).alias("asker"))
+    rows = S.jds(spark, d).select("id", "user_id", F.lower("raw_text").alias("said"))
+    # a row meets the queries of its user alone
+    found = rows.join(asked.where("query_text <> ''"), F.col("user_id") == F.col("asker")).where(F.col("said").contains(F.lower("query_text")))
+    return R.top(found.select("query_id", "id"), 5, "query_id").select("query_id", "id", F.lit(0.0).alias("similarity"), F.lit(0.0).alias("ranked_score"))
 
 
 @query("retrieve_two_pass", f"SELECT query_id, branch, id FROM (SELECT *, min(branch) OVER (PARTITION BY query_id) AS first FROM (SELECT query_id, 1 AS branch, id, similarity FROM ({_SIM}) WHERE chunk_type = 'requirement' AND similarity >= 0.3 UNION ALL SELECT query_id, 2, id, similarity FROM ({_SIM}))) WHERE branch = first QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 5", ("chunks",))

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import mutate, store
 from ..operators.tables import StoredTable
 from ..sources import frames as S
-from ..sources.files import work_path
+from ..sources.files import work_path, work_table
 from .registry import query
 
 PICK = "id, user_id, title, company, source, is_public, crawled_at"
@@ -96,9 +96,18 @@ def filter_threshold_strategy(spark, d):
     return rows.where("score >= least").select("id", "strategy", "score")
 
 
-@query("filter_attr", "SELECT user_id, list_filter(skills, lambda x: x LIKE 'Brand#1%') AS high FROM skills", ("skills",))
+_BY = "list_sort(coalesce(list(o_orderkey) FILTER (WHERE {}), []))"
+
+
+@query("filter_attr", f"SELECT o_custkey AS user_id, {_BY.format("o_orderpriority = '1-URGENT'")} AS urgent, {_BY.format("o_orderstatus = 'F'")} AS by_section FROM orders GROUP BY o_custkey")
 def filter_attr(spark, d):
-    return S.skills(spark, d).select("user_id", F.filter("skills", lambda x: x.startswith("Brand#1")).alias("high"))
+    """Suggestions by priority and by section, from a variant column that was parsed when it was written."""
+    one = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("section"))
+    written = S.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("suggestions"))).alias("j"))
+    stored = work_table(written.select("user_id", F.try_parse_json("j").alias("v")), "suggestions")
+    said = stored.select("user_id", F.try_variant_get("v", "$.suggestions", "array<struct<id:bigint,priority:string,section:string>>").alias("s"))
+    ids = lambda keep: F.transform(F.filter("s", keep), lambda x: x.id)
+    return said.select("user_id", ids(lambda x: x.priority == "1-URGENT").alias("urgent"), ids(lambda x: x.section == "F").alias("by_section"))
 
 
 @query("filter_recent_or_null", "SELECT id, salary_max FROM jds WHERE salary_max <= 15 OR salary_max IS NULL ORDER BY salary_max NULLS FIRST, id LIMIT 100", ("jds",))

@@ -201,10 +201,15 @@ def fn_anti_bot(spark, d):
     return pages(spark, d).select("page_id", T.holds_any(F.col("html"), T.ANTI_BOT).alias("wall"))
 
 
-@query("fn_is_garbage", "SELECT doc_id, source = 'src1' AND contains(lower(text), 'license') AND length(trim(text)) < 300 AS garbage FROM documents")
+_WORDS = " OR ".join(f"contains(lower(said), '{w.lower()}')" for w in T.ANTI_BOT)
+_TITLES = ", ".join(f"'{t}'" for t in T.WALL_TITLES)
+
+
+@query("fn_is_garbage", f"SELECT doc_id, coalesce(source IN ('liepin_batch', 'jobsdb_batch', 'smart_collector', 'crawler', 'jd_crawler', '51job_batch'), false) AND ({_WORDS}) AND (length(trim(raw_text)) < 300 OR title = '' OR company = '' OR title IN ({_TITLES}) OR coalesce(position_tag, '') = '') AS garbage FROM (SELECT * REPLACE (trim(coalesce(title, '')) AS title, trim(coalesce(company, '')) AS company), concat_ws(chr(10), title, company, raw_text) AS said FROM (SELECT doc_id, {S.CRAWLED_ROW} FROM documents))")
 def fn_is_garbage(spark, d):
-    rows = docs(spark, d).withColumns({"title": F.lit("t"), "company": F.lit("c")})
-    return rows.select("doc_id", T.is_garbage("source", "title", "company", "text", F.lit("p"), crawled=("src1",), words=("license",)).alias("garbage"))
+    """Crawled sources, words of a bot check, and each sign of a weak posting."""
+    rows = docs(spark, d).selectExpr("doc_id", *S.fields(S.CRAWLED_ROW))
+    return rows.select("doc_id", T.is_garbage("source", "title", "company", "raw_text", F.nullif("position_tag", F.lit(""))).alias("garbage"))
 
 
 @query("fn_chunk_id", "SELECT doc_id, 'chunk_' || regexp_replace(source, '[^A-Za-z0-9]+', '-', 'g') || '_' || (doc_id % 9) || '_' || lpad(CAST(doc_id % 1000 AS VARCHAR), 4, '0') AS id FROM documents")
@@ -217,14 +222,19 @@ def fn_cache_key(spark, d):
     return docs(spark, d).select("doc_id", F.md5(F.concat_ws("|", "lang", "source")).alias("key"), F.substring(F.sha1("text"), 1, 16).alias("text_key"))
 
 
-@query("fn_doc_type", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(text, '@') THEN 'contact' ELSE 'general' END AS kind FROM documents")
+def _route(text, branches, other):
+    return "CASE " + " ".join(f"WHEN {more}({' OR '.join(f"contains({text}, '{w}')" for w in words)}) THEN '{name}'" for name, more, words in branches) + f" ELSE '{other}' END"
+
+
+@query("fn_doc_type", f"SELECT doc_id, coalesce(nullif(m ->> '$.document_type', ''), nullif(m ->> '$.doc_type', ''), nullif(m ->> '$.type', ''), {_route("lower(coalesce(m ->> '$.document_title', ''))", [(n, '', w) for n, w in T.DOC_TYPES], T.ANY_DOC_TYPE)}) AS kind FROM (SELECT doc_id, CASE WHEN json_valid(m) THEN CAST(m AS JSON) END AS m FROM (SELECT doc_id, {S.METADATA} AS m FROM documents))")
 def fn_doc_type(spark, d):
-    return docs(spark, d).select("doc_id", T.route(F.col("text"), [("legal", ("license",)), ("contact", ("@",))], "general").alias("kind"))
+    """Metadata are a variant, by path; what is no JSON names no type."""
+    return docs(spark, d).selectExpr("doc_id", f"try_parse_json({S.METADATA}) AS m").select("doc_id", T.doc_type(F.col("m")).alias("kind"))
 
 
-@query("fn_keyword_route", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'search' WHEN contains(lower(text), 'der') OR contains(lower(text), 'die') THEN 'match' ELSE 'chat' END AS branch FROM conversations")
+@query("fn_keyword_route", f"SELECT conv_id, turn, {_route("lower(coalesce(m, ''))", [(n, f'length(m) > {T.LONG_MESSAGE} AND ' if long else '', w) for n, long, w in T.CHAT_BRANCHES], 'model')} AS branch FROM (SELECT conv_id, turn, {S.MESSAGE} AS m FROM conversations)")
 def fn_keyword_route(spark, d):
-    return S.table(spark, d, "conversations").select("conv_id", "turn", T.route(F.col("text"), [("search", ("the",)), ("match", ("der", "die"))], "chat").alias("branch"))
+    return S.table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{S.MESSAGE} AS m").select("conv_id", "turn", T.chat_branch(F.col("m")).alias("branch"))
 
 
 @query("fn_filename", r"SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[\\/:*?""<>|\r\n\t]+', '', 'g'), '^[ .]+|[ .]+$', '', 'g') || '_' || p_brand || '.docx' AS name FROM part")

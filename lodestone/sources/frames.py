@@ -38,6 +38,11 @@ AGE = "CASE doc_id % 7 WHEN 0 THEN 'Posted ' || (doc_id % 60) || 'd+ ago' WHEN 1
 HEADLINE = "CASE doc_id % 9 WHEN 0 THEN '- Nice to have:' WHEN 1 THEN '岗位职责：' WHEN 2 THEN '2. Requirements' WHEN 3 THEN 'About us' WHEN 4 THEN 'We negotiate contracts' WHEN 5 THEN '• what you''ll do ' WHEN 6 THEN 'Skills & Experience:' WHEN 7 THEN '加分项' ELSE 'requirements ' || repeat('x', CAST(doc_id % 40 AS INT)) END"
 BULLETED = "CASE doc_id % 7 WHEN 0 THEN ' • ' WHEN 1 THEN '- ' WHEN 2 THEN '12. ' WHEN 3 THEN '3) ' WHEN 4 THEN '* ' WHEN 5 THEN '-' ELSE '4、 ' END || replace(substr(text, 1, 30), chr(10), ' ')"
 REPLY = "CASE event_id % 5 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'It is ' || props || ' then.' WHEN 2 THEN 'no json' WHEN 3 THEN '```' || chr(10) || ' {\"k\": 3} ' || chr(10) || '``` and {\"k\": 4}' ELSE props END"
+#: Metadata of a document, a chat message, a crawled row.
+DOC_TITLE = "CASE doc_id % 11 WHEN 0 THEN 'My Resume' WHEN 1 THEN 'CV of A' WHEN 2 THEN '个人简历' WHEN 3 THEN 'JD 12' WHEN 4 THEN 'Job Description' WHEN 5 THEN '招聘 启事' WHEN 6 THEN 'Privacy POLICY' WHEN 7 THEN '规定' WHEN 8 THEN 'Annual REPORT' WHEN 9 THEN '报告' ELSE 'Notes' END"
+METADATA = f"CASE doc_id % 6 WHEN 0 THEN '{{\"document_type\": \"memo\"}}' WHEN 1 THEN '{{\"type\": \"last\", \"doc_type\": \"note\"}}' WHEN 2 THEN '{{\"type\": \"\", \"document_title\": \"' || {DOC_TITLE} || '\"}}' WHEN 3 THEN 'not json' WHEN 4 THEN NULL ELSE '{{\"document_title\": \"' || {DOC_TITLE} || '\"}}' END"
+MESSAGE = "CASE (conv_id + turn) % 12 WHEN 0 THEN '看看匹配' WHEN 1 THEN 'Match me' WHEN 2 THEN '当前状态' WHEN 3 THEN 'read my.PDF' WHEN 4 THEN '解析简历' WHEN 5 THEN '职位：' || repeat(text, 3) WHEN 6 THEN '职位' WHEN 7 THEN 'Analyze JD' WHEN 8 THEN 'write a Cover Letter' WHEN 9 THEN 'RUN workflow please' WHEN 10 THEN NULL ELSE text END"
+CRAWLED_ROW = "CASE doc_id % 4 WHEN 0 THEN 'crawler' WHEN 1 THEN 'jobsdb_batch' WHEN 2 THEN NULL ELSE source END AS source, CASE doc_id % 5 WHEN 0 THEN '登录' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE 'Engineer' END AS title, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '安全验证 Ltd' ELSE 'Acme' END AS company, CASE doc_id % 3 WHEN 0 THEN ' please VERIFY ' || text WHEN 1 THEN text ELSE ' blocked ' END AS raw_text, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 = 1 THEN '' ELSE 'p' END AS position_tag"
 #: Columns of a resume that was read, from a customer.
 CONTACT = """c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'Unknown' WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 13 = 0 THEN '未知' ELSE c_name END AS name,
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'c' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '.example' WHEN 1 THEN '@nowhere' ELSE '@x.example' END END AS email,
