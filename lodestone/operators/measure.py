@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,3 +97,36 @@ def clamped_scaling(steps: Column) -> Column:
 def seeded(column: str, seed: int) -> Column:
     """A place in a seeded order."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")))
+
+
+#: Relative error of a quantile read off a sketch.
+ERROR = 0.01
+
+
+def sketch(rows: DataFrame, by: list[str], value: str, error: float = ERROR) -> DataFrame:
+    """Counts of the values of each group by bucket (the columns ``by``, bucket, n): a sketch of quantiles.
+
+    A bucket is as wide as the error on either side of its middle allows, so a group has some hundreds,
+    however many rows it has. Values of zero and less are one bucket, null; nulls aren't counted.
+    Sketches of parts of a group merge by adding up, in any order.
+    """
+    base = math.log((1 + error) / (1 - error))
+    bucket = F.when(F.col(value) > 0, F.ceil(F.log(value) / base))
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merge_sketches(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The sketch of groups that are unions of the parts', by fewer columns."""
+    return parts.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantile(sketched: DataFrame, by: list[str], share: float, error: float = ERROR) -> DataFrame:
+    """The columns ``by``, n and quantile: the value that a ``share`` of the values don't exceed, within the
+    error of the exact one of that rank; 0 where it isn't over zero."""
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("bucket"))
+    total = F.sum("n").over(Window.partitionBy(*by))
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reached = sketched.withColumns({"total": total, "upto": upto}).where(F.col("upto") >= F.ceil(F.col("total") * share))
+    growth = (1 + error) / (1 - error)
+    value = F.coalesce(2 * F.pow(F.lit(growth), F.col("bucket")) / (growth + 1), F.lit(0.0))
+    return reached.groupBy(*by).agg(F.max("total").alias("n"), F.min(value).alias("quantile"))

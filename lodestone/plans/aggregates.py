@@ -66,6 +66,18 @@ def ops_latency(spark, d):
     return M.quantile(counts, "rerank", "latency", 0.95).select("rerank", "n", F.round("mean", 4).alias("mean"), F.round("quantile", 4).alias("p95"))
 
 
+_GROWTH = "((1 + 0.01::DOUBLE) / (1 - 0.01::DOUBLE))"
+_BUCKETS = f"SELECT model, CASE WHEN latency_ms > 0 THEN ceil(ln(latency_ms) / ln({_GROWTH})) END AS bucket, count(*) AS n FROM llm_calls WHERE latency_ms IS NOT NULL AND created_at >= {NOW} - INTERVAL 14 DAY GROUP BY ALL"
+
+
+@query("ops_latency_sketch", f"SELECT model, CAST(max(total) AS BIGINT) AS n, round(min(coalesce(2 * pow({_GROWTH}, bucket) / ({_GROWTH} + 1), 0)), 4) AS p95 FROM (SELECT *, sum(n) OVER (PARTITION BY model) AS total, sum(n) OVER (PARTITION BY model ORDER BY bucket NULLS FIRST) AS upto FROM ({_BUCKETS})) WHERE upto >= ceil(total * 0.95) GROUP BY model", ("llm_calls",))
+def ops_latency_sketch(spark, d):
+    """95 % latency by model over a fortnight, merged from a sketch for each day; within 1 % of the exact one."""
+    days = M.sketch(S.llm_calls(spark, d).withColumn("day", F.to_date("created_at")), ["day", "model"], "latency_ms")
+    fortnight = M.merge_sketches(days.where(F.col("day") >= F.to_date(S.as_of()) - 14), ["model"])
+    return M.sketch_quantile(fortnight, ["model"], 0.95).select("model", "n", F.round("quantile", 4).alias("p95"))
+
+
 @query("ops_success_rate", f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'cache_hit') AS cached, round(count(*) FILTER (WHERE status IN ('success', 'cache_hit')) / count(*), 4) AS success_rate FROM llm_calls WHERE created_at >= {NOW} - INTERVAL 7 DAY", ("llm_calls",))
 def ops_success_rate(spark, d):
     rows = S.llm_calls(spark, d).where(F.col("created_at") >= S.as_of() - F.expr("INTERVAL '7' DAY"))
