@@ -75,18 +75,19 @@ def reranked(candidates: DataFrame, k: int, score: Column) -> DataFrame:
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int, least: float = 0.55, chunk_type: str | None = None, user_id: str | None = None, position: str | None = None, industry: str | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Best chunks of each query (query_id, query_text, vector).
 
-    chunks: id, chunk_index, chunk_type, user_id, position_tag, industry_tag, chunk_text, embedding.
+    chunks: id (of one row each), chunk_index, chunk_type, user_id, position_tag, industry_tag, chunk_text, embedding.
     Filters come first. With a scorer, more candidates are fetched, reranked, and the threshold isn't
     used. Queries without a vector fall back to a search of their text, with scores of 0.
     """
     for column, value in (("chunk_type", chunk_type), ("user_id", user_id), ("position_tag", position)):
         if value is not None:
             chunks = chunks.where(F.col(column) == value)
-    near = similar(chunks, queries.where("vector is not null"), candidates_wanted(k, score is not None))
+    near = similar(chunks.drop("chunk_text"), queries.where("vector is not null"), candidates_wanted(k, score is not None))
     if score is None:
         found = weighted(near, k, least, industry)
     else:
-        asked = near.join(queries.select("query_id", "query_text"), "query_id")
+        # texts of candidates alone are fetched
+        asked = near.join(chunks.select("id", "chunk_text"), "id").join(queries.select("query_id", "query_text"), "query_id")
         found = weighted(reranked(asked, k, score(F.col("query_text"), F.col("chunk_text"))), k, least, industry, F.col("rerank_norm"))
     columns = ["query_id", "id", "chunk_type", F.round("similarity", 4).alias("similarity"), F.round("ranked_score", 4).alias("ranked_score")]
     return found.select(*columns).unionByName(like(chunks, queries.where("vector is null"), k))

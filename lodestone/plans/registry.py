@@ -27,7 +27,7 @@ FRAMES_SQL = {
     "chunks": """SELECT vec_id AS id, vec_id % 100 AS jd_id, CAST(vec_id // 100 AS INTEGER) AS chunk_index, embedding, 'u' || (vec_id % 7) AS user_id,
         CASE label % 5 WHEN 0 THEN 'responsibility' WHEN 1 THEN 'requirement' WHEN 2 THEN 'overview' WHEN 3 THEN 'nice_to_have' ELSE 'full' END AS chunk_type,
         CASE vec_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'zh' WHEN 2 THEN 'mixed' END AS language, vec_id % 3 = 0 AS translated, CAST(vec_id % 5 AS INTEGER) AS retry_count FROM embeddings""",
-    "chunk_texts": """SELECT doc_id AS id, substr(text, 1, 300) AS chunk_text FROM documents""",
+    "chunk_texts": """SELECT doc_id AS id, text AS chunk_text FROM documents""",
     "llm_calls": """SELECT event_id AS id, ts AS created_at, user_id, 'm' || (user_id % 3) AS model,
         CASE event_type WHEN 'click' THEN 'judge_batch' WHEN 'view' THEN 'analyze' WHEN 'purchase' THEN 'retrieve' WHEN 'signup' THEN 'embed' ELSE 'judge_single' END AS operation,
         CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'cache_hit' ELSE 'success' END AS status,

@@ -86,8 +86,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, chunk_text: the document of the same number, its first characters."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "substr(text, 1, 300) AS chunk_text")
+    """id, chunk_text: the document of the same number, whole."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS chunk_text")
 
 
 def llm_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
