@@ -99,6 +99,26 @@ def seeded(column: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")))
 
 
+def preserved(before: DataFrame, after: DataFrame, key: str, by: str) -> DataFrame:
+    """``by``, n, kept, lost, lost_ids (the first LOST_IDS by key), score of the rows of a snapshot: a row is
+    lost if it is missing afterwards or differs in any column that it had; two points of ten for each."""
+    columns = before.columns
+    gone = before.alias("b").join(after.select(*[c for c in columns if c in after.columns], F.lit(True).alias("_there")).alias("a"), key, "left")
+    same = F.coalesce(F.col("_there"), F.lit(False))
+    for c in columns:
+        if c != key:
+            same = same & (F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) if c in after.columns else F.lit(False))
+    told = gone.select(F.col(f"b.{by}").alias(by), key, (~same).alias("_lost"))
+    first = F.row_number().over(Window.partitionBy(by).orderBy(key))
+    ids = told.where("_lost").withColumn("_n", first).where(F.col("_n") <= LOST_IDS).groupBy(F.col(by).alias("_by")).agg(F.sort_array(F.collect_list(key)).alias("lost_ids"))
+    counts = told.groupBy(by).agg(F.count("*").alias("n"), F.count_if(~F.col("_lost")).alias("kept"), F.count_if("_lost").alias("lost"))
+    out = counts.join(ids, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return out.select(by, "n", "kept", "lost", F.coalesce("lost_ids", F.array()).alias("lost_ids"), F.greatest(F.lit(0.0), 10.0 - 2.0 * F.col("lost")).alias("score"))
+
+
+#: Ids of lost rows that a report lists.
+LOST_IDS = 5
+
 #: Relative error of a quantile read off a sketch.
 ERROR = 0.01
 

@@ -239,14 +239,15 @@ def agg_type_distribution(spark, d):
     return S.chunks(spark, d).groupBy("chunk_type").agg(F.count("*").alias("n"), (F.coalesce(F.max("chunk_index"), F.lit(-1)) + 1).alias("next_index"))
 
 
-@query("agg_draft_preservation", "SELECT status, count(*) FILTER (WHERE id % 7 = 0 AND total IS DISTINCT FROM round(total)) AS lost, greatest(0, 10 - 2 * count(*) FILTER (WHERE id % 700 = 0 AND total IS DISTINCT FROM round(total))) AS score FROM drafts GROUP BY status", ("drafts",))
+_UPGRADED = "SELECT id, CASE WHEN id % 4001 = 1 THEN user_id + 1 ELSE user_id END AS user_id, CASE WHEN id % 4001 = 2 THEN NULL ELSE status END AS status, updated_at, CASE WHEN id % 4001 = 3 THEN total + 1 ELSE total END AS total FROM drafts WHERE id % 4001 <> 4"
+
+
+@query("agg_draft_preservation", f"SELECT b.status, count(*) AS n, count(*) FILTER (WHERE same) AS kept, count(*) FILTER (WHERE NOT same) AS lost, coalesce(list_sort(list(b.id) FILTER (WHERE NOT same))[1:5], []) AS lost_ids, greatest(0, 10 - 2 * count(*) FILTER (WHERE NOT same))::DOUBLE AS score FROM (SELECT b.status, b.id, a.id IS NOT NULL AND b.user_id IS NOT DISTINCT FROM a.user_id AND b.status IS NOT DISTINCT FROM a.status AND b.updated_at IS NOT DISTINCT FROM a.updated_at AND b.total IS NOT DISTINCT FROM a.total AS same FROM drafts b LEFT JOIN ({_UPGRADED}) a ON a.id = b.id) b GROUP BY b.status", ("drafts",))
 def agg_draft_preservation(spark, d):
-    """Drafts before and after an upgrade that rounds some totals: how many values are lost."""
-    before = S.drafts(spark, d)
-    after = before.select("id", F.when(F.col("id") % 7 == 0, F.round("total")).otherwise(F.col("total")).alias("new_total"))
-    lost = ~F.col("total").eqNullSafe(F.col("new_total"))
-    both = before.join(after, "id")
-    return both.groupBy("status").agg(F.count_if(lost).alias("lost"), F.greatest(F.lit(0), 10 - 2 * F.count_if(lost & (F.col("id") % 700 == 0))).alias("score"))
+    """Drafts before and after an upgrade that changes or drops some: every column is compared."""
+    before, k = S.drafts(spark, d), F.col("id") % 4001
+    after = before.where(k != 4).select("id", F.when(k == 1, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"), F.when(k != 2, F.col("status")).alias("status"), "updated_at", F.when(k == 3, F.col("total") + 1).otherwise(F.col("total")).alias("total"))
+    return M.preserved(before, after, "id", "status")
 
 
 # -- windows ------------------------------------------------------------------------------------------

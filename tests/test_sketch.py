@@ -21,3 +21,12 @@ def test_quantiles_of_merged_sketches(spark, share):
         assert got[model][0] == len(known)
         assert abs(got[model][1] - max(exact, 0)) <= M.ERROR * max(exact, 0) * (1 + 1e-9)
     assert days.groupBy("model").count().where("count > 9 * 2500").count() == 0
+
+
+def test_drafts_that_an_upgrade_changes_are_lost(spark):
+    before = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, None, 1.0), (4, None, 2.0), (5, "b", 1.0)], "id int, status string, total double")
+    after = spark.createDataFrame([(1, "a", 1.0), (2, "a", 0.0), (3, "x", 1.0), (5, "b", 1.0), (9, "b", 0.0)], "id int, status string, total double")
+    got = {r.status: tuple(r)[1:] for r in M.preserved(before, after, "id", "status").collect()}
+    assert got == {"a": (2, 1, 1, [2], 8.0), None: (2, 0, 2, [3, 4], 6.0), "b": (1, 1, 0, [], 10.0)}
+    gone = {r.status: r.lost for r in M.preserved(before, after.drop("total"), "id", "status").collect()}
+    assert gone == {"a": 2, None: 2, "b": 1}  # a column that is gone is lost in each
