@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..functions.text import clean_text
+from ..sources import files, folder
 from ..sources import frames as S
 from ..streaming import logs
 from .aggregates import ADAPTIVE_SQL
 from .registry import query
+from .texts import CLEAN_SQL
 
 
 def path(d):
@@ -96,19 +98,24 @@ def sink_json_report(spark, d):
     return merged.select(F.explode(F.from_json("report", "map<string, struct<n: string, top: string>>")).alias("key", "v")).select("key", "v.n", "v.top")
 
 
-@query("scan_json_dir", "SELECT n_nationkey AS id, n_name AS name FROM nation ORDER BY lpad(CAST(n_nationkey AS VARCHAR), 4, '0') DESC LIMIT 10")
+#: A document's name: by number, of a suffix that goes by it.
+_NAME = "'doc_' || lpad(CAST(doc_id AS {0}), 12, '0') || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.docx' WHEN 3 THEN '.rst' ELSE '.dat' END"
+
+
+@query("scan_json_dir", "SELECT doc_id AS id, source, text FROM documents WHERE doc_id % 3 > 0 ORDER BY id DESC LIMIT 100")
 def scan_json_dir(spark, d):
-    """One file for each object, the last names first."""
+    """One file for each object, the last 100 names first; files that don't fit the pattern are left alone."""
     out = files.work_path(spark, "objects")
-    rows = S.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("file"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    rows.repartitionByRange(32, "file").sortWithinPartitions("file").write.option("maxRecordsPerFile", 1).json(out)
-    return files.read_json_dir(spark, f"{out}/*.json", "file string, id int, name string", 1 << 20).orderBy(F.desc("file")).limit(10).select("id", "name")
+    kind = F.when(F.col("doc_id") % 3 > 0, "jd_").otherwise("resume_")
+    rows = S.table(spark, d, "documents").select(F.concat(kind, F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".json")).alias("file_name"), F.to_json(F.struct(F.col("doc_id").alias("id"), "source", "text"), {"ignoreNullFields": "false"}).cast("binary").alias("content"))
+    folder.write_folder(rows, out)
+    return files.read_json_dir(spark, out, "jd_*.json", "id bigint, source string, text string", 100).select("id", "source", "text")
 
 
-@query("scan_text_file", "SELECT 'txt' AS suffix, count(*) AS n, CAST(sum(length(r_name)) AS BIGINT) AS n_chars FROM region")
+@query("scan_text_file", f"SELECT name AS file_name, suffix, CASE WHEN suffix <> 'dat' THEN {CLEAN_SQL} END AS text FROM (SELECT {_NAME.format('VARCHAR')} AS name, lower(split_part({_NAME.format('VARCHAR')}, '.', 2)) AS suffix, coalesce(text, '') AS text FROM documents)")
 def scan_text_file(spark, d):
-    """Whole files as rows, read by their suffix."""
+    """A folder of all documents as plain and .docx files, read by their suffix; one is unknown."""
     out = files.work_path(spark, "texts")
-    S.table(spark, d, "region").select("r_name").repartitionByRange(32, "r_name").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(out)
-    texts = files.read_documents(spark, f"{out}/*.*").where(F.length("text") > 0)
-    return texts.groupBy("suffix").agg(F.count("*").alias("n"), F.sum(F.length(F.rtrim(F.regexp_replace("text", "\n", "")))).alias("n_chars"))
+    rows = S.table(spark, d, "documents").selectExpr(f"{_NAME.format('STRING')} AS file_name", "coalesce(text, '') AS text")
+    folder.write_folder(rows.select("file_name", F.when(F.col("file_name").endswith(".docx"), files.encode_docx("text")).otherwise(F.encode("text", "UTF-8")).alias("content")), out)
+    return folder.read_folder(spark, out, "doc_*").select("file_name", "suffix", clean_text(F.col("text")).alias("text"))

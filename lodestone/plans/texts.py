@@ -70,7 +70,10 @@ for _p, _r in ((rf"\n{WS}*\n", r"\n\n"), (r"[ \t]+", " "), (r"Page[ \t\n\x0b\f\r
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', {'chr(10)' if _r == chr(92) + 'n' else 'chr(10) || chr(10)' if _r == chr(92) + 'n' + chr(92) + 'n' else repr(_r)}, 'g')"
 
 
-@query("fn_clean_text", f"SELECT doc_id, {_strip(_CLEAN)} AS text FROM documents")
+CLEAN_SQL = _strip(_CLEAN)
+
+
+@query("fn_clean_text", f"SELECT doc_id, {CLEAN_SQL} AS text FROM documents")
 def fn_clean_text(spark, d):
     return docs(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
 

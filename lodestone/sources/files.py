@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
+import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -14,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
+from .folder import WORD, read_folder
+
 VECTOR = ArrayType(FloatType())
 
 #: What to do with a malformed line.
@@ -83,10 +89,32 @@ def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[
     return rows.select("file_name", suffix.alias("suffix"), text.alias("text"))
 
 
-def read_json_dir(spark: SparkSession, glob: str, schema: str, limit: int) -> DataFrame:
-    """One object for each file, the last names first."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(glob).select("*", F.col("_metadata.file_name").alias("file_name"))
-    return rows.orderBy(F.desc("file_name")).limit(limit)
+def read_json_dir(spark: SparkSession, path: str, glob: str, schema: str, limit: int) -> DataFrame:
+    """file_name and the object of each of the last ``limit`` names, which come first; the rest isn't opened.
+    The fields of a file that holds no object are null."""
+    rows = read_folder(spark, path, glob, limit).select("file_name", F.from_json("text", schema).alias("o"))
+    return rows.select("file_name", "o.*").orderBy(F.desc("file_name"))
+
+
+#: Characters that XML can't hold.
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+
+
+@F.pandas_udf(BinaryType())
+def encode_docx(texts: pd.Series) -> pd.Series:
+    """A .docx file of each text: a paragraph for each line. Characters that XML can't hold are left out."""
+    def one(text: str | None):
+        if text is None:
+            return None
+        lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x, {chr(13): "&#13;"})}</w:t></w:r></w:p>' for x in NOT_XML.sub("", text).split("\n"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            entry = zipfile.ZipInfo("word/document.xml", (1980, 1, 1, 0, 0, 0))
+            entry.compress_type = zipfile.ZIP_DEFLATED
+            archive.writestr(entry, f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{WORD[1:-1]}"><w:body>{lines}</w:body></w:document>')
+        return out.getvalue()
+
+    return texts.map(one)
 
 
 @F.pandas_udf(VECTOR)
