@@ -150,3 +150,12 @@ def sketch_quantile(sketched: DataFrame, by: list[str], share: float, error: flo
     growth = (1 + error) / (1 - error)
     value = F.coalesce(2 * F.pow(F.lit(growth), F.col("bucket")) / (growth + 1), F.lit(0.0))
     return reached.groupBy(*by).agg(F.max("total").alias("n"), F.min(value).alias("quantile"))
+
+
+def overlap_verdict(query: Column, text: Column) -> Column:
+    """4 if at least two, and two fifths, of the query's words are in the text, 3 if any is, else 2. Words are
+    told apart by white space, those of one letter never count as found; cases don't matter."""
+    words = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda x: x != ""))
+    low = F.lower(text)
+    n = F.size(F.filter(words, lambda x: (F.length(x) > 1) & low.contains(x)))
+    return F.when(n >= F.greatest(F.lit(2.0), 0.4 * F.size(words)), 4).when(n >= 1, 3).otherwise(2)

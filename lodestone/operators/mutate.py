@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,3 +149,18 @@ def copy_shared_columns(source: DataFrame, target: DataFrame, key: str, kinds: d
 
     rows = source.select(*map(one, shared))
     return target.unionByName(rows.join(target.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def merge_sources(parts: dict[str, DataFrame], address: Callable[[Column], Column]) -> DataFrame:
+    """One table of several sources, by a common address.
+
+    ``parts`` maps the label of a source to its rows (id, url, title and others; columns that a source lacks
+    are null). Addresses are normalised first; rows without one don't enter. Of rows with one address stays that
+    of the first source in order, and there of the smallest id. ``source`` becomes the label, whatever it was;
+    empty and null titles become Unknown.
+    """
+    rows = None
+    for place, (label, part) in enumerate(parts.items()):
+        part = part.withColumns({"url": address(F.col("url")), "title": F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown")), "source": F.lit(label), "_place": F.lit(place)}).where("url <> ''")
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return first_by(rows, ["url"], F.asc("_place"), F.asc("id")).drop("_place")

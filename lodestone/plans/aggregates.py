@@ -107,9 +107,18 @@ def agg_kb_stats(spark, d):
     return counts.unionByName(skills.select(F.lit("skill").alias("stat"), "name", "n"))
 
 
-@query("topk_counter", "SELECT position_tag, count(*) AS n FROM jds GROUP BY position_tag ORDER BY n DESC, position_tag LIMIT 3", ("jds",))
+def _common(tag, n):
+    return f"SELECT '{tag}' AS kind, {tag} AS tag, count(*) AS n FROM ({scores.CLASSIFY_SQL}) WHERE {tag} IS NOT NULL GROUP BY {tag} ORDER BY n DESC, min(id) LIMIT {n}"
+
+
+@query("topk_counter", f"SELECT * FROM ({_common('industry', 5)}) UNION ALL SELECT * FROM ({_common('position', 10)})")
 def topk_counter(spark, d):
-    return S.jds(spark, d).groupBy("position_tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "position_tag").limit(3)
+    """The five commonest industries and ten positions of what was classified, ties as first seen."""
+    found = scores.classify(spark, d).where("industry is not null")
+    both = found.select("id", F.explode(F.create_map(F.lit("industry"), "industry", F.lit("position"), "position")).alias("kind", "tag"))
+    counts = both.groupBy("kind", "tag").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    order = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "first"))  # a row for each tag of the taxonomy
+    return counts.withColumn("_n", order).where("_n <= CASE kind WHEN 'industry' THEN 5 ELSE 10 END").select("kind", "tag", "n")
 
 
 @query("agg_language_backlog", "SELECT coalesce(language, 'none') AS language, count(*) AS n, count(*) FILTER (WHERE NOT translated) AS untranslated, count(*) FILTER (WHERE NOT translated AND retry_count >= 3) AS exhausted FROM chunks GROUP BY 1", ("chunks",))

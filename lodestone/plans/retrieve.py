@@ -176,6 +176,7 @@ def retrieve_two_pass(spark, d):
 _TOP20 = f"SELECT * FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 20"
 
 
+_TOP10_ALL = f"SELECT * FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10"
 _TOP10 = f"SELECT * FROM (SELECT s.*, t.chunk_text FROM ({_SIM}) s LEFT JOIN chunk_texts t ON t.id = s.id) WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10"
 _OF = "coalesce(list(substr(chunk_text, 1, 40) ORDER BY similarity DESC, id) FILTER (WHERE chunk_text IS NOT NULL AND {}), [])"
 
@@ -271,24 +272,16 @@ def set_overlap_at_k(spark, d):
     return both.select("query_id", (F.size(F.array_intersect("ids", "other")) / 10.0).alias("overlap"))
 
 
-@query("bench_vec", f"SELECT query_id, 1.0::DOUBLE AS overlap FROM ({_Q})")
-def bench_vec(spark, d):
-    """Overlap of the ten nearest by blocks of products and by an expression in the JVM; bench.py times both."""
-    ids = lambda df, name: df.groupBy("query_id").agg(F.collect_set("id").alias(name))
-    both = ids(similar(spark, d, 10), "a").join(ids(R.top(scanned(spark, d), 10), "b"), "query_id")
-    return both.select("query_id", (F.size(F.array_intersect("a", "b")) / 10.0).alias("overlap"))
+_COSINE = "SELECT c.id, q.query_id, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) AS similarity FROM chunks c, (" + _Q + ") q"
 
 
-def scanned(spark, d):
-    """Similarities of the query set by an expression, norms once a row and once a query."""
-    norm = lambda c: F.when(R.dot(F.col(c), F.col(c)) == 0, 1.0).otherwise(F.sqrt(R.dot(F.col(c), F.col(c))))
-    rows, asked = S.chunks(spark, d).select("id", "embedding", norm("embedding").alias("n")), queries(spark, d)
-    blocks, out = max(1, -(-asked.count() // R.QUERY_BLOCK)), None
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).withColumn("m", norm("vector"))  # about QUERY_BLOCK rows
-        part = rows.crossJoin(F.broadcast(mine)).select("query_id", "id", (R.dot(F.col("embedding"), F.col("vector")) / (F.col("n") * F.col("m"))).alias("similarity"))
-        out = part if out is None else out.unionByName(part)
-    return out
+@query("bench_vec", f"SELECT a.query_id, count(b.id) / 10.0::DOUBLE AS overlap FROM (SELECT query_id, id FROM ({_SIM}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10) a LEFT JOIN (SELECT query_id, id FROM ({_COSINE}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) <= 10) b ON b.query_id = a.query_id AND b.id = a.id GROUP BY a.query_id", ("chunks",))
+def bench_vec(spark, d):
+    """Overlap of the ten nearest by the scan, and by the index of cells when it is told to be exact."""
+    ids = lambda df, name: df.groupBy("query_id").agg(F.collect_set("id").alias(name))
+    exact = V.search_index(indexed(spark, d), queries(spark, d), 10, exact=True)
+    both = ids(similar(spark, d, 10), "a").join(ids(exact, "b"), "query_id", "left")
+    return both.select("query_id", (F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<bigint>")))) / 10.0).alias("overlap"))
 
 
 # -- evaluation -------------------------------------------------------------------------------------
@@ -477,17 +470,16 @@ def golden_candidates(spark, d):
     return listed.select("query_id", "candidate", F.when(F.col("ord") == 0, "origin").otherwise("recalled").alias("why"), "ord").unionByName(fresh.select("query_id", "candidate", F.lit("distractor").alias("why"), "ord"))
 
 
-@query("mock_judge", "SELECT item_id, doc_id, CASE WHEN n >= greatest(2, 0.4 * w) THEN 4 WHEN n >= 1 THEN 3 ELSE 2 END AS score FROM (SELECT b.item_id, d.doc_id, len(b.words) AS w, len(list_filter(b.words, lambda x: length(x) > 1 AND contains(lower(d.text), x))) AS n FROM documents d, (SELECT item_id, list_distinct(list_filter(string_split(lower(replace(text, chr(10), ' ')), ' '), lambda x: x <> '')) AS words FROM benchmark WHERE item_id % 50 = 0) b)")
+_PY_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> ''))"
+
+
+@query("mock_judge", f"SELECT query_id, id, CASE WHEN n >= greatest(2, 0.4 * w) THEN 4 WHEN n >= 1 THEN 3 ELSE 2 END AS score FROM (SELECT query_id, id, len(words) AS w, len(list_filter(words, lambda x: length(x) > 1 AND contains(said, x))) AS n FROM (SELECT s.query_id, s.id, {_PY_WORDS.format("q.title || ' ' || coalesce(q.company, '')")} AS words, lower(coalesce(j.title, '') || ' ' || coalesce(t.chunk_text, '')) AS said FROM ({_TOP10_ALL}) s JOIN jds q ON q.id = s.query_id LEFT JOIN jds j ON j.id = s.jd_id LEFT JOIN chunk_texts t ON t.id = s.id))", ("chunks", "jds", "chunk_texts"))
 def mock_judge(spark, d):
-    """Overlap of a query set's words with every document, in blocks of queries."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " "), lambda x: x != ""))
-    asked = S.table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select("item_id", words.alias("words"))
-    texts, out = S.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")), None
-    blocks = max(1, -(-asked.count() // R.QUERY_BLOCK))
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))  # about QUERY_BLOCK items in a row
-        both = texts.crossJoin(F.broadcast(mine)).select("doc_id", "low", F.inline("items"))
-        n = F.size(F.filter("words", lambda x: (F.length(x) > 1) & F.col("low").contains(x)))
-        part = both.select("item_id", "doc_id", F.when(n >= F.greatest(F.lit(2.0), 0.4 * F.size("words")), 4).when(n >= 1, 3).otherwise(2).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Overlap of a query's words with the title and text of each of its ten retrieved candidates."""
+    near = work_table(similar(spark, d, 10).select("query_id", "id", "jd_id"), "judged")
+    said, titles = S.chunk_texts(spark, d), S.jds(spark, d).select("id", "title", "company")
+    asked = titles.select(F.col("id").alias("query_id"), F.concat("title", F.lit(" "), F.coalesce("company", F.lit(""))).alias("query"))
+    # texts of candidates alone: ids first, then their rows
+    rows = near.join(asked, "query_id").join(titles.select(F.col("id").alias("jd_id"), "title"), "jd_id", "left").join(said, "id", "left")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("chunk_text", F.lit("")))
+    return rows.select("query_id", "id", M.overlap_verdict(F.col("query"), text).alias("score"))

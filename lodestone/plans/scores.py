@@ -39,9 +39,12 @@ def taxonomy(spark):
     return X.flatten(spark, TREE)
 
 
-@query("fn_taxonomy_nav", f"SELECT industry, function, list_sort(list(position)) AS positions FROM ({_TAX}) GROUP BY industry, function")
+@query("fn_taxonomy_nav", f"SELECT t.industry, t.function, list_sort(list(position)) AS positions, coalesce(any_value(n), 0) AS n_texts FROM ({_TAX}) t LEFT JOIN (SELECT industry, function, count(*) AS n FROM ({_L1}) GROUP BY ALL) c ON c.industry = t.industry AND c.function = t.function GROUP BY t.industry, t.function")
 def fn_taxonomy_nav(spark, d):
-    return taxonomy(spark).groupBy("industry", "function").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """Positions of each function of each industry, and how many texts a rule puts there."""
+    nodes = taxonomy(spark).groupBy("industry", "function").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    texts = X.by_rule(part_texts(spark, d), taxonomy(spark), "id").groupBy("industry", "function").agg(F.count("*").alias("n"))
+    return nodes.join(texts, ["industry", "function"], "left").select("industry", "function", "positions", F.coalesce("n", F.lit(0)).alias("n_texts"))
 
 
 @query("classify_l1", _L1)

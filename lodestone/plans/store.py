@@ -294,10 +294,16 @@ def migrate_copy_table(spark, d):
     return mutate.copy_shared_columns(source, target, "id", {"tags": "array", "sections": "json", "is_public": "bool"}, user_id=F.lit("nobody"))
 
 
-@query("migrate_merge_sources", "SELECT url, origin, id FROM (SELECT split_part(split_part(url, '?', 1), '#', 1) AS url, origin, id FROM (SELECT url, 'jds' AS origin, id FROM jds UNION ALL SELECT url, 'pages', page_id FROM pages)) QUALIFY row_number() OVER (PARTITION BY url ORDER BY origin, id) = 1", ("jds",))
+_JOBS = "id, CASE WHEN id % 9 > 0 THEN url END AS url, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE title END AS title, source, salary_min, CAST(NULL AS VARCHAR(9)) AS salary_str"
+_CRAWLED = "page_id AS id, CASE page_id % 11 WHEN 0 THEN '?p=1' WHEN 1 THEN 'http://x.example/job/' || (page_id % 400) || '#top' ELSE url END AS url, CASE WHEN page_id % 3 > 0 THEN 'Page ' || page_id END AS title, page_id % 40 || 'K' AS salary_str"
+
+
+@query("migrate_merge_sources", f"SELECT * EXCLUDE (place) FROM (SELECT id, split_part(split_part(url, '?', 1), '#', 1) AS url, coalesce(nullif(title, ''), 'Unknown') AS title, source, salary_min, salary_str, place FROM (SELECT {_JOBS.replace('source', "'crawler' AS source")}, 0 AS place FROM jds UNION ALL SELECT id, url, title, 'jd_crawler', NULL, salary_str, 1 FROM (SELECT {_CRAWLED} FROM pages))) WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY place, id) = 1", ("jds",))
 def migrate_merge_sources(spark, d):
-    both = S.jds(spark, d).selectExpr("url", "'jds' AS origin", "id").unionByName(S.table(spark, d, "pages").selectExpr("url", "'pages' AS origin", "page_id AS id"))
-    return store.first_by(both.withColumn("url", T.strip_url(F.col("url"))), ["url"], F.asc("origin"), F.asc("id"))
+    """Two older tables as one: the first knows salaries as numbers, the second as text; sources are labelled anew."""
+    jobs = S.jds(spark, d).selectExpr(*S.fields(_JOBS)).drop("salary_str")
+    crawled = S.table(spark, d, "pages").selectExpr(*S.fields(_CRAWLED))
+    return mutate.merge_sources({"crawler": jobs, "jd_crawler": crawled}, T.strip_url).select("id", "url", "title", "source", "salary_min", "salary_str")
 
 
 _MERGED = "SELECT split_part(split_part(url, '?', 1), '#', 1) AS url, origin, id FROM (SELECT CASE WHEN id % 9 > 0 THEN url END AS url, 'jds' AS origin, id FROM jds UNION ALL SELECT url, 'pages', page_id FROM pages)"
@@ -318,11 +324,13 @@ def union_sources(spark, d):
     return both.groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
 
 
-@query("column_intersect", "SELECT unnest(['doc_id', 'text']) AS shared")
+@query("column_intersect", "SELECT 'doc_id' AS shared, count(doc_id) AS filled, (SELECT count(item_id) FROM benchmark) AS filled_there FROM documents UNION ALL SELECT 'text', count(text), (SELECT count(text) FROM benchmark) FROM documents")
 def column_intersect(spark, d):
-    """Columns that documents and a narrower target have in common."""
-    target = S.table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id").columns
-    return spark.createDataFrame([(c,) for c in S.table(spark, d, "documents").columns if c in target], "shared string")
+    """Columns that documents and a narrower target have in common, and how many rows of either have a value."""
+    source, target = S.table(spark, d, "documents"), S.table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")
+    shared = [c for c in source.columns if c in target.columns]
+    filled = lambda df, name: df.agg(*[F.count(c).alias(c) for c in shared]).unpivot([], shared, "shared", name)
+    return filled(source, "filled").join(filled(target, "filled_there"), "shared")
 
 
 _LOOSE = "doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN '[\"r' || doc_id || '\"]' END AS requirements, CASE WHEN doc_id % 4 = 0 THEN '[\"p\", \"q\"]' END AS preferred, CASE WHEN doc_id % 5 > 1 THEN '[\"' || source || '\"]' END AS skills, CASE WHEN doc_id % 2 = 0 THEN lang END AS implicit"

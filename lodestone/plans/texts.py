@@ -293,6 +293,15 @@ def scan_html(spark, d):
     return pages(spark, d).select("page_id", replies.by_selectors(html, TITLES).alias("title"), replies.description(html, BODIES).alias("text"))
 
 
+_INDEED_SQL = "coalesce(" + ", ".join(f"CASE WHEN length({_element('', chr(10)).replace('(?is)', '(?s)' + p)}) > 50 THEN {_element('', chr(10)).replace('(?is)', '(?s)' + p)} END" for p in replies.INDEED) + ", nullif(substr(array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?s)<p\\b[^>]*>(.*?)</p>', 1), lambda x: array_to_string(" + _PARTS.format(_OF.format("x")).replace("lambda x:", "lambda y:").replace(_strip("x"), _strip("y")).replace("x <> ''", "y <> ''") + ", '')), lambda x: x <> ''), chr(10)), 1, 10000), ''))"
+
+
+@query("scan_indeed_page", f"SELECT page_id, {_INDEED_SQL} AS text FROM (SELECT page_id, {S.INDEED_PAGE} AS html FROM pages)")
+def scan_indeed_page(spark, d):
+    """Description of a posting from its page at the third site."""
+    return pages(spark, d).selectExpr("page_id", f"{S.INDEED_PAGE} AS html").select("page_id", replies.indeed_description(F.col("html")).alias("text"))
+
+
 #: Replies of two sites as JSON text, from a part, and the fields that they are made of.
 _BOSS = "CASE p_partkey % 3 WHEN 0 THEN '{\"id\": \"' || p_partkey || '\", \"job_detail\": {\"job_name\": \" ' || p_name || ' \", \"company\": {\"name\": \"' || p_brand || '\"}, \"area\": \"A\", \"district\": \"B\", \"salary_low\": ' || p_size || ', \"salary_high\": 99, \"job_experience\": {\"name\": \"3 y\"}, \"description\": \"优先 ' || p_type || '\", \"requirements\": \"5年以上 SQL语言\"}}' WHEN 1 THEN '{\"id\": \"' || p_partkey || '\", \"job_name\": \"\", \"company_name\": \"' || p_brand || '\", \"city_name\": \"C\", \"salary\": \"10K\", \"education\": \"BSc\", \"job_desc\": \"d\", \"href\": \"http://x/' || p_partkey || '\"}' ELSE '{}' END"
 _LAGOU = "CASE p_partkey % 2 WHEN 0 THEN '{\"positionName\": \"' || p_name || '\", \"companyFullName\": \"' || p_brand || '\", \"label\": \"a, b,,\", \"positionAdvantage\": \"food\", \"href\": \"/jobs/' || p_partkey || '.html\", \"salary\": \"1k\"}' ELSE '{\"companyShortName\": \"S\", \"companyFullName\": \"F\", \"district\": \" D \", \"jobDesc\": \" one \", \"skills\": \"two\", \"href\": \"http://y\"}' END"

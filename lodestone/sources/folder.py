@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Files and bytes of a share, which one task reads.
-SHARE_FILES, SHARE_BYTES = 2000, 64 << 20
+SHARE_FILES, SHARE_BYTES = 250, 64 << 20
 #: Bytes after which a task gives out a batch.
 BATCH_BYTES = 4 << 20
 SCHEMA = "file_name string, suffix string, size bigint, text string"

@@ -30,6 +30,9 @@ RESUME = """c_name || chr(10) || CASE c_custkey % 4 WHEN 0 THEN '工作经历' W
   || CASE c_custkey % 5 WHEN 0 THEN '专业技能' WHEN 1 THEN 'Technical Skills and projects' ELSE 'more' END || chr(10) || 'Python' || chr(10) || 'SQL'"""
 RESULT_LINE = """CASE page_id % 5 WHEN 0 THEN '  Engineer ' || page_id || ' https://jobs.example/job/' || page_id || '.html | 公司：Acme ' || page_id || ' | x' WHEN 1 THEN '登录 https://jobs.example/job/5.html'
   WHEN 2 THEN 'A long title, ' || repeat('very ', 30) || 'https://jobs.example/job/' || page_id || '.shtml' WHEN 3 THEN 'x https://jobs.example/job/7.html' ELSE 'no link ' || page_id END"""
+#: Pages of postings at a site, around a page's address and its own markup.
+INDEED_PAGE = """CASE page_id % 7 WHEN 0 THEN '<div id="jobdesc">short</div><div class="x jobsec y"><b>' || url || '</b> ' || repeat('duty ', CAST(page_id % 20 AS INT)) || '</div>' WHEN 1 THEN '<div class="big-description"><i>' || url || '</i><!-- <b>no</b> --><i>' || repeat('do ', CAST(10 + page_id % 9 AS INT)) || '</i></div>'
+  WHEN 2 THEN '<span itemprop="description">' || repeat('skill ', CAST(page_id % 30 AS INT)) || '</span><p>only <b>a</b> paragraph</p><p> </p><p class="k">two</p>' WHEN 3 THEN '<div id="jobDescriptionText">' || repeat('a line<br>', CAST(page_id % 25 AS INT)) || '</div><pre>x</pre>' WHEN 4 THEN '<p></p><pre>no</pre>' WHEN 5 THEN '<div id="the-description-1">' || url || repeat(' more', 9) || '</div><div class="css-1e7z4o5">' || repeat('z', 60) || '</div>' ELSE html END"""
 #: Short texts of a document's number: mixed scripts, salaries, ages of postings, headings, replies of a model.
 SCRIPTS = "CASE doc_id % 5 WHEN 0 THEN '产品，经理。' || substr(text, 1, CAST(doc_id % 40 AS INT)) WHEN 1 THEN '、。，' || substr(text, 1, 9) WHEN 2 THEN '' ELSE text END"
 PAY_K = "CASE doc_id % 7 WHEN 0 THEN (doc_id % 40) || '-' || (doc_id % 40 + 7) || 'K·14 薪' WHEN 1 THEN (doc_id % 40) || ' K以上' WHEN 2 THEN (doc_id % 40) || 'k以下' WHEN 3 THEN (doc_id % 40) || 'K' WHEN 4 THEN '面议' WHEN 5 THEN (doc_id % 9) || ' - ' || (doc_id % 30) ELSE (doc_id % 40) || '元/天' END"

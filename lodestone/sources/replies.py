@@ -84,3 +84,27 @@ def description(html: Column, elements: Sequence[str], least: int = 50, most_lin
     page = bare(F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</(script|style|nav|footer|header)>", ""))
     kept = F.filter(F.split(page, "\n"), lambda x: (F.length(x) > 20) | either([F.lower(x).contains(w) for w in DESCRIBING]))
     return F.coalesce(*tries, F.array_join(F.slice(kept, 1, most_lines), "\n"))
+
+
+#: Elements of a posting's page at the third site, best first, as patterns of their content.
+INDEED = (
+    r'<div[^>]*\bid="jobdesc"[^>]*>(.*?)</div>',
+    r'<div[^>]*\bclass="(?:[^"]* )?jobsec(?: [^"]*)?"[^>]*>(.*?)</div>',
+    r'<div[^>]*\bid="description"[^>]*>(.*?)</div>',
+    r'<div[^>]*\bid="[^"]*description[^"]*"[^>]*>(.*?)</div>',
+    r'<div[^>]*\bclass="[^"]*description[^"]*"[^>]*>(.*?)</div>',
+    r'<div[^>]*\bid="jobDescriptionText"[^>]*>(.*?)</div>',
+    r'<span[^>]*\bitemprop="description"[^>]*>(.*?)</span>',
+    r'<div[^>]*\bclass="(?:[^"]* )?css-1e7z4o5(?: [^"]*)?"[^>]*>(.*?)</div>',
+)
+
+
+def indeed_description(html: Column, least: int = 50, most: int = 10_000) -> Column:
+    """Text of the first element with more than ``least`` characters, else of the page's closed paragraphs, a line
+    for each, up to ``most`` characters; null without any."""
+    tries = []
+    for pattern in INDEED:
+        text = bare(F.regexp_extract(html, f"(?s){pattern}", 1))
+        tries.append(F.when(F.length(text) > least, text))
+    paragraphs = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<p\b[^>]*>(.*?)</p>"), 1), lambda x: bare(x, "")), lambda x: x != "")
+    return F.coalesce(*tries, F.nullif(F.substring(F.array_join(paragraphs, "\n"), 1, most), F.lit("")))
