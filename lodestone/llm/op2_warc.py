@@ -15,7 +15,7 @@
 A null html is an empty payload; a null url gives a record without target. A payload under MIN_BYTES
 is always a response. Of equal payloads without any page_id all are responses; rows that repeat the
 response's page_id and payload are responses too. A null page_id is written as an empty record id and
-read as null. Repeated rows are written each. No pages give no rows.
+read as null. Repeated rows are written each. Further columns are ignored. No pages give no rows.
 """
 
 from __future__ import annotations

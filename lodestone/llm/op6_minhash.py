@@ -17,12 +17,15 @@
 A document without words has no shingles and is linked with nothing; one with fewer words than a
 shingle has one shingle, its whole sequence. Null texts count as empty. Rows with a null doc_id take
 no part: they return their size, a null component and kept true. Rows that repeat a doc_id count as
-one document; each row is returned. Further columns are ignored; an empty table gives no rows.
+one document; each row is returned. Very long texts enter whole, each with the set of all its shingles
+in one task. There are no ties: the smallest doc_id of a component stays, and a similarity of exactly the
+threshold links. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ from .words import Words, mix, slices, words_of
 WORDS, PERCENT, TUPLES = 5, 75, 14
 #: Pairs of one document that are confirmed in one group.
 PAIR_ROWS = 1000
+#: Holders of a shingle that one task pairs with those of its prefix side.
+HOLDERS = 1000
 
 SKETCH = "doc_id bigint, n_shingles bigint, set_id binary, first array<bigint>, second array<bigint>, bitmap binary"
 
@@ -181,7 +186,8 @@ def pairs_apart(members: DataFrame, docs: DataFrame, size: int = WORDS, percent:
 
     Shingles are ordered by how many members have them. Two sets that are similar enough share one
     among the first of each, and what follows the first shared one must suffice for the overlap. So
-    a passage of many documents pairs none of them, as it comes last.
+    a passage of many documents pairs none of them, as it comes last. Holders of a shingle meet by class
+    of size, and those of a frequent one are dealt to tasks by HOLDERS.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +206,16 @@ def pairs_apart(members: DataFrame, docs: DataFrame, size: int = WORDS, percent:
     heads = lists.select("rep", "n", (F.col("n") - F.size("known")).alias("unknown"), F.expr(index).alias("index"), F.posexplode(rest).alias("k", "s"))
     heads = join_spooled(heads.select("rep", "n", "index", (F.col("unknown") + F.col("k")).alias("at"), "s.shingle"), members, "rep", "inner")
     heads = spool(heads, "op6-heads")
-    split = spool(heads.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "op6-split")
-    heads = spool(join_spooled(heads, split, "shingle", "left_semi"), "op6-split-heads")
-    x = heads.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("component").alias("cb"))
-    y = heads.where("at < index").select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("component").alias("ca"))
+    held = heads.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_holders"))
+    split = spool(held.where("low < high").select("shingle", F.ceil(F.col("n_holders") / HOLDERS).cast("int").alias("parts")), "op6-split")
+    # of a pair the larger set is in the size class of the smaller one, or in the next, as classes are as wide as sizes may differ
+    classed = F.floor(F.log(F.col("n").cast("double")) / math.log(1.001 * 100 / percent)).cast("int")
+    heads = spool(join_spooled(heads, split, "shingle", "inner").withColumn("class", classed), "op6-split-heads")
+    x = heads.select("shingle", "class", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("component").alias("cb"))
+    y = heads.where("at < index").withColumn("class", F.explode(F.array("class", F.col("class") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = y.select("shingle", "class", "part", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("component").alias("ca"))
     fits = f"ca <> cb and (na < nb or na = nb and a < b) and 100 * na >= {percent} * nb and (100 + {percent}) * least(na - at_a, nb - at_b) >= {percent} * (na + nb)"
-    return x.join(y, "shingle").where(fits).select("a", "b").distinct()
+    return x.join(y, ["shingle", "class", "part"]).where(fits).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@
 
 Tokens are words, unless ``docs`` is given with a token column. Null and empty texts have no tokens;
 they follow their place in the order. A null language or source is a leaf of its own, named ''; a null
-doc_id has a place as others. Repeated rows share their place, and a place is taken whole or not. Further columns are
+doc_id has a place as others. Repeated rows share their place, and a place is taken whole or not. Very long
+texts count all their tokens; one that is longer than what is left of a quota ends the prefix before it. Further columns are
 ignored by ``mix`` and kept by ``mixed_rows``; an empty table gives no rows.
 """
 

@@ -16,7 +16,9 @@ Labels come from rows whose crc32(doc_id) mod 4 isn't HELD_OUT; of these CALIBRA
 the rest counts. At most LABEL_ROWS labelled rows are used, by hash of doc_id. Null and empty texts
 have no segment and get the rate of documents without any. Without labels, or with labels of one
 kind, every score is that rate, or 0. Null labels are ignored; repeated labels all count. A null
-doc_id isn't held out. Repeated rows are scored each. Further columns are ignored by ``scores`` and
+doc_id isn't held out. Repeated rows are scored each. Very long texts
+are scanned whole, in one pass; equal segments count each, and a document's score doesn't depend on which of
+several best ones is named. Equal statistics get equal scores. Further columns are ignored by ``scores`` and
 kept by ``clean_rows``; an empty table gives no rows.
 """
 

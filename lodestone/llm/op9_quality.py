@@ -10,7 +10,8 @@
    on the posteriors, by bin. Documents of KEEP and more are kept.
 
 Null and empty texts get no features and the posterior of their votes (all abstain). Null doc_ids and
-repeated rows are scored as others. Further columns are ignored; an empty table gives no rows. No
+repeated rows are scored as others. Very long texts are read whole. Equal scores are kept or dropped alike,
+that of exactly KEEP is kept. Further columns are ignored; an empty table gives no rows. No
 labels are read.
 """
 

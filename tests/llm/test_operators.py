@@ -444,6 +444,16 @@ def test_pairs_of_mixed_buckets_lose_none(spark):
     assert links <= pairs
 
 
+def test_holders_of_a_shingle_meet_by_size_in_parts(spark, monkeypatch):
+    """Prefixes of one text, of many sizes, so that a shingle has holders in several classes and parts."""
+    monkeypatch.setattr(op6, "HOLDERS", 7)
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in range(5, 125)]
+    members = spark.createDataFrame([(k, k) for k in range(120)], "rep bigint, component bigint")
+    found = [tuple(sorted(r)) for r in op6.pairs_apart(members, documents(spark, texts)).collect()]
+    links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * (a + 1) >= 75 * (b + 1)}
+    assert links <= set(found) and len(found) == len(set(found))
+
+
 def test_bitmaps_bound_differences():
     rng = np.random.default_rng(4)
     for _ in range(100):

@@ -125,5 +125,5 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", k)[0] for k in names if re.match(r"op\d+_", k)}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", k)[0] for k in names if re.match(r"op\d+_", k)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
