@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import op1_decontaminate, op4_packing, op6_minhash, op7_mixing, op8_toxicity
-from lodestone.llm.common import BROADCAST_ROWS, read, spool
+from lodestone.llm.common import BROADCAST_ROWS, discard, read, spool
 
 #: Share of the tokens left that the mixture may hold.
 MIX_PERCENT = 90
@@ -71,9 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """A stage's table goes once the next one's is written; the last table stays, as the result reads it."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = spool(docs, f"pipeline-{name}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
