@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, strip
+from .text import blank, let, strip
 
 #: A word character of any script.
 W = r"[\p{L}\p{N}_]"
@@ -93,7 +93,7 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 def first_filled(*lists: Column) -> Column:
     """The first list that isn't empty, else an empty one."""
-    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast("array<string>"))
+    return F.coalesce(*[let(x, lambda found: F.when(F.size(found) > 0, found)) for x in lists], F.array().cast("array<string>"))
 
 
 # -- skills -----------------------------------------------------------------------------------------------
@@ -112,18 +112,21 @@ def wanted_skills(text: Column, most: int = 10, reach: int = 200) -> Column:
 
 def tech_words(text: Column) -> Column:
     """Technical words that the text holds, in the order of the fixed values."""
-    low = F.lower(text)
-    return F.array_distinct(F.filter(literals([w for words in TECH_WORDS.values() for w in words]), lambda w: low.contains(F.lower(w))))
+    words = literals([w for words in TECH_WORDS.values() for w in words])
+    return F.array_distinct(let(F.lower(text), lambda low: F.filter(words, lambda w: low.contains(F.lower(w)))))
 
 
 def traits(text: Column) -> Column:
     """A line for each trait, with the words that hint at it."""
-    low = F.lower(text)
-    lines = []
-    for name, words in TRAIT_WORDS.items():
-        hits = F.filter(literals(words), lambda w: low.contains(F.lower(w)))
-        lines.append(F.when(F.size(hits) > 0, F.concat(F.lit(f"{name}: "), F.array_join(hits, ", "))))
-    return F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*lines)), "\n"), F.lit("")), F.lit(NO_TRAITS))
+
+    def line(low: Column, name: str) -> Column:
+        hits = F.filter(literals(TRAIT_WORDS[name]), lambda w: low.contains(F.lower(w)))
+        return let(hits, lambda h: F.when(F.size(h) > 0, F.concat(F.lit(f"{name}: "), F.array_join(h, ", "))))
+
+    def said(low: Column) -> Column:
+        return F.array_join(F.array_compact(F.array(*[line(low, name) for name in TRAIT_WORDS])), "\n")
+
+    return let(let(F.lower(text), said), lambda x: F.when(x != "", x).otherwise(NO_TRAITS))
 
 
 # -- fields and sections of a posting -----------------------------------------------------------------------
@@ -146,21 +149,24 @@ def dashes(section: Column, least: int) -> Column:
 def requirements(text: Column, most: int = 10) -> Column:
     """Technical words and dashed lines of the section of requirements, English first."""
     def listed(section: Column) -> Column:
-        return F.array_distinct(F.concat(tech_words(section), dashes(section, 5)))
+        return let(section, lambda s: F.array_distinct(F.concat(tech_words(s), dashes(s, 5))))
+
+    def closed(rest: Column) -> Column:
+        ends = F.array(*[F.nullif(F.locate(c, rest), F.lit(0)) for c in SECTION_CLOSES])
+        return strip(F.substr(rest, F.lit(1), F.coalesce(F.array_min(ends) - 1, F.length(rest))))
 
     tries = [listed(F.regexp_extract(text, p, 1)) for p in ENGLISH_SECTIONS]
     for mark in SECTION_OPENS:
         rest = F.when(F.locate(mark, text) > 0, F.substr(text, F.locate(mark, text) + len(mark))).otherwise("")
-        ends = F.array(*[F.nullif(F.locate(c, rest), F.lit(0)) for c in SECTION_CLOSES])
-        tries.append(listed(strip(F.substr(rest, F.lit(1), F.coalesce(F.array_min(ends) - 1, F.length(rest))))))
+        tries.append(listed(let(rest, closed)))
     return F.slice(first_filled(*tries), 1, most)
 
 
 def preferred(text: Column, most: int = 5) -> Column:
     """Numbered and dashed lines of the section of what is preferred."""
     def listed(section: Column) -> Column:
-        numbered = F.transform(found(section, r"[一二三四五六七八九十\d][\.、]\s*(.+?)(?:\n|$)"), strip)
-        return F.array_distinct(F.concat(F.filter(numbered, lambda x: F.length(x) > 3), dashes(section, 3)))
+        numbered = lambda s: F.transform(found(s, r"[一二三四五六七八九十\d][\.、]\s*(.+?)(?:\n|$)"), strip)
+        return let(section, lambda s: F.array_distinct(F.concat(F.filter(numbered(s), lambda x: F.length(x) > 3), dashes(s, 3))))
 
     return F.slice(first_filled(*[listed(F.regexp_extract(text, p, 1)) for p in PREFERRED_SECTIONS]), 1, most)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,6 +32,11 @@ def either(*conditions: Column) -> Column:
     return reduce(Column.__or__, conditions)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def holds_any(text: Column, words: Sequence[str]) -> Column:
     """The text holds one of the words, whatever the case."""
     return F.exists(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: either(*[low.contains(w.lower()) for w in words]))

@@ -29,7 +29,7 @@ def once(rows: str, column: str, most: int) -> str:
 
 
 def postings(spark, d):
-    return S.table(spark, d, "part").selectExpr("p_partkey AS id", f"{S.POSTING} AS text")
+    return S.spread(S.table(spark, d, "part"), "p_partkey").selectExpr("p_partkey AS id", f"{S.POSTING} AS text")
 
 
 _ALL = "list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in P.SKILL_PATTERNS) + ")"
@@ -230,7 +230,7 @@ def fn_classify_heading(spark, d):
 
 
 def listings(spark, d):
-    return S.table(spark, d, "part").selectExpr("p_partkey AS id", f"{S.LISTING} AS text")
+    return S.spread(S.table(spark, d, "part"), "p_partkey").selectExpr("p_partkey AS id", f"{S.LISTING} AS text")
 
 
 def spans(text):

@@ -314,6 +314,6 @@ _LAGOU = "CASE p_partkey % 2 WHEN 0 THEN '{\"positionName\": \"' || p_name || '\
     CASE p_partkey % 2 WHEN 0 THEN ['a', 'b'] ELSE [] END, CASE p_partkey % 2 WHEN 0 THEN ['food'] ELSE [] END, CASE p_partkey % 2 WHEN 0 THEN 'https://www.lagou.com/jobs/' || p_partkey || '.html' ELSE 'http://y' END FROM part""")
 def scan_http_json(spark, d):
     """Rows from the replies of two sites: nested fields with fall-backs."""
-    rows = S.table(spark, d, "part").selectExpr("p_partkey AS id", f"{_BOSS} AS boss", f"{_LAGOU} AS lagou")
+    rows = S.spread(S.table(spark, d, "part"), "p_partkey").selectExpr("p_partkey AS id", f"{_BOSS} AS boss", f"{_LAGOU} AS lagou")
     one = rows.select("id", F.lit("boss").alias("site"), replies.boss_posting(F.col("boss")).alias("r")).select("id", "site", "r.*")
     return one.unionByName(rows.select("id", F.lit("lagou").alias("site"), replies.lagou_posting(F.col("lagou")).alias("r")).select("id", "site", "r.*"))
