@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import work_table
+from .measure import numbered
 
 #: Fixed values of the rule: points by experience (from years, below years), and the score to apply from.
 SENIOR, JUNIOR, POINTS, APPLY = 3, 1, 10, 70
 
+#: Points that a resume may have; ranges in which skills are numbered.
+CLASSES, PARTS = (-POINTS, 0, POINTS), 256
+
 
 def skill_set(skills: Column) -> Column:
     """Distinct skills in lower case, without nulls, sorted."""
@@ -32,25 +36,38 @@ def matches(resumes: DataFrame, jobs: DataFrame, least: int = APPLY) -> DataFram
     resumes: id, skills, years; jobs: id, skills. A job without skills is worth 50 and points, so that it
     never reaches that; nor does a resume without skills.
 
-    Of a job's skills, rarest first, a resume that shares as many as it must shares one of the first ones:
-    all but that many, and one more. Only these are joined with the resumes' skills, a resume with fewer
-    skills than needed isn't, and a pair counts at the rarest skill it shares, once. What a resume needs
-    depends on its points, so jobs are listed for each of the three. Hot skills are seldom among the rare;
-    where they are, the join is one whose partitions adaptive execution splits.
+    Skills go by number. Of a job's skills, rarest first, a resume that shares as many as it must shares one of
+    the first ones: all but that many, and one more. Only these are joined with the resumes' skills; a pair counts
+    at the rarest skill it shares, once, if the resume has as many skills as needed. What a resume needs depends
+    on its points: a job is listed once, with what it needs of each. Names are fetched for pairs that count alone.
+    Hot skills are seldom among the rare; where they are, the join is one whose partitions adaptive execution splits.
     """
     if least <= 50 + POINTS:
         raise ValueError("jobs without skills would reach this with any resume")
-    people = resumes.select(F.col("id").alias("resume_id"), skill_set(F.col("skills")).alias("has"), points(F.col("years")).alias("more"))
-    wanted = work_table(jobs.select(F.col("id").alias("job_id"), skill_set(F.col("skills")).alias("wants")).where("size(wants) > 0"), "jobs")
+    people = work_table(resumes.select(F.col("id").alias("resume_id"), skill_set(F.col("skills")).alias("has"), points(F.col("years")).alias("more")).withColumn("row", F.monotonically_increasing_id()), "people")
+    wanted = work_table(jobs.select(F.col("id").alias("job_id"), skill_set(F.col("skills")).alias("wants")).where("size(wants) > 0").withColumn("row", F.monotonically_increasing_id()), "jobs")
     held = people.select(F.explode("has").alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
-    each = wanted.select("job_id", F.explode("wants").alias("skill")).join(held, "skill", "left")
-    rare = each.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "skill"))).alias("r")).select("job_id", F.col("r.skill").alias("wants"))
+    held = work_table(held.withColumn("part", F.pmod(F.xxhash64("skill"), F.lit(PARTS))), "skills")
+    number = numbered(held.withColumn("all", F.lit(0)), "all", F.col("part"), "skill")
+    held = work_table(number.select("skill", "n", F.col("number").cast("int" if held.count() < 1 << 31 else "bigint").alias("number")), "skill-numbers")
+
+    each = people.select("row", "resume_id", "more", F.explode("has").alias("skill")).join(held, "skill").groupBy("row").agg(F.first("resume_id").alias("resume_id"), F.first("more").alias("more"), F.collect_list("number").alias("has"))
+    offered = each.select("resume_id", "more", "has", F.explode("has").alias("number"))
+    rare = wanted.select("row", F.explode("wants").alias("skill")).join(held, "skill", "left").groupBy("row")
+    rare = rare.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("number", F.lit(0)).alias("number"), "skill"))).alias("r"))
+    rare = work_table(rare.select("row", F.col("r.number").alias("wants"), F.col("r.skill").alias("names")), "rare")
+
     n = F.size("wants")
-    classes = F.explode(F.array(*[F.lit(x) for x in (-POINTS, 0, POINTS)])).alias("more")
-    fewest = F.array_min(F.filter(F.sequence(F.lit(1), n), lambda c: score(c, n, F.col("more")) >= least))
-    listed = rare.select("job_id", "wants", classes).withColumn("fewest", fewest).where("fewest is not null")
-    listed = listed.select("job_id", "wants", "more", "fewest", F.explode(F.slice("wants", 1, n - F.col("fewest") + 1)).alias("skill"))
-    offered = people.select("resume_id", "has", "more", F.explode("has").alias("skill"))
+    of = lambda x: lambda c: score(c, n, F.lit(x)) >= least
+    fewest = [F.array_min(F.filter(F.sequence(F.lit(1), n), of(x))) for x in CLASSES]
+    listed = rare.select("row", "wants", *[f.alias(f"least{k}") for k, f in enumerate(fewest)])
+    first = n - F.least(*[f"least{k}" for k in range(len(CLASSES))]) + 1
+    listed = listed.withColumn("first", first).where("first is not null").select("*", F.posexplode(F.slice("wants", 1, F.col("first"))).alias("at", "number")).where("number > 0")
+    needs = F.coalesce(*[F.when(F.col("more") == x, F.col(f"least{k}")) for k, x in enumerate(CLASSES)])
     shared = F.array_intersect("wants", "has")  # in the order of the job's: rarest first
-    pairs = offered.join(listed, ["skill", "more"]).where(F.size("has") >= F.col("fewest")).withColumn("shared", shared).where("shared[0] = skill and size(shared) >= fewest")
-    return pairs.select("resume_id", "job_id", score(F.size("shared"), n, F.col("more")).alias("score"), F.array_sort("shared").alias("matched"), F.array_sort(F.array_except("wants", "has")).alias("missing"))
+    # most pairs share one skill alone: the cheap tests come first
+    counts = (F.col("at") <= n - needs) & (F.size("has") >= needs) & ((needs == 1) | (F.size(shared) >= needs)) & (shared[0] == F.col("number"))
+    pairs = offered.join(listed, "number").where(counts).select("resume_id", "more", "row", shared.alias("shared"))
+    named = pairs.join(rare, "row").join(wanted.select("row", "job_id"), "row")
+    there = lambda yes: F.array_sort(F.transform(F.filter(F.arrays_zip("wants", "names"), lambda x: F.array_contains("shared", x["wants"]) == F.lit(yes)), lambda x: x["names"]))
+    return named.select("resume_id", "job_id", score(F.size("shared"), n, F.col("more")).alias("score"), there(True).alias("matched"), there(False).alias("missing"))
