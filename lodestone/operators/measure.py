@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,13 @@ from pyspark.sql.window import Window
 RELEVANT = 3
 
 
-def per_query(ranked: DataFrame, score: Column, k: int = 10) -> DataFrame:
-    """query_id, dcg, idcg, n_relevant within k, first_relevant over the whole list. Relevance is binary."""
-    rel = (score >= RELEVANT).cast("int")
-    ideal = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "rank"))
-    rows = ranked.select("query_id", "rank", rel.alias("rel")).withColumn("place", ideal)
-    gain = lambda at: F.sum(F.when(F.col(at) <= k, F.col("rel") / F.log2(F.col(at) + 1)).otherwise(0.0))
-    return rows.groupBy("query_id").agg(
-        gain("rank").alias("dcg"), gain("place").alias("idcg"),
+def per_query(ranked: DataFrame, score: Column, k: int = 10, *more: str) -> DataFrame:
+    """query_id, dcg, idcg, n_relevant within k, first_relevant over the whole list, by query_id and the columns
+    ``more``. Relevance is binary, so that the best order is known from the number of relevant rows."""
+    rows = ranked.select("query_id", *more, "rank", (score >= RELEVANT).cast("int").alias("rel"))
+    best = F.array(*[F.lit(sum(1 / math.log2(i + 2) for i in range(n))) for n in range(k + 1)])
+    return rows.groupBy("query_id", *more).agg(
+        F.sum(F.when(F.col("rank") <= k, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"), F.get(best, F.least(F.sum("rel"), F.lit(k)).cast("int")).alias("idcg"),
         F.sum(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).alias("n_relevant"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first_relevant"),
     )
 
@@ -36,20 +36,21 @@ def metrics(queries: DataFrame, k: int = 10, *by: str) -> DataFrame:
     )
 
 
-def average_rank(column: str, *partition: str) -> Column:
-    """Rank with ties at their mean."""
-    whole = Window.partitionBy(*partition)
-    tied = whole.partitionBy(*partition, column) if partition else Window.partitionBy(column)
-    return F.rank().over(whole.orderBy(column)) + (F.count("*").over(tied) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """Rank correlation within each value of ``by``; 0 where one side is constant."""
-    ranks = df.select(by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    n, sx, sy = F.count("*"), F.sum("rx"), F.sum("ry")
-    cov = n * F.sum(F.col("rx") * F.col("ry")) - sx * sy
-    spread = (n * F.sum(F.col("rx") * F.col("rx")) - sx * sx) * (n * F.sum(F.col("ry") * F.col("ry")) - sy * sy)
-    return ranks.groupBy(by).agg(F.count("*").alias("n"), F.when(spread > 0, cov / F.sqrt(F.greatest(spread, F.lit(1e-12)))).otherwise(0.0).alias("rho"))
+    pairs = df.groupBy(by, x, y).agg(F.count("*").alias("n"))  # ranks are equal where values are
+
+    def ranks(c: str) -> Column:
+        whole = Window.partitionBy(by)
+        upto = F.sum("n").over(whole.orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+        return upto - (F.sum("n").over(Window.partitionBy(by, c)) - 1) / 2
+
+    rows = pairs.select(by, F.col("n").alias("w"), ranks(x).alias("rx"), ranks(y).alias("ry"))
+    total = lambda *f: F.sum(reduce(Column.__mul__, map(F.col, ("w", *f))))
+    n, sx, sy = total(), total("rx"), total("ry")
+    cov = n * total("rx", "ry") - sx * sy
+    spread = (n * total("rx", "rx") - sx * sx) * (n * total("ry", "ry") - sy * sy)
+    return rows.groupBy(by).agg(n.alias("n"), F.when(spread > 0, cov / F.sqrt(F.greatest(spread, F.lit(1e-12)))).otherwise(0.0).alias("rho"))
 
 
 def quota(df: DataFrame, strata: list[str], size: Column, most: int, *order: Column) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import postings as P
-from lodestone.plans import rules, texts
+from lodestone.plans import retrieve, rules, texts
+from lodestone.sources import frames
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,3 +26,9 @@ def test_a_small_file_is_dealt_to_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for rows in (rules.postings(spark, DATA), texts.scan_http_json(spark, DATA)):
         assert rows.rdd.getNumPartitions() >= cores
+
+
+def test_ranked_lists_are_dealt_by_their_number(spark, monkeypatch):
+    assert retrieve.two_ndcgs(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Window") == 1  # of the rank
+    monkeypatch.setattr(frames, "spread", lambda df, key, rows, spread=frames.spread: spread(df, key, rows // 10_000))
+    assert frames.ranked(spark, DATA).rdd.getNumPartitions() == -(-frames.table(spark, DATA, "lineitem").count() // 100)
