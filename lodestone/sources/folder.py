@@ -27,6 +27,11 @@ ENCODINGS = ("utf-8", "gbk", "gb2312", "latin1")
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python are bounded by bytes from here on, as long texts would fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def plain_text(data: bytes) -> str:
     """By the first encoding that fits; line ends are as written."""
     for encoding in ENCODINGS[:-1]:
@@ -116,7 +121,7 @@ class FolderReader(DataSourceReader):
                 with system.open_input_stream(path, compression=None) as stream:
                     text = reader(stream.read())
             rows.append({"file_name": name, "suffix": suffix_of(name), "size": size, "text": text})
-            held += size
+            held += max(size, len(text or ""))  # a .docx is packed
             if held >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, ARROW)
                 rows, held = [], 0
@@ -193,4 +198,5 @@ def read_folder(spark: SparkSession, path: str, glob: str = "*", limit: int | No
 
 def write_folder(df: DataFrame, path: str) -> None:
     """A file for each row of ``df``: its ``file_name`` and ``content`` (null: empty). Names are unique."""
+    small_batches(df.sparkSession)
     df.select("file_name", "content").write.format(register(df.sparkSession)).mode("append").save(path)

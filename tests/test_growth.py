@@ -1,10 +1,16 @@
 """Work and memory of queries that must grow no faster than the tables."""
 
+import io
+import zipfile
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import postings as P
+from lodestone.operators import vectors as V
 from lodestone.plans import retrieve, rules, texts
-from lodestone.sources import frames
+from lodestone.sources import files, folder, frames
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,3 +38,29 @@ def test_ranked_lists_are_dealt_by_their_number(spark, monkeypatch):
     assert retrieve.two_ndcgs(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Window") == 1  # of the rank
     monkeypatch.setattr(frames, "spread", lambda df, key, rows, spread=frames.spread: spread(df, key, rows // 10_000))
     assert frames.ranked(spark, DATA).rdd.getNumPartitions() == -(-frames.table(spark, DATA, "lineitem").count() // 100)
+
+
+def test_what_a_task_compares_and_keeps_is_bounded(spark, monkeypatch):
+    block = V.Block(np.arange(4096), np.ones((4096, 2)), np.ones(4096, bool))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(10_000))})
+    assert sum(p.num_rows for p in V.slices(batch, block)) == 10_000
+    assert max(p.num_rows for p in V.slices(batch, block)) * 4096 <= V.PAIRS
+    assert V.block_size(200) * 200 <= V.KEPT and V.block_size(None) == V.QUERY_BLOCK
+    rows = spark.range(300).selectExpr("id", "array(cast(id % 17 as double), cast(id % 5 as double) + 1) AS embedding")
+    asked = rows.where("id % 10 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    said = lambda k: sorted((r.query_id, r.id, round(r.similarity, 12)) for r in V.similar(rows, asked, k).collect())
+    want = {k: said(k) for k in (7, None)}
+    monkeypatch.setattr(V, "PAIRS", 100)
+    monkeypatch.setattr(V, "KEPT", 70)
+    assert {k: said(k) for k in (7, None)} == want
+
+
+def test_texts_go_in_batches_of_bounded_size(spark, tmp_path):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(conf)
+    folder.write_folder(spark.createDataFrame([(f"{k}.docx", "x" * 3_000_000) for k in range(3)], "file_name string, text string").select("file_name", files.encode_docx("text").alias("content")), f"file://{tmp_path}/f")
+    assert spark.conf.get(conf) == str(folder.BATCH_BYTES)
+    packed = io.BytesIO((tmp_path / "f" / "0.docx").read_bytes())
+    assert zipfile.is_zipfile(packed) and len(packed.getvalue()) < folder.BATCH_BYTES // 100
+    reader = folder.FolderReader({"path": f"file://{tmp_path}/f"}, folder.READERS)
+    assert [b.num_rows for s in reader.partitions() for b in reader.read(s)] == [2, 1]
