@@ -64,3 +64,11 @@ def test_texts_go_in_batches_of_bounded_size(spark, tmp_path):
     assert zipfile.is_zipfile(packed) and len(packed.getvalue()) < folder.BATCH_BYTES // 100
     reader = folder.FolderReader({"path": f"file://{tmp_path}/f"}, folder.READERS)
     assert [b.num_rows for s in reader.partitions() for b in reader.read(s)] == [2, 1]
+
+
+def test_means_of_scores_are_exact(spark, tmp_path):
+    """The mean of the three is 116.65; in doubles it falls short of it in whatever order they are added."""
+    rows = [(k, 1, "O", 0.0) for k in (100, 101, 102)] + [(k, 2, "O", x) for k, x in ((300, 293861.39), (303, 332733.97), (306, 373154.64))]
+    made = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
+    made.selectExpr("*", "timestamp_ntz '2024-01-01 00:00:00' AS o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.user_id: r["mean"] for r in retrieve.history_lookup_default(spark, str(tmp_path)).collect()}[1] == 116.7
