@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -111,11 +112,27 @@ def lockouts(spark: SparkSession, path: str, failures: int, length: str = "15 mi
 #: processing after which a user's last events wait no longer; and after which the state of a user without
 #: events leaves.
 WAIT, IDLE, TTL = 3_600_000_000, 600_000, 30 * 86_400_000
+#: Batches that a whole log is taken in, at most: a user's state is read and written in each.
+BATCHES = 4
 #: A row of this time ends the log.
 FAR = datetime(9998, 1, 1)
 FAR_US = 253_000_000_000_000_000
 
 
+class Place(NamedTuple):
+    """Where a user stands: the last event folded; the oldest and the latest that wait; the milliseconds at
+    which the last one came; whether a timer is set."""
+
+    upto: tuple[int, int]
+    oldest: int
+    latest: int
+    seen: int
+    timed: bool
+
+
+NOWHERE = Place((-(1 << 62), 0), FAR_US, -(1 << 62), -(1 << 62), False)
+
+
 class InOrder(StatefulProcessor):
     """State by user over events in the order of their time, whatever the order in which they come.
 
@@ -125,6 +142,10 @@ class InOrder(StatefulProcessor):
     Events wait until the user's own later events are WAIT ahead (twice, at most), or for IDLE of processing time. The
     engine has no watermark, so that it drops none: an event before what was folded already comes out
     as a late row. A user's state leaves after ``ttl`` without events, and the user starts anew.
+
+    Each call to the state crosses to the engine and back, so a user costs few of them: what a batch brings
+    is folded from memory and only what goes on waiting is stored, and one timer at a time is set, which on
+    its expiry is put off by what came since.
     """
 
     def __init__(self, state_schema: str, start: tuple, take: Take, columns: Sequence[str], idle: int = IDLE, ttl: int = TTL) -> None:
@@ -134,48 +155,70 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, bad boolean")  # the timer empties it
         self.state = handle.getValueState("state", self.state_schema, self.ttl)
-        self.upto = handle.getValueState("upto", "us bigint, event_id bigint", self.ttl)
-        self.span = handle.getValueState("span", "oldest bigint, latest bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        come = [r for frame in rows for r in zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["bad"].tolist(), strict=True)]
-        upto = tuple(self.upto.get()) if self.upto.exists() else (-(1 << 62), 0)
-        late, wait = [r for r in come if r[:2] <= upto], [r for r in come if r[:2] > upto and r[0] < FAR_US]
-        oldest, latest = tuple(self.span.get()) if self.span.exists() else (FAR_US, -(1 << 62))
+        self.upto = handle.getValueState("upto", "us bigint, event_id bigint, oldest bigint, latest bigint, seen bigint, timed boolean", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        come = [(r.us, r.event_id, r.bad) for r in rows]
+        now, (at, known) = timerValues.getCurrentProcessingTimeInMs(), self.place()
+        late, wait = [r for r in come if r[:2] <= at.upto], [r for r in come if r[:2] > at.upto and r[0] < FAR_US]
+        stored = at.oldest < FAR_US or not known
         if wait:
-            self.waiting.appendList(wait)
-            oldest, latest = min(oldest, min(wait)[0]), max(latest, max(wait)[0])
-            self.span.update((oldest, latest))
-        for expiry in self.handle.listTimers():
-            self.handle.deleteTimer(expiry)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+            at = at._replace(oldest=min(at.oldest, min(wait)[0]), latest=max(at.latest, max(wait)[0]), seen=now)
         ended = max((r[0] for r in come), default=0) >= FAR_US
+        given: list[tuple] = []
         # the list is read once it spans twice the time, so that a row is read about twice
-        yield self.frame(key, self.fold(FAR_US if ended else latest - WAIT) if ended or latest - oldest > 2 * WAIT else [], late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self.frame(key, self.fold(FAR_US), [])
-
-    def fold(self, until: int) -> list[tuple]:
-        """Rows that the waiting events before ``until`` give."""
-        waiting = sorted(map(tuple, self.waiting.get())) if self.waiting.exists() else []
+        if ended or at.latest - at.oldest > 2 * WAIT:
+            at, given = self.fold(at, FAR_US if ended else at.latest - WAIT, wait, stored)
+        elif wait:
+            self.waiting.appendList(wait)
+        if at.oldest < FAR_US and not at.timed:
+            self.handle.registerTimer(now + self.idle)
+            at = at._replace(timed=True)
+        if wait or ended:
+            self.keep(at)
+        yield from self.told(key, given, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        at, _ = self.place()
+        if at.seen + self.idle > timerValues.getCurrentProcessingTimeInMs():
+            if at.oldest < FAR_US:
+                self.handle.registerTimer(at.seen + self.idle)
+            else:
+                self.keep(at._replace(timed=False))
+            return
+        at, given = self.fold(at, FAR_US, [], True)
+        self.keep(at._replace(timed=False))
+        yield from self.told(key, given, [])
+
+    def place(self) -> tuple[Place, bool]:
+        """Where the user stands, and whether that is known."""
+        kept = self.upto.get()
+        return (Place((kept[0], kept[1]), *kept[2:]), True) if kept else (NOWHERE, False)
+
+    def keep(self, at: Place) -> None:
+        self.upto.update((*at.upto, *at[1:]))
+
+    def fold(self, at: Place, until: int, wait: list[tuple], stored: bool) -> tuple[Place, list[tuple]]:
+        """The new place, and the rows that events before ``until`` give, of ``wait`` and those that were stored."""
+        old = list(map(tuple, self.waiting.get())) if stored else []
+        waiting = sorted(old + wait)
         due, rest = [r for r in waiting if r[0] < until], [r for r in waiting if r[0] >= until]
         if rest:
             self.waiting.put(rest)
-            self.span.update((rest[0][0], rest[-1][0]))
-        else:
+        elif old:
             self.waiting.clear()
-            self.span.clear()
+        at = at._replace(oldest=rest[0][0], latest=rest[-1][0]) if rest else at._replace(oldest=NOWHERE.oldest, latest=NOWHERE.latest)
         if not due:
-            return []
-        state, rows = self.take(self.state.get() if self.state.exists() else self.start, due)
+            return at, []
+        state, rows = self.take(self.state.get() or self.start, due)
         self.state.update(state)
-        self.upto.update(due[-1][:2])
-        return rows
+        return at._replace(upto=due[-1][:2]), rows
 
-    def frame(self, key: tuple, rows: list[tuple], late: list[tuple]) -> pd.DataFrame:
+    def told(self, key: tuple, rows: list[tuple], late: list[tuple]) -> Iterator[Row]:
         n = len(self.columns) - 1 - len(LATE_COLUMNS)
-        return pd.DataFrame([(key[0], *r, None, None, None) for r in rows] + [(key[0], *[None] * n, *r) for r in late], columns=self.columns, dtype=object)
+        made = Row(*self.columns)
+        yield from (made(key[0], *r, None, None, None) for r in rows)
+        yield from (made(key[0], *[None] * n, *r) for r in late)
 
     def close(self) -> None:
         pass
@@ -193,7 +236,7 @@ def started(rows: DataFrame, schema: str, processor: InOrder) -> DataFrame:
     """The stream of what a processor gives out of ``rows`` (user_id, us, event_id, bad)."""
     # RocksDB alone holds such state; set for the session, as streams that run at once share it
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy("user_id").transformWithStateInPandas(processor, f"{schema}, late_us bigint, late_id bigint, late_bad boolean", "Append", "ProcessingTime")
+    return rows.groupBy("user_id").transformWithState(processor, f"{schema}, late_us bigint, late_id bigint, late_bad boolean", "Append", "ProcessingTime")
 
 
 def in_order(spark: SparkSession, path: str, name: str, schema: str, processor: InOrder) -> DataFrame:
@@ -205,7 +248,8 @@ def in_order(spark: SparkSession, path: str, name: str, schema: str, processor:
     end = work_path(spark, f"{name}-end")
     log = spark.read.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     last = log.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(FAR).alias("ts"), "user_id").distinct()
-    rows = outcomes(events(spark, path).unionByName(closing(spark, end)))
+    files = -(-len(log.inputFiles()) // BATCHES)
+    rows = outcomes(events(spark, path, files).unionByName(closing(spark, end)))
     written = drain(started(rows, schema, processor), name, "append", end=(end, last))
     late = work_table(written.where("late_us is not null").select("user_id").distinct(), f"{name}-late")
     out = written.where("late_us is null").drop(*LATE_COLUMNS)

@@ -5,12 +5,15 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from lodestone.functions import postings as P
 from lodestone.operators import vectors as V
 from lodestone.plans import retrieve, rules, texts
 from lodestone.sources import files, folder, frames
+from lodestone.streaming import logs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,3 +75,69 @@ def test_means_of_scores_are_exact(spark, tmp_path):
     made = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
     made.selectExpr("*", "timestamp_ntz '2024-01-01 00:00:00' AS o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert {r.user_id: r["mean"] for r in retrieve.history_lookup_default(spark, str(tmp_path)).collect()}[1] == 116.7
+
+
+class Handle:
+    """State of one user in memory, with the calls to it."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, []
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return Kept(self, name)
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Kept:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def get(self):
+        self.handle.calls += 1
+        return self.handle.kept.get(self.name, [] if self.name == "waiting" else None)
+
+    def put(self, value):
+        self.handle.calls += 1
+        self.handle.kept[self.name] = value
+
+    update = put
+
+    def appendList(self, value):  # noqa: N802
+        self.put(self.handle.kept.get(self.name, []) + value)
+
+    def clear(self):
+        self.handle.calls += 1
+        self.handle.kept.pop(self.name, None)
+
+
+def test_a_user_costs_few_calls_to_the_state():
+    handle, minute = Handle(), 60_000_000
+    processor = logs.InOrder("until bigint", (-1,), logs.block(30), ("user_id", "event_id"))
+    processor.init(handle)
+    come = lambda now, rows: [r.event_id for r in processor.handleInputRows((7,), iter([Row(us=m * minute, event_id=k, bad=bad) for k, m, bad in rows]), TimerValues(now, 0))]
+    # 500 events, of which the first errs; those from an hour before the last wait
+    assert come(0, [(k, k, k == 0) for k in range(500)]) == [*range(1, 30)]
+    assert handle.calls <= 7 and len(handle.kept["waiting"]) == 61
+    handle.calls = 0
+    assert come(1000, [(500, 500, False)]) == [] and handle.calls <= 3 and len(handle.timers) == 1
+    # the timer is put off by what came since; then it gives out what waits
+    assert list(processor.handleExpiredTimer((7,), TimerValues(logs.IDLE, 0), None)) == [] and handle.timers[1:] == [logs.IDLE + 1000]
+    handle.calls = 0
+    assert come(2000, [(-1, logs.FAR_US // minute + 1, False)]) == [] and handle.calls <= 6 and "waiting" not in handle.kept
+    assert processor.place()[0].upto == (500 * minute, 500)
+
+
+def test_a_log_is_taken_in_few_batches(spark, tmp_path, monkeypatch):
+    rows = spark.range(30).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id AS int)) AS ts", "id % 2 AS user_id", "if(id = 0, 'error', 'view') AS event_type", "0d AS value", "'' AS props")
+    rows.repartition(12).write.parquet(f"{tmp_path}/events.parquet")
+    batches = []
+    drained = logs.drain
+    monkeypatch.setattr(logs, "drain", lambda *a, **k: batches.append(drained(*a, **k)) or batches[0])
+    assert sorted(r.event_id for r in logs.blocked(spark, f"{tmp_path}/event[s].parquet").collect()) == [*range(2, 30, 2)]
+    names = {f.split("/batch=")[1].split("/")[0] for f in batches[0].inputFiles()}
+    assert len(names) <= logs.BATCHES + 1
