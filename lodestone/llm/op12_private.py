@@ -9,15 +9,16 @@ DataFrame functions and Spark's own trees only.
    digits) is personal data, always.
 3. Weak labels: such a span is 1. A plain span that breaks its rule is 0, and so is one of the wider
    form whose normal form does, or which is a piece of a longer token. What is left of the wider form
-   is open. A bounded sample (SAMPLE spans of each kind and label), each plain one also rewritten in
-   the ways of the wider form, trains boosted trees on format and context.
-4. A fifth of the sample is held out: by kind, the threshold is the lowest score above which at least
-   PRECISION of it is 1. Open spans above it are added, unless they overlap a plain one; of added spans
+   is open. All labelled spans, each plain one also rewritten in the ways of the wider form, train
+   boosted trees on format and context. Spans alike in features and label are one row with a weight,
+   so what the trees read grows with the forms of spans. Each kind and label has the same weight in all.
+4. A fifth of these spans, by what they say, is held out of training: by kind, the threshold is the
+   lowest score above which at least PRECISION of it is 1. Open spans above it are added, unless they overlap a plain one; of added spans
    that overlap each other the best stays.
 
 Counts and ``base_sha256`` speak of plain spans, ``spans`` of all. Offsets are in code points. Null texts
 count as empty. Repeated rows, with or without a doc_id, are searched each. Texts are searched whole;
-patterns are linear in them and don't recurse. Where the sample has no span of a label, or none is held
+patterns are linear in them and don't recurse. Where no labelled span has a label, or none is held
 out, nothing is added to the plain ones. An empty table gives no rows. Further columns are ignored.
 """
 
@@ -53,9 +54,12 @@ WIDER = {
 NEEDS = {"email": r"@|[ \[({](?:at|AT)[ \])}]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 #: Fixed word lists: words that stand near such data.
 NEAR = {"email": "mail|contact|write|reach", "ip": "ip|host|server|addr|login|from", "card": "card|visa|master|credit|debit|pay", "phone": "phone|tel|call|mobile|cell|fax|sms"}
-#: Characters of neighbourhood; spans of each kind and label in the sample; part held out; share of 1 wanted.
-AROUND, SAMPLE, HELD_OUT, PRECISION = 24, 2000, 5, 0.98
-TREES, DEPTH, BINS = 10, 4, 100
+#: Characters of neighbourhood; part held out; share of 1 wanted.
+AROUND, HELD_OUT, PRECISION = 24, 5, 0.98
+#: SPLITS is above the number of values of any feature, so that trees may split at each of them (of over SPLITS
+#: squared distinct rows, Spark takes the places of splits, not the trees, from as many). EVEN is the weight of a
+#: kind and label; a task trains on TRAINED_ROWS distinct rows.
+TREES, DEPTH, BINS, SPLITS, EVEN, TRAINED_ROWS = 10, 4, 100, 1024, 2000.0, 100_000
 
 FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "n_chars", "n_digits", "n_letters", "n_groups", "longest", "largest", "luhn", "distinct_digits", "has_at", "worded", "plus", "norm_chars", "last_label", "glued_before", "glued_after", "near")
 
@@ -166,20 +170,18 @@ def rewritten(spans: DataFrame) -> DataFrame:
     return spans.where("plain").select("kind", "plain", other.alias("said"), "before", "after", "label", "fold")
 
 
-def sampled(spans: DataFrame) -> DataFrame:
-    """At most SAMPLE of each kind and label, chosen by a hash of what they are, and rewritten ones."""
-    order = F.xxhash64("said", "before", "after", "kind")
-    known = spans.where("label is not null").select("kind", "plain", "said", "before", "after", "label", order.alias("order"))
-    sizes = {(r.kind, r.label): r.n for r in known.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}  # eight at most
-    share = F.lit(0)
-    for (kind, label), n in sizes.items():
-        share = F.when((F.col("kind") == kind) & (F.col("label") == label), min(1 << 20, max(1, (2 * SAMPLE << 20) // n))).otherwise(share)
-    some = known.where(F.pmod(F.xxhash64("order"), F.lit(1 << 20)) < share)  # about twice as many
-    rank = F.row_number().over(Window.partitionBy("kind", "label").orderBy("order", "said", "before", "after", "plain"))
-    some = some.withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
-    some = spool(some.select("kind", "plain", "said", "before", "after", "label", F.pmod(F.xxhash64("said"), F.lit(HELD_OUT)).cast("int").alias("fold")), "op12-sample")
-    both = described(some.unionByName(rewritten(some)))
-    return spool(both.orderBy("kind", "said", "before", "after", "label", "plain").coalesce(1), "op12-training")
+def learned_from(spans: DataFrame) -> DataFrame:
+    """FEATURES, kind, label and fold of every labelled span and of the rewritten plain ones; spans that are
+    alike in all of these are one row with their number ``n``."""
+    known = spans.where("label is not null").withColumn("fold", F.pmod(F.xxhash64("said"), F.lit(HELD_OUT)).cast("int"))
+    columns = ["kind", "label", "fold", *FEATURES]
+    both = known.select(columns).unionByName(described(rewritten(known)).select(columns))
+    return spool(both.groupBy(columns).agg(F.count("*").alias("n")), "op12-training")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in an order that is always the same, in as many parts as they need."""
+    return rows.repartition(-(-rows.count() // TRAINED_ROWS) or 1, *rows.columns).sortWithinPartitions(*rows.columns)
 
 
 def assembled(spans: DataFrame) -> DataFrame:
@@ -190,18 +192,24 @@ def scored(model: Model, spans: DataFrame) -> DataFrame:
     return model.transform(assembled(spans)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def trained(sample: DataFrame) -> tuple[Model, dict[int, float]] | None:
+def trained(rows: DataFrame) -> tuple[Model, dict[int, float]] | None:
     """Boosted trees, and the threshold by kind; None if there is nothing to learn from."""
-    fit = sample.where("fold <> 0")
-    if fit.select("label").distinct().count() < 2:
+    fit = rows.where("fold <> 0")
+    sizes = {(r.kind, r.label): r.n for r in fit.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}  # eight at most
+    if len({label for _, label in sizes}) < 2:
         return None
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=1, checkpointInterval=-1).fit(assembled(fit.withColumn("label", F.col("label").cast("double"))))
-    held = scored(model, sample.where("fold = 0")).select("kind", "label", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
-    rows = held.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("ones")).collect()  # BINS for each kind
+    weight = F.lit(0.0)
+    for (kind, label), n in sizes.items():
+        weight = F.when((F.col("kind") == kind) & (F.col("label") == label), F.col("n") * (EVEN / n)).otherwise(weight)
+    fit = dealt(fit.select("kind", F.col("label").cast("double").alias("label"), weight.alias("weight"), *FEATURES))
+    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=SPLITS, seed=1, checkpointInterval=-1)
+    model = trees.fit(assembled(fit))
+    held = scored(model, rows.where("fold = 0")).select("kind", "label", "n", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
+    counts = held.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("ones")).collect()  # BINS for each kind
     least = {}
     for kind in range(len(KINDS)):
         n = ones = 0
-        for r in sorted((r for r in rows if r.kind == kind), key=lambda r: -r.bin):
+        for r in sorted((r for r in counts if r.kind == kind), key=lambda r: -r.bin):
             n, ones = n + r.n, ones + r.ones
             if ones >= PRECISION * n:
                 least[kind] = r.bin / BINS
@@ -241,7 +249,7 @@ def joined(spans: Column) -> Column:
 def chosen(found: DataFrame) -> DataFrame:
     """row, kind, start, end, plain of all personal data of ``searched`` rows."""
     spans = spool(weak_label(described(candidates(found))), "op12-spans")
-    base, known = spans.where("plain and valid"), trained(sampled(spans))
+    base, known = spans.where("plain and valid"), trained(learned_from(spans))
     return base.select("row", "kind", "start", "end", "plain") if known is None else apart(base, added(spans, *known))
 
 

@@ -167,6 +167,19 @@ def test_nothing_to_learn_from_adds_nothing(spark):
     assert got == {1: (1, "email:0:15"), 2: (0, "")}
 
 
+def test_all_labelled_spans_are_learned_from(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat('write to a', id % 3000, '@b.example.com or 1.2.3.', if(id % 2 = 0, '4', '999')) AS text")
+    spans = op12.weak_label(op12.described(op12.candidates(op12.searched(op12.numbered(docs)))))
+    known = {(r.kind, r.label): r.n for r in spans.where("plain").groupBy("kind", "label").count().withColumnRenamed("count", "n").collect()}
+    assert known.items() >= {(0, 1): 12_000, (1, 1): 6000, (1, 0): 6000}.items()
+    rows = op12.learned_from(spans)
+    wider = {(r.kind, r.label): r.n for r in spans.where("not plain and label is not null").groupBy("kind", "label").count().withColumnRenamed("count", "n").collect()}
+    got = {(r.kind, r.label): r.n for r in rows.groupBy("kind", "label").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    # each plain span once more as a rewritten one
+    assert got == {k: 2 * known.get(k, 0) + wider.get(k, 0) for k in {*known, *wider}}
+    assert rows.count() * 10 < sum(got.values())
+
+
 def diverged(rows, least, k):
     """The rows of operator 13 over dictionaries."""
     count, having, groups = {}, {}, set()
