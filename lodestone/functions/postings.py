@@ -38,6 +38,8 @@ SKILL_PATTERNS = (
     r"(\d+)\s*年以上", r"精通[\s：:]*(.+?)[，,。.]?", r"熟练[\s：:]*(.+?)[，,。.]?", r"熟悉[\s：:]*(.+?)[，,。.]?", r"掌握[\s：:]*(.+?)[，,。.]?",
     rf"({W}{{2,8}}编程)", rf"({W}{{2,8}}框架)", rf"({W}{{2,8}}语言)", rf"({W}{{2,8}}数据库)", rf"({W}{{2,8}}中间件)",
 )
+#: What every match of each of these patterns holds.
+SKILL_MARKS = ("年以上", "精通", "熟练", "熟悉", "掌握", "编程", "框架", "语言", "数据库", "中间件")
 #: Marks before what is nice to have.
 WANTED_MARKS = ("加分", "优先", "preferred")
 #: Labels of fields, in the order in which they are tried, and what stands for a missing one.
@@ -100,8 +102,10 @@ def first_filled(*lists: Column) -> Column:
 
 
 def skills_by_rule(text: Column, most: int = 20) -> Column:
-    """What the patterns find, pattern by pattern, each once."""
-    return F.slice(F.array_distinct(F.concat(*[found(text, p) for p in SKILL_PATTERNS])), 1, most)
+    """What the patterns find, pattern by pattern, each once. A text is searched for the patterns whose mark it
+    holds alone: those that begin with any word try each of its characters."""
+    marked = [found(F.when(text.contains(m), text), p) for m, p in zip(SKILL_MARKS, SKILL_PATTERNS, strict=True)]
+    return F.slice(F.array_distinct(F.concat(*marked)), 1, most)
 
 
 def wanted_skills(text: Column, most: int = 10, reach: int = 200) -> Column:

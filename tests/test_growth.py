@@ -31,6 +31,17 @@ def test_each_section_is_searched_once(spark):
     assert plan(said).count("regexp_extract(") == len(P.ENGLISH_SECTIONS) + len(P.PREFERRED_SECTIONS)
 
 
+def test_a_text_is_searched_for_marked_patterns_alone(spark):
+    odd = ["5年以上 Go语言，精通SQL。", "no mark", None, "语言x语言", "aあ语言语言bc语言", "123456789语言 12345678语言1语言ab语言", "框架a框架", "x" * 30 + "编程" + "y" * 30 + "编程z", "a b中间件", "_1中间件中间件"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    said = rows.select(P.skills_by_rule(F.col("t")).alias("s"))
+    plain = rows.select(F.array_distinct(F.concat(*[P.found(F.col("t"), p) for p in P.SKILL_PATTERNS])).alias("s"))
+    assert [r.s for r in said.collect()] == [r.s for r in plain.collect()]
+    assert said.first().s == ["5", "S", "Go语言"]
+    for mark, pattern in zip(P.SKILL_MARKS, P.SKILL_PATTERNS, strict=True):
+        assert mark in pattern and f", {mark})" in plan(said)
+
+
 def test_a_small_file_is_dealt_to_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for rows in (rules.postings(spark, DATA), texts.scan_http_json(spark, DATA)):
