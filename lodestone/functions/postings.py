@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .text import blank, let, strip
 
+#: What \s matches.
+BLANKS = " \t\n\x0b\f\r"
 #: A word character of any script.
 W = r"[\p{L}\p{N}_]"
 
@@ -176,23 +178,28 @@ def preferred(text: Column, most: int = 5) -> Column:
 
 
 def duties_and_needs(text: Column) -> Column:
-    """responsibilities and requirements: bulleted lines by the last heading line before them."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-
-    def mark(x: Column) -> Column:
-        low = F.lower(x)
-        return F.when(either([low.contains(m) for m in DUTY_MARKS]), "duty").when(either([low.contains(m) for m in NEED_MARKS]), "need")
-
-    rows = F.transform(lines, lambda x, i: F.struct(i.alias("i"), mark(x).alias("mark"), F.when(F.regexp_like(x, F.lit(BULLET)), strip(F.regexp_replace(x, BULLET, ""))).alias("item")))
-
-    def of(rows: Column, kind: str) -> Column:
-        heads = F.filter(rows, lambda r: r["mark"].isNotNull())
-        last = lambda r: F.coalesce(F.try_element_at(F.filter(heads, lambda h: h["i"] < r["i"]), F.lit(-1))["mark"], F.lit("duty"))
-        return F.transform(F.filter(rows, lambda r: r["mark"].isNull() & (r["item"] != "") & (last(r) == kind)), lambda r: r["item"])
-
-    # the lambda's variable holds the marked lines for both lists
-    both = F.transform(F.array(rows), lambda r: F.struct(of(r, "duty").alias("responsibilities"), of(r, "need").alias("requirements")))
-    return F.get(both, 0)
+    """responsibilities and requirements: bulleted lines by the last heading line before them. Each line is looked
+    at once: a heading's items are the slice up to the next one."""
+    trim = lambda x: F.btrim(x, F.lit(BLANKS))
+    lines = F.filter(F.transform(F.split(text, "\n"), trim), lambda x: x != "")
+
+    def marked(x: Column, i: Column) -> Column:
+        mark = let(F.lower(x), lambda low: F.when(either([low.contains(m) for m in DUTY_MARKS]), "duty").when(either([low.contains(m) for m in NEED_MARKS]), "need"))
+        item = let(F.regexp_replace(x, BULLET, ""), lambda rest: F.when(rest != x, trim(rest)))
+        return F.struct(i.alias("i"), mark.alias("mark"), item.alias("item"))
+
+    def split(rows: Column) -> Column:
+        # before the first heading are duties; the last one ends the text
+        first, end = (F.array(F.struct(i.cast("int").alias("i"), F.lit(m).cast("string").alias("mark"))) for i, m in ((F.lit(-1), "duty"), (F.size(rows), None)))
+        heads = F.transform(F.filter(rows, lambda r: r["mark"].isNotNull()), lambda r: F.struct(r["i"].alias("i"), r["mark"].alias("mark")))
+        return let(F.concat(first, heads, end), lambda heads: F.struct(of(rows, heads, "duty").alias("responsibilities"), of(rows, heads, "need").alias("requirements")))
+
+    def of(rows: Column, heads: Column, kind: str) -> Column:
+        own = lambda h, k: F.when(h["mark"] == kind, F.slice(rows, h["i"] + 2, F.get(heads, k + 1)["i"] - h["i"] - 1))
+        items = F.transform(F.flatten(F.filter(F.transform(heads, own), lambda x: x.isNotNull())), lambda r: r["item"])
+        return F.filter(items, lambda x: x != "")
+
+    return let(F.transform(lines, marked), split)
 
 
 def line_record(line: Column) -> Column:

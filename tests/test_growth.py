@@ -1,6 +1,7 @@
 """Work and memory of queries that must grow no faster than the tables."""
 
 import io
+import time
 import zipfile
 
 import numpy as np
@@ -42,6 +43,19 @@ def test_a_text_is_searched_for_marked_patterns_alone(spark):
         assert mark in pattern and f", {mark})" in plan(said)
 
 
+def test_lines_of_a_posting_are_looked_at_once(spark):
+    """20,000 headings of 40,000 lines: a second or two, and minutes if each line looks at all lines."""
+    n = 20_000
+    rows = spark.range(1).select(F.concat(F.lit(" - early \n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.when(k % 2 == 0, "职责").otherwise("要求"), F.lit("\n- "), k)), "\n")).alias("t"))
+    began = time.monotonic()
+    said = rows.select(P.duties_and_needs(F.col("t")).alias("s")).first().s
+    assert time.monotonic() - began < 20
+    assert said.responsibilities == ["early", *map(str, range(2, n + 1, 2))] and said.requirements == [*map(str, range(1, n, 2))]
+    texts = [("",), (None,), ("要求",), ("- \n-\n职责\n3、\t x\x0b\nplain\n任职\n职责 要求\n12.y",)]
+    said = [r.s for r in spark.createDataFrame(texts, "t string").select(P.duties_and_needs(F.col("t")).alias("s")).collect()]
+    assert [(s.responsibilities, s.requirements) for s in said] == [([], []), (None, None), ([], []), (["x", "y"], [])]
+
+
 def test_a_small_file_is_dealt_to_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for rows in (rules.postings(spark, DATA), texts.scan_http_json(spark, DATA)):
