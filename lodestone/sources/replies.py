@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.postings import either, skills_by_rule, wanted_skills
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 #: Addresses that relative links of a site are taken from.
 BOSS, LAGOU = "https://www.zhipin.com", "https://www.lagou.com"
@@ -18,7 +18,7 @@ DESCRIBING = ("职责", "要求", "描述", "任职", "岗位", "技能", "exper
 
 def pick(reply: Column, *paths: str) -> Column:
     """The first path that holds text, else an empty one."""
-    return F.coalesce(*[F.nullif(F.get_json_object(reply, f"$.{p}"), F.lit("")) for p in paths], F.lit(""))
+    return F.coalesce(*[let(F.get_json_object(reply, f"$.{p}"), lambda x: F.when(x != "", x)) for p in paths], F.lit(""))
 
 
 def lines(*parts: Column) -> Column:
@@ -31,32 +31,44 @@ def or_else(value: Column, default: str) -> Column:
 
 def boss_posting(reply: Column, site: str = BOSS) -> Column:
     """A row from one item of the first site, whose fields may be under job_detail."""
-    base = F.coalesce(F.get_json_object(reply, "$.job_detail"), reply)
-    place = strip(F.concat(pick(base, "area"), pick(base, "district")))
-    low, high = pick(base, "salary_low"), pick(base, "salary_high")
-    described, required = pick(base, "description", "job_desc"), pick(base, "requirements", "job_require")
-    return F.struct(
-        or_else(strip(pick(base, "job_name")), "Untitled").alias("title"), or_else(pick(base, "company.name", "company_name"), "Unknown").alias("company"),
-        F.when(place != "", place).otherwise(pick(base, "city_name")).alias("location"), F.when((low != "") & (high != ""), F.concat_ws("-", low, high)).otherwise(pick(base, "salary")).alias("salary_str"),
-        pick(base, "job_experience.name", "experience").alias("experience_level"), pick(base, "job_edu.name", "education").alias("education"), lines(described, required).alias("raw_text"),
-        skills_by_rule(required).alias("skills_required"), wanted_skills(described).alias("skills_nice"),
-        or_else(pick(base, "href"), "").alias("href"), F.coalesce(F.nullif(pick(base, "href"), F.lit("")), F.concat(F.lit(f"{site}/job/detail/"), pick(reply, "id"), F.lit(".html"))).alias("source_url"),
-    ).dropFields("href")
+    def fields(base: Column) -> Column:
+        return F.struct(
+            pick(reply, "id").alias("id"), pick(base, "job_name").alias("title"), pick(base, "company.name", "company_name").alias("company"),
+            strip(F.concat(pick(base, "area"), pick(base, "district"))).alias("place"), pick(base, "city_name").alias("city"),
+            pick(base, "salary_low").alias("low"), pick(base, "salary_high").alias("high"), pick(base, "salary").alias("salary"),
+            pick(base, "job_experience.name", "experience").alias("experience"), pick(base, "job_edu.name", "education").alias("education"),
+            pick(base, "description", "job_desc").alias("described"), pick(base, "requirements", "job_require").alias("required"), pick(base, "href").alias("href"),
+        )
+
+    def row(f: Column) -> Column:
+        return F.struct(
+            or_else(strip(f["title"]), "Untitled").alias("title"), or_else(f["company"], "Unknown").alias("company"), F.when(f["place"] != "", f["place"]).otherwise(f["city"]).alias("location"),
+            F.when((f["low"] != "") & (f["high"] != ""), F.concat_ws("-", f["low"], f["high"])).otherwise(f["salary"]).alias("salary_str"),
+            f["experience"].alias("experience_level"), f["education"].alias("education"), lines(f["described"], f["required"]).alias("raw_text"),
+            skills_by_rule(f["required"]).alias("skills_required"), wanted_skills(f["described"]).alias("skills_nice"),
+            F.coalesce(F.nullif(f["href"], F.lit("")), F.concat(F.lit(f"{site}/job/detail/"), f["id"], F.lit(".html"))).alias("source_url"),
+        )
+
+    # a reply is read once for each field, however often that is used
+    return let(let(F.coalesce(F.get_json_object(reply, "$.job_detail"), reply), fields), row)
 
 
 def lagou_posting(reply: Column, site: str = LAGOU) -> Column:
     """A row from one item of the second site."""
-    link = pick(reply, "href")
-    said = lines(pick(reply, "jobDesc"), pick(reply, "liability"), pick(reply, "skills"))
-    text = F.when((said == "") & (link != ""), F.concat(F.lit("Detail URL: "), link)).otherwise(said)
-    advantage = pick(reply, "positionAdvantage")
+    names = ("positionName", "companyShortName", "companyFullName", "district", "salary", "workYear", "education", "jobDesc", "liability", "skills", "label", "positionAdvantage", "href")
     none = F.array().cast("array<string>")
-    return F.struct(
-        or_else(strip(pick(reply, "positionName")), "Untitled").alias("title"), or_else(pick(reply, "companyShortName", "companyFullName"), "Unknown").alias("company"),
-        strip(pick(reply, "district")).alias("location"), pick(reply, "salary").alias("salary_str"), pick(reply, "workYear").alias("experience_level"), pick(reply, "education").alias("education"),
-        F.substring(text, 1, 10_000).alias("raw_text"), F.filter(F.transform(F.split(pick(reply, "label"), ","), strip), lambda x: x != "").alias("skills_required"),
-        F.when(advantage != "", F.array(advantage)).otherwise(none).alias("skills_nice"), F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(site), link)).alias("source_url"),
-    )
+
+    def row(f: Column) -> Column:
+        link, said = f["href"], lines(f["jobDesc"], f["liability"], f["skills"])
+        text = let(said, lambda said: F.when((said == "") & (link != ""), F.concat(F.lit("Detail URL: "), link)).otherwise(said))
+        return F.struct(
+            or_else(strip(f["positionName"]), "Untitled").alias("title"), F.coalesce(*[F.nullif(f[n], F.lit("")) for n in ("companyShortName", "companyFullName")], F.lit("Unknown")).alias("company"),
+            strip(f["district"]).alias("location"), f["salary"].alias("salary_str"), f["workYear"].alias("experience_level"), f["education"].alias("education"),
+            F.substring(text, 1, 10_000).alias("raw_text"), F.filter(F.transform(F.split(f["label"], ","), strip), lambda x: x != "").alias("skills_required"),
+            F.when(f["positionAdvantage"] != "", F.array(f["positionAdvantage"])).otherwise(none).alias("skills_nice"), F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(site), link)).alias("source_url"),
+        )
+
+    return let(F.struct(*[pick(reply, n).alias(n) for n in names]), row)
 
 
 def bare(html: Column, separator: str = "\n") -> Column:

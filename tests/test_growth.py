@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from lodestone.functions import postings as P
 from lodestone.operators import vectors as V
 from lodestone.plans import retrieve, rules, texts
-from lodestone.sources import files, folder, frames
+from lodestone.sources import files, folder, frames, replies
 from lodestone.streaming import logs
 
 DATA = "/root/testdata/sf0.001"
@@ -56,6 +56,16 @@ def test_lines_of_a_posting_are_looked_at_once(spark):
     assert [(s.responsibilities, s.requirements) for s in said] == [([], []), (None, None), ([], []), (["x", "y"], [])]
 
 
+def test_a_field_of_a_reply_is_read_once(spark):
+    said = '{"id": 7, "job_detail": {"job_name": " Dev ", "company": "x", "company_name": "Acme", "salary_low": 5, "salary_high": 9.5, "requirements": "5年以上 SQL语言", "description": "优先 Go"}}'
+    rows = spark.createDataFrame([(said,), ("{}",), (None,), ('{"href": "http://x", "companyFullName": "F", "label": "a,, b"}',)], "t string")
+    boss, lagou = (rows.select(f(F.col("t")).alias("r")).select("r.*") for f in (replies.boss_posting, replies.lagou_posting))
+    assert tuple(boss.first()) == ("Dev", "Acme", "", "5-9.5", "", "", "优先 Go\n5年以上 SQL语言", ["5", "SQL语言"], ["优先", "Go"], "https://www.zhipin.com/job/detail/7.html")
+    assert [r.company for r in lagou.collect()] == ["Unknown", "Unknown", "Unknown", "F"] and lagou.collect()[3].skills_required == ["a", "b"]
+    for made, paths in ((boss, ("job_detail", "requirements", "description", "area")), (lagou, ("positionName", "jobDesc", "positionAdvantage"))):
+        assert [plan(made).count(f", $.{p})") for p in paths] == [1] * len(paths)
+
+
 def test_a_small_file_is_dealt_to_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for rows in (rules.postings(spark, DATA), texts.scan_http_json(spark, DATA)):
