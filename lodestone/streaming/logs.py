@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import pandas as pd
@@ -114,6 +116,8 @@ def lockouts(spark: SparkSession, path: str, failures: int, length: str = "15 mi
 WAIT, IDLE, TTL = 3_600_000_000, 600_000, 30 * 86_400_000
 #: Batches that a whole log is taken in, at most: a user's state is read and written in each.
 BATCHES = 4
+#: Users of a log that share a key of its state, and events of a log for each key, about; the key of rows without a user.
+USERS, ROWS, NOBODY = 64, 20_000, -1
 #: A row of this time ends the log.
 FAR = datetime(9998, 1, 1)
 FAR_US = 253_000_000_000_000_000
@@ -130,6 +134,14 @@ class Place(NamedTuple):
     timed: bool
 
 
+class Event(NamedTuple):
+    us: int
+    event_id: int
+    bad: bool | None
+
+
+#: Both as the state has them.
+PLACE, EVENT = "us bigint, event_id bigint, oldest bigint, latest bigint, seen bigint, timed boolean", "us bigint, event_id bigint, bad boolean"
 NOWHERE = Place((-(1 << 62), 0), FAR_US, -(1 << 62), -(1 << 62), False)
 
 
@@ -153,9 +165,9 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, bad boolean")  # the timer empties it
+        self.waiting = handle.getListState("waiting", EVENT)  # the timer empties it
         self.state = handle.getValueState("state", self.state_schema, self.ttl)
-        self.upto = handle.getValueState("upto", "us bigint, event_id bigint, oldest bigint, latest bigint, seen bigint, timed boolean", self.ttl)
+        self.upto = handle.getValueState("upto", PLACE, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         come = [(r.us, r.event_id, r.bad) for r in rows]
@@ -224,6 +236,117 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class Cell:
+    """A value or list of one user in memory, with the calls of the engine's."""
+
+    def __init__(self, value: tuple | list | None = None) -> None:
+        self.value = value
+
+    def get(self) -> tuple | list | None:
+        return self.value
+
+    def update(self, value: tuple | list | None) -> None:
+        self.value = value
+
+    put = update
+
+    def appendList(self, more: list) -> None:  # noqa: N802
+        self.value = [*self.value, *more]
+
+    def clear(self) -> None:
+        self.value = []
+
+
+class User:
+    """What a shard keeps of one user: the milliseconds at which it was last used, its timer, and its state, which
+    an ``InOrder`` takes for its own."""
+
+    def __init__(self, used: int = 0, timer: int | None = None, upto: tuple | None = None, state: tuple | None = None, waiting: Sequence[tuple] = ()) -> None:
+        self.used, self.timer = used, timer
+        self.kept = {"upto": Cell(upto and tuple(upto)), "state": Cell(state and tuple(state)), "waiting": Cell(list(map(tuple, waiting)))}
+
+    def getValueState(self, name: str, *_) -> Cell:  # noqa: N802
+        return self.kept[name]
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        self.timer = at
+
+
+class Shards(StatefulProcessor):
+    """``one`` for many users under one key (the shard).
+
+    A group of rows and each call to the state cost more than to fold the events of a user. So a shard reads
+    and writes its users as one list, and ``one`` folds them one after another from memory. One timer, at
+    least, is set for the first user that has one or whose state has to leave.
+    """
+
+    def __init__(self, one: InOrder) -> None:
+        self.one = one
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.users = handle.getListState("users", f"user_id bigint, used bigint, timer bigint, upto struct<{PLACE}>, state struct<{self.one.state_schema}>, waiting array<struct<{EVENT}>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, users = timerValues.getCurrentProcessingTimeInMs(), self.known(timerValues)
+        before, found = self.due(users), []
+        come = pd.concat(rows).sort_values("user_id", kind="stable")
+        # a null time or id is an error here, no event that is left out
+        events = map(Event, come["us"].astype("int64").tolist(), come["event_id"].astype("int64").tolist(), come["bad"].tolist())
+        for user, own in groupby(zip(come["user_id"].tolist(), events, strict=True), itemgetter(0)):
+            mine = users.setdefault(user, User())
+            mine.used = now
+            self.one.init(mine)
+            found += self.one.handleInputRows(self.named(key, user), map(itemgetter(1), own), timerValues)
+        self.keep(users, before)
+        yield from self.told(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, users, found = timerValues.getCurrentProcessingTimeInMs(), self.known(timerValues), []
+        for user, mine in users.items():
+            if mine.timer is not None and mine.timer <= now:
+                mine.timer, mine.used = None, now
+                self.one.init(mine)
+                found += self.one.handleExpiredTimer(self.named(key, user), timerValues, expiredTimerInfo)
+        self.keep(users, None)
+        yield from self.told(found)
+
+    def named(self, key: tuple, user: int) -> tuple:
+        return (None if key[0] == NOBODY else user,)
+
+    def known(self, timerValues) -> dict[int, User]:  # noqa: N803
+        """The users of the shard, without state that has to leave; what waits stays for its timer."""
+        users, left = {}, timerValues.getCurrentProcessingTimeInMs() - self.one.ttl
+        for user, used, timer, upto, state, waiting in self.users.get():
+            if used > left:
+                users[user] = User(used, timer, upto, state, waiting)
+            elif waiting:
+                users[user] = User(used, timer, waiting=waiting)
+        return users
+
+    def due(self, users: dict[int, User]) -> int | None:
+        return min((u.used + self.one.ttl if u.timer is None else u.timer for u in users.values()), default=None)
+
+    def keep(self, users: dict[int, User], before: int | None) -> None:
+        """Write the users; set a timer if they need one before ``before``, for which one is set."""
+        if not users:
+            self.users.clear()
+            return
+        self.users.put([(user, u.used, u.timer, *[u.kept[n].get() for n in ("upto", "state", "waiting")]) for user, u in users.items()])
+        first = self.due(users)
+        if before is None or first < before:
+            self.handle.registerTimer(first)
+
+    def told(self, rows: list[Row]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=self.one.columns, dtype=object)  # whole numbers beside nulls
+
+    def close(self) -> None:
+        pass
+
+
 #: Columns of a late row, null in others.
 LATE_COLUMNS = ("late_us", "late_id", "late_bad")
 
@@ -232,11 +355,21 @@ def outcomes(rows: DataFrame) -> DataFrame:
     return rows.select("user_id", F.unix_micros("ts").alias("us"), "event_id", (F.col("event_type") == "error").alias("bad"))
 
 
-def started(rows: DataFrame, schema: str, processor: InOrder) -> DataFrame:
-    """The stream of what a processor gives out of ``rows`` (user_id, us, event_id, bad)."""
+def started(rows: DataFrame, schema: str, processor: InOrder, shards: int = 0) -> DataFrame:
+    """The stream of what a processor gives out of ``rows`` (user_id, us, event_id, bad).
+
+    Users have their own keys, of which a small batch touches few, or share as many as ``shards`` says, which a
+    batch that holds most users passes far faster.
+    """
     # RocksDB alone holds such state; set for the session, as streams that run at once share it
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy("user_id").transformWithState(processor, f"{schema}, late_us bigint, late_id bigint, late_bad boolean", "Append", "ProcessingTime")
+    schema = f"{schema}, late_us bigint, late_id bigint, late_bad boolean"
+    if not shards:
+        return rows.groupBy("user_id").transformWithState(processor, schema, "Append", "ProcessingTime")
+    # pandas has no whole numbers beside nulls, so that rows without a user have a shard of their own
+    shard = F.when(F.col("user_id").isNull(), NOBODY).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(shards)))
+    rows = rows.select(shard.alias("shard"), F.coalesce("user_id", F.lit(0)).alias("user_id"), "us", "event_id", "bad")
+    return rows.groupBy("shard").transformWithStateInPandas(Shards(processor), schema, "Append", "ProcessingTime")
 
 
 def in_order(spark: SparkSession, path: str, name: str, schema: str, processor: InOrder) -> DataFrame:
@@ -249,8 +382,10 @@ def in_order(spark: SparkSession, path: str, name: str, schema: str, processor:
     log = spark.read.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     last = log.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(FAR).alias("ts"), "user_id").distinct()
     files = -(-len(log.inputFiles()) // BATCHES)
+    users, count = log.agg(F.approx_count_distinct("user_id"), F.count("*")).first()
+    shards = max(1, -(-users // USERS), -(-count // ROWS))
     rows = outcomes(events(spark, path, files).unionByName(closing(spark, end)))
-    written = drain(started(rows, schema, processor), name, "append", end=(end, last))
+    written = drain(started(rows, schema, processor, shards), name, "append", end=(end, last))
     late = work_table(written.where("late_us is not null").select("user_id").distinct(), f"{name}-late")
     out = written.where("late_us is null").drop(*LATE_COLUMNS)
     if not late.limit(1).count():

@@ -1,10 +1,13 @@
 """Work and memory of queries that must grow no faster than the tables."""
 
 import io
+import random
 import time
 import zipfile
+from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -176,3 +179,77 @@ def test_a_log_is_taken_in_few_batches(spark, tmp_path, monkeypatch):
     assert sorted(r.event_id for r in logs.blocked(spark, f"{tmp_path}/event[s].parquet").collect()) == [*range(2, 30, 2)]
     names = {f.split("/batch=")[1].split("/")[0] for f in batches[0].inputFiles()}
     assert len(names) <= logs.BATCHES + 1
+
+
+MINUTE = 60_000_000
+
+
+def shards(handle, **times):
+    """A shard over state in memory; and what it gives of events (user, event_id, minute, failed), or of a timer, at a time."""
+    processor = logs.Shards(logs.InOrder("until bigint", (-1,), logs.block(30), ("user_id", "event_id"), **times))
+    handle.kept["users"] = []
+    processor.init(handle)
+
+    def give(now, rows=None, key=(3,)):
+        handle.calls = 0
+        frame = pd.DataFrame([(u, m * MINUTE, k, bad) for u, k, m, bad in rows or []], columns=["user_id", "us", "event_id", "bad"])
+        # an Arrow batch ends within a user's rows
+        got = processor.handleExpiredTimer(key, TimerValues(now, 0), None) if rows is None else processor.handleInputRows(key, iter([frame[: len(frame) // 2], frame[len(frame) // 2 :]]), TimerValues(now, 0))
+        return [(r.user_id, r.event_id, r.late_id) for f in got for r in f.itertuples()]
+
+    return give
+
+
+def test_users_of_a_shard_cost_the_calls_of_one():
+    handle = Handle()
+    give = shards(handle)
+    rows = [(u, 1000 * u + m, m, m == 0) for m in range(500) for u in range(100)]
+    assert sorted(give(0, rows)) == [(u, 1000 * u + m, None) for u in range(100) for m in range(1, 30)]
+    assert handle.calls <= 3 and len(handle.timers) == 1
+    # one user goes on, one has a late event, and the rest stay as they are; no timer is added
+    kept = {u: tuple(r) for u, *r in handle.kept["users"]}
+    big = (1 << 62) + 1
+    assert give(1000, [(7, big, 500, False), (8, big, 100, True)]) == [(8, None, big)]
+    assert handle.calls <= 3 and len(handle.timers) == 1
+    assert {u for u, *r in handle.kept["users"] if tuple(r) != kept[u]} == {7, 8}
+    end = [(u, -1, logs.FAR_US // MINUTE + 1, False) for u in range(100)]
+    assert give(2000, end) == [] and handle.calls <= 3
+    assert {u: r[2][:2] for u, *r in handle.kept["users"]} == {u: (500 * MINUTE, big) if u == 7 else (499 * MINUTE, 1000 * u + 499) for u in range(100)}
+    assert not any(r[-1] for r in handle.kept["users"])
+    # rows without a user are a user of their own
+    handle.kept["users"] = []
+    assert [(u is None, k) for u, k, _ in give(3000, [(0, 1, 0, True), (0, 2, 1, False), (0, 3, logs.FAR_US // MINUTE + 1, False)], (logs.NOBODY,))] == [(True, 2)]
+
+
+def test_users_of_a_shard_have_their_own_timers():
+    handle = Handle()
+    give = shards(handle, idle=10, ttl=100)
+    assert give(0, [(1, 1, 0, True), (1, 2, 1, False)]) == [] and handle.timers == [10]
+    assert give(5, [(2, 3, 0, True), (2, 4, 1, False)]) == [] and handle.timers == [10]
+    # the timer of one ends its wait alone, and the next is set
+    assert give(11) == [(1, 2, None)] and handle.timers == [10, 15]
+    assert give(16) == [(2, 4, None)] and handle.timers == [10, 15, 111]
+    # a state leaves after its time, though its shard has no events
+    assert give(112) == [] and [r[0] for r in handle.kept["users"]] == [2] and handle.timers[3:] == [116]
+    assert give(117) == [] and not handle.kept.get("users")
+    # and a user starts anew: an event of before is not late
+    handle.kept["users"] = []
+    assert give(200, [(1, 9, 0, True)]) == [] and handle.kept["users"][0][0] == 1
+
+
+def test_a_log_shares_keys_and_gives_the_same(spark, tmp_path, monkeypatch):
+    """Users with events in many files, out of order and late, without a user, and with numbers beyond a double's."""
+    rng, far = random.Random(7), 1 << 60
+    rows = [(far + k, datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(3000)), None if k % 11 == 0 else far + k % 23, "error" if rng.random() < 0.2 else "view", 0.0, "") for k in range(1500)]
+    for n in range(3):
+        spark.createDataFrame(rows[n::3], logs.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    monkeypatch.setattr(logs, "USERS", 5)
+    started, asked = logs.started, []
+    monkeypatch.setattr(logs, "started", lambda *a: asked.append(a[3]) or started(*a))
+    got = {r.user_id: r.delay for r in logs.adaptive_delay(spark, f"{tmp_path}/*/*.parquet").collect()}
+    assert 4 <= asked[0] <= 6
+    want = {}
+    for user in {r[2] for r in rows}:
+        own = sorted((r[1], r[0], r[3] == "error") for r in rows if r[2] == user)
+        want[user] = logs.Delay.take(logs.Delay.START, own)[0][0]
+    assert got == want
