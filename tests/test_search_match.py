@@ -1,11 +1,13 @@
 """Text search by trigrams and the matching of skills, against all pairs."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import matching, trigrams
+from lodestone.sources import frames
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +75,60 @@ def test_matches_are_no_cross_join(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     with pytest.raises(ValueError, match="without skills"):
         matching.matches(frame, frame, 60)
+
+
+def shuffled(spark) -> dict[int, int]:
+    """Bytes of shuffle files that each stage wrote."""
+    empty = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, empty, spark._jvm.java.util.ArrayList())
+    return {(s := stages.apply(k)).stageId(): s.shuffleWriteBytes() for k in range(stages.size())}
+
+
+def work_tables(spark) -> set[Path]:
+    return set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("*-*"))
+
+
+def test_resumes_go_along_with_their_skills_in_passes(spark, monkeypatch):
+    """No stage shuffles every resume's skills once for each of them, and tables that nothing reads any more are gone."""
+    monkeypatch.setattr(matching, "PASS_ROWS", 8_000, raising=False)
+    rng = random.Random(5)
+    resumes = [(k, [f"Skill {s}" for s in rng.sample(range(20_000), 40)], k % 5) for k in range(2_000)]
+    jobs = [(k, [s.upper() for s in rng.sample(resumes[k % 2_000][1], 1 + k % 6)] + ["nobody's"] * (k % 9 == 0)) for k in range(4_000)]
+    before, tables = set(shuffled(spark)), work_tables(spark)
+    # as on large tables: nothing is broadcast, and rows of a resume seldom stand together, where they would be packed as one
+    conf = {"spark.sql.shuffle.partitions": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    usual = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    found = matching.matches(spark.createDataFrame(resumes, "id bigint, skills array<string>, years int"), spark.createDataFrame(jobs, "id bigint, skills array<string>"))
+    got = sorted((r.resume_id, r.job_id, r.score, list(r.matched), list(r.missing)) for r in found.collect())
+    for k, v in usual.items():
+        spark.conf.set(k, v)
+    has = {}
+    for i, skills, _ in resumes:
+        for s in skills:
+            has.setdefault(s.lower(), set()).add(i)
+    near = {j: set().union(*[has.get(s.lower(), set()) for s in wants]) for j, wants in jobs}
+    assert got == sorted(x for job in jobs for x in pairs([resumes[i] for i in near[job[0]]], [job], 70)) and len(got) > 4_000
+    own = 40 * 4 * 2_000 * 40  # numbers of four bytes
+    written = [n for k, n in shuffled(spark).items() if k not in before]
+    assert max(written) < own / 3
+    assert {t.name.split("-")[0] for t in work_tables(spark) - tables} == {"jobs", "pairs"}
+
+
+def test_matches_without_rows(spark):
+    none = spark.createDataFrame([], "id bigint, skills array<string>, years int")
+    some = spark.createDataFrame([(1, ["a"], 3)], none.schema)
+    assert [matching.matches(a, b).count() for a, b in ((none, none), (some, none), (none, some), (some, some))] == [0, 0, 0, 1]
+
+
+def test_people_and_jobs_are_named_after_they_are_gathered(spark, tmp_path):
+    """The same rows as by collecting names, repeated and null keys included."""
+    orders = [(1, 7), (1, 7), (2, 7), (3, 8), (4, None), (5, 9), (None, 9), (6, 10)]
+    lines = [(1, 2), (1, 2), (1, 3), (2, 3), (2, 4), (3, None), (4, 5), (5, 6), (5, None), (None, 8), (9, 1)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    people = {r.id: (sorted(r.skills), r.years) for r in frames.people(spark, str(tmp_path)).collect()}
+    assert people == {7: (["TOOL 2", "TOOL 4", "Tool 3"], 2), 8: ([], 1), None: (["Tool 5"], 1), 9: (["TOOL 6"], 1)}
+    jobs = {r.id: sorted(r.skills) for r in frames.jobs(spark, str(tmp_path)).collect()}
+    assert jobs == {1: ["tool 2", "tool 3"], 2: ["tool 3", "tool 4"], 3: [], 4: ["tool 5"], 5: ["tool 6"], None: ["tool 8"], 9: ["TOOL 1"]}
